@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from corpusmatch.llm.common import Bitmap, components, materialize
 
-_CACHED_WORDS = 500_000
+_CACHED_WORDS = 150_000
 
 
 @dataclass(frozen=True)
@@ -82,8 +82,8 @@ def _sets(docs: DataFrame, params: Params) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
                 sets = [shingle_set(t, params.words) for t in part.column("text").to_pylist()]
                 leads = [s[: len(s) - -(-params.percent * len(s) // 100) + 1].view(np.int64) if len(s) else s.view(np.int64) for s in sets]
                 ends = np.cumsum([0, *map(len, leads)]).astype(np.int32)
@@ -106,8 +106,8 @@ def _full_sets(docs: DataFrame, needed: DataFrame, params: Params) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.filter(pa.array(shared.value.has(batch.column("h").to_numpy())))
-            for at in range(0, rows.num_rows, 200):
-                part = rows.slice(at, 200)
+            for at in range(0, rows.num_rows, 100):
+                part = rows.slice(at, 100)
                 sets = [shingle_set(t, params.words) for t in part.column("text").to_pylist()]
                 columns = [
                     part.column("doc_id"),
