@@ -1,0 +1,196 @@
+"""Operators against brute force, round trips and held-out data, and on awkward rows."""
+
+import hashlib
+import itertools
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from corpusmatch.llm import ann, jaccard, language_id, licenses, mixing, packing, pii, quality, queries, suffix_dedup, toxicity
+
+DATA = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, extra string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    long_ = " ".join(f"w{k}" for k in range(9000))
+    texts = [None, "", " \n\t ", "a", long_, long_, "tie tie tie", "Hello there general world " * 30]
+    rows = [(k, t, None if k == 3 else "en", None if k == 2 else "s", None, None, "x") for k, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, rows[6], (None, "no id here at all", None, "s", 1, None, None)], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_packing(spark, odd, empty):
+    out = packing.pack(odd, queries.tokenizer_file()).toPandas()
+    assert len(out[out.piece == 0]) == odd.count()
+    for _, g in out.sort_values("offset").groupby("sequence_id"):
+        assert (g.length.cumsum() - g.length == g.offset).all() and g.length.sum() <= 4096
+    from tokenizers import Tokenizer
+
+    ids = [*Tokenizer.from_file(queries.tokenizer_file()).encode("Hello there general world " * 30, add_special_tokens=False).ids, 1]
+    assert zlib.crc32(np.array(ids, "<u4").tobytes()) in set(out.ids_crc32)
+    assert packing.pack(empty, queries.tokenizer_file()).count() == 0
+
+
+def test_packing_is_optimal_on_small_sets():
+    rng = np.random.default_rng(0)
+    for _ in range(30):
+        sizes = rng.integers(1, 11, 7).tolist()
+        plan = packing.packing_plan(Counter(sizes), 10)
+        bins = {}
+        for length, first, sequence, each, offset in plan.tolist():
+            ends = [r[1] for r in plan.tolist() if r[0] == length and r[1] > first] + [sizes.count(length)]
+            for slot in range(min(ends) - first):
+                bins.setdefault(sequence + slot // each, []).append(length)
+        assert sorted(itertools.chain(*bins.values())) == sorted(sizes) and all(sum(b) <= 10 for b in bins.values())
+        best = next(n for n in range(1, 8) if any(max(np.bincount(p, sizes, n)) <= 10 for p in itertools.product(range(n), repeat=7))) if len(bins) <= 4 else len(bins)
+        assert len(bins) <= best + 1
+
+
+def brute_repeats(texts, length):
+    seen = Counter(t[k : k + length] for t in texts for k in range(len(t) - length + 1))
+    for t in texts:
+        cover = np.zeros(len(t) + 1, int)
+        for k in range(len(t) - length + 1):
+            if seen[t[k : k + length]] > 1:
+                cover[k : k + length] = 1
+        yield int(cover.sum()), hashlib.sha256(bytes(c for c, x in zip(t, cover, strict=False) if not x)).hexdigest()
+
+
+@pytest.mark.parametrize("most", [1500, 1])
+def test_suffix_dedup(spark, odd, empty, most):
+    rng = np.random.default_rng(1)
+    base = ["".join(rng.choice(list("abé "), 300)) for _ in range(4)]
+    texts = [base[0] + base[1], base[1][:200] + base[2], base[2], "ab" * 100, base[3], base[3], None, "", "a" * 90]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = suffix_dedup.remove_repeats(docs, suffix_dedup.Params(length=40, most_stretches=most)).toPandas().sort_values("doc_id")
+    want = list(brute_repeats([(t or "").encode() for t in texts], 40))
+    assert list(zip(out.n_removed, out.kept_sha256, strict=True)) == want
+    assert suffix_dedup.remove_repeats(odd).count() == odd.count() and suffix_dedup.remove_repeats(empty).count() == 0
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 50, 400):
+        s = np.r_[rng.integers(1, 4, n), 0].astype(np.uint8)  # a part ends with 0
+        assert suffix_dedup.suffix_array(s, n).tolist() == sorted(range(n + 1), key=lambda k: bytes(s[k:]))
+
+
+def test_language(spark, odd, empty):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    out = queries.op3_language_id(spark, DATA).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
+    assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
+    filters = language_id.fit(docs)
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(odd, filters).collect()}
+    assert got[0] == got[1] == got[2] == "und" and len(got) == odd.select("doc_id").distinct().count()
+    assert language_id.predict(odd, language_id.fit(empty)).where("lang_pred <> 'und'").isEmpty()
+
+
+def test_quality(odd, empty):
+    text = "a b c d e f g h\nx\na b c d e f g h\n\nx #$"
+    words = text.split()
+    windows = Counter(tuple(words[k : k + 8]) for k in range(len(words) - 7))
+    hit = {k + j for k in range(len(words) - 7) if windows[tuple(words[k : k + 8])] > 1 for j in range(8)}
+    assert quality.base_counts(text) == (len(words), sum(map(len, words)), 2, 1, len(hit))
+    out = quality.quality(odd)
+    assert out.count() == odd.count() and out.where("n_words < 20 and kept").isEmpty() and quality.quality(empty).isEmpty()
+
+
+def test_multi_index(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 8))
+    x[50:90] = x[50]
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(900, None), (1000, [0.0] * 8), (1100, [float("nan")] * 8), (1200, [1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = ann.search(vectors, F.col("vec_id") % 50 == 0).toPandas()
+    hits = 0
+    for q in range(0, 600, 50):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = [k for k in np.lexsort((np.arange(600), d)) if k != q][:10]
+        own = out[out.query_id == q].sort_values("rank")
+        assert len(own) == 10 and np.allclose(own.score, d[own.vec_id])
+        hits += len({*want} & {*own.vec_id})
+    assert hits >= 0.9 * 120 and {*out.query_id} == {*range(0, 600, 50)}
+    assert ann.search(vectors.where("vec_id > 2000"), F.lit(True)).isEmpty()
+
+
+def test_mix(spark, odd, empty):
+    out = mixing.mix(spark.read.parquet(f"{DATA}/documents.parquet")).toPandas()
+    again = mixing.mix(spark.read.parquet(f"{DATA}/documents.parquet").repartition(3)).toPandas()
+    assert out.sort_values("doc_id").taken.tolist() == again.sort_values("doc_id").taken.tolist()
+    assert (out.taken <= 2 * out["size"]).all() and len(mixing.mix(odd).toPandas()) == odd.count() and mixing.mix(empty).isEmpty()
+
+
+def test_toxicity(spark, odd, empty):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    model = queries.toxicity_model(docs, labels)
+    out = toxicity.score(odd, model)
+    assert out.count() == odd.count() and out.where("score is null or score < 0 or score > 1").isEmpty()
+    assert toxicity.keep_clean(odd, model).columns == odd.columns and toxicity.score(empty, model).isEmpty()
+    rng = np.random.default_rng(0)
+    clean = [" ".join(rng.choice(list("abcdefgh"), 40)) for _ in range(400)]
+    bags = [toxicity.text_bag(t + (" horrible monster" if k % 4 == 0 else ""), toxicity.Params()) for k, t in enumerate(clean)]
+    logit, bias = toxicity.train(bags, np.array([int(k % 4 == 0) for k in range(400)]))
+    z = lambda t: (lambda b: logit[b[0]] @ b[1] + bias)(toxicity.text_bag(t, toxicity.Params()))
+    assert z(clean[1] + " horribel monstter") > z(clean[1])  # misspellings share n-grams
+
+
+def test_surrogates(spark, odd, empty):
+    text = 'Mrs. Jane Doe, jane.doe@mail.example.com, +1 (017) 555-7713, 10.2.3.4, token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'
+    docs = spark.createDataFrame([(1, text, "k"), (2, "again Jane.Doe@mail.example.com and 10.2.3.5", "k"), (3, None, "k")], "doc_id long, text string, source string")
+    out = {r.doc_id: r for r in pii.replace_entities(docs).collect()}
+    for secret in ("Jane Doe", "jane.doe@", "555-7713", "10.2.3.4", "04dbebab"):
+        assert secret not in out[1].text
+    mail = next(m.text for m in pii.mentions(out[1].text) if m.kind == "email")
+    assert mail in out[2].text.lower() and out[3].text is None and out[1].n_entities == 5
+    assert len({pii.surrogate("ip", f"10.0.0.{k}", b"k" * 32, 0) for k in range(256)}) == 256
+    kept = pii.replace_entities(odd)
+    assert kept.count() == odd.count() and kept.columns == [*odd.columns, "n_entities"] and pii.replace_entities(empty).isEmpty()
+
+
+def test_jaccard(spark, odd, empty):
+    rng = np.random.default_rng(4)
+    base = [rng.integers(0, 10_000, 60).tolist() for _ in range(5)]
+    rows = []
+    for k in range(60):
+        words = list(base[k % 5])
+        for at in rng.integers(0, 60, rng.integers(0, 4)):
+            words[at] = int(rng.integers(0, 10_000))
+        rows.append((k, " ".join(map(str, words))))
+    out = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), jaccard.Params(words=4, percent=85)).toPandas()
+    sets = [{tuple(t.split()[k : k + 4]) for k in range(57)} for _, t in rows]
+    label = list(range(60))
+    for a, b in itertools.combinations(range(60), 2):
+        if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            x, y = sorted((label[a], label[b]))
+            label = [x if c == y else c for c in label]
+    assert out.sort_values("doc_id").component_id.tolist() == label
+    same = {r.doc_id: r for r in jaccard.near_duplicates(odd).collect()}
+    assert same[5].component_id == 4 and same[0].n_shingles == 0 and same[1].component_id == 1
+    assert jaccard.near_duplicates(empty).isEmpty()
+
+
+def test_licenses(spark, odd, empty):
+    texts = ["Text.\nReleased under the MIT License.", "All rights reserved.", "The license plate was stolen near the park.", "x. This work is licensed under the GNU General Public License, version 3. y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r.families, r.n_unknown) for r in licenses.scan(docs).orderBy("doc_id").collect()]
+    assert got == [("MIT", 0), ("all-rights-reserved", 0), ("", 1), ("GPL", 0)]
+    assert licenses.scan(odd).count() == odd.count() and licenses.scan(empty).isEmpty()
+
+
+def test_pipeline_on_awkward_rows(spark, odd):
+    import corpus_pipeline as cp
+
+    docs = odd
+    for _, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, DATA)
+        assert docs.columns == odd.columns
+    assert cp.STAGES[-1][1](spark, docs, DATA).count() > 0
