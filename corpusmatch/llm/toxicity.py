@@ -23,7 +23,7 @@ _CACHED_WORDS = 700_000
 @dataclass(frozen=True)
 class Params:
     #: Labelled documents to learn from, those with the smallest hashes of their ids; classes as frequent as they are.
-    docs: int = 8000
+    docs: int = 5000
     #: Of a longer document, training takes so many words, spread evenly over the whole text.
     words_per_doc: int = 240
     buckets: int = 1 << 17
@@ -185,7 +185,8 @@ def fit(labelled: DataFrame, params: Params = Params()) -> Model:
     if len(set(labels.tolist())) < 2:
         share = float(np.clip(labels.mean() if len(labels) else 0.5, 1e-6, 1 - 1e-6))
         return Model(np.zeros(params.buckets), float(np.log(share / (1 - share))), params)
-    bags = [(np.frombuffer(r.ids, "<i4").astype(np.int64), np.frombuffer(r.weights, "<f4").astype(float)) for r in found]
+    bags = [(np.frombuffer(r.ids, "<i4"), np.frombuffer(r.weights, "<f4")) for r in found]
+    del found
     logit, bias = train(bags, labels, params)
     return Model(logit, bias, params)
 
