@@ -44,10 +44,14 @@ class _Encoder:
         ]
         if len(self.known) > _CACHED_WORDS:
             self.known = {"": b""}
-        new = list(set().union(*(s for s in split if s is not None)).difference(self.known))
-        if new:
-            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            self.known.update(zip(new, map(self._ids, found), strict=True))
+        new = set().union(*(s for s in split if s is not None)).difference(self.known)
+        # A mark after a letter is a token of its own, so `word,` is `word` and `,`.
+        marked = {c for c in new if c[-1] in ".,!?;:" and c[-2:-1].isalpha()}
+        plain = list((new - marked).union(c[:-1] for c in marked).union(c[-1] for c in marked).difference(self.known))
+        if plain:
+            found = self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)
+            self.known.update(zip(plain, map(self._ids, found), strict=True))
+        self.known.update((c, self.known[c[:-1]] + self.known[c[-1]]) for c in marked)
         get = self.known.__getitem__
         return [
             self._ids(self.tokenizer.encode(t, add_special_tokens=False)) if s is None else b"".join(map(get, s))
