@@ -113,7 +113,7 @@ def _permute(value: int, size: int, key: bytes, tweak: str) -> int:
 
 def _recode(text: str, key: bytes, tweak: str) -> str:
     """Permute the strings of the same shape: digits stay digits, letters letters of their alphabet and case."""
-    hexadecimal = re.fullmatch(r"[0-9a-f]{16,}", text) is not None
+    hexadecimal = tweak.startswith(("secret|", "hex|")) and re.fullmatch(r"[0-9a-f]{16,}", text) is not None
     sets = []
     for c in text:
         low = c.lower()

@@ -152,6 +152,9 @@ def test_surrogates(spark, odd, empty):
     mail = next(m.text for m in pii.mentions(out[1].text) if m.kind == "email")
     assert mail in out[2].text.lower() and out[3].text is None and out[1].n_entities == 5
     assert len({pii.surrogate("ip", f"10.0.0.{k}", b"k" * 32, 0) for k in range(256)}) == 256
+    for card in ("4845168114407329", "48451681144073290", "484516811440732901", "4845168114407329018"):
+        found = pii.surrogate("card", card, b"k" * 32, 0)
+        assert found.isdigit() and len(found) == len(card) and pii._luhn(found) == pii._luhn(card)
     kept = pii.replace_entities(odd)
     assert kept.count() == odd.count() and kept.columns == [*odd.columns, "n_entities"] and pii.replace_entities(empty).isEmpty()
 
