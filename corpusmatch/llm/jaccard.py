@@ -7,7 +7,12 @@ sets are one class from the start. Candidates meet in two rounds:
    near copies, of any size, with a few comparisons a class.
 2. the rest: of two linked classes, the smaller must find at least a known number of its leading shingles in the
    larger. Shingles that only one component has are out; a class left with fewer than that number can't be the
-   smaller one; the others look up as many of their rarest shingles as make missing a link impossible.
+   one; the others look up as many of their rarest shingles as make missing a link impossible. Classes that hold a
+   shingle meet in one task, in blocks; only pairs that may link leave it.
+
+A pair may link unless its parity signatures rule it out. A signature has a bit for every value of the low bits of a
+hash: whether an odd number of the set's hashes has it. Two signatures differ in no more bits than the sets differ in
+shingles, so no link is lost.
 
 Candidates of a probe come in the order of their sets, which is a depth-first walk of the prefix tree (trie) of those
 sets: what a path shares with the one before is not counted again, and a subtree is left where the overlap so far
@@ -18,13 +23,14 @@ no component. Nothing is gathered per group: a task holds the probe's set and th
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmatch.llm.common import Bitmap, components, materialize
@@ -41,6 +47,8 @@ class Params:
     stars: int = 4
     #: Candidates of a probe in one block; more blocks are walked in parallel.
     block: int = 512
+    #: Classes with one shingle that are compared with others in one block.
+    meeting: int = 4096
 
 
 class _Hashes(dict):
@@ -77,8 +85,29 @@ def _class_of(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def size_band(n: int, percent: int) -> int:
+    """Linked sets are of the same band of sizes or of neighbouring ones."""
+    return math.floor(math.log(n) / math.log(100 / percent + 1e-9))
+
+
+def signature(hashes: np.ndarray, percent: int) -> bytes:
+    """Parity of the set's hashes by their low bits; 256 to 4096 bits, the same number throughout a band of sizes."""
+    most = (100 / percent + 1e-9) ** (size_band(len(hashes), percent) + 1)
+    bits = min(4096, max(256, 1 << math.ceil(math.log2(2 * most))))
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _fold(signatures: np.ndarray, width: int) -> np.ndarray:
+    """Signatures (rows of 64-bit words) as they are with fewer low bits."""
+    while signatures.shape[1] > width:
+        half = signatures.shape[1] // 2
+        signatures = signatures[:, :half] ^ signatures[:, half:]
+    return signatures
+
+
 def _sets(docs: DataFrame, params: Params) -> DataFrame:
-    """doc_id, n_shingles, class (null if none), lead: the shingles that a linked set can't all miss, in order."""
+    """doc_id, n_shingles, class (null if none), band and signature of the set, lead: the shingles that a linked set can't all miss."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,11 +120,14 @@ def _sets(docs: DataFrame, params: Params) -> DataFrame:
                     part.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64()),
+                    pa.array([size_band(len(s), params.percent) if len(s) else None for s in sets], pa.int32()),
+                    pa.array([signature(s, params.percent) if len(s) else None for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(leads))),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class", "lead"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class", "band", "signature", "lead"])
 
-    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, n_shingles long, class long, lead array<long>")
+    made = "doc_id long, n_shingles long, class long, band int, signature binary, lead array<long>"
+    return docs.select("doc_id", "text").mapInArrow(make, made)
 
 
 def _full_sets(docs: DataFrame, needed: DataFrame, params: Params) -> DataFrame:
@@ -181,16 +213,49 @@ def _verify(pairs: DataFrame, sets: DataFrame, params: Params) -> DataFrame:
     return ordered.mapInArrow(walk, "a long, b long")
 
 
-def _star_pairs(posts: DataFrame, params: Params) -> DataFrame:
-    """(pivot, class) for each class and each of its first shingles that another class has at the front, too."""
+def _star_pairs(posts: DataFrame, signatures: DataFrame, params: Params) -> DataFrame:
+    """(pivot, class) that may link, for each class and each of its first shingles that another has at the front, too."""
     front = posts.where(F.col("pos") < params.stars)
     pivots = front.groupBy("token").agg(F.min("class").alias("a"))
     both = front.join(pivots, "token").where(F.col("class") != F.col("a"))
-    return both.select("a", F.col("class").alias("b"), "n").distinct()
-
+    pairs = both.select("a", F.col("class").alias("b")).distinct()
+    for side in "ab":
+        own = signatures.select(F.col("class").alias(side), F.col("n").alias(f"n{side}"), F.col("signature").alias(f"s{side}"))
+        pairs = pairs.join(own, side)
+    percent = params.percent
 
-def _other_pairs(posts: DataFrame, joined: DataFrame, params: Params) -> DataFrame:
-    """Candidate pairs between components, the smaller class first."""
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, s, t in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                x, y = (np.frombuffer(v, np.uint64)[None] for v in (s, t))
+                width = min(x.shape[1], y.shape[1])
+                differ = int(np.bitwise_count(_fold(x, width) ^ _fold(y, width)).sum())
+                keep.append(differ <= n + m - 2 * least_overlap(n, m, percent))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    fits = "na * {0} <= nb * 100 and nb * {0} <= na * 100".format(percent)
+    return pairs.where(fits).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(close, "a long, b long")
+
+
+def _may_link(probes: dict[str, np.ndarray], members: dict[str, np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Classes (a, b) of probes and members of other components that signatures don't tell apart, a being the smaller."""
+    width = probes["signature"].shape[1]
+    own = _fold(members["signature"], width)
+    b, m, component = members["class"][None], members["n"][None], members["component"][None]
+    step = max(1, 1_000_000 // own.size)
+    for at in range(0, len(probes["class"]), step):
+        part = {k: v[at : at + step] for k, v in probes.items()}
+        a, n = part["class"][:, None], part["n"][:, None]
+        fits = (part["component"][:, None] != component) & ((n < m) | ((n == m) & (a < b))) & (m * percent <= n * 100)
+        i, j = np.nonzero(fits)
+        most = n[i, 0] + m[0, j] - 2 * (-(-percent * (n[i, 0] + m[0, j]) // (100 + percent)))
+        close = np.bitwise_count(part["signature"][i] ^ own[j]).sum(axis=1, dtype=np.int64) <= most
+        yield a[i[close], 0], b[0, j[close]]
+
+
+def _other_pairs(posts: DataFrame, signatures: DataFrame, joined: DataFrame, params: Params) -> DataFrame:
+    """Pairs between components that may link, the smaller class first."""
     percent = params.percent
     known = posts.join(joined.withColumnRenamed("node", "class"), "class", "left")
     known = known.withColumn("component", F.coalesce("component", "class"))
@@ -203,18 +268,43 @@ def _other_pairs(posts: DataFrame, joined: DataFrame, params: Params) -> DataFra
     small = left.withColumns({"has": F.count("*").over(each), "need": need})
     small = small.where("has >= need").withColumn("nth", F.row_number().over(each.orderBy("df", "token")))
     small = small.where("nth <= has - need + 1")
-
-    def band(c: Column) -> Column:
-        """Sizes of linked sets fall into the same band or the next."""
-        return F.floor(F.log(c.cast("double")) / F.log(F.lit(100 / percent + 1e-9))).cast("int")
-
-    s = small.select(
-        "token", F.explode(F.array(band(F.col("n")), band(F.col("n")) + 1)).alias("band"),
-        F.col("class").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"),
-    )
-    m = left.select("token", band(F.col("n")).alias("band"), F.col("class").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
-    fits = "ac <> bc and (an < bn or (an = bn and a < b)) and bn * {} <= an * 100".format(percent)
-    return s.join(m, ["token", "band"]).where(fits).select("a", "b").distinct()
+    own = signatures.select("class", "band", "signature")
+    blocks = F.ceil(F.col("df") / params.meeting).cast("int")
+    columns = ["token", "band", "block", "probe", "class", "n", "component", "signature"]
+    members = left.join(own, "class").withColumns({"block": F.pmod(F.xxhash64("class"), blocks).cast("int"), "probe": F.lit(0)})
+    probes = small.join(own, "class").withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
+    # Bands of one width of signature follow each other, so a group's probes come in runs of the same width.
+    probes = probes.withColumns({"block": F.explode(F.sequence(F.lit(0), blocks - 1)), "probe": F.octet_length("signature")})
+    met = members.select(columns).unionByName(probes.select(columns)).repartition("token", "band", "block")
+    met = met.sortWithinPartitions("token", "band", "block", "probe")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, members = None, []
+        for batch in batches:
+            rows = {c: batch.column(c).to_numpy() for c in columns[:-1]}
+            binary = batch.column("signature")
+            ends = np.frombuffer(binary.buffers()[1], np.int32)[binary.offset : binary.offset + len(binary) + 1]
+            data = np.frombuffer(binary.buffers()[2], np.uint8)
+            changed = np.any([np.diff(rows[c]) != 0 for c in columns[:4]], axis=0)
+            starts = [0, *(np.flatnonzero(changed) + 1), len(binary)]
+            out = [(np.zeros(0, np.int64),) * 2]
+            for i, j in zip(starts, starts[1:]):
+                if i == j:
+                    continue
+                run = {c: rows[c][i:j] for c in ("class", "n", "component")}
+                run["signature"] = np.ascontiguousarray(data[ends[i] : ends[j]]).view(np.uint64).reshape(j - i, -1)
+                now = tuple(rows[c][i] for c in columns[:3])
+                if key != now:
+                    key, members = now, []
+                if rows["probe"][i] == 0:
+                    members.append({c: v.copy() for c, v in run.items()})
+                elif members:
+                    if len(members) > 1:
+                        members = [{c: np.concatenate([m[c] for m in members]) for c in run}]
+                    out.extend(_may_link(run, members[0], percent))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b"])
+
+    return met.mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
@@ -225,14 +315,18 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """
     all_ = materialize(_sets(docs, params), "shingles")
     classes = all_.where("class is not null").groupBy("class").agg(
-        F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("lead").alias("lead")
+        F.first("n_shingles").alias("n"), F.first("lead").alias("lead")
     )
     posts = classes.select("class", "n", F.posexplode("lead").alias("pos", "token"))
     shared = posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
     posts = materialize(posts.join(shared, "token"), "shared")
-    stars = materialize(_star_pairs(posts, params).select("a", "b").distinct(), "stars")
-
     ids = all_.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("id"))
+    meeting = posts.select("class").distinct()
+    signatures = all_.join(meeting, "class", "left_semi").groupBy("class").agg(
+        F.first("n_shingles").alias("n"), F.first("band").alias("band"), F.first("signature").alias("signature")
+    )
+    signatures = materialize(signatures, "signatures")
+    stars = materialize(_star_pairs(posts, signatures, params), "stars")
 
     def full(pairs: DataFrame) -> DataFrame:
         used = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
@@ -240,7 +334,7 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
 
     links = materialize(_verify(stars, full(stars), params), "links")
     joined = components(links)
-    others = materialize(_other_pairs(posts, joined, params), "others")
+    others = materialize(_other_pairs(posts, signatures, joined, params), "others")
     if not others.isEmpty():
         more = materialize(_verify(others, full(others), params), "links")
         joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
