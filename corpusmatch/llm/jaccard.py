@@ -259,20 +259,29 @@ def _other_pairs(posts: DataFrame, signatures: DataFrame, joined: DataFrame, par
     percent = params.percent
     known = posts.join(joined.withColumnRenamed("node", "class"), "class", "left")
     known = known.withColumn("component", F.coalesce("component", "class"))
-    several = known.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("df"))
-    left = materialize(known.join(several.where("x <> y").select("token", "df"), "token"), "posts")
+    size = F.struct("n", "class")
+    several = known.groupBy("token").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("df"), F.min(size).alias("low"), F.max(size).alias("high")
+    )
+    left = known.join(several.where("x <> y").drop("x", "y"), "token")
+    # The smallest class with a token is nobody's larger partner there, the largest nobody's smaller one.
+    left = left.select("token", "class", "n", "component", "df", (size == F.col("low")).alias("lowest"), (size == F.col("high")).alias("highest"), F.col("high.n").alias("most"))
+    left = materialize(left, "posts")
     # need: leading shingles that a partner of the same size or larger must have, too.
     lead = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     need = F.greatest(F.lit(1), F.ceil(2 * F.col("n") * percent / (100 + percent)) - F.col("n") + lead)
     each = Window.partitionBy("class")
     small = left.withColumns({"has": F.count("*").over(each), "need": need})
     small = small.where("has >= need").withColumn("nth", F.row_number().over(each.orderBy("df", "token")))
-    small = small.where("nth <= has - need + 1")
+    small = small.where("nth <= has - need + 1 and not highest")
     own = signatures.select("class", "band", "signature")
     blocks = F.ceil(F.col("df") / params.meeting).cast("int")
     columns = ["token", "band", "block", "probe", "class", "n", "component", "signature"]
-    members = left.join(own, "class").withColumns({"block": F.pmod(F.xxhash64("class"), blocks).cast("int"), "probe": F.lit(0)})
-    probes = small.join(own, "class").withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
+    members = left.where("not lowest").join(own, "class").withColumns({"block": F.pmod(F.xxhash64("class"), blocks).cast("int"), "probe": F.lit(0)})
+    probes = small.join(own, "class")
+    # The next band, only if the largest class with the token may be in it.
+    reach = F.pow(F.lit(100 / percent + 1e-9), F.col("band") + 1) <= F.col("most") + 1
+    probes = probes.withColumn("band", F.explode(F.when(reach, F.array("band", F.col("band") + 1)).otherwise(F.array("band"))))
     # Bands of one width of signature follow each other, so a group's probes come in runs of the same width.
     probes = probes.withColumns({"block": F.explode(F.sequence(F.lit(0), blocks - 1)), "probe": F.octet_length("signature")})
     met = members.select(columns).unionByName(probes.select(columns)).repartition("token", "band", "block")
