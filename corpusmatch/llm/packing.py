@@ -22,6 +22,8 @@ from corpusmatch.llm.common import materialize
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _RANK_BITS = 48
 _CACHED_WORDS = 700_000
+_JOINED_WORDS = 500
+_MARKS = ".,!?;:#*$%&"
 
 
 class _Encoder:
@@ -32,9 +34,32 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
-
-    def _ids(self, encoding) -> bytes:
-        return np.asarray(encoding.ids, dtype="<u4").tobytes()
+        vocabulary = self.tokenizer.get_vocab()
+        #: Which ids end a word.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _each(self, chunks: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        return [np.asarray(f.ids, "<u4").tobytes() for f in found]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of chunks of letters, encoded as one text and cut where words end; one by one if a chunk isn't one word."""
+        ids = np.frombuffer(self._each([" ".join(words)])[0], "<u4")
+        stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+        if len(stops) != len(words):
+            return self._each(words)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+
+    def _learn(self, chunks: set[str]) -> None:
+        words = [c for c in chunks if c.isalpha()]
+        for at in range(0, len(words), _JOINED_WORDS):
+            some = words[at : at + _JOINED_WORDS]
+            self.known.update(zip(some, self._words(some), strict=True))
+        other = [c for c in chunks if not c.isalpha()]
+        if other:
+            self.known.update(zip(other, self._each(other), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         # White space is dropped by this tokenizer and no token spans it, so chunks between blanks are independent.
@@ -45,17 +70,20 @@ class _Encoder:
         if len(self.known) > _CACHED_WORDS:
             self.known = {"": b""}
         new = set().union(*(s for s in split if s is not None)).difference(self.known)
-        # A mark after a letter is a token of its own, so `word,` is `word` and `,`.
-        marked = {c for c in new if c[-1] in ".,!?;:" and c[-2:-1].isalpha()}
-        plain = list((new - marked).union(c[:-1] for c in marked).union(c[-1] for c in marked).difference(self.known))
+        # A run of marks after a letter is a word of its own, so `word,` is `word` and `,`.
+        marked = {}
+        for c in new:
+            if c[-1] in _MARKS:
+                head = c.rstrip(_MARKS)
+                if head[-1:].isalpha():
+                    marked[c] = head, c[len(head) :]
+        plain = new.difference(marked).union(*marked.values()).difference(self.known)
         if plain:
-            found = self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)
-            self.known.update(zip(plain, map(self._ids, found), strict=True))
-        self.known.update((c, self.known[c[:-1]] + self.known[c[-1]]) for c in marked)
+            self._learn(plain)
+        self.known.update((c, self.known[head] + self.known[tail]) for c, (head, tail) in marked.items())
         get = self.known.__getitem__
         return [
-            self._ids(self.tokenizer.encode(t, add_special_tokens=False)) if s is None else b"".join(map(get, s))
-            for t, s in zip(texts, split, strict=True)
+            self._each([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)
         ]
 
 
