@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmatch.functions import render, text as tx
+from corpusmatch.operators import batching as bt
 from corpusmatch.operators import evaluation as ev
 from corpusmatch.operators import linking as ln
 from corpusmatch.operators import matching as mt
+from corpusmatch.operators import profiles as pf
+from corpusmatch.operators import review as rw
 from corpusmatch.operators import revisions as rv
 from corpusmatch.operators import tables as tb
+from corpusmatch.sources import feeds as fd
 from corpusmatch.sources import pages as pg
+from corpusmatch.streaming import jobs as st
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -29,6 +34,21 @@ def _query(sql: str | None = None):
     return add
 
 
+def _stream_query(table: str, sql: str):
+    """A query over a table that is read as a file stream."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            path = f"{sf_dir}/{table}.parquet"
+            # As a pattern it may name one file as well as a folder of parts.
+            return f(spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/{table}.parque[t]"))
+
+        _QUERIES[f.__name__], _SQL[f.__name__] = run, sql
+        return f
+
+    return add
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
@@ -435,3 +455,95 @@ def upsert_matches(t):
 @_query("SELECT source, count(*) AS rows, count(DISTINCT lang) AS languages, sum(n_chars) AS chars, count(*) FILTER (n_chars < 100) AS short FROM documents GROUP BY 1")
 def source_health(t):
     return t("documents").groupBy("source").agg(F.count("*").alias("rows"), F.count_distinct("lang").alias("languages"), F.sum("n_chars").alias("chars"), F.count_if(F.col("n_chars") < 100).alias("short"))
+
+
+@_query("""WITH RECURSIVE d AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, coalesce(strlen(text), 0) AS size FROM conversations),
+r AS (SELECT conv_id, turn, n, size, 0::BIGINT AS batch, size AS used FROM d WHERE n = 1
+ UNION ALL SELECT d.conv_id, d.turn, d.n, d.size, CASE WHEN r.used + d.size > 400 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.used + d.size > 400 THEN d.size ELSE r.used + d.size END
+ FROM r JOIN d ON d.conv_id = r.conv_id AND d.n = r.n + 1)
+SELECT conv_id, turn, size, batch FROM r""")
+def byte_batches(t):
+    return bt.byte_batches(t("conversations"), "conv_id", "turn", F.col("text"), 412, F.lit("twelve bytes"))
+
+
+_FACTS = """f AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN -1 WHEN p_partkey % 3 = 0 THEN NULL ELSE p_size END AS years, CASE WHEN p_partkey % 2 = 0 THEN 'senior' END AS level,
+ CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE trunc(p_retailprice) END AS low, CASE WHEN p_partkey % 4 = 0 THEN 1000.0 END AS high,
+ 'Senior ' || p_name || ', ' || p_size || ' years, up to 1000' AS text FROM part),
+m AS (SELECT p_partkey, text, unnest([
+ {'kind': 'experience', 'at': 1, 'value': CASE WHEN years >= 0 THEN 'years_min=' || years END, 'needle': CAST(years AS VARCHAR)},
+ {'kind': 'experience', 'at': 2, 'value': 'seniority=' || level, 'needle': level},
+ {'kind': 'employment_type', 'at': 3, 'value': 'employment_type=full_time', 'needle': NULL},
+ {'kind': 'location', 'at': 4, 'value': CASE WHEN p_partkey % 2 = 1 THEN 'remote=true' ELSE 'remote=false' END, 'needle': NULL},
+ {'kind': 'compensation', 'at': 5, 'value': CASE WHEN coalesce(high, low) IS NOT NULL AND NOT coalesce(low > high, false) THEN concat('min=', CAST(low AS BIGINT), ',max=', CAST(high AS BIGINT)) END, 'needle': CAST(CAST(coalesce(high, low) AS BIGINT) AS VARCHAR)}]) AS r FROM f)"""
+
+
+@_query(f"""WITH {_FACTS} SELECT p_partkey, r.kind AS kind, r.value AS value, coalesce(strpos(lower(text), r.needle) > 0, false) AS explicit,
+CAST(nullif(strpos(lower(text), r.needle), 0) - 1 AS INTEGER) AS start_char FROM m WHERE r.value IS NOT NULL
+UNION ALL SELECT p_partkey, 'rejected', 'negative years', false, NULL FROM f WHERE years < 0
+UNION ALL SELECT p_partkey, 'rejected', 'floor over ceiling', false, NULL FROM f WHERE low > high""")
+def structural_profile(t):
+    k = F.col("p_partkey")
+    whole = F.floor("p_retailprice").cast("double")
+    years = F.when(k % 7 == 0, -1).when(k % 3 == 0, F.lit(None)).otherwise(F.col("p_size")).cast("double")
+    low, high = F.when(k % 5 != 0, whole), F.when(k % 4 == 0, F.lit(1000.0))
+    text = F.concat(F.lit("Senior "), "p_name", F.lit(", "), F.col("p_size").cast("string"), F.lit(" years, up to 1000"))
+    r, d, _ = pf.job_profile(text, years, F.when(k % 2 == 0, "senior"), F.lit("full_time"), k % 2 == 1, low, high, F.lit("USD"))
+    part = t("part").select("p_partkey", r.alias("r"), d.alias("d"))
+    number = lambda name: F.coalesce(F.format_string("%.0f", F.col("r.value")[name].cast("double")), F.lit(""))
+    has = lambda name: F.array_contains(F.map_keys("r.value"), name)
+    pay = F.concat(F.lit("min="), number("min"), F.lit(",max="), number("max"))
+    shown = F.when(has("min"), pay).when(has("years_min"), F.concat(F.lit("years_min="), number("years_min")))
+    shown = F.coalesce(shown, F.concat(F.map_keys("r.value")[0], F.lit("="), F.map_values("r.value")[0]))
+    kept = part.select("p_partkey", F.explode("r").alias("r")).select("p_partkey", "r.kind", shown.alias("value"), "r.explicit", F.col("r.evidence.start").alias("start_char"))
+    gone = part.select("p_partkey", F.explode("d").alias("d"))
+    return kept.unionByName(gone.select("p_partkey", F.col("d.outcome").alias("kind"), F.col("d.reason").alias("value"), F.lit(False).alias("explicit"), F.lit(None).cast("int").alias("start_char")))
+
+
+@_query("""WITH q AS (SELECT p_type AS term, count(*) AS occurrences FROM part GROUP BY 1),
+d AS (SELECT term, arg_max(action, ord) AS action FROM (SELECT p_type AS term, p_partkey AS ord, CASE p_size % 3 WHEN 0 THEN 'promoted' WHEN 1 THEN 'ignored' ELSE 'pending' END AS action FROM part WHERE p_size < 40
+ UNION ALL SELECT r_name, r_regionkey, 'promoted' FROM region) GROUP BY 1),
+r AS (SELECT coalesce(q.term, d.term) AS term, CASE WHEN q.term IS NULL THEN 'missing' ELSE coalesce(action, 'pending') END AS status FROM q FULL JOIN d ON q.term = d.term),
+w AS (SELECT 'internal:' || term AS concept_id, term AS label FROM r WHERE status = 'promoted'),
+o AS (SELECT DISTINCT 'internal:' || p_type AS concept_id, p_type AS label FROM part WHERE p_size > 25)
+SELECT coalesce(w.concept_id, o.concept_id) AS concept_id, coalesce(w.label, o.label) AS label, w.label IS NOT NULL AS active FROM w FULL JOIN o ON w.concept_id = o.concept_id""")
+def term_review(t):
+    part = t("part")
+    action = F.when(F.col("p_size") % 3 == 0, "promoted").when(F.col("p_size") % 3 == 1, "ignored").otherwise("pending")
+    made = part.where("p_size < 40").select(F.col("p_type").alias("term"), F.col("p_partkey").alias("ord"), action.alias("action"))
+    made = made.unionByName(t("region").select(F.col("r_name").alias("term"), F.col("r_regionkey").cast("long").alias("ord"), F.lit("promoted").alias("action")))
+    queue = part.groupBy(F.col("p_type").alias("term")).agg(F.count("*").alias("occurrences"))
+    existing = part.where("p_size > 25").select(F.concat(F.lit("internal:"), "p_type").alias("concept_id"), F.col("p_type").alias("label")).distinct()
+    return rw.internal_concepts(rw.review_terms(queue, made), existing)
+
+
+@_query("""SELECT CAST(page_id AS VARCHAR) AS external_id, 'https://jobs.example/vacancies/' || page_id || '/' AS url, 'Page <' || page_id || '>' AS title, '<p>' || url || '</p>' AS description_html,
+TIMESTAMP '2024-03-01 10:00:00' + to_minutes(CAST(page_id % 60 AS INTEGER)) - INTERVAL 2 HOUR AS published_at FROM pages WHERE page_id % 5 <> 0""")
+def feed_items(t):
+    page = F.col("page_id").cast("string")
+    link = F.when(F.col("page_id") % 5 != 0, F.concat(F.lit("https://jobs.example/vacancies/"), page, F.lit("/"))).otherwise("https://jobs.example/about")
+    date = F.concat(F.lit("Fri, 01 Mar 2024 10:"), F.lpad((F.col("page_id") % 60).cast("string"), 2, "0"), F.lit(":00 +0200"))
+    tags = {"title": F.concat(F.lit(" Page <"), page, F.lit("> ")), "link": link, "description": F.concat(F.lit("<p>"), "url", F.lit("</p>")), "pubDate": date}
+    body = [x for name, value in tags.items() for x in (F.lit(f"<{name}>"), tx.html_escape(value), F.lit(f"</{name}>"))]
+    items = t("pages").select(F.concat(F.lit("<item>"), *body, F.lit("</item>")).alias("xml"))
+    return fd.feed_items(items, "xml").withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
+
+
+@_stream_query("events", _REV.format(owner="user_id", ord="event_id", content="event_type", table="events"))
+def stream_revisions(stream):
+    out = st.stream_revisions(stream, "user_id", "event_id", "event_type")
+    return out.select(F.col("user_id").alias("owner"), F.col("event_id").alias("ord"), "revision_no", "is_new", "reverted")
+
+
+@_stream_query("events", """SELECT user_id, target, arg_max(action, event_id) AS action FROM (SELECT user_id, event_id, CAST(event_id % 17 AS VARCHAR) AS target,
+CASE event_type WHEN 'purchase' THEN 'approve' WHEN 'error' THEN 'reject' END AS action FROM events) WHERE action IS NOT NULL GROUP BY 1, 2""")
+def stream_decisions(stream):
+    action = F.when(F.col("event_type") == "purchase", "approve").when(F.col("event_type") == "error", "reject").otherwise(F.col("event_type"))
+    data = F.concat(F.lit("match:"), action, F.lit(":"), (F.col("event_id") % 17).cast("string"))
+    return st.stream_decisions(stream.withColumn("data", data), "user_id", "data", ["event_id"])
+
+
+@_stream_query("events", """SELECT event_id, CASE WHEN a >= 10 THEN 'dead' WHEN event_type NOT IN ('click', 'view') THEN 'unhandled' WHEN event_type = 'click' AND value > 60 THEN 'failed' ELSE 'published' END AS status,
+a + (a < 10 AND event_type = 'click' AND value > 60)::BIGINT AS attempts FROM (SELECT *, event_id % 12 AS a FROM events)""")
+def stream_relay(stream):
+    errors = {"click": F.when(F.col("value") > 60, "over the limit"), "view": F.lit(None)}
+    return st.stream_relay(stream, "event_type", F.col("event_id") % 12, errors, "event_id").select("event_id", "status", "attempts")

@@ -75,3 +75,51 @@ def test_page_blocks():
 def test_config_bounds():
     with pytest.raises(ValueError):
         matching.MatchConfig(apply_threshold=40, consider_threshold=50)
+
+
+def test_taxonomy_release(spark, tmp_path):
+    """Repeated URIs join their labels, rows without URI or label and edges without an end go, cells may span lines."""
+    from corpusmatch.sources import feeds
+
+    files = {
+        "skills": 'conceptUri,skillType,preferredLabel,altLabels\nu1,knowledge,SQL,"structured\nquery"\nu1,knowledge,SQL,sql language\n,knowledge,none,\nu2,,cook,\nu3,,,\n',
+        "occupations": "conceptUri,preferredLabel,altLabels\no1,baker,\n",
+        "skillGroups": "conceptUri,preferredLabel\n",
+        "ISCOGroups": "conceptUri,preferredLabel\ng1,clerks\n",
+        "broaderRelationsSkillPillar": "conceptUri,broaderUri\nu2,u1\nu2,u1\nu1,\n",
+        "broaderRelationsOccPillar": "conceptUri,broaderUri\no1,g1\n",
+        "skillSkillRelations": "originalSkillUri,relationType,relatedSkillUri\nu1,essential,u2\nu2,optional,u1\n",
+    }
+    for name, text in files.items():
+        (tmp_path / f"{name}_en.csv").write_text(text)
+    concepts = feeds.taxonomy_concepts(spark, str(tmp_path))
+    got = {r.concept_id: (r.type, r.label, r.forms) for r in concepts.collect()}
+    assert got == {
+        "u1": ("knowledge", "SQL", ["SQL", "query", "sql language", "structured"]),
+        "u2": ("skill", "cook", ["cook"]),
+        "o1": ("occupation", "baker", ["baker"]),
+        "g1": ("occupation_group", "clerks", ["clerks"]),
+    }
+    edges = feeds.taxonomy_relations(spark, str(tmp_path))
+    assert {tuple(r) for r in edges.collect()} == {
+        ("u2", "u1", "broader"), ("o1", "g1", "broader"), ("u1", "u2", "essential_for"), ("u2", "u1", "optional_for"),
+    }
+    assert feeds.release_report(concepts, edges).first().asDict() == {"concepts": 4, "surface_forms": 7, "relations": 4}
+    assert feeds.checksums(spark, str(tmp_path)).count() == len(files)
+
+
+def test_stream_of_revisions_in_batches(spark, tmp_path):
+    """One file a batch gives what the whole history gives at once."""
+    from corpusmatch.operators import revisions as rv
+    from corpusmatch.streaming import jobs
+
+    rows = [(o, 10 * k + o, c) for k, part in enumerate(("aab", "bac", "dd a".replace(" ", "c"))) for o in (1, 2) for c in part]
+    rows = [(o, i, c) for i, (o, _, c) in enumerate(rows)]
+    schema = "owner int, ord int, content string"
+    for at in range(0, len(rows), 6):
+        spark.createDataFrame(rows[at : at + 6], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    columns = ["owner", "ord", "revision_no", "is_new", "reverted"]
+    got = jobs.stream_revisions(stream, "owner", "ord", "content").select(*columns)
+    want = rv.revisions(spark.createDataFrame(rows, schema), "owner", "ord", "content").select(*columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
