@@ -197,3 +197,17 @@ def test_pipeline_on_awkward_rows(spark, odd):
         docs = stage(spark, docs, DATA)
         assert docs.columns == odd.columns
     assert cp.STAGES[-1][1](spark, docs, DATA).count() > 0
+
+
+def test_chunks_encode_as_whole_texts():
+    """Ids put together from words equal those of whole texts, for marks, capitals, ligatures and letters that split."""
+    import numpy as np
+
+    from corpusmatch.llm.packing import _Encoder
+    from corpusmatch.llm.queries import tokenizer_file
+
+    texts = ["", "İstanbul ΑΣ Σ. x'll's 'tis", "áb. é, ﬁ 한국 ½x ١٢.", "naïve...!!! $x$ #*#", "ǅ İİ b. x,", "a <|endoftext|> b\nc\td"]
+    encoder = _Encoder(tokenizer_file())
+    whole = [np.asarray(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder(texts) == whole
+    assert [encoder([t])[0] for t in texts] == whole
