@@ -6,9 +6,10 @@ sets are one class from the start. Candidates meet in two rounds:
 1. stars: classes that share one of their first few shingles are compared with one pivot each. This joins groups of
    near copies, of any size, with a few comparisons a class.
 2. the rest: of two linked classes, the smaller must find at least a known number of its leading shingles in the
-   larger. Shingles that only one component has are out; a class left with fewer than that number can't be the
-   one; the others look up as many of their rarest shingles as make missing a link impossible. Classes that hold a
-   shingle meet in one task, in blocks; only pairs that may link leave it.
+   larger, among so many leading shingles as make that number sure (`posted`). Shingles that only one component has
+   are out; a class left with fewer than that number can't be the one; the others look up as many of their rarest
+   shingles as make missing a link impossible. Classes that hold a shingle meet in one task, in blocks; only pairs
+   that may link leave it.
 
 A pair may link unless its parity signatures rule it out. A signature has a bit for every value of the low bits of a
 hash: whether an odd number of the set's hashes has it. Two signatures differ in no more bits than the sets differ in
@@ -26,6 +27,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -106,15 +108,27 @@ def _fold(signatures: np.ndarray, width: int) -> np.ndarray:
     return signatures
 
 
+@lru_cache(maxsize=100_000)
+def posted(m: int, percent: int) -> int:
+    """Leading shingles of a set of m that hold as many of any smaller linked set's leading ones as `_other_pairs` needs.
+
+    Of an overlap o, the first `need` shingles are followed by o - need others, so they are among the first
+    m - o + need. A set's own lead, which a linked set can't miss whole, is never longer.
+    """
+    n = np.arange(-(-percent * m // 100), m + 1)
+    need = np.maximum(1, -(-2 * percent * n // (100 + percent)) + (-percent * n // 100) + 1)
+    return int(max((m - -(-percent * (n + m) // (100 + percent)) + need).max(), m - -(-percent * m // 100) + 1))
+
+
 def _sets(docs: DataFrame, params: Params) -> DataFrame:
-    """doc_id, n_shingles, class (null if none), band and signature of the set, lead: the shingles that a linked set can't all miss."""
+    """doc_id, n_shingles, class (null if none), band and signature of the set, lead: its shingles that are posted."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
                 sets = [shingle_set(t, params.words) for t in part.column("text").to_pylist()]
-                leads = [s[: len(s) - -(-params.percent * len(s) // 100) + 1].view(np.int64) if len(s) else s.view(np.int64) for s in sets]
+                leads = [s[: posted(len(s), params.percent)].view(np.int64) if len(s) else s.view(np.int64) for s in sets]
                 ends = np.cumsum([0, *map(len, leads)]).astype(np.int32)
                 columns = [
                     part.column("doc_id"),
@@ -261,19 +275,19 @@ def _other_pairs(posts: DataFrame, signatures: DataFrame, joined: DataFrame, par
     known = known.withColumn("component", F.coalesce("component", "class"))
     size = F.struct("n", "class")
     several = known.groupBy("token").agg(
-        F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("df"), F.min(size).alias("low"), F.max(size).alias("high")
+        F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("df"), F.min(F.when(F.col("own"), size)).alias("low"), F.max(size).alias("high")
     )
-    left = known.join(several.where("x <> y").drop("x", "y"), "token")
-    # The smallest class with a token is nobody's larger partner there, the largest nobody's smaller one.
-    left = left.select("token", "class", "n", "component", "df", (size == F.col("low")).alias("lowest"), (size == F.col("high")).alias("highest"), F.col("high.n").alias("most"))
-    left = materialize(left, "posts")
-    # need: leading shingles that a partner of the same size or larger must have, too.
-    lead = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    need = F.greatest(F.lit(1), F.ceil(2 * F.col("n") * percent / (100 + percent)) - F.col("n") + lead)
+    # Null where no class has the token in its own lead, so that nobody looks it up.
+    left = known.join(several.where("x <> y and low is not null").drop("x", "y"), "token")
+    # No class that looks a token up is smaller than the lowest; the largest class with it is nobody's smaller one.
+    left = left.select("token", "class", "n", "own", "component", "df", (size <= F.col("low")).alias("lowest"), (size == F.col("high")).alias("highest"), F.col("high.n").alias("most"))
+    left = materialize(left.where("own or not lowest"), "posts")
+    # need: shingles of the own lead that a partner of the same size or larger must have posted, too.
+    need = F.greatest(F.lit(1), F.ceil(2 * F.col("n") * percent / (100 + percent)) - F.ceil(F.col("n") * percent / 100) + 1)
     each = Window.partitionBy("class")
-    small = left.withColumns({"has": F.count("*").over(each), "need": need})
+    small = left.where("own and not highest").withColumns({"has": F.count("*").over(each), "need": need})
     small = small.where("has >= need").withColumn("nth", F.row_number().over(each.orderBy("df", "token")))
-    small = small.where("nth <= has - need + 1 and not highest")
+    small = small.where("nth <= has - need + 1")
     own = signatures.select("class", "band", "signature")
     blocks = F.ceil(F.col("df") / params.meeting).cast("int")
     columns = ["token", "band", "block", "probe", "class", "n", "component", "signature"]
@@ -327,7 +341,9 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
         F.first("n_shingles").alias("n"), F.first("lead").alias("lead")
     )
     posts = classes.select("class", "n", F.posexplode("lead").alias("pos", "token"))
-    shared = posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
+    own = F.col("pos") <= F.col("n") - F.ceil(F.col("n") * params.percent / 100)
+    posts = posts.withColumn("own", own)
+    shared = posts.groupBy("token").agg(F.count("*").alias("df"), F.max("own").alias("own")).where("df > 1 and own").select("token")
     posts = materialize(posts.join(shared, "token"), "shared")
     ids = all_.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("id"))
     meeting = posts.select("class").distinct()

@@ -211,3 +211,42 @@ def test_chunks_encode_as_whole_texts():
     whole = [np.asarray(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert encoder(texts) == whole
     assert [encoder([t])[0] for t in texts] == whole
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_jaccard_finds_smaller_sets_in_larger_ones(spark, percent):
+    """Families of (small, large) at all size ratios, with unlinked classes on the small one's leading shingles, as by brute force."""
+    rng = np.random.default_rng(percent)
+    fresh = (f"w{k}" for k in itertools.count())
+    code = lambda w: int(jaccard.shingle_set(w, 1)[0])
+    class_of = lambda ws: jaccard._class_of(np.array(sorted(map(code, ws)), np.uint64))
+    sets = []
+    for k in range(300):
+        n = int(rng.integers(8, 41))
+        most = 100 * n // percent - n
+        extra = most - (k % 3) if most - (k % 3) > 0 else most
+        words = sorted((next(fresh) for _ in range(n + extra)), key=code)
+        early = min(extra, 1 + int(rng.integers(0, 3)))
+        places = set(range(early)) | set((early + rng.choice(n + extra - early, extra - early, replace=False)).tolist())
+        small, large = [w for i, w in enumerate(words) if i not in places], words
+        lead = small[: n - -(-percent * n // 100) + 1]
+        cut = int(rng.integers(1, len(lead)))
+        bar = min(class_of(small), class_of(large))
+        pivot = lead[:cut] + [next(fresh) for _ in range(12)]
+        for _ in range(60):
+            if class_of(pivot) < bar:
+                break
+            pivot = lead[:cut] + [next(fresh) for _ in range(12)]
+        sets += [small, large, pivot, lead[cut:] + [next(fresh) for _ in range(15)]]
+    rows = [(k, " ".join(s)) for k, s in enumerate(sets)]
+    params = jaccard.Params(words=1, percent=percent)
+    out = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), params).toPandas()
+    label = list(range(len(sets)))
+    for at in range(0, len(sets), 4):
+        for a, b in itertools.combinations(range(at, at + 4), 2):
+            x, y = set(sets[a]), set(sets[b])
+            if 100 * len(x & y) >= percent * len(x | y):
+                low, high = sorted((label[a], label[b]))
+                label = [low if c == high else c for c in label]
+    assert sum(a != k for k, a in enumerate(label)) >= 250
+    assert out.sort_values("doc_id").component_id.tolist() == label
