@@ -2,7 +2,7 @@
 
 A word's vector is the mean of the vectors of its character n-grams and of the word itself, all hashed into one
 table, so an unseen misspelling shares most of its vector with the word it was made from. A text's vector is the
-mean over its words. Training runs on a bounded sample of labelled documents; scoring covers every whole text.
+mean over its words. Training runs on a bounded sample of labelled documents; training and scoring read whole texts.
 """
 
 from __future__ import annotations
@@ -12,20 +12,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmatch.llm.common import sample_cut
+from corpusmatch.llm.common import materialize
 
 _CACHED_WORDS = 700_000
 
 
 @dataclass(frozen=True)
 class Params:
-    #: Labelled documents to learn from, those with the smallest hashes of their ids; classes as frequent as they are.
+    #: Labelled documents to learn from, those with the smallest hashes of their ids; half of each class, if it has so many.
     docs: int = 5000
-    #: Of a longer document, training takes so many words, spread evenly over the whole text.
-    words_per_doc: int = 240
     buckets: int = 1 << 17
     width: int = 8
     #: Buckets found in fewer documents of the sample stay zero: what only a few texts have can't be told from noise.
@@ -83,8 +81,6 @@ def subwords(words: list[str], params: Params) -> tuple[np.ndarray, np.ndarray]:
 def text_bag(text: str, params: Params) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and their weights, those of a mean over words and padding; empty for a text without words."""
     words = text.split()
-    if len(words) > params.words_per_doc:
-        words = [words[int(k)] for k in np.linspace(0, len(words) - 1, params.words_per_doc)]
     if not words:
         return np.zeros(0, np.int64), np.zeros(0)
     buckets, owner = subwords(words, params)
@@ -93,22 +89,25 @@ def text_bag(text: str, params: Params) -> tuple[np.ndarray, np.ndarray]:
     return unique, np.bincount(index, weight)
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, params: Params = Params()) -> tuple[np.ndarray, float]:
-    """Embeddings and softmax, trained twice: on each half to find labels that contradict the rest, then on what is left."""
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, params: Params = Params(), over: float = 1.0) -> tuple[np.ndarray, float]:
+    """Embeddings and softmax, trained twice: on each half to find labels that contradict the rest, then on what is left.
+
+    over: how many times more frequent class 1 is against class 0 in the sample than in all labels; weights undo it.
+    """
     half = np.random.default_rng(params.seed).permutation(len(bags)) % 2
     trusted = np.ones(len(bags), bool)
     for side in (0, 1):
         other = np.flatnonzero(half != side)
         if len(set(labels[other].tolist())) < 2:
             continue
-        logit, bias = _descend([bags[k] for k in other], labels[other], params)
+        logit, bias = _descend([bags[k] for k in other], labels[other], params, 1 / over)
         for k in np.flatnonzero(half == side):
             z = logit[bags[k][0]] @ bags[k][1] + bias
             trusted[k] = 1 / (1 + np.exp(-z if labels[k] else z)) >= params.doubt
     if len(set(labels[trusted].tolist())) < 2:
         trusted[:] = True
     keep = np.flatnonzero(trusted)
-    weight = (len(keep) / labels[keep].sum() - 1) ** params.balance
+    weight = (over * (len(keep) / labels[keep].sum() - 1)) ** params.balance / over
     return _descend([bags[k] for k in keep], labels[keep], params, weight)
 
 
@@ -119,7 +118,10 @@ def _descend(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, para
     difference of the class vectors is all that scoring needs.
     """
     rng = np.random.default_rng(params.seed)
-    known = np.bincount(np.concatenate([b for b, _ in bags]), minlength=params.buckets) >= params.least_docs
+    count = np.zeros(params.buckets, np.int64)
+    for b, _ in bags:
+        count[b] += 1
+    known = count >= params.least_docs
     bags = [(b[known[b]], w[known[b]]) for b, w in bags]
     table = rng.normal(0, 0.1, (params.buckets, params.width))
     head, bias = rng.normal(0, 0.5, (params.width, 2)), np.zeros(2)
@@ -159,13 +161,29 @@ class Model:
     params: Params
 
 
+def _sample(rows: DataFrame, params: Params) -> tuple[DataFrame, dict[int, int]]:
+    """Rows to learn from, and the number of all rows by class. What one class leaves free of its half, the other gets."""
+    cut = F.xxhash64("doc_id")
+    cuts = materialize(rows.select("toxic", cut.alias("cut")), "cuts")
+    total = {0: 0, 1: 0, **{r.toxic: r["count"] for r in cuts.groupBy("toxic").count().collect()}}
+    ones = min(total[1], max(params.docs // 2, params.docs - total[0]))
+    nth = F.row_number().over(Window.partitionBy("toxic").orderBy("cut"))
+    first = cuts.withColumn("nth", nth).where((F.col("nth") <= params.docs) & (F.col("nth") <= F.when(F.col("toxic") == 1, ones).otherwise(params.docs - ones)))
+    last = {r.toxic: r.cut for r in first.groupBy("toxic").agg(F.max("cut").alias("cut")).collect()}
+    if not last:
+        return rows.where("false"), total
+    # The first condition is on doc_id alone, so texts of rows that can't be chosen stay out of a join before this.
+    chosen = rows.where(cut <= max(last.values()))
+    return chosen.where(F.when(F.col("toxic") == 1, cut <= last.get(1)).otherwise(cut <= last.get(0))), total
+
+
 def fit(labelled: DataFrame, params: Params = Params()) -> Model:
     """Model from (doc_id, text, toxic), learned from a bounded sample; null labels are passed over.
 
     Without rows of both classes every text scores the share of toxic labels (0.5 without any).
     """
     rows = labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
-    chosen = sample_cut(rows.withColumn("all", F.lit(1)), "all", F.col("doc_id"), params.docs)
+    chosen, total = _sample(rows, params)
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,14 +198,42 @@ def fit(labelled: DataFrame, params: Params = Params()) -> Model:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", "ids", "weights"])
 
-    found = chosen.mapInArrow(bag, "doc_id long, toxic int, ids binary, weights binary").orderBy("doc_id", "toxic", "ids").collect()
+    bagged = materialize(chosen.mapInArrow(bag, "doc_id long, toxic int, ids binary, weights binary"), "bags")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(params.buckets, np.int64)
+        for batch in batches:
+            for ids in batch.column("ids").to_pylist():
+                seen[np.frombuffer(ids, "<i4")] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["bucket", "n"])
+
+    # What is under the least count in the whole sample is so in each part of it, too, and needn't reach the driver.
+    often = bagged.select("ids").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    known = np.zeros(params.buckets, bool)
+    known[often.where(F.col("n") >= params.least_docs).select("bucket").toPandas()["bucket"].to_numpy(np.int64)] = True
+
+    def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.frombuffer(v, "<i4") for v in batch.column("ids").to_pylist()]
+            weights = [np.frombuffer(v, "<f4") for v in batch.column("weights").to_pylist()]
+            columns = [
+                batch.column("doc_id"),
+                batch.column("toxic"),
+                pa.array([b[known[b]].tobytes() for b in ids], pa.binary()),
+                pa.array([w[known[b]].tobytes() for b, w in zip(ids, weights, strict=True)], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", "ids", "weights"])
+
+    found = bagged.mapInArrow(trim, "doc_id long, toxic int, ids binary, weights binary").orderBy("doc_id", "toxic", "ids").collect()
     labels = np.array([r.toxic for r in found], np.int64)
     if len(set(labels.tolist())) < 2:
         share = float(np.clip(labels.mean() if len(labels) else 0.5, 1e-6, 1 - 1e-6))
         return Model(np.zeros(params.buckets), float(np.log(share / (1 - share))), params)
     bags = [(np.frombuffer(r.ids, "<i4"), np.frombuffer(r.weights, "<f4")) for r in found]
     del found
-    logit, bias = train(bags, labels, params)
+    over = labels.sum() / (len(labels) - labels.sum()) * total[0] / total[1]
+    logit, bias = train(bags, labels, params, over)
     return Model(logit, bias, params)
 
 

@@ -250,3 +250,15 @@ def test_jaccard_finds_smaller_sets_in_larger_ones(spark, percent):
                 label = [low if c == high else c for c in label]
     assert sum(a != k for k, a in enumerate(label)) >= 250
     assert out.sort_values("doc_id").component_id.tolist() == label
+
+
+def test_toxicity_learns_from_whole_texts(spark):
+    params = toxicity.Params()
+    words = [f"w{k}" for k in range(1000)]
+    buckets, owner = toxicity.subwords(["monster", "w"], params)
+    for at in (1, 500, 998):
+        assert set(buckets[owner == 0]) <= set(toxicity.text_bag(" ".join([*words[:at], "monster", *words[at:]]), params)[0])
+    rows = [(k, "tame " * (k % 3) + ("monster" if k % 10 == 0 else "pet"), int(k % 10 == 0)) for k in range(400)]
+    chosen, total = toxicity._sample(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), toxicity.Params(docs=100))
+    assert total == {0: 360, 1: 40}
+    assert sorted(r["count"] for r in chosen.groupBy("toxic").count().collect()) == [40, 60]
