@@ -342,8 +342,8 @@ def alias_specificity(t):
 def _mentions(t) -> DataFrame:
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
     bench = t("benchmark").select("item_id", words.alias("w"))
-    n = F.least(F.size("w"), F.lit(60))
-    grams = bench.select("item_id", F.explode(F.flatten(F.transform(F.sequence(F.lit(2), F.lit(3)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda s: F.array_join(F.slice("w", s, k), " "))))).alias("form"))
+    n = F.size("w")
+    grams = bench.select("item_id", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda s: F.array_join(F.slice("w", s, k), " "))))).alias("form"))
     index = grams.groupBy("form").agg(F.min("item_id").alias("concept_id"))
     docs = t("documents").select("doc_id", words.alias("tokens"))
     return ln.scan_mentions(docs, index, longest=3)

@@ -123,3 +123,15 @@ def test_stream_of_revisions_in_batches(spark, tmp_path):
     got = jobs.stream_revisions(stream, "owner", "ord", "content").select(*columns)
     want = rv.revisions(spark.createDataFrame(rows, schema), "owner", "ord", "content").select(*columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_mentions_cover_whole_benchmark_texts(spark):
+    from corpusmatch.plans import queries as plans
+
+    text = " ".join(f"w{k}" for k in range(100))
+    tables = {
+        "benchmark": spark.createDataFrame([(1, text)], "item_id long, text string"),
+        "documents": spark.createDataFrame([(1, "x w70 w71 w72 y w98"), (2, "w80, then w99")], "doc_id long, text string"),
+    }
+    got = {(r.doc_id, r.start, r.words, r.form) for r in plans._mentions(tables.__getitem__).collect()}
+    assert got == {(1, 1, 3, "w70 w71 w72"), (1, 5, 1, "w98"), (2, 0, 1, "w80"), (2, 2, 1, "w99")}
