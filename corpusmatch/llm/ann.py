@@ -83,7 +83,7 @@ def search(vectors: DataFrame, is_query: Column, params: Params = Params()) -> D
     k, spark = params.k, vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     rows = usable(vectors)
-    few = sample_cut(rows.withColumn("all", F.lit(1)), "all", F.col("vec_id"), params.sample).select("embedding").toPandas()
+    few = sample_cut(rows, F.col("vec_id"), params.sample).select("embedding").toPandas()
     if few.empty:
         return spark.createDataFrame([], schema)
     sample = np.stack(few["embedding"].map(np.asarray))
@@ -106,15 +106,16 @@ def search(vectors: DataFrame, is_query: Column, params: Params = Params()) -> D
                 raw = pa.array([r.tobytes() for r in np.ascontiguousarray(x)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.array(i), pa.array(j), raw], ["vec_id", "i", "j", "vec"])
 
+    # Of equal vectors only those with the k + 1 smallest ids can be among a query's k nearest.
     same = Window.partitionBy("embedding").orderBy("vec_id")
-    indexed = rows.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1).drop("nth")
+    indexed = rows.distinct().withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1).drop("nth")
     index = materialize(indexed.mapInArrow(assign, "vec_id long, i int, j int, vec binary"), "index")
     counts = np.zeros((len(books[0]), len(books[1])), np.int64)
     for r in index.groupBy("i", "j").count().collect():  # a number per cell
         counts[r.i, r.j] = r["count"]
     enough = max(k + 1, int(np.ceil(params.share * counts.sum())))
     blocks = np.maximum(1, -(-counts.sum(1) // params.block))
-    asked = rows.where(is_query)
+    asked = rows.where(is_query).distinct()
     groups = max(1, -(-asked.count() // params.queries_a_block))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ import uuid
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rule of the contracts for splitting words: everything but space and \t \n \v \f \r.
@@ -19,9 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: `spark.checkpoint.dir`, or an own one where it is unset (tests)."""
+    """Folder that driver and executors share: `spark.checkpoint.dir`, or an own one where it is unset (tests).
+
+    A folder of this machine serves only where all tasks run on it, so on a cluster the setting must be there.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="corpusmatch-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -53,23 +58,33 @@ def crc_mod(column: str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % n, F.lit(-1))
 
 
-def sample_cut(df: DataFrame, group: str, ids: Column, bound: int) -> DataFrame:
-    """At most `bound` rows of each value of `group`, those with the smallest hashes; only hashes are shuffled.
+def free_name(df: DataFrame, wish: str) -> str:
+    """`wish`, or the same with underscores after it if df has such a column, whatever its capitals."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
 
-    A bounded, repeatable sample to fit a model on. Rows with equal hashes at the limit all stay.
+def sample_cut(df: DataFrame, ids: Column, bound: int, group: str | None = None, spread: int = 64) -> DataFrame:
+    """At most `bound` rows (of each value of `group`, if there is one), those with the smallest hashes of their ids.
+
+    A bounded, repeatable sample to fit a model on. Rows with equal hashes at the limit all stay. Hashes alone are
+    shuffled: the least of each of `spread` parts of a group, then the least of those. The limit of each group, one
+    number, comes to the driver and goes back as a literal, so the rows themselves are only filtered.
     """
-    from pyspark.sql import Window
-
-    hashed = df.withColumn("_cut", F.xxhash64(ids))
-    order = Window.partitionBy(group).orderBy("_cut")
-    limits = (
-        hashed.select(group, "_cut")
-        .withColumn("_n", F.row_number().over(order))
-        .where(F.col("_n") <= bound)
-        .groupBy(group)
-        .agg(F.max("_cut").alias("_limit"))
-    )
-    return hashed.join(limits, group).where("_cut <= _limit").drop("_cut", "_limit")
+    keys = [F.col(group) if group else F.lit(0)]
+    cuts = df.select(keys[0].alias("g"), F.xxhash64(ids).alias("cut")).where("g is not null")
+    part = F.pmod(F.col("cut"), F.lit(spread))
+    for at in (Window.partitionBy("g", part), Window.partitionBy("g")):
+        cuts = cuts.withColumn("nth", F.row_number().over(at.orderBy("cut"))).where(F.col("nth") <= bound).drop("nth")
+    limits = {r.g: r.cut for r in cuts.groupBy("g").agg(F.max("cut").alias("cut")).collect()}
+    if not limits:
+        return df.where("false")
+    if group is None:
+        return df.where(F.xxhash64(ids) <= limits[0])
+    known = F.create_map(*(F.lit(x) for pair in limits.items() for x in pair))
+    return df.where(F.xxhash64(ids) <= F.try_element_at(known, F.col(group)))
 
 
 def components(edges: DataFrame, label: str = "components", max_rounds: int = 60) -> DataFrame:

@@ -39,7 +39,7 @@ class Params:
 def _letters() -> np.ndarray:
     """Code point -> its lower case if it is a letter, else 0."""
     out = np.zeros(0x110000, np.uint32)
-    for c in range(0x30000):
+    for c in range(0x110000):
         if 0xD800 <= c < 0xE000:
             continue
         if (ch := chr(c)).isalpha():
@@ -119,7 +119,7 @@ def fit(labelled: DataFrame, params: Params = Params()) -> Filters:
     to the driver: at most one over that share for each language and order.
     """
     rows = labelled.select("doc_id", "text", "lang").where("text is not null and lang is not null")
-    chosen = sample_cut(rows, "lang", F.col("doc_id"), params.docs_per_language)
+    chosen = sample_cut(rows, F.col("doc_id"), params.docs_per_language, "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
