@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmatch.llm.common import materialize
+from corpusmatch.llm.common import free_name, materialize
 
 _CACHED_WORDS = 700_000
 
@@ -26,19 +26,19 @@ class Params:
     docs: int = 5000
     buckets: int = 1 << 17
     width: int = 8
-    #: Buckets found in fewer documents of the sample stay zero: what only a few texts have can't be told from noise.
-    least_docs: int = 20
+    #: Buckets found in a smaller share of the sample (and in fewer than two documents) stay zero.
+    least_share: float = 0.004
     shortest: int = 3
     longest: int = 5
     #: Words without a vector that each text counts besides its own, so that few words alone decide little.
     padding: int = 10
+    #: Passes over the sample; more if it is so small that they make fewer than `least_steps` steps.
     epochs: int = 12
+    least_steps: int = 900
     batch: int = 64
     rate: float = 2.0
-    #: Labels that a model fitted on the other half of the sample gives less probability count as wrong.
-    doubt: float = 0.4
-    #: Once such labels are out, class 1 weighs (rows of class 0 / rows of class 1) to this power.
-    balance: float = 0.5
+    #: Class 1 weighs (rows of class 0 / rows of class 1 of all labels) to this power.
+    balance: float = 0.3
     threshold: float = 0.7
     seed: int = 7
 
@@ -89,45 +89,32 @@ def text_bag(text: str, params: Params) -> tuple[np.ndarray, np.ndarray]:
     return unique, np.bincount(index, weight)
 
 
+def least_docs(n: int, params: Params) -> int:
+    """In how many of n documents a bucket must be."""
+    return max(2, int(np.ceil(params.least_share * n)))
+
+
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, params: Params = Params(), over: float = 1.0) -> tuple[np.ndarray, float]:
-    """Embeddings and softmax, trained twice: on each half to find labels that contradict the rest, then on what is left.
+    """Adagrad on the embeddings and the softmax together; returns each bucket's contribution to the logit of class 1, and the bias.
 
     over: how many times more frequent class 1 is against class 0 in the sample than in all labels; weights undo it.
-    """
-    half = np.random.default_rng(params.seed).permutation(len(bags)) % 2
-    trusted = np.ones(len(bags), bool)
-    for side in (0, 1):
-        other = np.flatnonzero(half != side)
-        if len(set(labels[other].tolist())) < 2:
-            continue
-        logit, bias = _descend([bags[k] for k in other], labels[other], params, 1 / over)
-        for k in np.flatnonzero(half == side):
-            z = logit[bags[k][0]] @ bags[k][1] + bias
-            trusted[k] = 1 / (1 + np.exp(-z if labels[k] else z)) >= params.doubt
-    if len(set(labels[trusted].tolist())) < 2:
-        trusted[:] = True
-    keep = np.flatnonzero(trusted)
-    weight = (over * (len(keep) / labels[keep].sum() - 1)) ** params.balance / over
-    return _descend([bags[k] for k in keep], labels[keep], params, weight)
-
-
-def _descend(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, params: Params, weight: float = 1.0) -> tuple[np.ndarray, float]:
-    """Adagrad on the embeddings and the softmax together, rows of class 1 weighted; returns each bucket's contribution to the logit of class 1, and the bias.
-
     With two classes only the difference of their logits counts, so the table (buckets x width) times the
     difference of the class vectors is all that scoring needs.
     """
+    ones = labels.sum()
+    weight = (over * (len(labels) - ones) / ones) ** params.balance / over
     rng = np.random.default_rng(params.seed)
     count = np.zeros(params.buckets, np.int64)
     for b, _ in bags:
         count[b] += 1
-    known = count >= params.least_docs
+    known = count >= least_docs(len(bags), params)
     bags = [(b[known[b]], w[known[b]]) for b, w in bags]
     table = rng.normal(0, 0.1, (params.buckets, params.width))
     head, bias = rng.normal(0, 0.5, (params.width, 2)), np.zeros(2)
     table_sq, head_sq, bias_sq = np.full(params.buckets, 1e-8), np.full_like(head, 1e-8), np.full(2, 1e-8)
-    for epoch in range(params.epochs):
-        rate = params.rate * (1 - 0.8 * epoch / params.epochs)
+    epochs = max(params.epochs, -(-params.least_steps * params.batch // len(bags)))
+    for epoch in range(epochs):
+        rate = params.rate * (1 - 0.8 * epoch / epochs)
         order = rng.permutation(len(bags))
         for at in range(0, len(order), params.batch):
             own = [k for k in order[at : at + params.batch] if len(bags[k][0])]
@@ -208,10 +195,10 @@ def fit(labelled: DataFrame, params: Params = Params()) -> Model:
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["bucket", "n"])
 
-    # What is under the least count in the whole sample is so in each part of it, too, and needn't reach the driver.
+    at_least = least_docs(bagged.count(), params)
     often = bagged.select("ids").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     known = np.zeros(params.buckets, bool)
-    known[often.where(F.col("n") >= params.least_docs).select("bucket").toPandas()["bucket"].to_numpy(np.int64)] = True
+    known[often.where(F.col("n") >= at_least).select("bucket").toPandas()["bucket"].to_numpy(np.int64)] = True
 
     def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,35 +212,49 @@ def fit(labelled: DataFrame, params: Params = Params()) -> Model:
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", "ids", "weights"])
 
-    found = bagged.mapInArrow(trim, "doc_id long, toxic int, ids binary, weights binary").orderBy("doc_id", "toxic", "ids").collect()
-    labels = np.array([r.toxic for r in found], np.int64)
-    if len(set(labels.tolist())) < 2:
-        share = float(np.clip(labels.mean() if len(labels) else 0.5, 1e-6, 1 - 1e-6))
-        return Model(np.zeros(params.buckets), float(np.log(share / (1 - share))), params)
-    bags = [(np.frombuffer(r.ids, "<i4"), np.frombuffer(r.weights, "<f4")) for r in found]
-    del found
-    over = labels.sum() / (len(labels) - labels.sum()) * total[0] / total[1]
-    logit, bias = train(bags, labels, params, over)
-    return Model(logit, bias, params)
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags, labels = [], []
+        for batch in batches:
+            labels += batch.column("toxic").to_pylist()
+            ids, weights = (batch.column(c).to_pylist() for c in ("ids", "weights"))
+            bags += [(np.frombuffer(b, "<i4"), np.frombuffer(w, "<f4")) for b, w in zip(ids, weights, strict=True)]
+        y = np.array(labels, np.int64)
+        if len(set(labels)) < 2:
+            share = float(np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6))
+            logit, bias = np.zeros(params.buckets), float(np.log(share / (1 - share)))
+        else:
+            logit, bias = train(bags, y, params, y.sum() / (len(y) - y.sum()) * total[0] / total[1])
+        yield pa.RecordBatch.from_arrays([pa.array([logit.astype("<f8").tobytes()], pa.binary()), pa.array([bias])], ["logit", "bias"])
+
+    # The sample is bounded, so one task learns from it; its rows come in a fixed order, so a task that is run again finds the same.
+    schema = "doc_id long, toxic int, ids binary, weights binary"
+    ordered = bagged.mapInArrow(trim, schema).repartition(1).sortWithinPartitions("doc_id", "toxic", "ids")
+    found = ordered.mapInArrow(learn, "logit binary, bias double").first()
+    if found is None:
+        return Model(np.zeros(params.buckets), 0.0, params)
+    return Model(np.frombuffer(found.logit, "<f8"), found.bias, params)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Score of every whole text, from 0 to 1, and 1 where it reaches the threshold; one pass, no shuffle.
 
     A null text, and one without words, scores what the bias alone gives. Repeated rows each give a row; other
-    columns are not looked at.
+    columns are not looked at; an empty table gives no rows.
     """
     scored = _scored(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", "score", (F.col("score") >= model.params.threshold).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows of docs, with all their columns, whose score is under the threshold."""
-    return _scored(docs, model).where(F.col("_score" if "score" in docs.columns else "score") < model.params.threshold).select(*docs.columns)
+    """Rows of docs, with all their columns, whatever these are named, whose score is under the threshold.
+
+    Null and empty texts score what the bias gives; an empty table gives no rows.
+    """
+    return _scored(docs, model).where(F.col(free_name(docs, "score")) < model.params.threshold).select(*docs.columns)
 
 
 def _scored(docs: DataFrame, model: Model) -> DataFrame:
-    name = "_score" if "score" in docs.columns else "score"
+    name = free_name(docs, "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
