@@ -257,7 +257,9 @@ def pack(
     pieces = materialize(tokenize_pieces(docs, tokenizer, capacity, end_id), "pieces")
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     plan = pieces.sparkSession.sparkContext.broadcast(packing_plan(histogram, capacity))
-    salts = max(1, sum(histogram.values()) // rows_a_rank)
+    # Few rows need few parts; a length that most pieces have is ranked in up to 64 parts, beyond that by its rows.
+    n = sum(histogram.values())
+    salts = max(1, min(64, n // 2000), n // rows_a_rank)
     row = ("doc_id", "piece", "ids_crc32", "start")
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64(*row), F.lit(salts)))
     within = Window.partitionBy("length", "salt").orderBy(*row)
