@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmatch.llm.common import materialize
+from corpusmatch.llm.common import free_name, materialize
 
 # Titles by gender, and given names by gender and script to draw from.
 TITLES = {
@@ -35,21 +36,29 @@ GIVEN = {
     ("n", "cyrillic"): ("Саша", "Женя", "Валя"),
 }
 _TITLE = "|".join(t for group in TITLES.values() for t in group)
+#: How keys of well-known services begin.
+TOKEN_STARTS = r"AKIA|ASIA|AIza|gh[opsru]_|xox[abprs]-|sk-|eyJ"
+_CUES = "tel|phone|call|fax|mobile|telefon|tél|teléfono|тел"
 _NAME = r"[A-ZÀ-ÞА-ЯІЇЄҐ][a-zß-ÿа-яіїєґ'’-]+"
 #: In the order in which they are looked for; a later one can't take what an earlier one has.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|bearer)\b[\"']?\s*[=:]?\s*[\"']?)(?P<value>[A-Za-z0-9+/_.-]{16,})",
+    "token": rf"(?<![\w-])(?:AKIA|ASIA)[A-Z0-9]{{16}}(?!\w)|(?<![\w-])(?:AIza|gh[opsru]_|xox[abprs]-|sk-)[\w-]{{20,}}|(?<![\w-])eyJ[\w-]{{10,}}\.[\w-]{{10,}}\.[\w-]*",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-])|(?<![\w+])\+\d{8,15}(?!\w)",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-])|(?<![\w+])\+\d{8,15}(?!\w)|(?<![\w.,+-])0\d{9,10}(?![\w-]|[.,]\d)",
+    "local": rf"(?i:\b(?:{_CUES})\b\.?:?[ \t]*)(?P<value>\d(?:[ -]?\d){{5,11}})(?![\w-])",
     "hex": r"(?<![0-9A-Za-z])[0-9a-f]{32,}(?![0-9A-Za-z])",
     "name": rf"\b(?:{_TITLE})\.? (?P<value>{_NAME}(?: {_NAME})?)",
 }
 _COMPILED = {k: re.compile(v) for k, v in PATTERNS.items()}
-_HINT = re.compile(rf"[0-9@]|\b(?:{_TITLE})\.? |[Tt]oken|TOKEN|[Ss]ecret|[Pp]assw|[Aa]pi|[Bb]earer")
+_HINT = re.compile(rf"[0-9@]|\b(?:{_TITLE})\.? |[Tt]oken|TOKEN|[Ss]ecret|[Pp]assw|[Aa]pi|[Bb]earer|eyJ")
+#: Numbers in the form of phones that aren't any: dates, and thousands in groups of three.
+_DATES = re.compile(r"(?:19|20)\d\d[ .-](?:0?[1-9]|1[0-2])[ .-]|(?:0?[1-9]|[12]\d|3[01])[ .-](?:0?[1-9]|1[0-2])[ .-](?:19|20)\d\d(?!\d)")
+_THOUSANDS = re.compile(r"[1-9]\d{0,2}(?: \d{3}){3,}|[1-9]\d{0,2}(?:\.\d{3}){2,}")
 _LETTERS = ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщьюяіїєґ")
 _DRAWS = 12
 
@@ -61,15 +70,14 @@ class Mention:
     end: int
     text: str
     canon: str
+    gender: str = ""
 
 
-def canonical(kind: str, text: str, gender: str = "") -> str:
+def canonical(kind: str, text: str) -> str:
     """What spellings of the same entity have in common: letters in lower case, numbers without their separators."""
     if kind in ("card", "phone", "ssn", "iban"):
         return ("+" if text.lstrip().startswith("+") else "") + re.sub(r"[^0-9A-Za-z]", "", text).upper()
-    if kind == "email":
-        return text.lower()
-    return f"{gender}:{text}" if kind == "name" else text
+    return text.lower() if kind == "email" else text
 
 
 def _luhn(digits: str) -> bool:
@@ -78,22 +86,38 @@ def _luhn(digits: str) -> bool:
 
 
 def mentions(text: str) -> list[Mention]:
-    """Entities of a whole text from left to right, without overlaps."""
+    """Entities of a whole text from left to right, without overlaps.
+
+    A name is found by its title; where it stands again in the text without one, it is found, too.
+    """
     if not text or not _HINT.search(text):
         return []
-    taken: list[Mention] = []
+    taken: list[tuple[int, Mention]] = []  # in order, so that only neighbours can overlap
+    names: dict[str, str] = {}
+
+    def take(kind: str, start: int, end: int, gender: str = "") -> None:
+        at = bisect_left(taken, start, key=lambda t: t[0])
+        if (at == 0 or taken[at - 1][1].end <= start) and (at == len(taken) or end <= taken[at][0]):
+            taken.insert(at, (start, Mention(kind, start, end, text[start:end], canonical(kind, text[start:end]), gender)))
+
     for kind, pattern in _COMPILED.items():
         for m in pattern.finditer(text):
             group = "value" if "value" in pattern.groupindex else 0
             start, end, value, gender = *m.span(group), m[group], ""
-            if kind == "phone" and sum(c.isdigit() for c in value) < 9 or kind == "secret" and not re.search(r"\d", value):
+            if kind == "phone" and (sum(c.isdigit() for c in value) < 9 or _DATES.match(value) or _THOUSANDS.fullmatch(value)):
+                continue
+            if kind == "secret" and not re.search(r"\d", value):
                 continue
             if kind == "name":
                 title = m[0].split(" ")[0].rstrip(".")
                 gender = next(g for g, group_ in TITLES.items() if title in group_)
-            if all(end <= t.start or start >= t.end for t in taken):
-                taken.append(Mention(kind, start, end, value, canonical(kind, value, gender)))
-    return sorted(taken, key=lambda t: t.start)
+                if " " in value:
+                    names.setdefault(value, gender)
+            take("phone" if kind == "local" else kind, start, end, gender)
+    for name in names:
+        for m in re.finditer(rf"(?<!\w){re.escape(name)}(?!\w)", text):
+            take("name", *m.span(), "n")
+    return [m for _, m in taken]
 
 
 def _permute(value: int, size: int, key: bytes, tweak: str) -> int:
@@ -135,9 +159,13 @@ def _recode(text: str, key: bytes, tweak: str) -> str:
     return "".join(reversed(out))
 
 
+def _iban_check(country: str, body: str) -> int:
+    return 98 - int("".join(str(int(c, 36)) for c in f"{body}{country}00")) % 97
+
+
 @lru_cache(100_000)
-def surrogate(kind: str, canon: str, key: bytes, draw: int) -> str:
-    """Canonical form of the entity's replacement; another for each draw."""
+def surrogate(kind: str, canon: str, key: bytes, draw: int, gender: str = "") -> str:
+    """Canonical form of the entity's replacement; another for each draw. gender: of a name."""
     tweak = f"{kind}|{draw}"
     if kind == "email":
         local, domain = canon.split("@", 1)
@@ -156,17 +184,24 @@ def surrogate(kind: str, canon: str, key: bytes, draw: int) -> str:
         wrong = [c for c in "0123456789" if not _luhn(body + c)]
         return body + wrong[[c for c in "0123456789" if not _luhn(canon[:-1] + c)].index(canon[-1])]
     if kind == "phone":  # the country and a leading area zero stay, as numbers keep their format
-        keep = re.match(r"\+(?:1|7|\d\d)|", canon)[0]
+        keep = re.match(r"\+(?:1|7|\d\d)|0|", canon)[0]
         return keep + _recode(canon[len(keep):], key, tweak)
+    if kind == "token":
+        start = re.match(TOKEN_STARTS, canon)[0]
+        return start + _recode(canon[len(start):], key, tweak)
+    if kind == "iban":  # the country stays, and check digits are right if they were
+        body = _recode(canon[4:], key, tweak)
+        off, check = (int(canon[2:4]) - _iban_check(canon[:2], canon[4:])) % 97, _iban_check(canon[:2], body)
+        return f"{canon[:2]}{(check + off) % 97 if off else check:02d}{body}"
     if kind == "name":
-        gender, name = canon.split(":", 1)
+        name = canon
         given, _, last = name.partition(" ")
         if not last:
-            return f"{gender}:{_recode(given, key, tweak)}"
+            return _recode(given, key, tweak)
         script = "cyrillic" if re.search("[а-яіїєґ]", name.lower()) else "latin"
-        pool = GIVEN[gender, script]
+        pool = GIVEN[gender or "n", script]
         pick = int.from_bytes(hashlib.blake2b(f"{tweak}|{given}".encode(), key=key, digest_size=8).digest(), "big")
-        return f"{gender}:{pool[pick % len(pool)]} {_recode(last, key, tweak + '|' + given)}"
+        return f"{pool[pick % len(pool)]} {_recode(last, key, tweak + '|' + given)}"
     return _recode(canon, key, tweak)
 
 
@@ -177,23 +212,24 @@ def render(kind: str, original: str, found: str) -> str:
         return "".join(next(rest) if c.isascii() and c.isalnum() else c for c in original)
     if kind == "email":
         return "".join(n.upper() if o.isupper() else n for o, n in zip(original, found, strict=True))
-    return found.split(":", 1)[1] if kind == "name" else found
+    return found
 
 
 def _draw(entities: DataFrame, key: bytes) -> DataFrame:
-    """(kind, canon, draw) -> with the surrogate of that draw."""
+    """(kind, canon, gender, draw) -> with the surrogate of that draw."""
+    names = ["kind", "canon", "gender", "draw"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, canons, draws = (batch.column(c).to_pylist() for c in ("kind", "canon", "draw"))
-            found = [surrogate(k, c, key, d) for k, c, d in zip(kinds, canons, draws, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], ["kind", "canon", "draw", "found"])
+            rows = zip(*(batch.column(c).to_pylist() for c in names), strict=True)
+            found = [surrogate(k, c, key, d, g) for k, c, g, d in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*names, "found"])
 
-    return entities.select("kind", "canon", "draw").mapInArrow(run, "kind string, canon string, draw int, found string")
+    return entities.select(*names).mapInArrow(run, "kind string, canon string, gender string, draw int, found string")
 
 
 def mapping(entities: DataFrame, key: bytes) -> DataFrame:
-    """(kind, canon, found) for distinct (kind, canon): no surrogate equals another, nor an entity of the corpus.
+    """(kind, canon, found) for (kind, canon, gender), distinct by kind and canon: no surrogate equals another, nor an entity of the corpus.
 
     Of those that collide, the one first by canon keeps its surrogate unless it is a real entity; the others draw
     again, against all given out so far. Few are left after a round; if any are after the last, it fails.
@@ -206,53 +242,68 @@ def mapping(entities: DataFrame, key: bytes) -> DataFrame:
         first = drawn.groupBy("kind", "found").agg(F.min("canon").alias("canon")).join(used.distinct(), ["kind", "found"], "left_anti")
         kept = drawn.join(first, ["kind", "found", "canon"], "left_semi").select("kind", "canon", "found")
         done = materialize(kept if done is None else done.unionByName(kept), "surrogates")
-        open_ = drawn.join(done, ["kind", "canon"], "left_anti").select("kind", "canon", F.lit(draw + 1).alias("draw"))
+        open_ = drawn.join(done, ["kind", "canon"], "left_anti").select("kind", "canon", "gender", F.lit(draw + 1).alias("draw"))
         if open_.isEmpty():
             return done
     raise RuntimeError("surrogates still collide")
 
 
-def replace_entities(docs: DataFrame, key: str = "corpusmatch") -> DataFrame:
+def key_of(docs: DataFrame) -> str:
+    """`spark.corpusmatch.pii.key` of the session, or else a key that only those who have the original texts can make."""
+    found = docs.sparkSession.conf.get("spark.corpusmatch.pii.key", None)
+    if found:
+        return found
+    halves = [F.sum(F.xxhash64(F.lit(k), "text").cast("decimal(38,0)")) for k in (1, 2)]
+    return hashlib.sha256(repr(tuple(docs.agg(*halves).first())).encode()).hexdigest()
+
+
+def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     """The columns of docs with `text` replaced, and n_entities: how many mentions were.
 
-    Entities are found in whole texts; a null text stays null with 0. Repeated rows get the same text. A column of
-    docs named n_entities is replaced. Documents without a mention aren't shuffled; the others meet the surrogates
-    of their distinct entities by a join on the entity, one row each, so a document that names one a thousand
-    times joins once. The key decides all surrogates; without it they can't be reversed.
+    Entities are found in whole texts; a null text stays null with 0. Repeated rows get the same text; an empty table
+    gives no rows. A column of docs named n_entities is replaced; others of any name pass. A name has one surrogate
+    whatever its titles; its gender is the one that its titles agree on. Documents without a mention aren't shuffled;
+    the others meet the surrogates of their distinct entities by a join on the entity, one row each, so a document
+    that names one a thousand times joins once. The key decides all surrogates; without it they can't be reversed.
     """
     secret = hashlib.blake2b(key.encode(), digest_size=32).digest()
     base = docs.drop("n_entities")
     own = base.columns
-    mark = "struct<kind:string,start:int,end:int,text:string,canon:string>"
+    at, new, found_ = (free_name(base, c) for c in ("row", "new", "found"))
+    mark = "struct<kind:string,start:int,end:int,text:string,canon:string,gender:string>"
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("canon", pa.string())]))
+        kind = pa.list_(pa.struct([(n, pa.int32() if n in ("start", "end") else pa.string()) for n in ("kind", "start", "end", "text", "canon", "gender")]))
         for batch in batches:
             found = [[vars(m) for m in mentions(t)] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, "_found"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, found_])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    marked = materialize(base.mapInArrow(find, f"{schema}, _found array<{mark}>"), "mentions")
-    have = marked.where(F.size("_found") > 0).withColumn("_row", F.monotonically_increasing_id())
-    have = materialize(have, "having")
-    each = have.select("_row", F.explode(F.array_distinct(F.transform("_found", lambda m: F.struct(m["kind"].alias("kind"), m["canon"].alias("canon"))))).alias("e"))
-    each = each.select("_row", "e.kind", "e.canon")
-    table = mapping(materialize(each.select("kind", "canon").distinct(), "entities"), secret)
-    pairs = each.join(table, ["kind", "canon"]).groupBy("_row").agg(F.collect_list(F.struct("kind", "canon", "found")).alias("_new"))
+    marked = base.mapInArrow(find, f"{schema}, `{found_}` array<{mark}>").withColumn(at, F.monotonically_increasing_id())
+    marked = materialize(marked, "mentions")
+    have = marked.where(F.size(F.col(f"`{found_}`")) > 0)
+    entity = F.transform(F.col(f"`{found_}`"), lambda m: F.struct(m["kind"].alias("kind"), m["canon"].alias("canon"), m["gender"].alias("gender")))
+    each = have.select(F.col(f"`{at}`").alias("row"), F.explode(F.array_distinct(entity)).alias("e"))
+    each = materialize(each.select("row", "e.kind", "e.canon", "e.gender"), "each")
+    said = F.array_sort(F.array_remove(F.collect_set("gender"), "n"))
+    entities = each.groupBy("kind", "canon").agg(F.when(F.size(said) == 1, said[0]).otherwise("n").alias("gender"))
+    table = mapping(materialize(entities, "entities"), secret)
+    pairs = each.select("row", "kind", "canon").distinct().join(table, ["kind", "canon"])
+    pairs = pairs.groupBy("row").agg(F.collect_list(F.struct("kind", "canon", "found")).alias(new)).withColumnRenamed("row", at)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, found, new in zip(*(batch.column(c).to_pylist() for c in ("text", "_found", "_new")), strict=True):
-                by, at, parts = {(n["kind"], n["canon"]): n["found"] for n in new}, 0, []
-                for m in found:
-                    parts += [text[at : m["start"]], render(m["kind"], m["text"], by[m["kind"], m["canon"]])]
-                    at = m["end"]
-                texts.append("".join([*parts, text[at:]]))
+            for text, marks, given in zip(*(batch.column(c).to_pylist() for c in ("text", found_, new)), strict=True):
+                by, upto, parts = {(n["kind"], n["canon"]): n["found"] for n in given}, 0, []
+                for m in marks:
+                    parts += [text[upto : m["start"]], render(m["kind"], m["text"], by[m["kind"], m["canon"]])]
+                    upto = m["end"]
+                texts.append("".join([*parts, text[upto:]]))
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in own]
-            count = pa.array([len(f) for f in batch.column("_found").to_pylist()], pa.int32())
+            count = pa.array([len(f) for f in batch.column(found_).to_pylist()], pa.int32())
             yield pa.RecordBatch.from_arrays([*columns, count], [*own, "n_entities"])
 
-    changed = have.join(pairs, "_row").mapInArrow(put, f"{schema}, n_entities int")
-    same = marked.where("size(_found) = 0").select(*base.columns, F.lit(0).alias("n_entities"))
+    changed = have.join(pairs, at).mapInArrow(put, f"{schema}, n_entities int")
+    same = marked.where(F.size(F.col(f"`{found_}`")) == 0).select(*base.columns, F.lit(0).alias("n_entities"))
     return same.unionByName(changed)
