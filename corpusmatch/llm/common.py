@@ -66,19 +66,25 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
-def sample_cut(df: DataFrame, ids: Column, bound: int, group: str | None = None, spread: int = 64) -> DataFrame:
+def least_hashes(cuts: DataFrame, group: str, cut: str, bound: int, spread: int = 64) -> DataFrame:
+    """The `bound` rows of each group with the least hashes, and `nth`: the least of each of `spread` parts of a group
+    first, then the least of those, so that a group of any share of the rows is sorted in parts."""
+    part = F.pmod(F.col(cut), F.lit(spread))
+    for within in (Window.partitionBy(group, part), Window.partitionBy(group)):
+        cuts = cuts.withColumn("nth", F.row_number().over(within.orderBy(cut))).where(F.col("nth") <= bound)
+    return cuts
+
+
+def sample_cut(df: DataFrame, ids: Column, bound: int, group: str | None = None) -> DataFrame:
     """At most `bound` rows (of each value of `group`, if there is one), those with the smallest hashes of their ids.
 
     A bounded, repeatable sample to fit a model on. Rows with equal hashes at the limit all stay. Hashes alone are
-    shuffled: the least of each of `spread` parts of a group, then the least of those. The limit of each group, one
-    number, comes to the driver and goes back as a literal, so the rows themselves are only filtered.
+    shuffled. The limit of each group, one number, comes to the driver and goes back as a literal, so the rows
+    themselves are only filtered.
     """
     keys = [F.col(group) if group else F.lit(0)]
     cuts = df.select(keys[0].alias("g"), F.xxhash64(ids).alias("cut")).where("g is not null")
-    part = F.pmod(F.col("cut"), F.lit(spread))
-    for at in (Window.partitionBy("g", part), Window.partitionBy("g")):
-        cuts = cuts.withColumn("nth", F.row_number().over(at.orderBy("cut"))).where(F.col("nth") <= bound).drop("nth")
-    limits = {r.g: r.cut for r in cuts.groupBy("g").agg(F.max("cut").alias("cut")).collect()}
+    limits = {r.g: r.cut for r in least_hashes(cuts, "g", "cut", bound).groupBy("g").agg(F.max("cut").alias("cut")).collect()}
     if not limits:
         return df.where("false")
     if group is None:

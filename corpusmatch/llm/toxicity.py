@@ -12,10 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmatch.llm.common import free_name, materialize
+from corpusmatch.llm.common import free_name, least_hashes, materialize
 
 _CACHED_WORDS = 700_000
 
@@ -154,8 +154,7 @@ def _sample(rows: DataFrame, params: Params) -> tuple[DataFrame, dict[int, int]]
     cuts = materialize(rows.select("toxic", cut.alias("cut")), "cuts")
     total = {0: 0, 1: 0, **{r.toxic: r["count"] for r in cuts.groupBy("toxic").count().collect()}}
     ones = min(total[1], max(params.docs // 2, params.docs - total[0]))
-    nth = F.row_number().over(Window.partitionBy("toxic").orderBy("cut"))
-    first = cuts.withColumn("nth", nth).where((F.col("nth") <= params.docs) & (F.col("nth") <= F.when(F.col("toxic") == 1, ones).otherwise(params.docs - ones)))
+    first = least_hashes(cuts, "toxic", "cut", params.docs).where(F.col("nth") <= F.when(F.col("toxic") == 1, ones).otherwise(params.docs - ones))
     last = {r.toxic: r.cut for r in first.groupBy("toxic").agg(F.max("cut").alias("cut")).collect()}
     if not last:
         return rows.where("false"), total
