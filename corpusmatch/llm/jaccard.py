@@ -1,11 +1,13 @@
 """N-gram Jaccard join: exact links between documents by a prefix-tree join over globally ordered shingle sets.
 
 A document is the set of hashes of its word n-grams, in the order of the hashes, which is the same for all. Equal
-sets are one class from the start. Candidates meet in two rounds:
+sets are one class from the start. Candidates meet in three kinds of rounds:
 
 1. stars: classes that share one of their first few shingles are compared with one pivot each. This joins groups of
    near copies, of any size, with a few comparisons a class.
-2. the rest: of two linked classes, the smaller must find at least a known number of its leading shingles in the
+2. nearest: each class looks up its rarest shared shingle and is compared with one class of another component there,
+   the one whose signature is nearest. Two such rounds join most of what is linked, with a pair a class at most.
+3. the rest: of two linked classes, the smaller must find at least a known number of its leading shingles in the
    larger, among so many leading shingles as make that number sure (`posted`). Shingles that only one component has
    are out; a class left with fewer than that number can't be the one; the others look up as many of their rarest
    shingles as make missing a link impossible. Classes that hold a shingle meet in one task, in blocks; only pairs
@@ -38,6 +40,7 @@ from pyspark.sql import functions as F
 from corpusmatch.llm.common import Bitmap, components, materialize
 
 _CACHED_WORDS = 150_000
+_SEEN_PAIRS = 500_000
 
 
 @dataclass(frozen=True)
@@ -252,8 +255,8 @@ def _star_pairs(posts: DataFrame, signatures: DataFrame, params: Params) -> Data
     return pairs.where(fits).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(close, "a long, b long")
 
 
-def _may_link(probes: dict[str, np.ndarray], members: dict[str, np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Classes (a, b) of probes and members of other components that signatures don't tell apart, a being the smaller."""
+def _may_link(probes: dict[str, np.ndarray], members: dict[str, np.ndarray], percent: int, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Classes (a, b) of probes and members of other components that signatures don't tell apart, a being the smaller; of each a only the nearest b, if asked for."""
     width = probes["signature"].shape[1]
     own = _fold(members["signature"], width)
     b, m, component = members["class"][None], members["n"][None], members["component"][None]
@@ -264,12 +267,16 @@ def _may_link(probes: dict[str, np.ndarray], members: dict[str, np.ndarray], per
         fits = (part["component"][:, None] != component) & ((n < m) | ((n == m) & (a < b))) & (m * percent <= n * 100)
         i, j = np.nonzero(fits)
         most = n[i, 0] + m[0, j] - 2 * (-(-percent * (n[i, 0] + m[0, j]) // (100 + percent)))
-        close = np.bitwise_count(part["signature"][i] ^ own[j]).sum(axis=1, dtype=np.int64) <= most
+        differ = np.bitwise_count(part["signature"][i] ^ own[j]).sum(axis=1, dtype=np.int64)
+        close = np.flatnonzero(differ <= most)
+        if nearest and close.size:
+            close = close[np.lexsort((differ[close], i[close]))]
+            close = close[np.r_[True, np.diff(i[close]) > 0]]
         yield a[i[close], 0], b[0, j[close]]
 
 
-def _other_pairs(posts: DataFrame, signatures: DataFrame, joined: DataFrame, params: Params) -> DataFrame:
-    """Pairs between components that may link, the smaller class first."""
+def _other_pairs(posts: DataFrame, signatures: DataFrame, joined: DataFrame, params: Params, nearest: bool) -> DataFrame:
+    """Pairs between components that may link, the smaller class first; or, for each class, one of those at its rarest shingle."""
     percent = params.percent
     known = posts.join(joined.withColumnRenamed("node", "class"), "class", "left")
     known = known.withColumn("component", F.coalesce("component", "class"))
@@ -287,11 +294,14 @@ def _other_pairs(posts: DataFrame, signatures: DataFrame, joined: DataFrame, par
     each = Window.partitionBy("class")
     small = left.where("own and not highest").withColumns({"has": F.count("*").over(each), "need": need})
     small = small.where("has >= need").withColumn("nth", F.row_number().over(each.orderBy("df", "token")))
-    small = small.where("nth <= has - need + 1")
+    small = small.where("nth = 1" if nearest else "nth <= has - need + 1")
     own = signatures.select("class", "band", "signature")
     blocks = F.ceil(F.col("df") / params.meeting).cast("int")
     columns = ["token", "band", "block", "probe", "class", "n", "component", "signature"]
-    members = left.where("not lowest").join(own, "class").withColumns({"block": F.pmod(F.xxhash64("class"), blocks).cast("int"), "probe": F.lit(0)})
+    members = left.where("not lowest")
+    if nearest:
+        members = members.join(small.select("token").distinct(), "token", "left_semi")
+    members = members.join(own, "class").withColumns({"block": F.pmod(F.xxhash64("class"), blocks).cast("int"), "probe": F.lit(0)})
     probes = small.join(own, "class")
     # The next band, only if the largest class with the token may be in it.
     reach = F.pow(F.lit(100 / percent + 1e-9), F.col("band") + 1) <= F.col("most") + 1
@@ -303,6 +313,7 @@ def _other_pairs(posts: DataFrame, signatures: DataFrame, joined: DataFrame, par
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members = None, []
+        seen: set[tuple[int, int]] = set()  # a pair that meets at several shingles of a task leaves it once, mostly
         for batch in batches:
             rows = {c: batch.column(c).to_numpy() for c in columns[:-1]}
             binary = batch.column("signature")
@@ -324,8 +335,13 @@ def _other_pairs(posts: DataFrame, signatures: DataFrame, joined: DataFrame, par
                 elif members:
                     if len(members) > 1:
                         members = [{c: np.concatenate([m[c] for m in members]) for c in run}]
-                    out.extend(_may_link(run, members[0], percent))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b"])
+                    out.extend(_may_link(run, members[0], percent, nearest))
+            fresh = set(zip(*(np.concatenate(c).tolist() for c in zip(*out, strict=True)), strict=True)) - seen
+            if len(seen) > _SEEN_PAIRS:
+                seen.clear()
+            seen |= fresh
+            columns = list(zip(*fresh, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
     return met.mapInArrow(compare, "a long, b long").distinct()
 
@@ -359,10 +375,13 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
 
     links = materialize(_verify(stars, full(stars), params), "links")
     joined = components(links)
-    others = materialize(_other_pairs(posts, signatures, joined, params), "others")
-    if not others.isEmpty():
+    for nearest in (True, True, False):
+        others = materialize(_other_pairs(posts, signatures, joined, params, nearest), "others")
+        if others.isEmpty():
+            continue
         more = materialize(_verify(others, full(others), params), "links")
-        joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        if not more.isEmpty():
+            joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = ids.join(joined.withColumnRenamed("node", "class"), "class").groupBy("component").agg(F.min("id").alias("least"))
     of_class = joined.join(named, "component").select(F.col("node").alias("class"), "least")
     own = ids.join(of_class, "class", "left").select("class", F.coalesce("least", "id").alias("component_id"))
