@@ -340,8 +340,8 @@ def _other_pairs(posts: DataFrame, signatures: DataFrame, joined: DataFrame, par
             if len(seen) > _SEEN_PAIRS:
                 seen.clear()
             seen |= fresh
-            columns = list(zip(*fresh, strict=True)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+            both = list(zip(*fresh, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in both], ["a", "b"])
 
     return met.mapInArrow(compare, "a long, b long").distinct()
 
