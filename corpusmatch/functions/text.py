@@ -16,6 +16,7 @@ SENIORITY = (
 )
 CURRENCIES = (("$", "USD"), ("€", "EUR"), ("₴", "UAH"), ("£", "GBP"))
 UKRAINIAN, RUSSIAN, POLISH = "іїєґІЇЄҐ", "ыэъёЫЭЪЁ", "ąćęłńśźżĄĆĘŁŃŚŹŻ"
+# Fixed value: an amount with its currency.
 _AMOUNT = r"[$€₴£]\s*[\d.,]+"
 
 
@@ -76,10 +77,11 @@ def count_of(text: Column, chars: str) -> Column:
 
 
 def script_profile(text: Column) -> dict[str, Column]:
+    """Letters in all, of the Cyrillic block, and Latin ones: ASCII and Polish; other Latin letters count as letters only."""
     return {
         "letters": count_of(text, r"\p{L}"),
-        "cyrillic": count_of(text, "Ѐ-ӿ"),
-        "latin": count_of(text, "A-Za-zÀ-ÖØ-öø-ɏ"),
+        "cyrillic": count_of(text, r"\p{L}&&[Ѐ-ӿ]"),
+        "latin": count_of(text, f"A-Za-z{POLISH}"),
         "uk_marks": count_of(text, UKRAINIAN),
         "ru_marks": count_of(text, RUSSIAN),
         "pl_marks": count_of(text, POLISH),
@@ -94,22 +96,31 @@ def detect_language(text: Column, least_letters: int = 20, share: float = 0.02)
     return F.when(p["letters"] < least_letters, None).when(p["cyrillic"] > p["latin"], cyrillic).otherwise(latin)
 
 
-_PHONE = r"(?:\+|\b00)\d[\d\s().‐-―-]{6,}\d"
-_GROUPED = r"\b\(?\d{2,4}\)?(?:[\s.‐-―-]\d{2,4}){2,3}\b"
+# What contact details and credentials look like. (?U): blanks, digits and word characters of all scripts.
+_BOT_TOKEN = r"bot\d{6,}:[A-Za-z0-9_-]{20,}"
+_BEARER = r"(?iU)\b(bearer)\s+[A-Za-z0-9._~+/-]{16,}=*"
+_QUERY_SECRET = r"(?iU)([?&](?:api[_-]?key|token|secret|access[_-]?token|password)=)[^&\s]+"
+_EMAIL = r"(?U)[\w.+-]+@[\w-]+(?:\.[\w-]+)+"
+_PHONE = r"(?U)(?:\+|\b00)\d[\d\s().‐-―-]{6,}\d"
+_GROUPED = r"(?U)\b\(?\d{2,4}\)?(?:[\s.‐-―-]\d{2,4}){2,3}\b"
 
 
 def redact(text: Column, least_digits: int = 9) -> Column:
-    """Credentials, then e-mail addresses, then phone numbers to placeholders. Grouped digits need enough of them."""
-    out = F.regexp_replace(text, r"bot\d{6,}:[A-Za-z0-9_-]{20,}", "bot[redacted]")
-    out = F.regexp_replace(out, r"(?i)\b(bearer)\s+[A-Za-z0-9._~+/-]{16,}=*", "$1 [redacted]")
-    out = F.regexp_replace(out, r"(?i)([?&](?:api[_-]?key|token|secret|access[_-]?token|password)=)[^&\s]+", "$1[redacted]")
-    out = F.regexp_replace(out, r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+", "[email]")
+    """Credentials, then e-mail addresses, then phone numbers to placeholders. Grouped digits need enough of them.
+
+    Each grouped run is judged where it stands: the text is cut at the runs and put together again.
+    """
+    out = F.regexp_replace(text, _BOT_TOKEN, "bot[redacted]")
+    out = F.regexp_replace(out, _BEARER, "$1 [redacted]")
+    out = F.regexp_replace(out, _QUERY_SECRET, "$1[redacted]")
+    out = F.regexp_replace(out, _EMAIL, "[email]")
     out = F.regexp_replace(out, _PHONE, "[phone]")
-    grouped = F.filter(
+    runs = F.transform(
         F.regexp_extract_all(out, F.lit(f"({_GROUPED})"), F.lit(1)),
-        lambda m: F.length(F.regexp_replace(m, r"\D", "")) >= least_digits,
+        lambda m: F.when(F.length(F.regexp_replace(m, r"(?U)\D", "")) >= least_digits, F.lit("[phone]")).otherwise(m),
     )
-    return F.aggregate(grouped, out, lambda t, m: F.replace(t, m, F.lit("[phone]")))
+    joined = F.array_join(F.zip_with(F.split(out, _GROUPED, -1), runs, lambda part, run: F.concat(part, F.coalesce(run, F.lit("")))), "")
+    return F.when(F.rlike(out, F.lit(r"(?U)\d")), joined).otherwise(out)
 
 
 def preview(text: Column, limit: int = 120) -> Column:
@@ -133,3 +144,26 @@ def round_score(x: Column, digits: int = 1) -> Column:
     """Half up on the binary value, as floor; the same in every engine."""
     scale = 10.0**digits
     return F.floor(x * scale + 0.5) / scale
+
+
+def cities(text: Column, remote_marks: tuple[str, ...] = ("remote", "віддалено", "дистанційно")) -> Column:
+    """Places of a comma-separated line, trimmed, without blanks and remote markers."""
+    return F.filter(F.transform(F.split(text, ","), F.trim), lambda p: (p != "") & ~F.lower(p).isin(*remote_marks))
+
+
+def is_markup(text: Column, marks: tuple[str, ...] = ("</p>", "</li>", "</div>", "</ul>", "</h", "<br")) -> Column:
+    """Whether a stored text is HTML: it has one of the marks."""
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(m)) for m in marks))
+
+
+def json_flag(raw: Column, path: str) -> Column:
+    """Whether a JSON value is the literal true; anything else, or no JSON at all, is false."""
+    return F.coalesce(F.get_json_object(raw, path) == "true", F.lit(False))
+
+
+def fold_distinct(values: Column, separator: str = "; ") -> Column:
+    """Non-blank values, the first of each without regard to case, joined."""
+    kept = F.filter(F.transform(values, F.trim), lambda v: v.isNotNull() & (v != ""))
+    lower = F.transform(kept, F.lower)
+    return F.array_join(F.filter(kept, lambda v, k: F.array_position(lower, F.lower(v)) == k + 1), separator)

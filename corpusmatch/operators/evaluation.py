@@ -42,11 +42,11 @@ def score_band(score: Column) -> Column:
 
 
 def stratified_sample(pool: DataFrame, size: int) -> DataFrame:
-    """Round robin over (band, language) strata, best score first: (id, score, language, band, depth), no chance involved."""
-    pool = pool.withColumn("band", score_band(F.col("score"))).withColumn("stratum", F.coalesce("language", F.lit("")))
+    """Round robin over (band, language) strata in rising order, best score first: (id, score, language, band, depth), no chance involved."""
+    pool = pool.withColumn("band", score_band(F.col("score"))).withColumn("stratum", F.coalesce("language", F.lit("unknown")))
     depth = F.row_number().over(Window.partitionBy("band", "stratum").orderBy(F.desc("score"), "id"))
     deep = pool.withColumn("depth", depth).where(F.col("depth") <= size)
-    return deep.orderBy("depth", F.desc("band"), "stratum").limit(size).drop("stratum")
+    return deep.orderBy("depth", "band", "stratum").limit(size).drop("stratum")
 
 
 def coverage(pool: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from corpusmatch.functions.text import round_score
 
 @dataclass(frozen=True)
 class MatchConfig:
+    """Names, defaults and bounds of the settings."""
+
     retrieval_limit: int = 400
     rerank_top_k: int = 0  # 0: all
     rerank_weight: float = 0.7
@@ -28,26 +32,38 @@ class MatchConfig:
             raise ValueError("consider_threshold is over apply_threshold")
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def with_norm(df: DataFrame, vector: str) -> DataFrame:
-    v = F.col(vector).cast("array<double>")
-    return df.withColumn(vector, v).withColumn("norm", F.sqrt(dot(v, v)))
-
-
-def cosine_topk(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+def cosine_topk(queries: DataFrame, items: DataFrame, k: int, queries_a_block: int = 512, item_blocks: int = 64) -> DataFrame:
     """user_id, item_id, similarity, rank: for (user_id, vector) and (item_id, vector), exact and whole.
 
-    Queries are the stated set that meets all items, block by block; ties go to the smaller item id.
+    Queries are the stated set that meets all items, block by block: items are dealt into `item_blocks` parts, queries
+    into parts of `queries_a_block`, and a task holds one of each. A matrix product a pair of blocks and the k best of
+    each query leave it. Vectors of another dimension than the query's don't meet it; a zero vector takes no part, as
+    the cosine isn't defined; ties go to the smaller item id.
     """
-    q = with_norm(queries, "vector").select("user_id", F.col("vector").alias("qv"), F.col("norm").alias("qn"))
-    i = with_norm(items, "vector")
-    pairs = i.join(q, F.size("vector") == F.size("qv"))
-    pairs = pairs.select("user_id", "item_id", (dot(F.col("vector"), F.col("qv")) / (F.col("norm") * F.col("qn"))).alias("similarity"))
+    ok = lambda df: df.where(F.col("vector").isNotNull() & F.exists("vector", lambda x: x != 0))
+    parts = F.lit(max(1, -(-queries.count() // queries_a_block)))
+    raw = F.col("vector").cast("array<double>").alias("vector")
+    q = ok(queries).select("user_id", raw, F.size("vector").alias("d"), F.pmod(F.xxhash64("user_id"), parts).alias("part"))
+    q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))))
+    i = ok(items).select("item_id", raw, F.size("vector").alias("d"), F.pmod(F.xxhash64("item_id"), F.lit(item_blocks)).cast("int").alias("block"))
+    i = i.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), (parts - 1).cast("long"))))
+
+    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            a, b = (np.stack([np.asarray(v) for v in x["vector"]]) for x in (left, right))
+            items_ = right["item_id"].to_numpy()
+            scores = (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1))
+            for user, row in zip(left["user_id"], scores, strict=True):
+                best = np.lexsort((items_, -row))[:k]
+                out.append(pd.DataFrame({"user_id": user, "item_id": items_[best], "similarity": row[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"user_id": [], "item_id": [], "similarity": []})
+
+    keys = ("d", "block", "part")
+    kinds = (queries.schema["user_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString())
+    found = q.groupBy(*keys).cogroup(i.groupBy(*keys)).applyInPandas(nearest, "user_id {}, item_id {}, similarity double".format(*kinds))
     nth = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("similarity"), "item_id"))
-    return pairs.withColumn("rank", nth).where(F.col("rank") <= k)
+    return found.withColumn("rank", nth).where(F.col("rank") <= k)
 
 
 def dimension_report(vectors: DataFrame, model: str, vector: str) -> DataFrame:
@@ -62,7 +78,7 @@ def mentions_keyword(text: Column, keyword: Column) -> Column:
 
 
 def filter_reasons(job: dict[str, Column], wish: dict[str, Column]) -> Column:
-    """array<string> of the reasons that apply, in fixed order; empty means eligible.
+    """array<string> of the reasons that apply, with the values that decide, in fixed order; empty means eligible.
 
     job: company, text, years, salary_max, currency, remote, places. wish: blacklist, blocked, max_years, salary,
     formats, locations. A null on either side of a rule never fires it.
@@ -71,13 +87,24 @@ def filter_reasons(job: dict[str, Column], wish: dict[str, Column]) -> Column:
     blocked = F.filter(wish["blocked"], lambda k: mentions_keyword(job["text"], k))
     near = F.exists(low(job["places"]), lambda p: F.exists(low(wish["locations"]), lambda x: F.contains(p, x) | F.contains(x, p)))
     listed = F.array_contains(F.transform(wish["blacklist"], lambda n: F.lower(F.trim(n))), F.lower(F.trim(job["company"])))
+    number = lambda c: c.cast("double").cast("string")
+    listing = lambda a: F.concat(F.lit("['"), F.array_join(a, "', '"), F.lit("']"))
     rules = (
-        (listed, F.lit("company blacklisted")),
-        (F.size(blocked) > 0, F.concat(F.lit("blocked stack: "), F.array_join(blocked, ", "))),
-        (job["years"] > wish["max_years"], F.lit("experience over the limit")),
-        ((job["currency"] == "USD") & (job["salary_max"] < wish["salary"]), F.lit("salary under the floor")),
-        ((wish["formats"] == F.array(F.lit("remote"))) & ~F.coalesce(job["remote"], F.lit(False)), F.lit("remote only")),
-        ((F.size(wish["locations"]) > 0) & (F.size(job["places"]) > 0) & ~near, F.lit("location mismatch")),
+        (listed, F.concat(F.lit('company "'), job["company"], F.lit('" is blacklisted'))),
+        (F.size(blocked) > 0, F.concat(F.lit("mentions blocked stack: "), F.array_join(blocked, ", "))),
+        (
+            job["years"] > wish["max_years"],
+            F.concat(F.lit("requires "), number(job["years"]), F.lit("+ years, candidate caps at "), number(wish["max_years"])),
+        ),
+        (
+            (job["currency"] == "USD") & (job["salary_max"] < wish["salary"]),
+            F.concat(F.lit("salary tops out at "), number(job["salary_max"]), F.lit(" "), job["currency"], F.lit(", below desired "), wish["salary"].cast("long").cast("string"), F.lit(" USD")),
+        ),
+        ((wish["formats"] == F.array(F.lit("remote"))) & ~F.coalesce(job["remote"], F.lit(False)), F.lit("candidate wants remote-only; job isn't remote")),
+        (
+            (F.size(wish["locations"]) > 0) & (F.size(job["places"]) > 0) & ~near,
+            F.concat(F.lit("job restricted to "), listing(job["places"]), F.lit(", outside candidate's "), listing(wish["locations"])),
+        ),
     )
     return F.array_compact(F.array(*(F.when(c, r) for c, r in rules)))
 

@@ -14,6 +14,11 @@ def latest_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
 
 
+def top_per_key(df: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame:
+    """The first k rows of each key in the given order, with `rank` from 1."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows of new replace those of old with the same key; columns in `keep` stay as first set."""
     o, n = old.alias("o"), new.alias("n")

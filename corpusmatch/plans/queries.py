@@ -63,17 +63,19 @@ def _rounded(c, digits: int = 4):
 
 _CONFIG = mt.MatchConfig(retrieval_limit=50)
 _COSINE = """
-q AS (SELECT vec_id AS user_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id < 5),
-i AS (SELECT vec_id AS item_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id >= 5),
-s AS (SELECT user_id, item_id, list_cosine_similarity(v, qv) AS similarity FROM q, i),
+q AS (SELECT vec_id AS user_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 20 = 0),
+i AS (SELECT vec_id AS item_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE true),
+s AS (SELECT user_id, item_id, list_cosine_similarity(v, qv) AS similarity FROM q, i WHERE user_id <> item_id),
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY similarity DESC, item_id) AS rank FROM s) WHERE rank <= 50)
 """
 
 
 def _cosine(t) -> DataFrame:
     e = t("embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    users = e.where("vec_id < 5").select(F.col("vec_id").alias("user_id"), "vector")
-    return mt.cosine_topk(users, e.where("vec_id >= 5").select(F.col("vec_id").alias("item_id"), "vector"), _CONFIG.retrieval_limit)
+    users = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("user_id"), "vector")
+    # One more than asked for, as a query's own row is among all rows.
+    found = mt.cosine_topk(users, e.select(F.col("vec_id").alias("item_id"), "vector"), _CONFIG.retrieval_limit + 1).where("user_id <> item_id")
+    return tb.top_per_key(found.drop("rank"), ["user_id"], _CONFIG.retrieval_limit, F.desc("similarity"), F.asc("item_id"))
 
 
 @_query("WITH " + _COSINE + " SELECT user_id, item_id, rank FROM k")
@@ -82,7 +84,7 @@ def cosine_topk(t):
 
 
 @_query("WITH " + _COSINE + """,
-f AS (SELECT k.*, p_size > 40 AS far, p_retailprice < 950 AS poor,
+f AS (SELECT k.*, p_size, p_retailprice, p_size > 40 AS far, p_retailprice < 950 AS poor,
         CASE WHEN item_id % 4 = 0 THEN NULL ELSE (item_id * 37 % 100) / 100.0::DOUBLE END AS relevance
       FROM k JOIN part ON p_partkey = item_id),
 g AS (SELECT *, NOT far AND NOT poor AS eligible FROM f),
@@ -91,7 +93,8 @@ b AS (SELECT *, CASE WHEN NOT eligible THEN 0.0
         WHEN used IS NULL THEN floor(least(greatest(similarity, 0.0), 1.0) * 100 * 10 + 0.5) / 10
         ELSE floor((0.7::DOUBLE * least(greatest(used, 0.0), 1.0) + (1 - 0.7::DOUBLE) * least(greatest(similarity, 0.0), 1.0)) * 100 * 10 + 0.5) / 10 END AS score FROM h)
 SELECT user_id, item_id, eligible,
-       concat_ws('; ', CASE WHEN far THEN 'experience over the limit' END, CASE WHEN poor THEN 'salary under the floor' END) AS reasons,
+       concat_ws('; ', CASE WHEN far THEN 'requires ' || CAST(p_size AS DOUBLE) || '+ years, candidate caps at 40.0' END,
+         CASE WHEN poor THEN 'salary tops out at ' || CAST(p_retailprice AS DOUBLE) || ' USD, below desired 950 USD' END) AS reasons,
        score,
        CASE WHEN used IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY user_id ORDER BY used DESC NULLS LAST, item_id) AS INTEGER) END AS rerank_position,
        CASE WHEN NOT eligible THEN 'skip' WHEN score >= 70 THEN 'apply' WHEN score >= 45 THEN 'consider' ELSE 'skip' END AS recommendation
@@ -110,12 +113,12 @@ def match_pass(t):
 
 @_query("""
 SELECT p_partkey, w.user_id, concat_ws('; ',
-  CASE WHEN lower(trim(p_brand)) = w.listed THEN 'company blacklisted' END,
-  CASE WHEN regexp_matches(p_type, '(?i)\\b' || w.kw || '\\b') THEN 'blocked stack: ' || w.kw END,
-  CASE WHEN p_size > w.max_years THEN 'experience over the limit' END,
-  CASE WHEN p_retailprice < w.salary THEN 'salary under the floor' END,
-  CASE WHEN w.remote_only AND p_partkey % 2 = 1 THEN 'remote only' END,
-  CASE WHEN w.place <> '' AND NOT (contains(lower(split_part(p_type, ' ', 1)), w.place) OR contains(w.place, lower(split_part(p_type, ' ', 1)))) THEN 'location mismatch' END) AS reasons
+  CASE WHEN lower(trim(p_brand)) = w.listed THEN 'company "' || p_brand || '" is blacklisted' END,
+  CASE WHEN regexp_matches(p_type, '(?i)\\b' || w.kw || '\\b') THEN 'mentions blocked stack: ' || w.kw END,
+  CASE WHEN p_size > w.max_years THEN 'requires ' || CAST(p_size AS DOUBLE) || '+ years, candidate caps at ' || CAST(w.max_years AS DOUBLE) END,
+  CASE WHEN p_retailprice < w.salary THEN 'salary tops out at ' || CAST(p_retailprice AS DOUBLE) || ' USD, below desired ' || CAST(w.salary AS BIGINT) || ' USD' END,
+  CASE WHEN w.remote_only AND p_partkey % 2 = 1 THEN 'candidate wants remote-only; job isn''t remote' END,
+  CASE WHEN w.place <> '' AND NOT (contains(lower(split_part(p_type, ' ', 1)), w.place) OR contains(w.place, lower(split_part(p_type, ' ', 1)))) THEN 'job restricted to [''' || split_part(p_type, ' ', 1) || '''' || '], outside candidate''s [''' || w.place || '''' || ']' END) AS reasons
 FROM part, (VALUES ('a', 'brand#11', 'copper', 30, 950.0, false, ''), ('b', 'brand#22', 'tin', 45, 1000.0, true, 'promo'), ('c', 'none', 'steel', 50, 0.0, false, 'standard')) w(user_id, listed, kw, max_years, salary, remote_only, place)""")
 def hard_filter_reasons(t):
     part = t("part")
@@ -261,7 +264,7 @@ def exact_duplicates(t):
     return g.where("members > 1")
 
 
-_CLASSES = {"letters": r"\p{L}", "cyrillic": "Ѐ-ӿ", "latin": "A-Za-zÀ-ÖØ-öø-ɏ", "uk_marks": tx.UKRAINIAN, "ru_marks": tx.RUSSIAN, "pl_marks": tx.POLISH}
+_CLASSES = {"letters": r"\p{L}", "cyrillic": r"\x{0400}-\x{0481}\x{048A}-\x{04FF}", "latin": "A-Za-z" + tx.POLISH, "uk_marks": tx.UKRAINIAN, "ru_marks": tx.RUSSIAN, "pl_marks": tx.POLISH}
 _PROFILE = ", ".join(f"CAST(length(regexp_replace(text, '[^{c}]', '', 'g')) AS INTEGER) AS {n}" for n, c in _CLASSES.items())
 
 
@@ -278,12 +281,19 @@ def detect_language(t):
     return t("conversations").select("conv_id", "turn", tx.detect_language(F.col("text")).alias("language"))
 
 
-@_query(r"""SELECT doc_id, text <> a AS changed, length(a) AS n FROM (SELECT doc_id, text, list_reduce(list_prepend(b,
-list_filter(regexp_extract_all(b, '\b\(?\d{2,4}\)?(?:[\s.‐-―-]\d{2,4}){2,3}\b'), lambda m: length(regexp_replace(m, '\D', '', 'g')) >= 9)), lambda x, y: replace(x, y, '[phone]')) AS a
-FROM (SELECT doc_id, text, regexp_replace(regexp_replace(text, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+', '[email]', 'g'), '(?:\+|\b00)\d[\d\s().‐-―-]{6,}\d', '[phone]', 'g') AS b FROM documents))""")
+_BLANK = r"\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_RUN = rf"\b\(?\d{{2,4}}\)?(?:[{_BLANK}.‐-―-]\d{{2,4}}){{2,3}}\b"
+
+
+@_query(rf"""WITH a AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, 'bot\d{{6,}}:[A-Za-z0-9_-]{{20,}}', 'bot[redacted]', 'g'),
+ '(?i)\b(bearer)[{_BLANK}]+[A-Za-z0-9._~+/-]{{16,}}=*', '\1 [redacted]', 'g'), '(?i)([?&](?:api[_-]?key|token|secret|access[_-]?token|password)=)[^&{_BLANK}]+', '\1[redacted]', 'g') AS b FROM documents),
+c AS (SELECT doc_id, text, regexp_replace(regexp_replace(b, '[\p{{L}}\p{{N}}_.+-]+@[\p{{L}}\p{{N}}_-]+(?:\.[\p{{L}}\p{{N}}_-]+)+', '[email]', 'g'), '(?:\+|\b00)\d[\d{_BLANK}().‐-―-]{{6,}}\d', '[phone]', 'g') AS b FROM a),
+d AS (SELECT doc_id, text, regexp_split_to_array(b, '{_RUN}') AS parts, regexp_extract_all(b, '{_RUN}') AS runs FROM c),
+e AS (SELECT doc_id, text, list_aggregate(list_transform(list_zip(parts, runs), lambda z: z[1] || CASE WHEN z[2] IS NULL THEN '' WHEN length(regexp_replace(z[2], '\D', '', 'g')) >= 9 THEN '[phone]' ELSE z[2] END), 'string_agg', '') AS out FROM d)
+SELECT doc_id, text <> out AS changed, length(out) AS n FROM e""")
 def redact_contacts(t):
-    out = tx.redact(F.col("text"))
-    return t("documents").select("doc_id", (F.col("text") != out).alias("changed"), F.length(out).cast("long").alias("n"))
+    out = t("documents").select("doc_id", "text", tx.redact(F.col("text")).alias("out"))
+    return out.select("doc_id", (F.col("text") != F.col("out")).alias("changed"), F.length("out").cast("long").alias("n"))
 
 
 @_query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN CAST(trunc(p_retailprice) AS DOUBLE) WHEN 1 THEN NULL ELSE CAST(trunc(p_retailprice) AS DOUBLE) END AS lo,
@@ -303,15 +313,17 @@ def seniority(t):
     return t("part").select("p_partkey", tx.seniority(title).alias("level"))
 
 
-@_query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-m AS (SELECT *, trim(line) = '' AS blank, regexp_matches(line, '^[ \t]*([-*•]|[0-9]+[.)])[ \t]+') AS bullet FROM l),
+@_query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS line,
+ generate_subscripts(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), 1) AS pos FROM documents),
+m AS (SELECT *, regexp_full_match(line, '[{_BLANK}]*') AS blank, regexp_matches(line, '^[{_BLANK}]*([-*•·–—]|[0-9]+[.)])[{_BLANK}]+') AS bullet FROM l),
 g AS (SELECT *, sum(CASE WHEN blank OR bullet THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS grp FROM m),
-b AS (SELECT doc_id, grp, bullet, min(pos) AS pos, string_agg(trim(line), ' ' ORDER BY pos) AS text FROM g WHERE NOT blank GROUP BY 1, 2, 3),
-o AS (SELECT doc_id, row_number() OVER w AS ordinal, bullet, text, coalesce(sum(length(text) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_char
- FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
-SELECT doc_id, CAST(ordinal AS INTEGER) AS ordinal, CASE WHEN bullet THEN 'list_item' ELSE 'paragraph' END AS block_type, CAST(start_char AS BIGINT) AS start_char, CAST(start_char + length(text) AS BIGINT) AS end_char FROM o""")
+b AS (SELECT doc_id, grp, bullet, min(pos) AS pos, string_agg(regexp_replace(regexp_replace(replace(line, chr(8203), ''), '[{_BLANK}]+', ' ', 'g'), '^ | $', '', 'g'), ' ' ORDER BY pos) AS text FROM g WHERE NOT blank GROUP BY 1, 2, 3),
+o AS (SELECT doc_id, row_number() OVER w - 1 AS ordinal, bullet, text, coalesce(sum(length(text) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_char
+ FROM b WHERE text <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+SELECT doc_id, CAST(ordinal AS INTEGER) AS ordinal, CASE WHEN bullet THEN 'list_item' ELSE 'paragraph' END AS block_type, CAST(start_char AS BIGINT) AS start_char, CAST(start_char + length(text) AS BIGINT) AS end_char
+FROM o WHERE start_char + length(text) <= 200000""")
 def plain_text_blocks(t):
-    return pg.plain_text_blocks(t("documents").select("doc_id", "text")).drop("text")
+    return pg.plain_text_blocks(t("documents")).drop("text", "truncated")
 
 
 @_query()
@@ -401,7 +413,7 @@ def _pool(t) -> DataFrame:
 
 
 @_query(f"""SELECT id, score, language, band, depth FROM (SELECT *, CAST(row_number() OVER (PARTITION BY band, coalesce(language, '') ORDER BY score DESC, id) AS INTEGER) AS depth FROM ({_POOL}))
-ORDER BY depth, band DESC, coalesce(language, '') LIMIT 300""")
+ORDER BY depth, band, coalesce(language, 'unknown') LIMIT 300""")
 def stratified_sample(t):
     return ev.stratified_sample(_pool(t), 300)
 

@@ -69,7 +69,7 @@ def test_longest_match(spark):
 
 def test_page_blocks():
     html = "<title>T</title><script>x</script><p>Hello <b>wor</b>ld</p><ul><li>one<li>two</ul>tail 😀"
-    assert pages.page_blocks(html) == [("heading", "T"), ("paragraph", "Hello world"), ("list_item", "one"), ("list_item", "two"), ("paragraph", "tail 😀")]
+    assert pages.page_blocks(html) == [("title", "T"), ("paragraph", "Hello wor ld"), ("list_item", "one"), ("list_item", "two"), ("paragraph", "tail 😀")]
 
 
 def test_config_bounds():
@@ -135,3 +135,84 @@ def test_mentions_cover_whole_benchmark_texts(spark):
     }
     got = {(r.doc_id, r.start, r.words, r.form) for r in plans._mentions(tables.__getitem__).collect()}
     assert got == {(1, 1, 3, "w70 w71 w72"), (1, 5, 1, "w98"), (2, 0, 1, "w80"), (2, 2, 1, "w99")}
+
+
+def test_blocks_follow_any_element():
+    html = "<form>a</form><figure>b</figure><dl><dt>t<dd>d</dl><div>in <i>x</i><p>p</p>out</div><nav><p>n</p></nav><pre>k\nl</pre>"
+    assert pages.page_blocks(html) == [
+        ("paragraph", "a"), ("paragraph", "b"), ("heading", "t"), ("paragraph", "d"), ("paragraph", "in x"), ("paragraph", "p"), ("paragraph", "out"), ("paragraph", "k\nl"),
+    ]
+
+
+def test_plain_text_blocks(spark):
+    text = "– one\r\n· two\n\t\nplain\u00a0 x\nmore\n— three\n12) four\n-five"
+    found, cut = pages.placed(pages.text_blocks(text))
+    assert [b[1:3] for b in found] == [("list_item", "– one"), ("list_item", "· two"), ("paragraph", "plain x more"), ("list_item", "— three"), ("list_item", "12) four"), ("paragraph", "-five")]
+    whole = "\n".join(b[2] for b in found)
+    assert not cut and all(whole[a:b] == t and n == k for k, (n, _, t, a, b) in enumerate(found))
+    docs = spark.createDataFrame([(1, "ab\n\ncdef\n\ng"), (2, None), (3, "x")], "doc_id long, text string")
+    out = pages.plain_text_blocks(docs, most=4)
+    assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [(1, 0, "paragraph", "ab", 0, 2, True), (3, 0, "paragraph", "x", 0, 1, False)]
+    at = pages.block_at(pages.plain_text_blocks(docs), spark.createDataFrame([(1, 0), (1, 2), (1, 6), (1, 99)], "doc_id long, at int"), "doc_id", "at")
+    assert {r["at"]: r.ordinal for r in at.collect()} == {0: 0, 2: None, 6: 1, 99: None}
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("050\u00a0123\u00a045\u00a067", "[phone]"), ("050 123 45 67 then 9050 123 45 67890", "[phone] then [phone] 67890"),
+        ("12 03 20 24 050 123 45 67", "12 03 20 24 [phone]"), ("Bearer\u00a0abcdefghijklmnopqrst", "Bearer [redacted]"), ("no digits", "no digits"), ("a@b.c 050 123 45 67", "[email] [phone]"),
+    ],
+)
+def test_redaction_where_it_stands(spark, text, want):
+    assert value(spark, tx.redact(F.col("t")), t=text) == want
+
+
+def test_script_profile_counts_letters_only(spark):
+    p = tx.script_profile(F.col("t"))
+    got = value(spark, F.array(*p.values()), t="é ü ó aż \u0482\u0483ії ы")
+    assert got == [8, 3, 2, 2, 1, 1]
+
+
+def test_filter_reasons_name_values(spark):
+    one = lambda x: F.array(*map(F.lit, x)) if x else F.expr("cast(array() as array<string>)")
+    job = {"company": F.lit("React"), "text": F.lit("PHP and Java"), "years": F.lit(5.0), "salary_max": F.lit(1000.0), "currency": F.lit("USD"), "remote": F.lit(False), "places": one(["Ukraine", "Kyiv"])}
+    wish = {"blacklist": one([" react "]), "blocked": one(["php", "go"]), "max_years": F.lit(3.0), "salary": F.lit(2000), "formats": one(["remote"]), "locations": one(["Poland"])}
+    assert value(spark, matching.filter_reasons(job, wish), t="") == [
+        'company "React" is blacklisted', "mentions blocked stack: php", "requires 5.0+ years, candidate caps at 3.0", "salary tops out at 1000.0 USD, below desired 2000 USD",
+        "candidate wants remote-only; job isn't remote", "job restricted to ['Ukraine', 'Kyiv'], outside candidate's ['Poland']",
+    ]
+
+
+def test_stratified_sample_is_a_round_robin(spark):
+    """Against the loop over strata in order of (band, language)."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, rng.uniform(-5, 110), rng.choice(["en", "uk", None, "zz"])) for k in range(200)]
+    strata = {}
+    for k, score, language in sorted(rows, key=lambda r: (-r[1], r[0])):
+        strata.setdefault((int(min(max(score, 0), 99.999) // 10 * 10), language or "unknown"), []).append(k)
+    want = []
+    while len(want) < 50:
+        for key in sorted(strata):
+            if strata[key] and len(want) < 50:
+                want.append(strata[key].pop(0))
+    pool = spark.createDataFrame(rows, "id int, score double, language string")
+    assert sorted(r.id for r in evaluation.stratified_sample(pool, 50).collect()) == sorted(want)
+
+
+def test_cosine_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 6))
+    x[7] = x[8]
+    items = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(900, [0.0] * 6), (901, [1.0]), (902, None)], "item_id int, vector array<double>")
+    users = items.where("item_id < 12 or item_id > 800").withColumnRenamed("item_id", "user_id")
+    got = matching.cosine_topk(users, items, 5, queries_a_block=4, item_blocks=3).toPandas()
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    for u in range(12):
+        want = np.lexsort((np.arange(300), -np.round(unit @ unit[u], 12)))[:5].tolist()
+        assert got[got.user_id == u].sort_values("rank").item_id.tolist() == want
+    assert got[got.user_id == 901].item_id.tolist() == [901] and not {900, 902} & {*got.user_id}
