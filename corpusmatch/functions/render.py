@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusmatch.functions.text import collapse, html_escape
+from corpusmatch.functions.text import collapse, fold_distinct, html_escape, redact
 
 JOB_CHARS, CV_CHARS = 4000, 8000
 
@@ -62,3 +62,38 @@ def card(score: Column, band: Column, title: Column, company: Column, similarity
         F.concat(F.lit("<b>"), html_escape(title), F.lit("</b> "), html_escape(company)),
         F.concat(F.lit("similarity "), percent(similarity), F.lit(", "), F.coalesce(F.concat(F.lit("relevance "), percent(relevance)), F.lit("not reranked"))),
     )
+
+
+def rerank_query(instruction: str, document: Column) -> Column:
+    """A fixed instruction, a blank line, the candidate's document."""
+    return F.concat(F.lit(instruction + "\n\n"), document)
+
+
+def competency_lists(items: Column) -> dict[str, Column]:
+    """required, preferred and other competencies of array<struct<necessity, name>>, each name once without regard to case."""
+    names = lambda keep: fold_distinct(F.transform(F.filter(items, keep), lambda c: c["name"]))
+    return {
+        "required": names(lambda c: c["necessity"] == "required"),
+        "preferred": names(lambda c: c["necessity"] == "preferred"),
+        "other": names(lambda c: ~F.coalesce(c["necessity"], F.lit("")).isin("required", "preferred")),
+    }
+
+
+def representations(fields: dict[str, Column]) -> Column:
+    """array<struct<field, body>> of the fields that say something, contact details taken out."""
+    made = (F.when(F.coalesce(F.trim(v), F.lit("")) != "", F.struct(F.lit(k).alias("field"), redact(F.trim(v)).alias("body"))) for k, v in fields.items())
+    return F.array_compact(F.array(*made))
+
+
+def candidate_representations(roles: Column, stack: Column, years: Column, cv: Column) -> Column:
+    """The four fields of a candidate."""
+    return representations({
+        "occupation": fold_distinct(roles), "competencies": fold_distinct(stack),
+        "experience": F.when(years > 0, F.concat(plain_number(years), F.lit("+ years"))), "full_profile": F.substring(collapse(cv), 1, CV_CHARS),
+    })
+
+
+def snapshot(facts: dict[str, Column]) -> Column:
+    """map of the facts that are there, as text, to be kept with a revision."""
+    pairs = F.array(*(F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in facts.items()))
+    return F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))

@@ -148,7 +148,7 @@ def round_score(x: Column, digits: int = 1) -> Column:
 
 def cities(text: Column, remote_marks: tuple[str, ...] = ("remote", "віддалено", "дистанційно")) -> Column:
     """Places of a comma-separated line, trimmed, without blanks and remote markers."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda p: (p != "") & ~F.lower(p).isin(*remote_marks))
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda p: (p != "") & ~F.lower(p).isin(*remote_marks))
 
 
 def is_markup(text: Column, marks: tuple[str, ...] = ("</p>", "</li>", "</div>", "</ul>", "</h", "<br")) -> Column:
@@ -164,6 +164,6 @@ def json_flag(raw: Column, path: str) -> Column:
 
 def fold_distinct(values: Column, separator: str = "; ") -> Column:
     """Non-blank values, the first of each without regard to case, joined."""
-    kept = F.filter(F.transform(values, F.trim), lambda v: v.isNotNull() & (v != ""))
+    kept = F.filter(F.transform(values, lambda x: F.trim(x)), lambda v: v.isNotNull() & (v != ""))
     lower = F.transform(kept, F.lower)
     return F.array_join(F.filter(kept, lambda v, k: F.array_position(lower, F.lower(v)) == k + 1), separator)

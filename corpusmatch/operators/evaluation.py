@@ -54,3 +54,13 @@ def coverage(pool: DataFrame) -> DataFrame:
     banded = pool.withColumn("band", score_band(F.col("score")))
     sets = banded.groupingSets([["band"], ["language"]], "band", "language")
     return sets.agg(F.count("*").alias("n"), F.grouping_id().alias("kind"))
+
+
+def new_sample(pool: DataFrame, existing: DataFrame, size: int) -> DataFrame:
+    """`stratified_sample` of what isn't in existing (id)."""
+    return stratified_sample(pool.join(existing.select("id"), "id", "left_anti"), size)
+
+
+def label_distribution(labels: DataFrame, label: str) -> DataFrame:
+    """(label, n) of labels that aren't null."""
+    return labels.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))

@@ -1,54 +1,203 @@
-"""Concept linking: alias index, and longest matches over tokenized text without overlaps."""
+"""Concept linking: alias index, longest matches in text without overlaps, given spans, and the rows of a linked profile."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_WORD = re.compile(r"\w+")
+_FOUND = ["start_char", "end_char", "start", "words", "raw_text", "form"]
+_SCHEMA = "start_char int, end_char int, start int, words int, raw_text string, form string"
+
+
+def normalize_label(label: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(label), r"\s+", " "))
+
 
 def alias_index(labels: DataFrame, shortest: int = 3) -> DataFrame:
-    """form, words, n_concepts, concept_id (the smallest), specificity from (concept_id, label).
+    """form, words, n_concepts, concept_ids (sorted), concept_id (the smallest), specificity from (concept_id, label).
 
     A single word's specificity falls with the number of label occurrences that contain it; phrases have 1.
     """
-    form = F.trim(F.regexp_replace(F.lower("label"), r"\s+", " "))
-    forms = labels.select("concept_id", form.alias("form")).where(F.length("form") >= shortest)
+    forms = labels.select("concept_id", normalize_label(F.col("label")).alias("form")).where(F.length("form") >= shortest)
     parts = forms.select(F.explode(F.array_distinct(F.split("form", " "))).alias("word")).groupBy("word").agg(F.count("*").alias("uses"))
-    index = forms.groupBy("form").agg(F.min("concept_id").alias("concept_id"), F.count_distinct("concept_id").alias("n_concepts"))
-    index = index.withColumn("words", F.size(F.split("form", " ")))
+    index = forms.groupBy("form").agg(F.array_sort(F.collect_set("concept_id")).alias("concept_ids"))
+    index = index.withColumns({"concept_id": F.col("concept_ids")[0], "n_concepts": F.size("concept_ids").cast("long"), "words": F.size(F.split("form", " "))})
     single = F.when(F.col("words") == 1, 1.0 / (1.0 + F.col("uses") / 20.0)).otherwise(1.0)
     return index.join(parts, F.col("form") == F.col("word"), "left").withColumn("specificity", F.coalesce(single, F.lit(1.0))).drop("word", "uses")
 
 
+def merge_labels(*sets: DataFrame) -> DataFrame:
+    """One (concept_id, label) set from several, each pair once."""
+    out = sets[0].select("concept_id", "label")
+    for one in sets[1:]:
+        out = out.unionByName(one.select("concept_id", "label"))
+    return out.distinct()
+
+
 def link_status(n_concepts, specificity, least: float = 0.2):
     return F.when(specificity < least, "unmapped").when(n_concepts == 1, "linked").when(n_concepts > 1, "ambiguous").otherwise("unmapped")
 
 
-def scan_mentions(docs: DataFrame, index: DataFrame, longest: int = 8) -> DataFrame:
-    """doc_id, start, words, form: from left to right the longest form wins and its words are used up.
+def tokenize(text: str | None) -> list[tuple[str, int, int]]:
+    """Words in lower case with their places; words are runs of letters, digits and underscores."""
+    return [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text or "")]
+
+
+def longest_matches(text: str | None, known, longest: int) -> list[tuple[int, int, int, int, str, str]]:
+    """From left to right the longest known form wins and its words are used up. known: anything that knows `in`."""
+    tokens, out, at = tokenize(text), [], 0
+    while at < len(tokens):
+        for words in range(min(longest, len(tokens) - at), 0, -1):
+            form = " ".join(t[0] for t in tokens[at : at + words])
+            if form in known:
+                start, end = tokens[at][1], tokens[at + words - 1][2]
+                out.append((start, end, at, words, text[start:end], form))
+                break
+        else:
+            words = 1
+        at += words
+    return out
+
+
+def _mapped(df: DataFrame, keys: list[str], text: str, each) -> DataFrame:
+    """keys and the matches that `each` finds in the text of every row, in one pass; memory is a batch's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, out = [], []
+            for row, one in enumerate(batch.column(text).to_pylist()):
+                found = each(one)
+                rows += [row] * len(found)
+                out += found
+            owners = [batch.column(k).take(pa.array(rows, pa.int64())) for k in keys]
+            kinds = [pa.int32()] * 4 + [pa.string()] * 2
+            columns = [pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 6, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*owners, *columns], [*keys, *_FOUND])
 
-    docs: (doc_id, tokens). N-grams start only at words that begin some form, found by a semi-join, so most tokens
-    never make one; the choice among a document's hits is a fold over them in order.
+    owners = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    return df.select(*keys, text).mapInArrow(run, f"{owners}, {_SCHEMA}")
+
+
+def scan_mentions(docs: DataFrame, index: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", longest: int = 8, most_forms: int = 1_000_000) -> DataFrame:
+    """keys, start_char, end_char, start (word), words, raw_text, form: longest matches of index forms, without overlaps.
+
+    Up to `most_forms` forms are broadcast and every text is scanned in one pass. More forms than that stay where
+    they are: all n-grams meet them by a join, and each text's hits are then told apart in order, with the same result.
     """
-    tokens = docs.select("doc_id", "tokens", F.posexplode("tokens").alias("start", "word"))
-    heads = index.select(F.substring_index("form", " ", 1).alias("word")).distinct()
-    starts = tokens.join(heads, "word", "left_semi")
-    grams = starts.select(
-        "doc_id", "start",
-        F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("tokens") - F.col("start")))).alias("words"),
-        "tokens",
-    ).select("doc_id", "start", "words", F.array_join(F.slice("tokens", F.col("start") + 1, F.col("words")), " ").alias("form"))
-    hits = grams.join(index.select("form"), "form").groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("start", (-F.col("words")).alias("less"), "form"))).alias("hits")
-    )
-    none = F.expr("cast(array() as array<struct<start:int,words:int,form:string>>)")
-    empty = F.struct(F.lit(0).alias("cursor"), none.alias("kept"))
+    keys_ = list(keys)
+    forms = index.select("form").distinct()
+    few = forms.limit(most_forms + 1).toPandas()["form"]
+    if len(few) <= most_forms:
+        known = docs.sparkSession.sparkContext.broadcast(frozenset(few))
+        return _mapped(docs, keys_, text, lambda one: longest_matches(one, known.value, longest))
+
+    def grams(one: str | None) -> list[tuple[int, int, int, int, str, str]]:
+        t = tokenize(one)
+        return [
+            (t[k][1], t[k + n - 1][2], k, n, one[t[k][1] : t[k + n - 1][2]], " ".join(w[0] for w in t[k : k + n]))
+            for k in range(len(t)) for n in range(1, min(longest, len(t) - k) + 1)
+        ]
+
+    hits = _mapped(docs, keys_, text, grams).join(forms, "form")
+    # Of the hits at a word only the longest can count; those left are taken if they start where the last one taken ended, or later.
+    hits = hits.groupBy(*keys_, "start").agg(F.max_by(F.struct(*_FOUND), "words").alias("hit"))
+    ordered = hits.groupBy(*keys_).agg(F.sort_array(F.collect_list(F.struct("start", "hit"))).alias("hits"))
+    none = F.expr(f"cast(array() as array<struct<{_SCHEMA.replace(' ', ':').replace(',:', ',')}>>)")
     step = lambda s, h: F.when(
         h["start"] >= s["cursor"],
-        F.struct(
-            (h["start"] - h["less"]).alias("cursor"),
-            F.concat(s["kept"], F.array(F.struct(h["start"].alias("start"), (-h["less"]).alias("words"), h["form"].alias("form")))).alias("kept"),
-        ),
+        F.struct((h["start"] + h["hit"]["words"]).alias("cursor"), F.concat(s["kept"], F.array(h["hit"])).alias("kept")),
     ).otherwise(s)
-    kept = hits.select("doc_id", F.explode(F.aggregate("hits", empty, step)["kept"]).alias("m"))
-    return kept.select("doc_id", "m.start", "m.words", "m.form")
+    kept = F.aggregate("hits", F.struct(F.lit(0).alias("cursor"), none.alias("kept")), step)["kept"]
+    return ordered.select(*keys_, F.explode(kept).alias("m")).select(*keys_, "m.*")
+
+
+def link_spans(spans: DataFrame, index: DataFrame, longest: int = 8, most_forms: int = 1_000_000) -> DataFrame:
+    """Given spans to mentions: (doc_id, raw_text, form, start_char, end_char, concept_ids, specificity).
+
+    spans: (doc_id, raw_text, start_char, end_char). The whole phrase first; else the forms inside it, at their places
+    in the document; else the span itself without concepts.
+    """
+    own = spans.select("doc_id", "raw_text", "start_char", "end_char").distinct().withColumn("form", normalize_label(F.col("raw_text")))
+    known = index.select("form", "concept_ids", "specificity")
+    whole = own.join(known, "form")
+    missed = own.join(known, "form", "left_anti")
+    shifted = missed.select("doc_id", F.col("start_char").alias("shift"), F.col("end_char").alias("until"), "raw_text")
+    inner = scan_mentions(shifted, index, ("doc_id", "shift", "until"), "raw_text", longest, most_forms)
+    places = {"start_char": F.col("start_char") + F.col("shift"), "end_char": F.col("end_char") + F.col("shift")}
+    columns = ["doc_id", "raw_text", "form", "start_char", "end_char", "concept_ids", "specificity"]
+    inside = inner.join(known, "form")
+    seen = inside.select("doc_id", F.col("shift").alias("start_char"), F.col("until").alias("end_char")).distinct()
+    rest = missed.join(seen, ["doc_id", "start_char", "end_char"], "left_anti")
+    empty = {"concept_ids": F.array().cast(index.schema["concept_ids"].dataType), "specificity": F.lit(1.0)}
+    return whole.select(columns).unionByName(inside.withColumns(places).select(columns)).unionByName(rest.withColumns(empty).select(columns))
+
+
+def first_mentions(mentions: DataFrame) -> DataFrame:
+    """The first mention of each form in a document."""
+    nth = F.row_number().over(Window.partitionBy("doc_id", "form").orderBy("start_char", "end_char"))
+    return mentions.withColumn("nth", nth).where("nth = 1").drop("nth")
+
+
+def link_rows(docs: DataFrame, spans: DataFrame, index: DataFrame, longest: int = 8) -> DataFrame:
+    """Rows of linked profiles: doc_id, form, raw_text, start_char, end_char, status, concept_id, alternatives, link_score, confidence.
+
+    docs: (doc_id, text); spans: (doc_id, raw_text, start_char, end_char, confidence). Documents with spans link those,
+    others are scanned whole. One row a form, its first. Only linked ones have a concept, only ambiguous ones
+    alternatives. The confidence is that of the span at the same place, 1 for what was found otherwise.
+    """
+    scanned = scan_mentions(docs.join(spans.select("doc_id").distinct(), "doc_id", "left_anti"), index, longest=longest)
+    scanned = scanned.join(index.select("form", "concept_ids", "specificity"), "form")
+    given = link_spans(spans, index, longest)
+    found = first_mentions(given.unionByName(scanned.select(*given.columns)))
+    status = link_status(F.size("concept_ids"), F.col("specificity"))
+    sure = spans.groupBy("doc_id", "start_char", "end_char").agg(F.max("confidence").alias("confidence"))
+    return found.join(sure, ["doc_id", "start_char", "end_char"], "left").select(
+        "doc_id", "form", "raw_text", "start_char", "end_char", status.alias("status"),
+        F.when(status == "linked", F.col("concept_ids")[0]).alias("concept_id"),
+        F.when(status == "ambiguous", F.col("concept_ids")).alias("alternatives"),
+        F.col("specificity").alias("link_score"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"),
+    )
+
+
+def status_counts(rows: DataFrame, by: str = "doc_id") -> DataFrame:
+    """linked, ambiguous and unmapped mentions of each profile."""
+    return rows.groupBy(by).agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("linked", "ambiguous", "unmapped")))
+
+
+def unmapped_counts(rows: DataFrame, seen: str = "doc_id") -> DataFrame:
+    """form, occurrences, sample (the raw text seen first), first_seen, last_seen of mentions without a concept."""
+    return rows.where("status = 'unmapped'").groupBy("form").agg(
+        F.count("*").alias("occurrences"), F.min_by("raw_text", F.struct(seen, "start_char")).alias("sample"), F.min(seen).alias("first_seen"), F.max(seen).alias("last_seen")
+    )
+
+
+def review_queue(terms: DataFrame, least: int = 2, limit: int = 500) -> DataFrame:
+    """Pending terms with enough occurrences, the most frequent first; at most 500."""
+    pending = terms.where((F.col("status") == "pending") & (F.col("occurrences") >= least))
+    return pending.orderBy(F.desc("occurrences"), "term").limit(min(limit, 500))
+
+
+def legacy_promotions(terms: DataFrame) -> DataFrame:
+    """Promoted terms that have no concept yet, the most frequent first."""
+    return terms.where("status = 'promoted' and concept_id is null").orderBy(F.desc("occurrences"), "term")
+
+
+def merge_language(concepts: DataFrame, labels: DataFrame, language: str) -> DataFrame:
+    """concepts (concept_id, labels map<language, forms>) with one more language from (concept_id, forms).
+
+    A language that a concept has is kept; labels of unknown concepts are passed over.
+    """
+    new = labels.groupBy("concept_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("forms")))).alias("new_forms"))
+    both = concepts.join(new, "concept_id", "left")
+    add = F.col("new_forms").isNotNull() & ~F.map_contains_key("labels", language)
+    return both.withColumn("labels", F.when(add, F.map_concat("labels", F.create_map(F.lit(language), "new_forms"))).otherwise(F.col("labels"))).drop("new_forms")
+
+
+def surface_forms(labels: Column) -> Column:
+    """All forms of all languages of a concept."""
+    return F.array_distinct(F.flatten(F.map_values(labels)))

@@ -139,3 +139,58 @@ def match_pass(pairs: DataFrame, config: MatchConfig) -> DataFrame:
 def quiet_hours(hour: Column, start: Column, end: Column) -> Column:
     """Half-open, may wrap midnight; equal ends mean never."""
     return F.when(start == end, False).when(start < end, (hour >= start) & (hour < end)).otherwise((hour >= start) | (hour < end))
+
+
+def reuse_relevance(pairs: DataFrame, stored: DataFrame) -> DataFrame:
+    """pairs with relevance and `reused`: a stored score counts iff user, item, model and both hashes are the same.
+
+    Both have (user_id, item_id, model, query_hash, doc_hash); a null hash on either side means pending.
+    """
+    keys = ["user_id", "item_id", "model", "query_hash", "doc_hash"]
+    known = stored.where("relevance is not null").groupBy(*keys).agg(F.max("relevance").alias("relevance"))
+    return pairs.join(known, keys, "left").withColumn("reused", F.col("relevance").isNotNull())
+
+
+def token_overlap(query: Column, document: Column) -> Column:
+    """Default relevance: share of the query's distinct words that the document has; null without any or without a document."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: w != ""))
+    q = words(query)
+    return F.try_divide(F.size(F.array_intersect(q, words(document))).cast("double"), F.nullif(F.size(q), F.lit(0)).cast("double"))
+
+
+def pass_summary(matches: DataFrame, users: DataFrame) -> DataFrame:
+    """A row for each user of (user_id, has_document): retrieved, eligible, filtered_out, reranked, reused, apply, consider, skip, skipped_reason."""
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    counts = matches.groupBy("user_id").agg(
+        F.count("*").alias("retrieved"), F.count_if(flag("eligible")).alias("eligible"), F.count_if(~flag("eligible")).alias("filtered_out"),
+        F.count_if(F.col("rerank_position").isNotNull()).alias("reranked"), F.count_if(F.col("rerank_position").isNotNull() & flag("reused")).alias("reused"),
+        *(F.count_if(F.col("recommendation") == b).alias(b) for b in ("apply", "consider", "skip")),
+    )
+    both = users.select("user_id", "has_document").join(counts, "user_id", "left")
+    numbers = counts.columns[1:]
+    reason = F.when(~F.col("has_document"), "no document").when(F.col("retrieved").isNull(), "nothing retrieved")
+    return both.select("user_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers), reason.alias("skipped_reason"))
+
+
+def models_in_use(vectors: DataFrame, model: str, configured: str) -> DataFrame:
+    """(document_type, model, rows, comparable): only vectors of the configured model can be compared, others are stale."""
+    counts = vectors.groupBy("document_type", F.col(model).alias("model")).agg(F.count("*").alias("rows"))
+    return counts.withColumn("comparable", F.col("model") == configured)
+
+
+def best_label_per_span(entities: DataFrame) -> DataFrame:
+    """One row for each exact span of a document, under its most confident label; of equal ones the first given (ord)."""
+    nth = F.row_number().over(Window.partitionBy("doc_id", "start_char", "end_char").orderBy(F.desc("confidence"), "ord"))
+    return entities.withColumn("nth", nth).where("nth = 1").drop("nth")
+
+
+def hidden_items(matches: DataFrame) -> DataFrame:
+    """(user_id, item_id) that a user doesn't see by default: skipped, not eligible, or rejected."""
+    hidden = (F.col("recommendation") == "skip") | ~F.col("eligible") | (F.col("decision") == "rejected")
+    return matches.where(F.coalesce(hidden, F.lit(False))).select("user_id", "item_id").distinct()
+
+
+def should_notify(enabled: Column, eligible: Column, score: Column, least: Column, hour: Column, start: Column, end: Column) -> Column:
+    """Unset settings: enabled, from 70, quiet from 22 to 8."""
+    d = F.coalesce
+    return d(enabled, F.lit(True)) & d(eligible, F.lit(False)) & (score >= d(least, F.lit(70))) & ~quiet_hours(hour, d(start, F.lit(22)), d(end, F.lit(8)))

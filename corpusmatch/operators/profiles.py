@@ -49,3 +49,57 @@ def job_profile(
         F.when(crossed, _discarded("compensation", "floor over ceiling", F.concat_ws("-", low.cast("string"), high.cast("string")))),
     ))
     return requirements, discarded, F.when(F.size(requirements) > 0, 1.0).otherwise(0.0)
+
+
+# Category of a competency by the label of its span.
+CATEGORIES = {"programming language": "skill", "framework": "skill", "tool": "tool", "technology": "skill", "language": "language", "soft skill": "soft_skill", "certification": "certification"}
+
+
+def verified_spans(docs: DataFrame, spans: DataFrame, most_chars: int = 12_000) -> DataFrame:
+    """spans (doc_id, label, start_char, end_char, quote, confidence) with `outcome`: kept, or why not.
+
+    A span must have whole places, lie within the first `most_chars` characters, and quote the text there.
+    """
+    cut = docs.select("doc_id", F.substring("text", 1, most_chars).alias("text"))
+    bare = F.col("start_char").isNull() | F.col("end_char").isNull() | (F.coalesce("quote", F.lit("")) == "")
+    bad = (F.col("start_char") < 0) | (F.col("end_char") <= F.col("start_char")) | (F.col("end_char") > F.length("text"))
+    said = F.substring(F.col("text"), F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))
+    outcome = F.when(bare, "bare").when(F.coalesce(bad, F.lit(True)), "out of bounds").when(said != F.col("quote"), "misquoted").otherwise("kept")
+    return spans.join(cut, "doc_id", "left").withColumn("outcome", outcome).drop("text")
+
+
+def competencies(verified: DataFrame) -> DataFrame:
+    """(doc_id, kept, rejected, warning): competencies of each document with category and confidence within 0 and 1, in order, and rejected spans with their reasons."""
+    kind = F.coalesce(F.create_map(*(F.lit(x) for p in CATEGORIES.items() for x in p))[F.lower("label")], F.lit("other"))
+    sure = F.least(F.greatest(F.col("confidence"), F.lit(0.0)), F.lit(1.0))
+    good = F.struct("start_char", "end_char", "quote", kind.alias("category"), sure.alias("confidence"))
+    wrong = F.struct("start_char", "end_char", "quote", F.col("outcome").alias("reason"))
+    pick = lambda one, when: F.array_sort(F.collect_list(F.when(when, one)))
+    ok = F.col("outcome") == "kept"
+    return verified.groupBy("doc_id").agg(pick(good, ok).alias("kept"), pick(wrong, ~ok).alias("rejected"))
+
+
+def with_fallback(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Every document with its competencies; those that no spans came for are structural, with a warning, and go to review."""
+    both = docs.select("doc_id").join(found, "doc_id", "left")
+    missing = F.col("kept").isNull()
+    return both.withColumns({"origin": F.when(missing, "structural").otherwise("neural"), "warning": F.when(missing, "no spans were found"), "review": missing})
+
+
+def profile_spans(requirements: Column, competencies_: Column) -> Column:
+    """Places of all evidence of a profile, from requirements (evidence) and competencies (start_char, end_char)."""
+    own = F.transform(F.filter(requirements, lambda r: r["evidence"].isNotNull()), lambda r: F.struct(r["evidence"]["start"].alias("start"), r["evidence"]["end"].alias("end")))
+    more = F.transform(F.filter(competencies_, lambda c: c["start_char"].isNotNull()), lambda c: F.struct(c["start_char"].alias("start"), c["end_char"].alias("end")))
+    return F.concat(own, more)
+
+
+def profile_violations(requirement: Column) -> Column:
+    """array<string> of the rules that a requirement breaks: places, evidence if explicit, known kinds."""
+    span = requirement["evidence"]
+    rules = {
+        "span bounds": span.isNotNull() & ((span["start"] < 0) | (span["end"] <= span["start"])),
+        "explicit without evidence": requirement["explicit"] & span.isNull(),
+        "unknown kind": ~requirement["kind"].isin("experience", "employment_type", "location", "compensation"),
+        "unknown necessity": ~requirement["necessity"].isin("required", "preferred", "unspecified"),
+    }
+    return F.array_compact(F.array(*(F.when(broken, F.lit(name)) for name, broken in rules.items())))

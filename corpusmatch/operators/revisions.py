@@ -32,3 +32,27 @@ def transitions(df: DataFrame, owner: str, order: str, status: str, allowed: Dat
     edges = allowed.select("from_status", "to_status", F.lit(True).alias("edge"))
     joined = steps.join(edges, ["from_status", "to_status"], "left")
     return joined.withColumn("legal", F.col("from_status").isNull() | F.coalesce("edge", F.lit(False))).drop("edge")
+
+
+def seed_revisions(owners: DataFrame, owner: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Revision 1 of every owner with the hash of its text, and the transition of its birth."""
+    first = owners.select(F.col(owner).alias("owner"), F.lit(1).cast("long").alias("revision_no"), F.sha2(F.col(text), 256).alias("content_hash"), F.lit("received").alias("status"))
+    return first, first.select("owner", "revision_no", F.lit(None).cast("string").alias("from_status"), F.col("status").alias("to_status"), F.lit("seeded").alias("reason"))
+
+
+def unparsed(revisions_: DataFrame, limit: int, *order: str) -> DataFrame:
+    """Revisions without parsed text that haven't failed, the oldest first."""
+    return revisions_.where("parsed_text is null and status <> 'failed'").orderBy(*order).limit(limit)
+
+
+def override_profile(profiles: DataFrame, edits: DataFrame) -> DataFrame:
+    """profiles (user_id, revision_no, origin, reviewed, competencies) with a new revision for each edit (user_id, competencies).
+
+    It replaces the competencies whole, counts as reviewed, and its origin is the user's override. Edits of users
+    without a profile are passed over.
+    """
+    newest = profiles.groupBy("user_id").agg(F.max("revision_no").alias("last"))
+    made = edits.join(newest, "user_id").select(
+        "user_id", (F.col("last") + 1).alias("revision_no"), F.lit("user_override").alias("origin"), F.lit(True).alias("reviewed"), "competencies"
+    )
+    return profiles.select(*made.columns).unionByName(made)

@@ -49,3 +49,85 @@ def purge_counts(parents: DataFrame, children: DataFrame, key: str, seen: str, c
     gone = parents.groupBy(key).agg(F.max(seen).alias("seen")).where(F.col("seen") < cutoff).select(key)
     rows = lambda df, name: df.join(gone, key, "left_semi").agg(F.lit(name).alias("entity"), F.count("*").alias("purged"))
     return gone.agg(F.lit("keys").alias("entity"), F.count("*").alias("purged")).unionByName(rows(parents, "parents")).unionByName(rows(children, "children"))
+
+
+def insert_counts(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """(offered, added): how many rows `insert_absent` would get and keep."""
+    added = new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti").select(F.lit(1).alias("added"))
+    return new.select(F.lit(0).alias("added")).unionByName(added.select(F.lit(1).alias("added"))).agg(F.count_if(F.col("added") == 0).alias("offered"), F.count_if(F.col("added") == 1).alias("added"))
+
+
+def recent(df: DataFrame, *order: Column, limit: int = 20) -> DataFrame:
+    """The first rows in order; the limit is held within 1 and 100."""
+    return df.orderBy(*order).limit(min(max(limit, 1), 100))
+
+
+def repoint(pairs: DataFrame, owner: str, old: int | str, new: int | str, key: str) -> DataFrame:
+    """pairs with those of `old` handed to `new`, but for keys that `new` has already, which stay."""
+    taken = pairs.where(F.col(owner) == new).select(key).distinct().withColumn("taken", F.lit(True))
+    moved = (F.col(owner) == old) & F.col("taken").isNull()
+    out = pairs.join(taken, key, "left").withColumn(owner, F.when(moved, F.lit(new)).otherwise(F.col(owner)))
+    return out.select(*pairs.columns)
+
+
+def owned(df: DataFrame, requests: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(requests that name a row of df, requests refused), for deletes that only owners may make."""
+    rows = df.select(*keys).distinct()
+    return requests.join(rows, keys, "left_semi"), requests.join(rows, keys, "left_anti")
+
+
+def judgements(pairs: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs after the last decision on each, decisions refused).
+
+    pairs: (pair_id, candidate, label, annotator, annotated_at); decisions: (pair_id, candidate, label, annotator, at). A
+    null label clears label, annotator and time together. Decisions on pairs of another candidate are refused.
+    """
+    keys = ["pair_id", "candidate"]
+    last = decisions.groupBy(*keys).agg(F.max_by(F.struct("label", "annotator", "at"), "at").alias("d"))
+    set_ = F.col("d.label").isNotNull()
+    pick = lambda new, old: F.when(F.col("d").isNull(), F.col(old)).when(set_, F.col(new)).alias(old)
+    judged = pairs.join(last, keys, "left").select(*keys, pick("d.label", "label"), pick("d.annotator", "annotator"), pick("d.at", "annotated_at"))
+    return judged, decisions.join(pairs.select(*keys), keys, "left_anti")
+
+
+def activate(versions: DataFrame, namespace: str, version: str, concepts: int) -> DataFrame:
+    """versions (namespace, version, status, concepts, error) after an import of `version` was counted.
+
+    If the stored count is the one found it becomes active and the active one before it superseded; otherwise it fails
+    and says so, and the active one stays. Other namespaces stay.
+    """
+    own = (F.col("namespace") == namespace) & (F.col("version") == version)
+    right = versions.where(own & (F.col("concepts") == concepts)).limit(1).count() == 1
+    if not right:
+        said = F.concat(F.lit(f"found {concepts} concepts, expected "), F.col("concepts").cast("string"))
+        return versions.withColumns({"status": F.when(own, "failed").otherwise(F.col("status")), "error": F.when(own, said).otherwise(F.col("error"))})
+    status = F.when(own, "active").when((F.col("namespace") == namespace) & (F.col("status") == "active"), "superseded").otherwise(F.col("status"))
+    return versions.withColumns({"status": status, "error": F.when(own, None).otherwise(F.col("error"))})
+
+
+def run_metrics(run: Column, step: str, counts: dict[str, Column]) -> Column:
+    """array of (run, step, metric, value), to be exploded and appended to the log of a run."""
+    return F.array(*(F.struct(run.alias("run"), F.lit(step).alias("step"), F.lit(k).alias("metric"), v.cast("long").alias("value")) for k, v in counts.items()))
+
+
+def with_newest(owners: DataFrame, rows: DataFrame, key: str, columns: list[str], *order: Column) -> DataFrame:
+    """owners with `columns` of the newest of their rows; null without any."""
+    return owners.join(latest_per_key(rows, [key], *order).select(key, *columns), key, "left")
+
+
+def status_report(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row: the rows of each table, and `blockers`, the names of the empty ones."""
+    each = reduce(DataFrame.unionByName, (df.select(F.lit(n).alias("name")) for n, df in tables.items()))
+    counts = each.agg(*(F.count_if(F.col("name") == n).alias(n) for n in tables))
+    return counts.withColumn("blockers", F.array_compact(F.array(*(F.when(F.col(n) == 0, F.lit(n)) for n in tables))))
+
+
+def missing_categories(history: DataFrame, categories: DataFrame, keys: list[str], seen: str) -> DataFrame:
+    """keys and the last time of each category; null for those that never ran."""
+    last = history.groupBy(*keys).agg(F.max(seen).alias("last"))
+    return categories.select(*keys).distinct().join(last, keys, "left")
+
+
+def resolved_edges(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """Distinct (a, b) whose ends are both known; the others are left out."""
+    return edges.join(sources.select("a").distinct(), "a", "left_semi").join(targets.select("b").distinct(), "b", "left_semi").select("a", "b").distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmatch.functions import render, text as tx
 from corpusmatch.operators import batching as bt
+from corpusmatch.operators import clustering as cl
 from corpusmatch.operators import evaluation as ev
 from corpusmatch.operators import linking as ln
 from corpusmatch.operators import matching as mt
@@ -18,6 +19,7 @@ from corpusmatch.operators import revisions as rv
 from corpusmatch.operators import tables as tb
 from corpusmatch.sources import feeds as fd
 from corpusmatch.sources import pages as pg
+from corpusmatch.sources import postings as po
 from corpusmatch.streaming import jobs as st
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,10 +184,14 @@ def transition_audit(t):
     return rv.transitions(e, "user_id", "event_id", "event_type", edges).select("user_id", "event_id", "from_status", "to_status", "legal")
 
 
-@_query("""WITH l AS (SELECT user_id % 3 AS source, event_type AS category, max(ts) AS last FROM events GROUP BY 1, 2)
-SELECT source, category, last FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY last NULLS FIRST, category) n FROM l) WHERE n = 1""")
+@_query("""WITH c AS (SELECT DISTINCT user_id AS source, category FROM events, (VALUES ('signup'), ('view'), ('click'), ('purchase'), ('error'), ('refund')) v(category)),
+l AS (SELECT user_id AS source, event_type AS category, max(ts) AS last FROM events WHERE value > 20 GROUP BY 1, 2)
+SELECT source, category, last FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY last NULLS FIRST, category) n FROM c LEFT JOIN l USING (source, category)) WHERE n = 1""")
 def category_rotation(t):
-    last = t("events").groupBy((F.col("user_id") % 3).alias("source"), F.col("event_type").alias("category")).agg(F.max("ts").alias("last"))
+    e = t("events").select(F.col("user_id").alias("source"), F.col("event_type").alias("category"), "ts", "value")
+    names = F.explode(F.array(*map(F.lit, ("signup", "view", "click", "purchase", "error", "refund"))))
+    every = e.select("source").distinct().select("source", names.alias("category"))
+    last = tb.missing_categories(e.where("value > 20"), every, ["source", "category"], "ts")
     return tb.latest_per_key(last, ["source"], F.asc_nulls_first("last"), F.asc("category")).select("source", "category", "last")
 
 
@@ -199,13 +205,19 @@ def stale_purge_counts(t):
     return tb.purge_counts(orders, items, "o_custkey", "o_orderdate", F.lit("1998-01-01").cast("timestamp_ntz"))
 
 
-@_query("""SELECT event_id, user_id, value FROM events e WHERE value >= 50 AND NOT (hour(ts) >= 22 OR hour(ts) < 8)
-AND NOT EXISTS (SELECT 1 FROM events d WHERE d.user_id = e.user_id AND d.event_type = 'purchase')""")
+@_query("""SELECT event_id, user_id, value FROM events e LEFT JOIN customer ON c_custkey = user_id
+WHERE event_type <> 'error' AND value >= CASE WHEN c_nationkey < 12 THEN 40 ELSE 70 END AND NOT (CASE WHEN c_nationkey < 12 THEN hour(ts) >= 1 AND hour(ts) < 6 ELSE hour(ts) >= 22 OR hour(ts) < 8 END)
+AND coalesce(c_acctbal > 0, true) AND NOT EXISTS (SELECT 1 FROM events d WHERE d.user_id = e.user_id AND d.event_id = e.event_id + 150)""")
 def notify_candidates(t):
-    e = t("events")
-    fits = (F.col("value") >= 50) & ~mt.quiet_hours(F.hour("ts"), F.lit(22), F.lit(8))
-    done = e.where("event_type = 'purchase'").select("user_id")
-    return e.where(fits).join(done, "user_id", "left_anti").select("event_id", "user_id", "value")
+    """Users of the first nations have settings of their own, the others the defaults."""
+    own = F.col("c_nationkey") < 12
+    settings = t("customer").select(
+        F.col("c_custkey").alias("user_id"), (F.col("c_acctbal") > 0).alias("enabled"), F.when(own, 40).alias("least"), F.when(own, 1).alias("start"), F.when(own, 6).alias("end")
+    )
+    e = t("events").join(settings, "user_id", "left")
+    fits = mt.should_notify(F.col("enabled"), F.col("event_type") != "error", F.col("value"), F.col("least"), F.hour("ts"), F.col("start"), F.col("end"))
+    delivered = t("events").select("user_id", (F.col("event_id") - 150).alias("event_id"))
+    return e.where(fits).join(delivered, ["user_id", "event_id"], "left_anti").select("event_id", "user_id", "value")
 
 
 @_query("""SELECT o_orderkey, c_name, o_totalprice FROM orders LEFT JOIN customer ON o_custkey = c_custkey
@@ -351,14 +363,20 @@ def alias_specificity(t):
     return index.select("form", "concept_id", "n_concepts", "words", _rounded(F.col("specificity"), 6).alias("specificity"), ln.link_status(F.col("n_concepts"), F.col("specificity")).alias("status"))
 
 
-def _mentions(t) -> DataFrame:
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    bench = t("benchmark").select("item_id", words.alias("w"))
+def _words(column: str):
+    return F.filter(F.split(F.lower(column), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+
+
+def _forms(t, longest: int = 3) -> DataFrame:
+    """Forms of 1 to 3 words from whole benchmark texts, with the item each comes from."""
     n = F.size("w")
-    grams = bench.select("item_id", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda s: F.array_join(F.slice("w", s, k), " "))))).alias("form"))
-    index = grams.groupBy("form").agg(F.min("item_id").alias("concept_id"))
-    docs = t("documents").select("doc_id", words.alias("tokens"))
-    return ln.scan_mentions(docs, index, longest=3)
+    slices = F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda s: F.array_join(F.slice("w", s, k), " ")))
+    return t("benchmark").select("item_id", _words("text").alias("w")).select(F.col("item_id").alias("concept_id"), F.explode(F.flatten(slices)).alias("label"))
+
+
+def _mentions(t) -> DataFrame:
+    index = _forms(t).select(F.col("label").alias("form")).distinct()
+    return ln.scan_mentions(t("documents"), index, longest=3).drop("raw_text")
 
 
 @_query()
@@ -366,26 +384,50 @@ def scan_mentions(t):
     return _mentions(t)
 
 
+def _linked(t) -> DataFrame:
+    """English documents have spans, their lines; the others are scanned."""
+    docs = t("documents").select("doc_id", "text", "lang")
+    lines = docs.where("lang = 'en'").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "raw_text"), F.split("text", "\n").alias("all"))
+    start = F.aggregate(F.slice("all", 1, F.col("k")), F.lit(0), lambda s, x: s + F.length(x) + 1)
+    spans = lines.where("raw_text <> ''").select("doc_id", "raw_text", start.alias("start_char"), (start + F.length("raw_text")).alias("end_char"), F.lit(0.5).alias("confidence"))
+    return ln.link_rows(docs, spans, ln.alias_index(_forms(t, 2)), longest=2)
+
+
 @_query()
-def unmapped_terms(t):
-    m = _mentions(t).groupBy("form").agg(F.count("*").alias("occurrences"), F.count_distinct("doc_id").alias("documents"), F.min("doc_id").alias("first_doc"))
-    return m.where("occurrences >= 2")
+def linked_mentions(t):
+    return _linked(t).withColumn("alternatives", F.concat_ws(",", "alternatives"))
 
 
-@_query("""SELECT source, string_agg(lang || '=' || n, ';' ORDER BY lang) AS labels, sum(n) AS total FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY 1""")
-def language_merge(t):
-    n = t("documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
-    pairs = F.array_sort(F.collect_list(F.concat("lang", F.lit("="), F.col("n").cast("string"))))
-    return n.groupBy("source").agg(F.array_join(pairs, ";").alias("labels"), F.sum("n").alias("total"))
+@_query()
+def mention_status_counts(t):
+    return ln.status_counts(_linked(t))
+
+
+@_query()
+def unmapped_terms(t):
+    return ln.unmapped_counts(_linked(t))
 
 
-@_query("""WITH e AS (SELECT n_nationkey AS a, n_regionkey AS b FROM nation UNION ALL SELECT n_nationkey, 99 FROM nation WHERE n_nationkey < 3 UNION ALL SELECT n_nationkey, n_regionkey FROM nation WHERE n_nationkey > 20),
-k AS (SELECT DISTINCT a, b FROM e WHERE b IN (SELECT r_regionkey FROM region)) SELECT (SELECT count(*) FROM k) AS kept, (SELECT count(*) FROM e) - (SELECT count(*) FROM k) AS skipped""")
+@_query("""WITH c AS (SELECT p_partkey AS concept_id, list_sort(list_distinct(string_split(p_name, ' '))) AS en, p_size % 2 = 0 AS has_de, p_type FROM part),
+n AS (SELECT l_partkey AS concept_id, list_sort(list_distinct(list(l_returnflag))) AS forms FROM (SELECT l_partkey, l_returnflag FROM lineitem UNION ALL SELECT -1, 'x') GROUP BY 1)
+SELECT c.concept_id, array_to_string(en, ',') AS en, CASE WHEN has_de THEN p_type ELSE array_to_string(forms, ',') END AS de FROM c LEFT JOIN n USING (concept_id)""")
+def language_merge(t):
+    c = t("part").select(F.col("p_partkey").alias("concept_id"), F.array_sort(F.array_distinct(F.split("p_name", " "))).alias("en"), F.when(F.col("p_size") % 2 == 0, F.array("p_type")).alias("de"))
+    empty = F.create_map().cast("map<string,array<string>>")
+    own = F.map_concat(F.create_map(F.lit("en"), "en"), F.when(F.col("de").isNotNull(), F.create_map(F.lit("de"), "de")).otherwise(empty))
+    more = t("lineitem").select(F.col("l_partkey").alias("concept_id"), F.array("l_returnflag").alias("forms"))
+    more = more.unionByName(more.limit(1).select(F.lit(-1).cast("long").alias("concept_id"), F.array(F.lit("x")).alias("forms")))
+    out = ln.merge_language(c.select("concept_id", own.alias("labels")), more, "de")
+    # A language that isn't there is null, an empty one can't be.
+    return out.select("concept_id", F.array_join(F.col("labels")["en"], ",").alias("en"), F.array_join(F.col("labels")["de"], ",").alias("de"))
+
+
+@_query("""WITH e AS (SELECT l_orderkey AS a, l_partkey AS b FROM lineitem UNION ALL SELECT o_orderkey, -o_custkey FROM orders)
+SELECT DISTINCT a, b FROM e WHERE a IN (SELECT o_orderkey FROM orders) AND b IN (SELECT p_partkey FROM part WHERE p_size > 5)""")
 def edge_resolution(t):
-    n = t("nation").select(F.col("n_nationkey").alias("a"), F.col("n_regionkey").alias("b"))
-    edges = n.unionByName(n.where("a < 3").withColumn("b", F.lit(99))).unionByName(n.where("a > 20"))
-    kept = edges.join(t("region"), F.col("b") == F.col("r_regionkey"), "left_semi").distinct()
-    return kept.agg(F.count("*").alias("kept")).join(edges.agg(F.count("*").alias("total"))).select("kept", (F.col("total") - F.col("kept")).alias("skipped"))
+    edges = t("lineitem").select(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b"))
+    edges = edges.unionByName(t("orders").select(F.col("o_orderkey").alias("a"), (-F.col("o_custkey")).alias("b")))
+    return tb.resolved_edges(edges, t("orders").select(F.col("o_orderkey").alias("a")), t("part").where("p_size > 5").select(F.col("p_partkey").alias("b")))
 
 
 _RANKED = """r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
@@ -559,3 +601,195 @@ a + (a < 10 AND event_type = 'click' AND value > 60)::BIGINT AS attempts FROM (S
 def stream_relay(stream):
     errors = {"click": F.when(F.col("value") > 60, "over the limit"), "view": F.lit(None)}
     return st.stream_relay(stream, "event_type", F.col("event_id") % 12, errors, "event_id").select("event_id", "status", "attempts")
+
+
+@_query()
+def dedup_clusters(t):
+    company = F.concat_ws(" ", "p_brand", F.substring_index("p_type", " ", 2), F.col("p_size").cast("string"))
+    rows = t("part").select("p_partkey", company.alias("company"), F.col("p_name").alias("title"), F.concat_ws(" ", "p_type", "p_name").alias("description"))
+    return cl.leader_clusters(rows, "p_partkey", "p_partkey")
+
+
+@_query("""WITH n AS (SELECT sha256(text) AS cluster, source, arg_max('u' || doc_id, doc_id) AS url FROM documents GROUP BY 1, 2)
+SELECT cluster, string_agg(source || '=' || url, ';' ORDER BY source) AS links FROM n GROUP BY 1""")
+def source_links(t):
+    rows = t("documents").select(F.sha2("text", 256).alias("cluster"), "source", F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), F.col("doc_id").alias("normalized_at"))
+    pairs = F.transform("links", lambda x: F.concat(x["source"], F.lit("="), x["url"]))
+    return cl.source_links(rows).select("cluster", F.array_join(pairs, ";").alias("links"))
+
+
+@_query("""SELECT doc_id, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND n_chars % 11 <> 0 THEN (n_chars % 100) / 100.0::DOUBLE END AS relevance,
+doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND n_chars % 11 <> 0 AS reused FROM documents""")
+def rerank_cache_split(t):
+    d = t("documents").select("doc_id", "n_chars", F.lit("m").alias("model"), tx.text_hash(F.col("source")).alias("query_hash"), tx.text_hash(F.col("text")).alias("doc_hash"))
+    d = d.withColumns({"user_id": F.col("doc_id") % 10, "item_id": F.col("doc_id")})
+    relevance = F.when(F.col("n_chars") % 11 != 0, (F.col("n_chars") % 100) / 100.0)
+    changed = F.when(F.col("doc_id") % 7 == 0, F.lit(None)).otherwise(F.col("doc_hash"))
+    stored = d.where("doc_id % 5 <> 0").select("user_id", "item_id", "model", "query_hash", changed.alias("doc_hash"), relevance.alias("relevance"))
+    return mt.reuse_relevance(d, stored).select("doc_id", "relevance", "reused")
+
+
+@_query(r"""WITH n AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations),
+w AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '')) AS q,
+ list_distinct(list_filter(regexp_split_to_array(lower(answer), '[^\p{L}\p{N}_]+'), lambda x: x <> '')) AS d FROM n)
+SELECT conv_id, turn, CASE WHEN answer IS NOT NULL THEN floor(CAST(len(list_intersect(q, d)) AS DOUBLE) / nullif(len(q), 0) * 1000000 + 0.5) / 1000000 END AS relevance FROM w""")
+def pair_relevance(t):
+    answer = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    c = t("conversations").select("conv_id", "turn", "text", answer.alias("answer"))
+    return c.select("conv_id", "turn", _rounded(mt.token_overlap(F.col("text"), F.col("answer")), 6).alias("relevance"))
+
+
+@_query("""WITH m AS (SELECT user_id, value >= 20 AS eligible, event_type = 'click' AS reranked, event_type = 'click' AND value > 50 AS reused,
+ CASE WHEN value >= 70 THEN 'apply' WHEN value >= 45 THEN 'consider' ELSE 'skip' END AS r FROM events),
+g AS (SELECT user_id, count(*) AS retrieved, count(*) FILTER (eligible) AS eligible, count(*) FILTER (NOT eligible) AS filtered_out, count(*) FILTER (reranked) AS reranked, count(*) FILTER (reused) AS reused,
+ count(*) FILTER (r = 'apply') AS apply, count(*) FILTER (r = 'consider') AS consider, count(*) FILTER (r = 'skip') AS skip FROM m GROUP BY 1)
+SELECT c_custkey AS user_id, coalesce(retrieved, 0) AS retrieved, coalesce(eligible, 0) AS eligible, coalesce(filtered_out, 0) AS filtered_out, coalesce(reranked, 0) AS reranked, coalesce(reused, 0) AS reused,
+ coalesce(apply, 0) AS apply, coalesce(consider, 0) AS consider, coalesce(skip, 0) AS skip,
+ CASE WHEN NOT c_acctbal > 0 THEN 'no document' WHEN retrieved IS NULL THEN 'nothing retrieved' END AS skipped_reason FROM customer LEFT JOIN g ON user_id = c_custkey""")
+def pass_summary(t):
+    click = F.col("event_type") == "click"
+    m = t("events").select("user_id", (F.col("value") >= 20).alias("eligible"), F.when(click, 1).alias("rerank_position"), (click & (F.col("value") > 50)).alias("reused"), mt.band(F.col("value"), mt.MatchConfig()).alias("recommendation"))
+    return mt.pass_summary(m, t("customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_acctbal") > 0).alias("has_document")))
+
+
+@_query("SELECT event_type AS document_type, user_id % 3 AS model, count(*) AS rows, user_id % 3 = 1 AS comparable FROM events GROUP BY ALL")
+def model_usage(t):
+    return mt.models_in_use(t("events").select(F.col("event_type").alias("document_type"), (F.col("user_id") % 3).alias("m")), "m", 1)
+
+
+@_query("""SELECT user_id AS doc_id, start_char, end_char, event_type AS label, value AS confidence, event_id AS ord FROM
+(SELECT *, event_id % 50 AS start_char, event_id % 50 + 3 AS end_char, row_number() OVER (PARTITION BY user_id, event_id % 50 ORDER BY value DESC, event_id) AS n FROM events) WHERE n = 1""")
+def best_span_labels(t):
+    at = F.col("event_id") % 50
+    e = t("events").select(F.col("user_id").alias("doc_id"), at.alias("start_char"), (at + 3).alias("end_char"), F.col("event_type").alias("label"), F.col("value").alias("confidence"), F.col("event_id").alias("ord"))
+    return mt.best_label_per_span(e)
+
+
+@_query("""SELECT event_id, user_id FROM events WHERE NOT (value < 45 OR event_type = 'error' OR (event_type = 'purchase' AND value < 60))""")
+def visible_items(t):
+    e = t("events")
+    m = e.select("user_id", F.col("event_id").alias("item_id"), mt.band(F.col("value"), mt.MatchConfig()).alias("recommendation"), (F.col("event_type") != "error").alias("eligible"), F.when((F.col("event_type") == "purchase") & (F.col("value") < 60), "rejected").alias("decision"))
+    return e.select("event_id", "user_id").join(mt.hidden_items(m).withColumnRenamed("item_id", "event_id"), ["user_id", "event_id"], "left_anti").select("event_id", "user_id")
+
+
+@_query("""WITH f AS (SELECT * FROM (SELECT l_suppkey AS source, l_orderkey AS external_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n <= 20)
+SELECT source, external_id FROM f WHERE (source, external_id) NOT IN (SELECT l_suppkey, l_orderkey FROM lineitem WHERE l_quantity > 30)""")
+def capped_ingest(t):
+    rows = t("lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_orderkey").alias("external_id"), "l_linenumber", "l_quantity")
+    known = rows.where("l_quantity > 30")
+    return po.capped(rows, known, ["source", "external_id"], 20, F.asc("external_id"), F.asc("l_linenumber")).select("source", "external_id")
+
+
+@_query("""SELECT o_orderkey, o_orderdate, l_linenumber, l_quantity FROM orders LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_quantity DESC) AS n FROM lineitem WHERE l_returnflag <> 'R') WHERE n = 1) ON l_orderkey = o_orderkey""")
+def newest_revision(t):
+    rows = t("lineitem").where("l_returnflag <> 'R'").withColumnRenamed("l_orderkey", "o_orderkey")
+    return tb.with_newest(t("orders").select("o_orderkey", "o_orderdate"), rows, "o_orderkey", ["l_linenumber", "l_quantity"], F.desc("l_shipdate"), F.desc("l_linenumber"), F.desc("l_quantity"))
+
+
+@_query("""WITH p AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), k AS (SELECT l_partkey FROM p WHERE l_suppkey = 2)
+SELECT CASE WHEN l_suppkey = 1 AND l_partkey NOT IN (FROM k) THEN 2 ELSE l_suppkey END AS l_suppkey, l_partkey FROM p""")
+def repointed_pairs(t):
+    return tb.repoint(t("lineitem").select("l_suppkey", "l_partkey").distinct(), "l_suppkey", 1, 2, "l_partkey")
+
+
+@_query("SELECT quality AS label, count(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY 1")
+def label_distribution(t):
+    return ev.label_distribution(t("labels"), "quality")
+
+
+@_query("""SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM embeddings) AS vectors, (SELECT count(*) FROM labels) AS judged, 0 AS active_versions, 'active_versions' AS blockers""")
+def system_status(t):
+    none = t("documents").where("doc_id < 0")
+    out = tb.status_report({"documents": t("documents"), "vectors": t("embeddings"), "judged": t("labels"), "active_versions": none})
+    return out.withColumn("blockers", F.array_join("blockers", ","))
+
+
+@_query("""SELECT count(*) FILTER (event_type = 'error' AND value < 90) AS undelivered, count(*) FILTER (event_type = 'view') AS pending, count(*) FILTER (event_type = 'click') AS revisions, count(DISTINCT user_id) AS users FROM events""")
+def backlog_depths(t):
+    kind = F.col("event_type")
+    return t("events").agg(F.count_if((kind == "error") & (F.col("value") < 90)).alias("undelivered"), F.count_if(kind == "view").alias("pending"), F.count_if(kind == "click").alias("revisions"), F.count_distinct("user_id").alias("users"))
+
+
+@_query(f"""SELECT id, score, language, band, depth FROM (SELECT *, CAST(row_number() OVER (PARTITION BY band, coalesce(language, 'unknown') ORDER BY score DESC, id) AS INTEGER) AS depth FROM ({_POOL}) WHERE id NOT IN (SELECT doc_id FROM labels))
+ORDER BY depth, band, coalesce(language, 'unknown') LIMIT 200""")
+def sample_builder(t):
+    return ev.new_sample(_pool(t), t("labels").select(F.col("doc_id").alias("id")), 200)
+
+
+@_query("SELECT event_id, user_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
+def recent_runs(t):
+    return tb.recent(t("events").select("event_id", "user_id", "ts"), F.desc("ts"), F.desc("event_id"), limit=1000)
+
+
+@_query("""SELECT p_type AS term, count(*) AS occurrences FROM part GROUP BY 1 HAVING count(*) >= 2 AND max(p_size) % 2 = 0 ORDER BY 2 DESC, 1 LIMIT 500""")
+def review_queue(t):
+    terms = t("part").groupBy(F.col("p_type").alias("term")).agg(F.count("*").alias("occurrences"), F.when(F.max("p_size") % 2 == 0, "pending").otherwise("ignored").alias("status"))
+    return ln.review_queue(terms, limit=900).select("term", "occurrences")
+
+
+@_query("""WITH d AS (SELECT event_id % 500 AS pair_id, user_id % 2 AS candidate, CASE WHEN value > 50 THEN NULL ELSE 1 END AS label, 'u' || user_id AS annotator, event_id AS made FROM events),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, candidate ORDER BY made DESC) AS n FROM d) WHERE n = 1)
+SELECT p.doc_id AS pair_id, CASE WHEN l.pair_id IS NULL THEN p.quality ELSE l.label END AS label, CASE WHEN l.pair_id IS NULL THEN 'seed' WHEN l.label IS NOT NULL THEN l.annotator END AS annotator,
+CASE WHEN l.pair_id IS NULL THEN 0 WHEN l.label IS NOT NULL THEN l.made END AS annotated_at FROM labels p LEFT JOIN l ON l.pair_id = p.doc_id AND l.candidate = p.doc_id % 2""")
+def judgement_overlay(t):
+    pairs = t("labels").select(F.col("doc_id").alias("pair_id"), (F.col("doc_id") % 2).alias("candidate"), F.col("quality").alias("label"), F.lit("seed").alias("annotator"), F.lit(0).cast("long").alias("annotated_at"))
+    label, who = F.when(F.col("value") <= 50, 1).alias("label"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("annotator")
+    made = t("events").select((F.col("event_id") % 500).alias("pair_id"), (F.col("user_id") % 2).alias("candidate"), label, who, F.col("event_id").alias("at"))
+    return tb.judgements(pairs, made)[0].drop("candidate")
+
+
+@_query("""SELECT user_id, event_id, EXISTS (SELECT 1 FROM orders WHERE o_custkey = user_id AND o_orderkey = event_id) AS allowed FROM events""")
+def owned_deletes(t):
+    asked = t("events").select("user_id", "event_id")
+    yes, no = tb.owned(t("orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("event_id")), asked, ["user_id", "event_id"])
+    return yes.withColumn("allowed", F.lit(True)).unionByName(no.withColumn("allowed", F.lit(False)))
+
+
+@_query("SELECT doc_id AS owner, 1 AS revision_no, sha256(text) AS content_hash, 'received' AS status FROM documents")
+def seed_revisions(t):
+    return rv.seed_revisions(t("documents"), "doc_id", "text")[0]
+
+
+@_query("SELECT doc_id, n_chars FROM documents WHERE n_chars % 3 = 0 AND source <> 'web' ORDER BY n_chars, doc_id LIMIT 100")
+def unparsed_backlog(t):
+    d = t("documents").select("doc_id", "n_chars", F.when(F.col("n_chars") % 3 != 0, "x").alias("parsed_text"), F.when(F.col("source") == "web", "failed").otherwise("received").alias("status"))
+    return rv.unparsed(d, 100, "n_chars", "doc_id").select("doc_id", "n_chars")
+
+
+@_query("""SELECT doc_id, CASE WHEN n_chars % 5 = 0 THEN 'bare' WHEN length(text) < 4 THEN 'out of bounds' WHEN n_chars % 7 = 0 THEN 'misquoted' ELSE 'kept' END AS outcome FROM documents WHERE text IS NOT NULL""")
+def span_verification(t):
+    d = t("documents").where("text is not null")
+    quote = F.when(F.col("n_chars") % 5 == 0, "").when(F.col("n_chars") % 7 == 0, "~~~~").otherwise(F.substring("text", 1, 4))
+    spans = d.select("doc_id", F.lit("tool").alias("label"), F.lit(0).alias("start_char"), F.lit(4).alias("end_char"), quote.alias("quote"), F.lit(1.5).alias("confidence"))
+    return pf.verified_spans(d, spans).select("doc_id", "outcome")
+
+
+@_query("""SELECT source AS run, 'parse' AS step, unnest(['seen', 'short']) AS metric, unnest([count(*), count(*) FILTER (n_chars < 100)]) AS value FROM documents GROUP BY source""")
+def run_log(t):
+    counts = t("documents").groupBy("source").agg(F.count("*").alias("seen"), F.count_if(F.col("n_chars") < 100).alias("short"))
+    each = F.explode(tb.run_metrics(F.col("source"), "parse", {"seen": F.col("seen"), "short": F.col("short")})).alias("m")
+    return counts.select(each).select("m.*")
+
+
+@_query("""SELECT c_custkey, field, body FROM (SELECT c_custkey, unnest(['occupation', 'competencies', 'experience', 'full_profile']) AS field,
+unnest([c_mktsegment, 'SQL; ' || c_mktsegment, CASE WHEN c_nationkey > 0 THEN c_nationkey || '+ years' END, c_name]) AS body FROM customer) WHERE body <> ''""")
+def candidate_representations(t):
+    one = F.array("c_mktsegment", F.lower("c_mktsegment"), F.lit(" "))
+    stack = F.array(F.lit("SQL"), F.lit("sql "), F.col("c_mktsegment"))
+    each = F.explode(render.candidate_representations(one, stack, F.col("c_nationkey").cast("double"), F.col("c_name"))).alias("f")
+    return t("customer").select("c_custkey", each).select("c_custkey", "f.field", "f.body")
+
+
+@_query()
+def listing_links(t):
+    return po.listing_rows(t("pages"), "page_id", "html", "https://jobs.example", r"^/(\w+)$")
+
+
+@_query()
+def detail_fields(t):
+    return po.detail_fields(t("pages"), "page_id", "html", {"title": "h1", "company": "div.ad", "description_html": "article"}).drop("items")
+
+
+@_stream_query("events", "SELECT props AS term, count(*) AS occurrences, min(event_id) AS first_seen, max(event_id) AS last_seen FROM events WHERE props IS NOT NULL GROUP BY 1")
+def stream_counts(stream):
+    return st.stream_counts(stream.withColumnRenamed("props", "term"), "term", "event_id")

@@ -39,7 +39,7 @@ def taxonomy_concepts(spark: SparkSession, folder: str, language: str = "en") ->
         text = lambda c, df=df: F.coalesce(F.col(c), F.lit("")) if c in df.columns else F.lit("")
         typed = F.when(text("skillType") == "knowledge", "knowledge").otherwise(kind) if kind == "skill" else F.lit(kind)
         packed = F.split(F.concat_ws("\n", "preferredLabel", text("altLabels"), text("hiddenLabels")), "\n")
-        forms = F.array_distinct(F.filter(F.transform(packed, F.trim), lambda x: x != ""))
+        forms = F.array_distinct(F.filter(F.transform(packed, lambda x: F.trim(x)), lambda x: x != ""))
         one = df.where("trim(conceptUri) <> '' and trim(preferredLabel) <> ''").select(
             F.trim("conceptUri").alias("concept_id"), typed.alias("type"), F.trim("preferredLabel").alias("label"), forms.alias("forms")
         )

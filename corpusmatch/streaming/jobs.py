@@ -19,9 +19,11 @@ MAX_ATTEMPTS = 10  # fixed value
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    # A machine-local folder serves only where none is set, as in tests.
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{shared.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    """A new folder in `spark.checkpoint.dir`. One of this machine serves only where all tasks run on it, as in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(shared or tempfile.gettempdir()).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
 
 
 def _run(stream: DataFrame, folder: str, write: Callable[[DataFrame, int], None], mode: str) -> None:
@@ -97,8 +99,41 @@ def relay(events: DataFrame, kind: str, attempts: Column, errors: dict[str, Colu
 
 
 def stream_relay(stream: DataFrame, kind: str, attempts: Column, errors: dict[str, Column], key: str) -> DataFrame:
-    """`relay` over a stream; an event that is delivered again has the same key and leaves one row in its batch."""
-    folder = _folder(stream.sparkSession, "relay")
-    done = relay(stream, kind, attempts, errors)
-    _run(done, folder, lambda batch, n: batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{folder}/rows/{n}"), "append")
-    return stream.sparkSession.read.option("recursiveFileLookup", "true").parquet(f"{folder}/rows")
+    """`relay` over a stream: every event with its last status and the attempts so far.
+
+    An event that is delivered again, in this batch or a later one, is known by its key in the stream's state and counts
+    once. Failed events are carried to the next batch and tried again there, until they succeed or are dead; those that
+    failed in the last batch stay failed.
+    """
+    spark, folder = stream.sparkSession, _folder(stream.sparkSession, "relay")
+    columns = stream.columns
+
+    def write(batch: DataFrame, number: int) -> None:
+        fresh = batch.withColumn("attempts_", attempts.cast("long"))
+        if number:
+            waiting = spark.read.parquet(f"{folder}/failed/{number - 1}")
+            fresh = fresh.unionByName(waiting.select(*columns, F.col("attempts").alias("attempts_")))
+        done = relay(fresh, kind, F.col("attempts_"), errors).drop("attempts_")
+        done.write.mode("overwrite").partitionBy("status").parquet(f"{folder}/tried/{number}")
+        tried = spark.read.schema(done.schema).parquet(f"{folder}/tried/{number}")
+        tried.where("status = 'failed'").write.mode("overwrite").parquet(f"{folder}/failed/{number}")
+        tried.where("status <> 'failed'").write.mode("overwrite").parquet(f"{folder}/rows/{number}")
+        last.append(number)
+
+    last: list[int] = []
+    _run(stream.dropDuplicates([key]), folder, write, "append")
+    done = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/rows")
+    return done.unionByName(spark.read.parquet(f"{folder}/failed/{max(last)}"))
+
+
+def purge_published(events: DataFrame, before: Column) -> DataFrame:
+    """What is left of events (status, published_at): published ones before the time go, undelivered ones never."""
+    return events.where(~F.coalesce((F.col("status") == "published") & (F.col("published_at") < before), F.lit(False)))
+
+
+def stream_counts(stream: DataFrame, term: str, seen: str) -> DataFrame:
+    """(term, occurrences, first_seen, last_seen): running counters of unmapped terms, kept as state."""
+    folder = _folder(stream.sparkSession, "counts")
+    counts = stream.where(F.col(term).isNotNull()).groupBy(term).agg(F.count("*").alias("occurrences"), F.min(seen).alias("first_seen"), F.max(seen).alias("last_seen"))
+    _run(counts, folder, lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/rows"), "complete")
+    return stream.sparkSession.read.parquet(f"{folder}/rows")

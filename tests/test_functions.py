@@ -62,9 +62,111 @@ def test_metrics_without_relevant(spark):
 
 
 def test_longest_match(spark):
-    index = spark.createDataFrame([("machine learning",), ("machine",), ("learning rate",)], "form string")
-    docs = spark.createDataFrame([(1, "the machine learning rate".split())], "doc_id long, tokens array<string>")
-    assert [r.form for r in linking.scan_mentions(docs, index).collect()] == ["machine learning"]
+    """Forms that are broadcast and forms that are joined give the same, also with ties, empty and null texts."""
+    index = spark.createDataFrame([("machine learning",), ("machine",), ("learning rate",), ("b",), ("a b",), ("b a b",)], "form string")
+    docs = spark.createDataFrame([(1, "the Machine  learning, rate"), (2, "a b a b a b"), (3, None), (4, "")], "doc_id long, text string")
+    few = linking.scan_mentions(docs, index).collect()
+    assert [(r.raw_text, r.form, r.start_char, r.end_char) for r in few if r.doc_id == 1] == [("Machine  learning", "machine learning", 4, 21)]
+    assert sorted(few) == sorted(linking.scan_mentions(docs, index, most_forms=2).collect())
+
+
+def test_link_rows(spark):
+    labels = [(1, "Google Sheets"), (2, "sheets"), (3, "google"), (4, "sheets"), *((k, f"word {k} common") for k in range(10, 200))]
+    index = linking.alias_index(spark.createDataFrame([*labels, (5, "common")], "concept_id long, label string"))
+    docs = spark.createDataFrame([(1, "uses google sheets and sheets"), (2, "common google, GOOGLE")], "doc_id long, text string")
+    spans = spark.createDataFrame([(1, "google sheets", 5, 18, 0.7), (1, "my sheets", 100, 109, 0.4), (1, "nothing", 200, 207, 0.2)], "doc_id long, raw_text string, start_char int, end_char int, confidence double")
+    rows = linking.link_rows(docs, spans, index)
+    got = {(r.doc_id, r.form): (r.status, r.concept_id, r.alternatives, r.start_char, r.confidence) for r in rows.collect()}
+    assert got == {
+        (1, "google sheets"): ("linked", 1, None, 5, 0.7), (1, "sheets"): ("ambiguous", None, [2, 4], 103, 1.0), (1, "nothing"): ("unmapped", None, None, 200, 0.2),
+        (2, "common"): ("unmapped", None, None, 0, 1.0), (2, "google"): ("linked", 3, None, 7, 1.0),
+    }
+    assert {tuple(r) for r in linking.status_counts(rows).collect()} == {(1, 1, 1, 1), (2, 1, 0, 1)}
+    assert {tuple(r) for r in linking.unmapped_counts(rows).collect()} == {("nothing", 1, "nothing", 1, 1), ("common", 1, "common", 2, 2)}
+
+
+def test_leader_clusters(spark):
+    """Against the loop: best score first, newest cluster first, first posting stays the leader."""
+    import random
+    from difflib import SequenceMatcher
+
+    from corpusmatch.operators import clustering
+
+    rng = random.Random(5)
+    titles = ["Senior Python Developer", "Senior Python Developer!", "Python Developer", "Data Engineer", "Data Engineers", ""]
+    rows = [(k, rng.choice(["React, LLC", "react", "Other", None]), rng.choice(titles), rng.choice(["build things well", "build things", "zzz", None]), k // 2) for k in range(120)]
+    names = {"React, LLC": "react", "react": "react", "Other": "other", None: ""}
+    ratio = lambda a, b: SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+    leaders, want = [], {}
+    for k, company, title, text, _ in rows:
+        best, home = 0.0, k
+        for c, leader, t, d in reversed(leaders):
+            one, two = ratio(title.lower().rstrip("!"), t), ratio(text or "", d)
+            if c == names[company] and one >= 0.86 and two >= 0.5 and (one + two) / 2 > best:
+                best, home = (one + two) / 2, leader
+        if home == k and not best:
+            leaders.append((names[company], k, title.lower().rstrip("!"), text or ""))
+        want[k] = home
+    df = spark.createDataFrame(rows, "id long, company string, title string, description string, seen long").repartition(5)
+    assert {r.id: r.cluster for r in clustering.leader_clusters(df, "id", "seen").collect()} == want
+
+
+def test_relay_retries_and_redeliveries(spark, tmp_path):
+    """A failed event is tried again in the next batch; one delivered again in a later batch counts once."""
+    from corpusmatch.streaming import jobs
+
+    schema = "key int, kind string, until int"
+    for at, part in enumerate([[(1, "a", 2), (2, "a", 0), (3, "x", 0)], [(2, "a", 0), (4, "a", 99)], [(5, "a", 0), (1, "a", 2)]]):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{at}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    errors = {"a": F.when(F.col("attempts_") < F.col("until"), "not yet")}
+    got = {r.key: (r.status, r.attempts) for r in jobs.stream_relay(stream, "kind", F.lit(0), errors, "key").collect()}
+    assert got == {1: ("published", 2), 2: ("published", 0), 3: ("unhandled", 0), 4: ("failed", 2), 5: ("published", 0)}
+
+
+def test_version_activation(spark):
+    from corpusmatch.operators import tables
+
+    rows = [("esco", "1", "active", 5, None), ("esco", "2", "ready", 7, None), ("own", "1", "active", 2, None)]
+    versions = spark.createDataFrame(rows, "namespace string, version string, status string, concepts int, error string")
+    status = lambda df: {(r.namespace, r.version): r.status for r in df.collect()}
+    assert status(tables.activate(versions, "esco", "2", 7)) == {("esco", "1"): "superseded", ("esco", "2"): "active", ("own", "1"): "active"}
+    failed = tables.activate(versions, "esco", "2", 8)
+    assert status(failed)["esco", "1"] == "active" and failed.where("status = 'failed'").first().error == "found 8 concepts, expected 7"
+
+
+def test_profiles_from_spans(spark):
+    from corpusmatch.operators import profiles
+
+    docs = spark.createDataFrame([(1, "We use Python daily"), (2, "nothing")], "doc_id long, text string")
+    rows = [(1, "Tool", 7, 13, "Python", 1.7), (1, "odd", 0, 2, "We", -1.0), (1, "tool", 0, 3, "xyz", 0.5), (1, "tool", 5, 99, "x", 0.5), (1, "tool", None, 2, "We", 0.5)]
+    spans = spark.createDataFrame(rows, "doc_id long, label string, start_char int, end_char int, quote string, confidence double")
+    out = {r.doc_id: r for r in profiles.with_fallback(docs, profiles.competencies(profiles.verified_spans(docs, spans))).collect()}
+    assert [(c.quote, c.category, c.confidence) for c in out[1].kept] == [("We", "other", 0.0), ("Python", "tool", 1.0)]
+    assert sorted(c.reason for c in out[1].rejected) == ["bare", "misquoted", "out of bounds"]
+    assert (out[2].origin, out[2].review, out[1].origin) == ("structural", True, "neural")
+
+
+def test_postings_from_pages(spark):
+    from corpusmatch.sources import postings
+
+    html = "<a href='/jobs/12-x'>One <b>job</b></a><a href='/jobs/12-x'>again</a><a href='/about'>About</a><a href='/jobs/13'> </a><h1 class='big t'>Title</h1><aside><ul><li>Kyiv, Lviv<li>Remote<li>3 years of experience<li>$2000-3000</ul></aside>"
+    pages_ = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
+    rows = postings.listing_rows(pages_, "page_id", "html", "https://x.y/", r"/jobs/(\d+)").collect()
+    assert [tuple(r) for r in rows] == [(1, "12", "https://x.y/jobs/12-x", "One job")]
+    found = postings.detail_fields(pages_, "page_id", "html", {"title": "h1.t", "company": ".none"}).withColumn("s", postings.sidebar(F.col("items")))
+    one = {r.page_id: r for r in found.collect()}[1]
+    assert (one.title, one.company, tuple(one.s)) == ("Title", None, ("Kyiv, Lviv", True, "3 years of experience", "$2000-3000"))
+    parsed = found.select(
+        F.col("page_id").cast("string").alias("external_id"), F.lit("u").alias("url"), F.lit(" ").alias("title"), F.lit("Lead cook").alias("listing_title"), F.lit(" Acme ").alias("company"),
+        F.lit(None).cast("string").alias("description"), F.lit("text").alias("listing_description"), "s.location", "s.experience", "s.salary", "s.remote",
+    )
+    union = postings.all_sources({"one": lambda df: postings.normalized(df, "one")}, {"one": parsed})
+    assert union.schema.simpleString() == spark.createDataFrame([], postings.POSTING).schema.simpleString()
+    row = union.where("external_id = '1'").first()
+    assert (row.title, row.company, row.description, row.remote, row.places, row.salary["max"], row.seniority, row.years) == ("Lead cook", "Acme", "text", True, ["Kyiv", "Lviv"], 3000.0, "senior", 3.0)
+    with pytest.raises(ValueError):
+        postings.all_sources({}, {"one": parsed})
 
 
 def test_page_blocks():
