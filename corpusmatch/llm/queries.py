@@ -69,7 +69,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents")).drop("notices")
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumn("notices", F.to_json("notices"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -217,6 +217,36 @@ def test_licenses(spark, odd, empty):
     got = [(r.families, r.n_unknown) for r in licenses.scan(docs).orderBy("doc_id").collect()]
     assert got == [("MIT", 0), ("all-rights-reserved", 0), ("", 1), ("GPL", 0)]
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(empty).isEmpty()
+    more = ["Released under MIT.", "Distributed under the terms of Apache 2.0.", "Alle Rechte vorbehalten.", "This Source Code Form is subject to the\nterms of the Mozilla Public\nLicense, v. 2.0.", "Er kommt mit dem Rad."]
+    found = licenses.scan(spark.createDataFrame(list(enumerate(more)), "doc_id long, text string"))
+    assert [(r.families, r.n_notices) for r in found.orderBy("doc_id").collect()] == [("MIT", 1), ("Apache-2.0", 1), ("all-rights-reserved", 1), ("MPL", 1), ("", 0)]
+
+
+def test_licenses_by_brute_force(spark):
+    """The scan against the same model applied text by text in plain Python, on all documents."""
+    import regex
+
+    model = licenses.train()
+    place = {f: k for k, f in enumerate(model.features)}
+
+    def one(text):
+        gate = lambda t: any(x in t.lower() for x in licenses.STEMS) or regex.search(licenses.NAMES, t)
+        units = [u for u in regex.split(licenses._UNITS, regex.sub(licenses._WRAPPED, " ", text or "")) if gate(u)]
+        families = []
+        for u in units:
+            words = licenses.words_of(u)
+            z = model.bias + sum((model.weights[place[f]] for f in {*words, *map(" ".join, zip(words, words[1:]))} if f in place), np.zeros(len(model.classes)))
+            p = np.exp((z - z.max()) / model.temperature)
+            best = int(z.argmax())
+            if best < len(licenses.TEMPLATES) and 1 / p.sum() >= model.least_probability:
+                sets = [set(licenses.words_of(t)) for t in licenses.TEMPLATES[model.classes[best]]]
+                if max(len(s & set(words)) / min(len(s), len(set(words))) for s in sets) >= model.least_overlap:
+                    families.append(model.classes[best])
+        return len(units), len(families), ",".join(sorted(set(families)))
+
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: (r.n_units, r.n_notices, r.families) for r in queries.op10_license_scan(spark, DATA).collect()}
+    assert got == {r.doc_id: one(r.text) for r in rows} and sum(n for _, n, _ in got.values()) > 3
 
 
 def test_pipeline_on_awkward_rows(spark, odd):
