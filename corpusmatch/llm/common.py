@@ -66,13 +66,20 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
-def least_hashes(cuts: DataFrame, group: str, cut: str, bound: int, spread: int = 64) -> DataFrame:
-    """The `bound` rows of each group with the least hashes, and `nth`: the least of each of `spread` parts of a group
-    first, then the least of those, so that a group of any share of the rows is sorted in parts."""
-    part = F.pmod(F.col(cut), F.lit(spread))
-    for within in (Window.partitionBy(group, part), Window.partitionBy(group)):
-        cuts = cuts.withColumn("nth", F.row_number().over(within.orderBy(cut))).where(F.col("nth") <= bound)
-    return cuts
+def least_hashes(cuts: DataFrame, group: str, cut: str, bound: int) -> DataFrame:
+    """The `bound` least distinct hashes of each group (or fewer, see below), with `nth`, their place.
+
+    Hashes are spread evenly, so of n distinct ones those under the share (2 * bound + 1000) / n of their range are about
+    2 * bound + 1000, and the least `bound` are among them but for chances that don't count. Only these are sorted, so a
+    task gets as many of any group, whatever its share of the rows. The number of each group comes to the driver.
+    """
+    cuts = cuts.select(group, cut).where(F.col(group).isNotNull()).distinct()
+    counts = {r[0]: r[1] for r in cuts.groupBy(group).count().collect()}
+    shares = {g: min(1.0, (2 * bound + 1000) / n) for g, n in counts.items()}
+    limits = [x for g, share in shares.items() for x in (F.lit(g), F.lit(min(2**63 - 1, int(share * 2**64) - 2**63)))]
+    few = cuts.where(F.col(cut) <= F.try_element_at(F.create_map(*limits), F.col(group))) if limits else cuts
+    nth = F.row_number().over(Window.partitionBy(group).orderBy(cut))
+    return few.withColumn("nth", nth).where(F.col("nth") <= bound)
 
 
 def sample_cut(df: DataFrame, ids: Column, bound: int, group: str | None = None) -> DataFrame:
@@ -82,8 +89,7 @@ def sample_cut(df: DataFrame, ids: Column, bound: int, group: str | None = None)
     shuffled. The limit of each group, one number, comes to the driver and goes back as a literal, so the rows
     themselves are only filtered.
     """
-    keys = [F.col(group) if group else F.lit(0)]
-    cuts = df.select(keys[0].alias("g"), F.xxhash64(ids).alias("cut")).where("g is not null")
+    cuts = df.select((F.col(group) if group else F.lit(0)).alias("g"), F.xxhash64(ids).alias("cut"))
     limits = {r.g: r.cut for r in least_hashes(cuts, "g", "cut", bound).groupBy("g").agg(F.max("cut").alias("cut")).collect()}
     if not limits:
         return df.where("false")

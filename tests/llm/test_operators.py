@@ -369,3 +369,17 @@ def test_stages_take_columns_of_any_name(spark):
         assert kept.columns == docs.columns
         row = kept.first()
         assert [row[n] for n in names] == list(range(len(names)))
+
+
+def test_samples_take_the_least_hashes(spark, empty):
+    from corpusmatch.llm import common
+
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "few").otherwise("many").alias("lang"), F.xxhash64("id").alias("h"))
+    rows = rows.unionByName(rows.where("doc_id = 7")).unionByName(rows.where("doc_id < 500").withColumn("lang", F.lit(None).cast("string")))
+    got = common.sample_cut(rows, F.col("doc_id"), 300, "lang").toPandas()
+    for lang, own in rows.dropna().distinct().toPandas().groupby("lang"):
+        assert sorted(got[got.lang == lang].h.unique()) == sorted(own.h)[:300]
+    assert got.lang.notna().all()
+    whole = common.sample_cut(rows.select("doc_id", "h").distinct(), F.col("doc_id"), 500)
+    assert sorted(r.h for r in whole.collect()) == sorted(r.h for r in rows.select("h").distinct().collect())[:500]
+    assert common.sample_cut(empty, F.col("doc_id"), 5, "lang").isEmpty() and common.sample_cut(empty, F.col("doc_id"), 5).isEmpty()
