@@ -53,14 +53,52 @@ def profile_document(cv: Column, roles: Column, stack: Column, formats: Column)
     )
 
 
-def card(score: Column, band: Column, title: Column, company: Column, similarity: Column, relevance: Column) -> Column:
-    """Text of a notification; a missing relevance is said, not shown as 0."""
-    percent = lambda x: F.concat(F.format_string("%.0f", x * 100), F.lit("%"))
+def amount_range(low: Column, high: Column, currency: Column) -> Column:
+    """`low–high currency`, or the one that is there; null without both."""
+    both = F.concat_ws("–", plain_number(low), plain_number(high))
+    return F.when(both != "", F.concat_ws(" ", both, F.nullif(currency, F.lit(""))))
+
+
+def source_label(source: Column, labels: dict[str, str]) -> Column:
+    """A source's own label, or else its name with a capital."""
+    own = F.coalesce(*(F.when(source == k, F.lit(v)) for k, v in labels.items()), F.lit(None).cast("string"))
+    return F.coalesce(own, F.concat(F.upper(F.substring(source, 1, 1)), F.lower(F.substring(source, 2, 1000))))
+
+
+def card(match: dict[str, Column], job: dict[str, Column], links: Column, totals: dict[str, Column], labels: dict[str, str] | None = None) -> Column:
+    """Text of a notification: score and band, title and company, facts, signals, links, totals; blank lines between.
+
+    match: score, recommendation, similarity, relevance; a null relevance is said to be missing, not shown as 0.
+    job: title, company, low, high, currency, remote, level; facts that are null, empty or false are left out, and their
+    line without any. links: array<struct<source, url>>. totals: pending, approved, rejected. Shares are rounded half
+    to even.
+    """
+    whole = lambda x: F.rint(x).cast("long").cast("string")
+    percent = lambda x: F.concat(whole(x * 100), F.lit("%"))
+    facts = F.concat_ws(
+        " · ",
+        F.concat(F.lit("💰 "), amount_range(job["low"], job["high"], job["currency"])),
+        F.when(job["remote"], F.lit("📍 Remote")),
+        F.concat(F.lit("🎓 "), html_escape(F.nullif(job["level"], F.lit("")))),
+    )
+    signals = F.concat(
+        F.lit("🧮 similarity "), percent(match["similarity"]), F.lit(" · "),
+        F.coalesce(F.concat(F.lit("rerank "), percent(match["relevance"])), F.lit("not reranked")),
+    )
+    link = lambda s: F.concat(F.lit('<a href="'), html_escape(s["url"]), F.lit('">'), html_escape(source_label(s["source"], labels or {})), F.lit("</a>"))
+    stats = F.concat_ws(" · ", *(F.concat(F.coalesce(v, F.lit(0)).cast("string"), F.lit(f" {k}")) for k, v in totals.items()))
     return F.concat_ws(
         "\n",
-        F.concat(F.format_string("%.0f", score), F.lit("% "), band),
-        F.concat(F.lit("<b>"), html_escape(title), F.lit("</b> "), html_escape(company)),
-        F.concat(F.lit("similarity "), percent(similarity), F.lit(", "), F.coalesce(F.concat(F.lit("relevance "), percent(relevance)), F.lit("not reranked"))),
+        F.concat(F.lit("<b>"), whole(match["score"]), F.lit("% MATCH</b> · "), F.upper(match["recommendation"])),
+        F.lit(""),
+        F.concat(F.lit("<b>"), html_escape(job["title"]), F.lit("</b> — "), html_escape(job["company"])),
+        F.nullif(facts, F.lit("")),
+        F.lit(""),
+        signals,
+        F.lit(""),
+        F.concat(F.lit("🔗 "), F.array_join(F.transform(links, link), " · ")),
+        F.lit(""),
+        F.concat(F.lit("📊 "), stats),
     )
 
 

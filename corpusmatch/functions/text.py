@@ -16,6 +16,9 @@ SENIORITY = (
 )
 CURRENCIES = (("$", "USD"), ("€", "EUR"), ("₴", "UAH"), ("£", "GBP"))
 UKRAINIAN, RUSSIAN, POLISH = "іїєґІЇЄҐ", "ыэъёЫЭЪЁ", "ąćęłńśźżĄĆĘŁŃŚŹŻ"
+NO_EXPERIENCE = ("без досвіду",)
+REMOTE_MARKS = ("віддалено",)
+MARKUP_MARKS = ("</p>", "</div>", "</ul>", "</ol>", "</li>", "</h", "<br")
 # Fixed value: an amount with its currency.
 _AMOUNT = r"[$€₴£]\s*[\d.,]+"
 
@@ -37,8 +40,9 @@ def collapse(text: Column) -> Column:
 
 
 def block_text(text: Column) -> Column:
-    """Non-breaking blanks to blanks, zero-width ones out, runs within a line to one."""
-    return F.trim(F.regexp_replace(F.replace(F.replace(text, F.lit(" "), F.lit(" ")), F.lit("​"), F.lit("")), r"[^\S\n]+", " "))
+    """Non-breaking blanks to blanks, zero-width ones out, runs within a line to one, ends trimmed."""
+    plain = F.replace(F.replace(text, F.lit("\u00a0"), F.lit(" ")), F.lit("\u200b"), F.lit(""))
+    return F.regexp_replace(F.regexp_replace(plain, r"(?U)[^\S\n]+", " "), r"(?U)^\s+|\s+$", "")
 
 
 def text_hash(text: Column) -> Column:
@@ -51,8 +55,9 @@ def seniority(title: Column) -> Column:
 
 
 def experience_years(text: Column) -> Column:
-    """Null stays null, a phrase for none is 0, else the first whole number."""
-    return F.when(F.lower(text).contains("no experience"), F.lit(0.0)).otherwise(F.regexp_extract(text, r"(\d+)", 1).try_cast("double"))
+    """Null stays null, a phrase for none is 0, else the first whole number; null without one."""
+    none = reduce(lambda a, b: a | b, (F.contains(F.lower(text), F.lit(p)) for p in NO_EXPERIENCE))
+    return F.when(none, F.lit(0.0)).otherwise(F.regexp_extract(text, r"(\d+)", 1).try_cast("double"))
 
 
 def salary(text: Column) -> Column:
@@ -137,7 +142,7 @@ def find_span(text: Column, needle: Column) -> Column:
 
 
 def html_escape(text: Column) -> Column:
-    return reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")), text)
+    return reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")), text)
 
 
 def round_score(x: Column, digits: int = 1) -> Column:
@@ -146,15 +151,16 @@ def round_score(x: Column, digits: int = 1) -> Column:
     return F.floor(x * scale + 0.5) / scale
 
 
-def cities(text: Column, remote_marks: tuple[str, ...] = ("remote", "віддалено", "дистанційно")) -> Column:
-    """Places of a comma-separated line, trimmed, without blanks and remote markers."""
-    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda p: (p != "") & ~F.lower(p).isin(*remote_marks))
+def cities(text: Column) -> Column:
+    """Places of a comma-separated line, trimmed, without blank ones and those with a mark of remote work; null gives none."""
+    remote = lambda p: reduce(lambda a, b: a | b, (F.contains(F.lower(p), F.lit(m)) for m in REMOTE_MARKS))
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda p: F.btrim(p, F.lit(" \t\n\r"))), lambda p: (p != "") & ~remote(p))
 
 
-def is_markup(text: Column, marks: tuple[str, ...] = ("</p>", "</li>", "</div>", "</ul>", "</h", "<br")) -> Column:
+def is_markup(text: Column) -> Column:
     """Whether a stored text is HTML: it has one of the marks."""
     low = F.lower(text)
-    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(m)) for m in marks))
+    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(m)) for m in MARKUP_MARKS))
 
 
 def json_flag(raw: Column, path: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,3 +35,30 @@ def byte_batches(df: DataFrame, key: str, order: str, text: Column, budget: int,
             yield part[[key, order, "size"]].assign(batch=out)
 
     return sized.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, order).mapInPandas(number, schema)
+
+
+def embed_texts(df: DataFrame, key: str, text: str, embedder: Callable[[list[str]], list[list[float]]], batch: int = 32) -> DataFrame:
+    """(key, vector, error) of every row, the texts handed to the embedder `batch` at a time.
+
+    A batch that the embedder fails on, or returns too few vectors for, has null vectors and says why, and is left for
+    the next pass; a null text is embedded as empty. Each task calls the embedder for its own rows.
+    """
+    schema = T.StructType([df.schema[key], T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("error", T.StringType())])
+
+    def one(texts: list[str]) -> tuple[list, str | None]:
+        try:
+            vectors = embedder(texts)
+        except Exception as failed:  # whatever a caller's embedder raises concerns this batch alone
+            return [None] * len(texts), f"{type(failed).__name__}: {failed}"
+        if len(vectors) != len(texts):
+            return [None] * len(texts), f"{len(vectors)} vectors for {len(texts)} texts"
+        return list(vectors), None
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            texts = ["" if v is None else v for v in part[text]]
+            for at in range(0, len(texts), batch):
+                vectors, error = one(texts[at : at + batch])
+                yield pd.DataFrame({key: part[key].iloc[at : at + batch].to_numpy(), "vector": vectors, "error": error})
+
+    return df.select(key, text).mapInPandas(run, schema)

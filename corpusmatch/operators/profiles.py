@@ -103,3 +103,11 @@ def profile_violations(requirement: Column) -> Column:
         "unknown necessity": ~requirement["necessity"].isin("required", "preferred", "unspecified"),
     }
     return F.array_compact(F.array(*(F.when(broken, F.lit(name)) for name, broken in rules.items())))
+
+
+def candidate_profile(language: Column, truncated: Column) -> Column:
+    """Profile of a candidate's document that no extractor has read: empty, with its language and a warning."""
+    return F.struct(
+        language.alias("language"), F.array().cast("array<string>").alias("competencies"), F.lit(0.0).alias("confidence"),
+        F.array(F.lit("no extractor for candidates is configured")).alias("warnings"), truncated.alias("truncated"),
+    )

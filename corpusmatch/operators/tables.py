@@ -131,3 +131,31 @@ def missing_categories(history: DataFrame, categories: DataFrame, keys: list[str
 def resolved_edges(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
     """Distinct (a, b) whose ends are both known; the others are left out."""
     return edges.join(sources.select("a").distinct(), "a", "left_semi").join(targets.select("b").distinct(), "b", "left_semi").select("a", "b").distinct()
+
+
+def reset_counts(tables: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
+    """(entity, rows): what a reset of a scope would delete from each table, by the condition given for it; 0 for none."""
+    each = reduce(DataFrame.unionByName, (df.select(F.lit(n).alias("entity"), F.coalesce(c, F.lit(False)).alias("gone")) for n, (df, c) in tables.items()))
+    found = each.groupBy("entity").agg(F.count_if("gone").alias("rows"))
+    # A table without rows has a line, too.
+    names = F.explode(F.array(*map(F.lit, tables))).alias("entity")
+    return each.sparkSession.range(1).select(names).join(found, "entity", "left").select("entity", F.coalesce("rows", F.lit(0)).cast("long").alias("rows"))
+
+
+def generation_counts(concepts: DataFrame) -> DataFrame:
+    """(namespace, version, concepts, active) of concepts (namespace, version, active)."""
+    return concepts.groupBy("namespace", "version").agg(F.count("*").alias("concepts"), F.count_if("active").alias("active"))
+
+
+def resolved_owners(events: DataFrame, integrations: DataFrame, chat: str, user: str) -> DataFrame:
+    """events with the user of their chat; null for an unknown chat, the smallest if several have it.
+
+    Spark broadcasts the integrations while they are below its limit, and sorts both sides beyond it.
+    """
+    return events.join(integrations.where(F.col(chat).isNotNull()).groupBy(chat).agg(F.min(user).alias(user)), chat, "left")
+
+
+def posting_details(postings: DataFrame, matches: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """postings with their match (null without one) and `members`, how many source records stand behind each."""
+    counts = members.groupBy(key).agg(F.count("*").alias("members"))
+    return postings.join(matches, key, "left").join(counts, key, "left").withColumn("members", F.coalesce("members", F.lit(0)).cast("long"))

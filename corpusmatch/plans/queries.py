@@ -750,9 +750,9 @@ def seed_revisions(t):
     return rv.seed_revisions(t("documents"), "doc_id", "text")[0]
 
 
-@_query("SELECT doc_id, n_chars FROM documents WHERE n_chars % 3 = 0 AND source <> 'web' ORDER BY n_chars, doc_id LIMIT 100")
+@_query("SELECT doc_id, n_chars FROM documents WHERE n_chars % 3 = 0 AND source <> 'src1' ORDER BY n_chars, doc_id LIMIT 100")
 def unparsed_backlog(t):
-    d = t("documents").select("doc_id", "n_chars", F.when(F.col("n_chars") % 3 != 0, "x").alias("parsed_text"), F.when(F.col("source") == "web", "failed").otherwise("received").alias("status"))
+    d = t("documents").select("doc_id", "n_chars", F.when(F.col("n_chars") % 3 != 0, "x").alias("parsed_text"), F.when(F.col("source") == "src1", "failed").otherwise("received").alias("status"))
     return rv.unparsed(d, 100, "n_chars", "doc_id").select("doc_id", "n_chars")
 
 
@@ -790,6 +790,198 @@ def detail_fields(t):
     return po.detail_fields(t("pages"), "page_id", "html", {"title": "h1", "company": "div.ad", "description_html": "article"}).drop("items")
 
 
+@_query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'F' THEN 'kept' ELSE 'added' END AS label FROM orders")
+def insert_absent(t):
+    o = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    old = o.where("o_orderstatus = 'F'").withColumn("label", F.lit("kept")).drop("o_orderstatus")
+    return tb.insert_absent(old, o.withColumn("label", F.lit("added")).drop("o_orderstatus"), ["o_orderkey"])
+
+
+@_query("SELECT count(*) AS offered, count(*) FILTER (o_orderstatus <> 'F') AS added FROM orders")
+def insert_counts(t):
+    return tb.insert_counts(t("orders").where("o_orderstatus = 'F'").select("o_orderkey"), t("orders").select("o_orderkey"), ["o_orderkey"])
+
+
+@_query("""WITH n AS (SELECT l_orderkey, l_linenumber, l_quantity + 100 AS l_quantity FROM lineitem WHERE l_returnflag = 'R')
+FROM n UNION ALL SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM n)""")
+def replace_partition(t):
+    items = t("lineitem")
+    columns = ["l_orderkey", "l_linenumber", "l_quantity"]
+    new = items.where("l_returnflag = 'R'").withColumn("l_quantity", F.col("l_quantity") + 100)
+    return tb.replace_partition(items.select(columns), new.select(columns), "l_orderkey")
+
+
+@_query("""SELECT coalesce(a.event_id, b.event_id) AS event_id, coalesce(a.created, b.created) AS created, CASE WHEN b.event_id IS NULL THEN a.error ELSE b.error END AS error
+FROM (SELECT event_id, 'first' AS created, 'refused' AS error FROM events WHERE event_id % 2 = 0) a FULL JOIN
+(SELECT event_id, 'second' AS created, CASE WHEN value > 50 THEN 'late' END AS error FROM events WHERE event_id % 3 = 0) b ON a.event_id = b.event_id""")
+def delivery_log(t):
+    e = t("events")
+    old = e.where("event_id % 2 = 0").select("event_id", F.lit("first").alias("created"), F.lit("refused").alias("error"))
+    new = e.where("event_id % 3 = 0").select("event_id", F.lit("second").alias("created"), F.when(F.col("value") > 50, "late").alias("error"))
+    return tb.upsert(old, new, ["event_id"], ("created",))
+
+
+@_query(r"""SELECT doc_id, sha256(concat_ws(chr(10), 'LOOKING FOR: ' || source, 'PREFERRED STACK: ' || lang || ', SQL', 'WORK FORMAT: remote',
+'CV: ' || nullif(trim(substr(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g'), 1, 8000)), ''))) AS document_hash
+FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL""")
+def profile_document(t):
+    d = t("documents").where("lang is not null and source is not null")
+    made = render.profile_document(F.col("text"), F.array("source", F.lit(" ")), F.array("lang", F.lit("SQL")), F.array(F.lit("remote")))
+    return d.select("doc_id", F.sha2(made, 256).alias("document_hash"))
+
+
+@_query(r"""WITH n AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'P') AS p, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o FROM orders GROUP BY 1),
+v AS (SELECT *, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey END AS low, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey + 500 END AS high FROM orders JOIN n USING (o_custkey))
+SELECT o_orderkey, concat_ws(chr(10), '<b>' || CAST(round_even(o_totalprice % 100, 0) AS BIGINT) || '% MATCH</b> · ' || CASE WHEN o_totalprice % 100 > 50 THEN 'APPLY' ELSE 'SKIP' END, '',
+'<b>A &lt;b&gt; &amp; &quot;' || o_orderpriority || '&quot;</b> — Clerk&#x27;s',
+nullif(concat_ws(' · ', '💰 ' || nullif(concat_ws('–', low, high), '') || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ' USD' END, CASE WHEN o_orderkey % 7 = 0 THEN '📍 Remote' END, CASE WHEN o_orderkey % 4 = 0 THEN '🎓 senior' END), ''), '',
+'🧮 similarity ' || CAST(round_even(o_totalprice % 100 / 100 * 100, 0) AS BIGINT) || '% · ' || CASE WHEN o_orderkey % 3 = 0 THEN 'not reranked' ELSE 'rerank 25%' END, '',
+'🔗 <a href="https://x.example/?a=1&amp;b=' || o_orderkey || '">Web</a> · <a href="/f">Feed of jobs</a>', '', '📊 ' || p || ' pending · ' || f || ' approved · ' || o || ' rejected') AS card FROM v""")
+def notification_cards(t):
+    o = t("orders")
+    n = o.groupBy("o_custkey").agg(*(F.count_if(F.col("o_orderstatus") == s).alias(k) for k, s in (("pending", "P"), ("approved", "F"), ("rejected", "O"))))
+    key, score = F.col("o_orderkey"), F.col("o_totalprice") % 100
+    match = {"score": score, "recommendation": F.when(score > 50, "apply").otherwise("skip"), "similarity": score / 100, "relevance": F.when(key % 3 != 0, 0.25)}
+    job = {
+        "title": F.concat(F.lit('A <b> & "'), "o_orderpriority", F.lit('"')), "company": F.lit("Clerk's"), "low": F.when(key % 5 != 0, F.col("o_custkey").cast("double")),
+        "high": F.when(key % 2 == 0, (F.col("o_custkey") + 500).cast("double")), "currency": F.when(key % 3 == 0, "").otherwise("USD"), "remote": key % 7 == 0, "level": F.when(key % 4 == 0, "senior"),
+    }
+    link = lambda source, url: F.struct(F.lit(source).alias("source"), url.alias("url"))
+    links = F.array(link("WEB", F.concat(F.lit("https://x.example/?a=1&b="), key.cast("string"))), link("feed", F.lit("/f")))
+    totals = {k: F.col(k) for k in ("pending", "approved", "rejected")}
+    return o.join(n, "o_custkey").select("o_orderkey", render.card(match, job, links, totals, {"feed": "Feed of jobs"}).alias("card"))
+
+
+@_query(r"""SELECT doc_id, CASE WHEN doc_id % 7 = 0 AND text IS NOT NULL THEN 0.0 ELSE TRY_CAST(nullif(regexp_extract(text, '[0-9]+'), '') AS DOUBLE) END AS years FROM documents""")
+def experience_years(t):
+    said = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("Без досвіду, 2 "), "text")).otherwise(F.col("text"))
+    return t("documents").select("doc_id", tx.experience_years(said).alias("years"))
+
+
+@_query(r"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, ','), lambda p: trim(p, ' ' || chr(9) || chr(10) || chr(13))), lambda p: p <> '' AND NOT contains(lower(p), 'віддалено')), '|') AS places
+FROM documents WHERE text IS NOT NULL""")
+def location_split(t):
+    said = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(", Віддалено (EU),  "))).otherwise(F.col("text"))
+    return t("documents").where("text is not null").select("doc_id", F.array_join(tx.cities(said), "|").alias("places"))
+
+
+@_query(r"""SELECT 'page' AS kind, page_id AS id, regexp_matches(lower(html), '</p>|</div>|</ul>|</ol>|</li>|</h|<br') AS markup FROM pages
+UNION ALL SELECT 'text', doc_id, regexp_matches(lower(text), '</p>|</div>|</ul>|</ol>|</li>|</h|<br') FROM documents""")
+def markup_sniff(t):
+    pages = t("pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), tx.is_markup(F.col("html")).alias("markup"))
+    return pages.unionByName(t("documents").select(F.lit("text").alias("kind"), F.col("doc_id").alias("id"), tx.is_markup(F.col("text")).alias("markup")))
+
+
+_FLAT = _BLANK.replace(r"\s", r"\t\x0B\f\r ")
+
+
+@_query(rf"""SELECT doc_id, sha256(regexp_replace(regexp_replace(replace(chr(160) || text, chr(8203), ''), '[{_FLAT}]+', ' ', 'g'), '^[{_BLANK}\x0B]+|[{_BLANK}\x0B]+$', '', 'g')) AS text_hash FROM documents""")
+def block_texts(t):
+    said = F.concat(F.lit("​ "), "text", F.lit("​"))
+    return t("documents").select("doc_id", F.sha2(tx.block_text(said), 256).alias("text_hash"))
+
+
+@_query(rf"""WITH b AS ({_SQL["plain_text_blocks"]}) SELECT d.doc_id, d.n_chars // 2 AS place, b.ordinal FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id AND d.n_chars // 2 >= start_char AND d.n_chars // 2 < end_char""")
+def block_places(t):
+    places = t("documents").select("doc_id", F.expr("n_chars div 2").alias("place"))
+    return pg.block_at(pg.plain_text_blocks(t("documents")), places, "doc_id", "place")
+
+
+@_query()
+def backfill_parse(t):
+    """Plain texts and pages in one column, as a store of old and new revisions has them."""
+    d = t("documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text", F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("language"))
+    both = d.unionByName(t("pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.col("html").alias("text"), F.lit(None).cast("string").alias("language")))
+    return pg.parsed_revisions(both.drop("text"), pg.stored_blocks(both, "id", "text"), "id")
+
+
+@_query("SELECT user_id, event_id, value, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS owner FROM (SELECT * FROM events) LEFT JOIN customer ON c_custkey = user_id")
+def chat_owners(t):
+    chats = t("customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("owner"))
+    return tb.resolved_owners(t("events").select("user_id", "event_id", "value"), chats, "user_id", "owner")
+
+
+@_query("""SELECT o_orderkey, o_totalprice, value, coalesce(n, 0) AS members FROM orders LEFT JOIN (SELECT event_id, value FROM events) ON event_id = o_orderkey
+LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_discount > 0.03 GROUP BY 1) ON l_orderkey = o_orderkey""")
+def posting_details(t):
+    matches = t("events").select(F.col("event_id").alias("o_orderkey"), "value")
+    members = t("lineitem").where("l_discount > 0.03").select(F.col("l_orderkey").alias("o_orderkey"))
+    return tb.posting_details(t("orders").select("o_orderkey", "o_totalprice"), matches, members, "o_orderkey")
+
+
+@_query("""SELECT unnest(['documents', 'labels', 'pages', 'embeddings']) AS entity, unnest([(SELECT count(*) FROM documents WHERE source = 'src1'), (SELECT count(*) FROM labels WHERE toxic = 1), (SELECT count(*) FROM pages), 0]) AS rows""")
+def reset_counts(t):
+    own = {"documents": F.col("source") == "src1", "labels": F.col("toxic") == 1, "pages": F.lit(True), "embeddings": F.lit(False)}
+    return tb.reset_counts({n: (t(n), c) for n, c in own.items()})
+
+
+@_query("SELECT coalesce(lang, 'none') AS namespace, source AS version, count(*) AS concepts, count(*) FILTER (n_chars % 2 = 0) AS active FROM documents GROUP BY 1, 2")
+def generation_counts(t):
+    return tb.generation_counts(t("documents").select(F.coalesce("lang", F.lit("none")).alias("namespace"), F.col("source").alias("version"), (F.col("n_chars") % 2 == 0).alias("active")))
+
+
+@_query("SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase'")
+def users_with_document(t):
+    return t("events").where("event_type = 'purchase'").select("user_id").distinct()
+
+
+@_query("""SELECT lang AS namespace, source AS version, count(*) AS concepts, NULL::VARCHAR AS error,
+CASE WHEN lang = 'en' AND source = 'src5' THEN 'active' WHEN lang = 'en' AND source = 'src1' THEN 'superseded' WHEN source = 'src1' THEN 'active' ELSE 'ready' END AS status
+FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2""")
+def version_activation(t):
+    d = t("documents").where("lang is not null and source is not null")
+    status = F.when(F.col("source") == "src1", "active").otherwise("ready")
+    versions = d.groupBy(F.col("lang").alias("namespace"), F.col("source").alias("version"), status.alias("status")).agg(F.count("*").alias("concepts"))
+    return tb.activate(versions.withColumn("error", F.lit(None).cast("string")), "en", "src5", d.where("lang = 'en' and source = 'src5'").count())
+
+
+@_query("""SELECT user_id, event_id AS revision_no, 'neural' AS origin, false AS reviewed, event_type AS competencies FROM events
+UNION ALL SELECT user_id, max(event_id) + 1, 'user_override', true, any_value(c_mktsegment) FROM events JOIN customer ON c_custkey = user_id WHERE c_acctbal < 2000 GROUP BY 1""")
+def profile_overrides(t):
+    profiles = t("events").select("user_id", F.col("event_id").alias("revision_no"), F.lit("neural").alias("origin"), F.lit(False).alias("reviewed"), F.array("event_type").alias("competencies"))
+    edits = t("customer").where("c_acctbal < 2000").select(F.col("c_custkey").alias("user_id"), F.array("c_mktsegment").alias("competencies"))
+    return rv.override_profile(profiles, edits).withColumn("competencies", F.array_join("competencies", ","))
+
+
+@_query("""SELECT p_type AS term, count(*) AS occurrences FROM part GROUP BY 1 HAVING count(*) % 2 = 1 AND min(p_size) % 3 <> 0""")
+def legacy_promotions(t):
+    terms = t("part").groupBy(F.col("p_type").alias("term")).agg(
+        F.count("*").alias("occurrences"), F.when(F.count("*") % 2 == 1, "promoted").otherwise("pending").alias("status"), F.when(F.min("p_size") % 3 == 0, "known").alias("concept_id")
+    )
+    return ln.legacy_promotions(terms).select("term", "occurrences")
+
+
+@_query("""SELECT doc_id, lang AS language, 0 AS n_competencies, 0.0 AS confidence, 'no extractor for candidates is configured' AS warning, n_chars > 5000 AS truncated FROM documents""")
+def candidate_profile(t):
+    made = pf.candidate_profile(F.col("lang"), F.col("n_chars") > 5000)
+    d = t("documents").select("doc_id", made.alias("p"))
+    return d.select("doc_id", "p.language", F.size("p.competencies").alias("n_competencies"), "p.confidence", F.col("p.warnings")[0].alias("warning"), "p.truncated")
+
+
+@_query("""SELECT doc_id, unnest(list_filter([CASE WHEN n_chars % 3 <> 0 AND n_chars % 4 = 0 THEN 'span bounds' END, CASE WHEN n_chars % 2 = 0 AND n_chars % 3 = 0 THEN 'explicit without evidence' END,
+CASE WHEN n_chars % 5 = 0 THEN 'unknown kind' END], lambda r: r IS NOT NULL)) AS rule FROM documents""")
+def profile_checks(t):
+    n = F.col("n_chars")
+    span = F.when(n % 3 != 0, F.struct(F.lit(0).alias("start"), (n % 4).cast("int").alias("end")))
+    kind = F.when(n % 5 == 0, "hobby").otherwise("experience")
+    one = F.struct(kind.alias("kind"), F.lit("required").alias("necessity"), (n % 2 == 0).alias("explicit"), span.alias("evidence"))
+    return t("documents").select("doc_id", F.explode(pf.profile_violations(one)).alias("rule"))
+
+
+@_query("SELECT label AS model, len(embedding) AS dimensions, count(*) AS rows FROM embeddings WHERE embedding IS NOT NULL GROUP BY 1, 2")
+def dimension_report(t):
+    return mt.dimension_report(t("embeddings").where("embedding is not null").withColumnRenamed("label", "model"), "model", "embedding")
+
+
+@_query("SELECT doc_id, length(coalesce(text, ''))::DOUBLE AS n_chars, (length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')))::DOUBLE AS n_blanks, NULL::VARCHAR AS error FROM documents")
+def embedded_texts(t):
+    def embedder(texts: list[str]) -> list[list[float]]:
+        return [[float(len(x)), float(x.count(" "))] for x in texts]
+
+    made = bt.embed_texts(t("documents"), "doc_id", "text", embedder)
+    return made.select("doc_id", F.col("vector")[0].alias("n_chars"), F.col("vector")[1].alias("n_blanks"), "error")
+
+
 @_stream_query("events", "SELECT props AS term, count(*) AS occurrences, min(event_id) AS first_seen, max(event_id) AS last_seen FROM events WHERE props IS NOT NULL GROUP BY 1")
 def stream_counts(stream):
     return st.stream_counts(stream.withColumnRenamed("props", "term"), "term", "event_id")

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from corpusmatch.functions import render
 from corpusmatch.functions import text as tx
+from corpusmatch.operators import batching as bt
 from corpusmatch.operators import evaluation, linking, matching, revisions
+from corpusmatch.operators import tables as tb
 from corpusmatch.sources import pages
 
 
@@ -318,3 +320,58 @@ def test_cosine_blocks(spark):
         want = np.lexsort((np.arange(300), -np.round(unit @ unit[u], 12)))[:5].tolist()
         assert got[got.user_id == u].sort_values("rank").item_id.tolist() == want
     assert got[got.user_id == 901].item_id.tolist() == [901] and not {900, 902} & {*got.user_id}
+
+
+def test_phrases_of_the_sources(spark):
+    df = spark.createDataFrame([("Без досвіду, 2",), ("від 3 років",), ("no number",), (None,)], "t string")
+    assert [r[0] for r in df.select(tx.experience_years(F.col("t"))).collect()] == [0.0, 3.0, None, None]
+    df = spark.createDataFrame([("Київ,  Львів , віддалено (EU), ",), (None,)], "t string")
+    assert [r[0] for r in df.select(tx.cities(F.col("t"))).collect()] == [["Київ", "Львів"], []]
+    df = spark.createDataFrame([("<ol><li>x</ol>",), ("a < b",)], "t string")
+    assert [r[0] for r in df.select(tx.is_markup(F.col("t"))).collect()] == [True, False]
+    df = spark.createDataFrame([(" a\t  b​\n c ",)], "t string")
+    assert df.select(tx.block_text(F.col("t"))).first()[0] == "a b\n c"
+
+
+def test_card_leaves_out_missing_facts(spark):
+    match = {"score": F.lit(82.5), "recommendation": F.lit("apply"), "similarity": F.lit(0.5), "relevance": F.lit(None).cast("double")}
+    none = F.lit(None).cast("double")
+    job = {"title": F.lit('"A" & B'), "company": F.lit("C"), "low": none, "high": none, "currency": F.lit("USD"), "remote": F.lit(False), "level": F.lit("")}
+    links = F.array(F.struct(F.lit("site").alias("source"), F.lit("u").alias("url")))
+    totals = {"pending": F.lit(1), "approved": F.lit(None).cast("long"), "rejected": F.lit(2)}
+    card = spark.range(1).select(render.card(match, job, links, totals)).first()[0]
+    assert card.split("\n") == [
+        "<b>82% MATCH</b> · APPLY", "", "<b>&quot;A&quot; &amp; B</b> — C", "", "🧮 similarity 50% · not reranked", "",
+        '🔗 <a href="u">Site</a>', "", "📊 1 pending · 0 approved · 2 rejected",
+    ]
+
+
+def test_failed_batches_of_an_embedder_stay_for_the_next_pass(spark):
+    def embedder(texts):
+        if "bad" in texts:
+            raise ValueError("no")
+        return [[float(len(t))] for t in texts if t != "lost"]
+
+    df = spark.createDataFrame([(0, "a"), (1, None), (2, "bad"), (3, "b"), (4, "lost"), (5, "c"), (6, "dd")], "id long, t string").coalesce(1)
+    got = {r["id"]: (r["vector"], r["error"]) for r in bt.embed_texts(df, "id", "t", embedder, 2).collect()}
+    assert got[0] == ([1.0], None) and got[1] == ([0.0], None) and got[6] == ([2.0], None)
+    assert got[2] == got[3] == (None, "ValueError: no") and got[4] == got[5] == (None, "1 vectors for 2 texts")
+    assert bt.embed_texts(df.limit(0), "id", "t", embedder).count() == 0
+
+
+def test_stored_texts_of_either_form(spark):
+    rows = [(1, "a < b\n\n- one", None), (2, "<h1>T</h1><p>x  y</p>", "de"), (3, None, "en"), (4, " \n", None)]
+    df = spark.createDataFrame(rows, "id long, text string, language string")
+    got = {r["id"]: r for r in pages.parsed_revisions(df.drop("text"), pages.stored_blocks(df, "id", "text"), "id").collect()}
+    assert [got[k]["status"] for k in (1, 2, 3, 4)] == ["parsed", "parsed", "failed", "failed"]
+    assert got[2]["parsed_text"] == "T\nx y" and got[2]["language"] == "de" and got[2]["n_blocks"] == 2
+    assert got[1]["parsed_text"].startswith("a < b\n") and got[1]["n_blocks"] == 2
+    assert got[3]["parsed_text"] is None and got[3]["language"] == "en" and got[4]["error"] == "no text found"
+
+
+def test_resets_and_owners_of_empty_tables(spark):
+    df = spark.createDataFrame([(1, "x"), (2, None)], "k long, s string")
+    got = tb.reset_counts({"a": (df, F.col("s") == "x"), "b": (df.limit(0), F.lit(True))})
+    assert {tuple(r) for r in got.collect()} == {("a", 1), ("b", 0)}
+    users = spark.createDataFrame([(1, "u2"), (1, "u1"), (None, "u3")], "k long, user string")
+    assert {tuple(r) for r in tb.resolved_owners(df, users, "k", "user").collect()} == {(1, "x", "u1"), (2, None, None)}
