@@ -52,7 +52,7 @@ def job_profile(
 
 
 # Category of a competency by the label of its span.
-CATEGORIES = {"programming language": "skill", "framework": "skill", "tool": "tool", "technology": "skill", "language": "language", "soft skill": "soft_skill", "certification": "certification"}
+CATEGORIES = {"technology": "technology", "tool": "tool", "professional skill": "professional_skill"}
 
 
 def verified_spans(docs: DataFrame, spans: DataFrame, most_chars: int = 12_000) -> DataFrame:
@@ -70,7 +70,7 @@ def verified_spans(docs: DataFrame, spans: DataFrame, most_chars: int = 12_000)
 
 def competencies(verified: DataFrame) -> DataFrame:
     """(doc_id, kept, rejected, warning): competencies of each document with category and confidence within 0 and 1, in order, and rejected spans with their reasons."""
-    kind = F.coalesce(F.create_map(*(F.lit(x) for p in CATEGORIES.items() for x in p))[F.lower("label")], F.lit("other"))
+    kind = F.coalesce(F.create_map(*(F.lit(x) for p in CATEGORIES.items() for x in p))[F.col("label")], F.lit("other"))
     sure = F.least(F.greatest(F.col("confidence"), F.lit(0.0)), F.lit(1.0))
     good = F.struct("start_char", "end_char", "quote", kind.alias("category"), sure.alias("confidence"))
     wrong = F.struct("start_char", "end_char", "quote", F.col("outcome").alias("reason"))
@@ -111,3 +111,22 @@ def candidate_profile(language: Column, truncated: Column) -> Column:
         language.alias("language"), F.array().cast("array<string>").alias("competencies"), F.lit(0.0).alias("confidence"),
         F.array(F.lit("no extractor for candidates is configured")).alias("warnings"), truncated.alias("truncated"),
     )
+
+
+def extraction_run(revisions: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, outcome, origin, n_competencies) of an extraction over revisions (doc_id, status).
+
+    Only parsed revisions are extracted; the others say why not. found: (doc_id, kept) of the span source; a document that
+    it says nothing of keeps its structural profile.
+    """
+    both = revisions.join(found.select("doc_id", "kept"), "doc_id", "left")
+    parsed = F.coalesce(F.col("status") == "parsed", F.lit(False))
+    outcome = F.when(parsed, "extracted").otherwise(F.concat(F.lit("not parsed: "), F.coalesce("status", F.lit("no status"))))
+    origin = F.when(parsed, F.when(F.col("kept").isNull(), "structural").otherwise("neural"))
+    count = F.when(parsed, F.coalesce(F.size("kept"), F.lit(0))).otherwise(0)
+    return both.select("doc_id", outcome.alias("outcome"), origin.alias("origin"), count.cast("long").alias("n_competencies"))
+
+
+def rewound(stale: DataFrame) -> DataFrame:
+    """Transitions that put stale profiles' revisions (doc_id) back to parsed, so that the next run extracts them again."""
+    return stale.select("doc_id", F.lit("extracted").alias("from_status"), F.lit("parsed").alias("to_status"), F.lit("stale extractor").alias("reason"))

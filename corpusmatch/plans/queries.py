@@ -787,7 +787,7 @@ def listing_links(t):
 
 @_query()
 def detail_fields(t):
-    return po.detail_fields(t("pages"), "page_id", "html", {"title": "h1", "company": "div.ad", "description_html": "article"}).drop("items")
+    return po.detail_fields(t("pages"), "page_id", "html", {"title": "h1", "company": "div.ad", "description_html": "article"}).drop("items", "places")
 
 
 @_query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'F' THEN 'kept' ELSE 'added' END AS label FROM orders")
@@ -982,6 +982,96 @@ def embedded_texts(t):
     return made.select("doc_id", F.col("vector")[0].alias("n_chars"), F.col("vector")[1].alias("n_blanks"), "error")
 
 
+_SPANS = """s AS (SELECT doc_id, n_chars, CASE WHEN n_chars % 5 = 0 THEN 'bare' WHEN length(text) < 4 THEN 'out of bounds' WHEN n_chars % 7 = 0 THEN 'misquoted' ELSE 'kept' END AS outcome
+FROM documents WHERE text IS NOT NULL AND n_chars % 4 <> 0)"""
+
+
+def _competencies(t) -> DataFrame:
+    d = t("documents").where("text is not null and n_chars % 4 <> 0")
+    quote = F.when(F.col("n_chars") % 5 == 0, "").when(F.col("n_chars") % 7 == 0, "~~~~").otherwise(F.substring("text", 1, 4))
+    label = F.element_at(F.array(*map(F.lit, ("tool", "Tool", "professional skill"))), (F.col("n_chars") % 3 + 1).cast("int"))
+    spans = d.select("doc_id", label.alias("label"), F.lit(0).alias("start_char"), F.lit(4).alias("end_char"), quote.alias("quote"), (F.col("n_chars") % 3 / 1.5).alias("confidence"))
+    return pf.competencies(pf.verified_spans(d, spans))
+
+
+@_query(f"""WITH {_SPANS} SELECT doc_id, CASE WHEN outcome = 'kept' THEN ['tool', 'other', 'professional_skill'][n_chars % 3 + 1] END AS category,
+CASE WHEN outcome = 'kept' THEN least(n_chars % 3 / 1.5::DOUBLE, 1.0::DOUBLE) END AS confidence, nullif(outcome, 'kept') AS rejected FROM s""")
+def span_competencies(t):
+    return _competencies(t).select("doc_id", F.get("kept.category", 0).alias("category"), F.get("kept.confidence", 0).alias("confidence"), F.get("rejected.reason", 0).alias("rejected"))
+
+
+@_query(f"""WITH {_SPANS} SELECT d.doc_id, CASE WHEN s.doc_id IS NULL THEN 'structural' ELSE 'neural' END AS origin, s.doc_id IS NULL AS review FROM documents d LEFT JOIN s USING (doc_id)""")
+def structural_fallback(t):
+    return pf.with_fallback(t("documents"), _competencies(t)).select("doc_id", "origin", "review")
+
+
+@_query(f"""WITH {_SPANS} SELECT doc_id, CASE WHEN d.n_chars % 9 = 0 THEN 'not parsed: failed' ELSE 'extracted' END AS outcome, CASE WHEN d.n_chars % 9 = 0 THEN NULL WHEN s.doc_id IS NULL THEN 'structural' ELSE 'neural' END AS origin,
+CASE WHEN d.n_chars % 9 <> 0 AND outcome = 'kept' THEN 1 ELSE 0 END AS n_competencies FROM documents d LEFT JOIN (SELECT doc_id, outcome FROM s) s USING (doc_id)""")
+def extraction_run(t):
+    status = F.when(F.col("n_chars") % 9 == 0, "failed").otherwise("parsed")
+    return pf.extraction_run(t("documents").select("doc_id", status.alias("status")), _competencies(t))
+
+
+@_query("""SELECT event_id, status, published_at FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN 'failed' WHEN value > 30 THEN 'published' ELSE 'pending' END AS status, ts AS published_at FROM events)
+WHERE status <> 'published' OR published_at >= TIMESTAMP '2024-01-15'""")
+def purge_published(t):
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("value") > 30, "published").otherwise("pending")
+    e = t("events").select("event_id", status.alias("status"), F.col("ts").alias("published_at"))
+    return st.purge_published(e, F.lit("2024-01-15").cast("timestamp_ntz"))
+
+
+@_query("SELECT doc_id, lang AS language, CAST(n_chars AS VARCHAR) AS n_chars, coalesce(n_chars % 2 = 0, false) AS is_even FROM documents")
+def field_snapshot(t):
+    """Facts frozen as JSON with a revision, and read from it again."""
+    raw = F.to_json(render.snapshot({"language": F.col("lang"), "n_chars": F.col("n_chars"), "even": F.col("n_chars") % 2 == 0}))
+    d = t("documents").select("doc_id", raw.alias("facts"))
+    path = lambda p: F.get_json_object("facts", p)
+    return d.select("doc_id", path("$.language").alias("language"), path("$.n_chars").alias("n_chars"), tx.json_flag(F.col("facts"), "$.even").alias("is_even"))
+
+
+@_query("""SELECT p_partkey, p_brand AS required, CASE WHEN lower(p_name) = lower(p_brand) THEN p_name ELSE p_name || '; ' || p_brand END AS preferred, p_type AS other FROM part""")
+def competency_lists(t):
+    one = lambda need, name: F.struct(F.lit(need).cast("string").alias("necessity"), name.alias("name"))
+    items = F.array(
+        one("required", F.col("p_brand")), one("required", F.lower("p_brand")), one("preferred", F.col("p_name")), one("preferred", F.col("p_brand")),
+        one("optional", F.col("p_type")), one(None, F.upper("p_type")), one(None, F.lit(" ")),
+    )
+    return t("part").select("p_partkey", *(c.alias(n) for n, c in render.competency_lists(items).items()))
+
+
+@_query("SELECT doc_id, 'Which posting fits?' || chr(10) || chr(10) || substr(text, 1, 50) AS query FROM documents")
+def rerank_queries(t):
+    return t("documents").select("doc_id", render.rerank_query("Which posting fits?", F.substring("text", 1, 50)).alias("query"))
+
+
+@_query("""SELECT DISTINCT concept_id, label FROM (SELECT p_partkey AS concept_id, p_type AS label FROM part UNION ALL SELECT l_partkey, l_returnflag FROM lineitem UNION ALL SELECT p_partkey, p_brand FROM part WHERE p_size > 20)""")
+def merged_labels(t):
+    part = t("part")
+    imported = part.select(F.col("p_partkey").alias("concept_id"), F.col("p_type").alias("label"))
+    used = t("lineitem").select(F.col("l_partkey").alias("concept_id"), F.col("l_returnflag").alias("label"))
+    return ln.merge_labels(imported, used, part.where("p_size > 20").select(F.col("p_partkey").alias("concept_id"), F.col("p_brand").alias("label")))
+
+
+@_query("""SELECT 'a' AS source, page_id AS id, 'Senior page ' || page_id AS title, CASE WHEN page_id % 3 = 0 THEN '' ELSE 'Kyiv|Lviv' END AS places, 'senior' AS seniority, page_id % 2 = 0 AS remote FROM pages
+UNION ALL SELECT 'b', doc_id, 'Junior cook', 'Kyiv, Lviv', 'junior', true FROM documents""")
+def posting_union(t):
+    """Two sources in one schema: pages with a title of their own, documents with that of their listing."""
+    none = F.lit(None).cast("string")
+
+    def parsed(df: DataFrame, key: str, title, location, remote) -> DataFrame:
+        given = {"title": title, "listing_title": F.lit("Junior cook"), "location": location, "remote": remote, "external_id": F.col(key).cast("string")}
+        empty = dict.fromkeys(("url", "company", "description", "listing_description", "experience", "salary"), none)
+        return df.select(*(c.alias(n) for n, c in {**given, **empty}.items()))
+
+    key = F.col("page_id")
+    landed = {
+        "a": parsed(t("pages"), "page_id", F.concat(F.lit("Senior page "), key.cast("string")), F.when(key % 3 != 0, "Kyiv, Lviv, Віддалено"), key % 2 == 0),
+        "b": parsed(t("documents"), "doc_id", F.lit(" "), F.lit("Kyiv, Lviv"), F.lit(True)),
+    }
+    union = po.all_sources({"a": lambda df: po.normalized(df, "a"), "b": lambda df: po.normalized(df, "b", split_places=False)}, landed)
+    return union.select("source", F.col("external_id").cast("long").alias("id"), "title", F.array_join("places", "|").alias("places"), "seniority", "remote")
+
+
 @_stream_query("events", "SELECT props AS term, count(*) AS occurrences, min(event_id) AS first_seen, max(event_id) AS last_seen FROM events WHERE props IS NOT NULL GROUP BY 1")
 def stream_counts(stream):
     return st.stream_counts(stream.withColumnRenamed("props", "term"), "term", "event_id")

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from corpusmatch.functions.text import cities, experience_years, salary, seniority
 from corpusmatch.sources.pages import elements, inner_html, text_of
 
-POSTING = "source string, external_id string, url string, title string, company string, description string, remote boolean, places array<string>, salary struct<min:double,max:double,currency:string>, seniority string, years double"
+POSTING = "source string, external_id string, url string, title string, company string, description string, remote boolean, places array<string>, salary struct<min:double,max:double,currency:string>, seniority string, years double, employment_type string"
+
+# What tells the items of a sidebar apart.
+PLACE_CLASS, REMOTE_MARK, EXPERIENCE_MARK, CURRENCY_SIGNS = "location-text", "віддалено", "досвід", "[$€₴£]"
 
 
 def _pages_to_rows(pages: DataFrame, key: str, html: str, columns: dict[str, str], parse: Callable[[str], list[tuple]]) -> DataFrame:
@@ -54,12 +57,16 @@ def listing_rows(pages: DataFrame, key: str, html: str, base_url: str, id_patter
 
 
 def detail_fields(pages: DataFrame, key: str, html: str, selectors: dict[str, str]) -> DataFrame:
-    """(key, a column a selector, items) of detail pages.
+    """(key, a column a selector, items, places) of detail pages.
 
     A selector is `tag`, `tag.class` or `.class`; the first element that fits gives its text, or its inner markup if the
-    name ends in `_html`. items: texts of the list items of the page's `aside`, for `sidebar`. What isn't there is null.
+    name ends in `_html`. items and places: texts of the list items of the page's `aside`, and of the place named in each,
+    for `sidebar`. What isn't there is null.
     """
 
+    def place(item) -> str | None:
+        return next((text_of(e) for e in elements(item) if PLACE_CLASS in (e.attrs.get("class") or "").split()), None)
+
     def parse(source: str) -> list[tuple]:
         out = []
         for name, selector in selectors.items():
@@ -67,37 +74,44 @@ def detail_fields(pages: DataFrame, key: str, html: str, selectors: dict[str, st
             one = next((e for e in elements(source, tag or None) if not wanted or wanted in (e.attrs.get("class") or "").split()), None)
             out.append(None if one is None else inner_html(one) if name.endswith("_html") else text_of(one) or None)
         aside = next(iter(elements(source, "aside")), None)
-        return [(*out, [text_of(e) for e in elements(aside, "li")] if aside else [])]
+        items = list(elements(aside, "li")) if aside else []
+        return [(*out, [text_of(e) for e in items], [place(e) for e in items])]
 
-    return _pages_to_rows(pages, key, html, {**dict.fromkeys(selectors, "string"), "items": "array<string>"}, parse)
+    return _pages_to_rows(pages, key, html, {**dict.fromkeys(selectors, "string"), "items": "array<string>", "places": "array<string>"}, parse)
 
 
-def sidebar(items: Column) -> Column:
-    """struct<location, remote, experience, salary> from list items; each goes to the first kind that fits, and the first of a kind stays."""
-    pay = lambda x: F.rlike(x, F.lit(r"[$€₴£]\s*\d"))
-    work = lambda x: F.rlike(x, F.lit(r"(?iU)\b(remote|office|hybrid|віддалено|офіс)\b"))
-    years = lambda x: F.rlike(x, F.lit(r"(?iU)\b(experience|years?|досвід\w*|рок\w*)\b"))
-    first = lambda when: F.try_element_at(F.filter(items, when), F.lit(1))
+def sidebar(items: Column, places: Column) -> Column:
+    """struct<location, remote, experience, salary> from list items and the places in them; null or false without any.
+
+    Each item goes to the first kind that fits: one with a place, then remote work, experience, an amount. The last of a
+    kind stays.
+    """
+    other = F.transform(F.filter(F.arrays_zip(items.alias("text"), places.alias("place")), lambda i: i["place"].isNull()), lambda i: i["text"])
+    has = lambda x, mark: F.contains(F.lower(x), F.lit(mark))
+    last = lambda values, when: F.try_element_at(F.filter(values, when), F.lit(-1))
+    plain = F.filter(other, lambda x: ~has(x, REMOTE_MARK))
     return F.struct(
-        first(lambda x: ~pay(x) & ~work(x) & ~years(x)).alias("location"),
-        F.exists(items, lambda x: ~pay(x) & work(x) & F.rlike(x, F.lit(r"(?i)remote|віддалено"))).alias("remote"),
-        first(lambda x: ~pay(x) & ~work(x) & years(x)).alias("experience"),
-        first(pay).alias("salary"),
+        last(places, lambda p: p.isNotNull()).alias("location"),
+        F.exists(other, lambda x: has(x, REMOTE_MARK)).alias("remote"),
+        last(plain, lambda x: has(x, EXPERIENCE_MARK)).alias("experience"),
+        last(plain, lambda x: ~has(x, EXPERIENCE_MARK) & F.rlike(x, F.lit(CURRENCY_SIGNS))).alias("salary"),
     )
 
 
-def normalized(parsed: DataFrame, source: str) -> DataFrame:
+def normalized(parsed: DataFrame, source: str, split_places: bool = True) -> DataFrame:
     """One schema from (external_id, url, title, listing_title, company, description, listing_description, location, experience, salary, remote) of a source.
 
-    An empty title or description falls back to that of the listing; a blank line of places gives none.
+    An empty title or description falls back to that of the listing; a blank line of places gives none. A
+    source that names one place a posting doesn't have it split at commas. All postings count as full time.
     """
+    one = F.filter(F.array(F.trim("location")), lambda p: F.coalesce(p, F.lit("")) != "")
     full = lambda a, b: F.coalesce(F.nullif(F.trim(a), F.lit("")), F.col(b))
     title = full("title", "listing_title")
     return parsed.select(
         F.lit(source).alias("source"), "external_id", "url", title.alias("title"), F.trim("company").alias("company"),
         full("description", "listing_description").alias("description"),
-        F.coalesce("remote", F.lit(False)).alias("remote"), F.coalesce(cities(F.col("location")), F.array().cast("array<string>")).alias("places"),
-        salary(F.col("salary")).alias("salary"), seniority(title).alias("seniority"), experience_years(F.col("experience")).alias("years"),
+        F.coalesce("remote", F.lit(False)).alias("remote"), (cities(F.col("location")) if split_places else one).alias("places"),
+        salary(F.col("salary")).alias("salary"), seniority(title).alias("seniority"), experience_years(F.col("experience")).alias("years"), F.lit("full_time").alias("employment_type"),
     )
 
 

@@ -141,7 +141,7 @@ def test_profiles_from_spans(spark):
     from corpusmatch.operators import profiles
 
     docs = spark.createDataFrame([(1, "We use Python daily"), (2, "nothing")], "doc_id long, text string")
-    rows = [(1, "Tool", 7, 13, "Python", 1.7), (1, "odd", 0, 2, "We", -1.0), (1, "tool", 0, 3, "xyz", 0.5), (1, "tool", 5, 99, "x", 0.5), (1, "tool", None, 2, "We", 0.5)]
+    rows = [(1, "tool", 7, 13, "Python", 1.7), (1, "Tool", 0, 2, "We", -1.0), (1, "tool", 0, 3, "xyz", 0.5), (1, "tool", 5, 99, "x", 0.5), (1, "tool", None, 2, "We", 0.5)]
     spans = spark.createDataFrame(rows, "doc_id long, label string, start_char int, end_char int, quote string, confidence double")
     out = {r.doc_id: r for r in profiles.with_fallback(docs, profiles.competencies(profiles.verified_spans(docs, spans))).collect()}
     assert [(c.quote, c.category, c.confidence) for c in out[1].kept] == [("We", "other", 0.0), ("Python", "tool", 1.0)]
@@ -152,13 +152,13 @@ def test_profiles_from_spans(spark):
 def test_postings_from_pages(spark):
     from corpusmatch.sources import postings
 
-    html = "<a href='/jobs/12-x'>One <b>job</b></a><a href='/jobs/12-x'>again</a><a href='/about'>About</a><a href='/jobs/13'> </a><h1 class='big t'>Title</h1><aside><ul><li>Kyiv, Lviv<li>Remote<li>3 years of experience<li>$2000-3000</ul></aside>"
+    html = "<a href='/jobs/12-x'>One <b>job</b></a><a href='/jobs/12-x'>again</a><a href='/about'>About</a><a href='/jobs/13'> </a><h1 class='big t'>Title</h1><aside><ul><li><span class='location-text'>Kyiv, Lviv</span><li>Віддалено<li>1 рік досвіду<li>3 роки досвіду<li>$2000-3000</ul></aside>"
     pages_ = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
     rows = postings.listing_rows(pages_, "page_id", "html", "https://x.y/", r"/jobs/(\d+)").collect()
     assert [tuple(r) for r in rows] == [(1, "12", "https://x.y/jobs/12-x", "One job")]
-    found = postings.detail_fields(pages_, "page_id", "html", {"title": "h1.t", "company": ".none"}).withColumn("s", postings.sidebar(F.col("items")))
+    found = postings.detail_fields(pages_, "page_id", "html", {"title": "h1.t", "company": ".none"}).withColumn("s", postings.sidebar(F.col("items"), F.col("places")))
     one = {r.page_id: r for r in found.collect()}[1]
-    assert (one.title, one.company, tuple(one.s)) == ("Title", None, ("Kyiv, Lviv", True, "3 years of experience", "$2000-3000"))
+    assert (one.title, one.company, tuple(one.s)) == ("Title", None, ("Kyiv, Lviv", True, "3 роки досвіду", "$2000-3000"))
     parsed = found.select(
         F.col("page_id").cast("string").alias("external_id"), F.lit("u").alias("url"), F.lit(" ").alias("title"), F.lit("Lead cook").alias("listing_title"), F.lit(" Acme ").alias("company"),
         F.lit(None).cast("string").alias("description"), F.lit("text").alias("listing_description"), "s.location", "s.experience", "s.salary", "s.remote",
