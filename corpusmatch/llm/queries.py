@@ -1,4 +1,4 @@
-"""Queries of the ten operators with production parameters, each over its whole table."""
+"""Queries of the thirteen operators with production parameters, each over its whole table."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmatch.llm import ann, jaccard, language_id, licenses, mixing, packing, pii, quality, suffix_dedup, toxicity
+from corpusmatch.llm import ann, divergence, jaccard, language_id, licenses, mixing, packing, phrases, pii, quality, sql, suffix_dedup, toxicity
 from corpusmatch.llm.common import crc_mod, table
 
 
@@ -72,6 +72,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).withColumn("notices", F.to_json("notices"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,44 +99,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_pii_surrogates,
         op9_jaccard_join,
         op10_license_scan,
+        op12_source_divergence,
+        op13_phrase_collocations,
         pipeline,
     )
     return {f.__name__: f for f in own}
 
 
-#: The mix as SQL: the same hash, and running sums over documents in place of histograms.
-OP6_SQL = r"""
-WITH d AS (
-  SELECT doc_id, source,
-         CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS hash
-  FROM documents),
-s AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place
-  FROM d GROUP BY source),
-w AS (
-  SELECT *, 2.0::DOUBLE * source_size AS cap,
-         CASE (place - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight FROM s),
-l AS (
-  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0)) /
-            (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level
-  FROM w WINDOW o AS (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (
-  SELECT source, source_size,
-         least(cap, coalesce(first_value(CASE WHEN level * weight <= cap THEN level END IGNORE NULLS)
-           OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * weight, cap)) AS target
-  FROM l),
-p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS passes FROM t),
-r AS (
-  SELECT d.doc_id, d.size, p.source_size, p.target, p.passes, p.target - p.passes * p.source_size AS rest,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.hash RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
-         sum(d.size) OVER (PARTITION BY d.source, d.hash) AS tie
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, source_size, target,
-       CAST(size * (passes + CASE WHEN 2 * upto - tie <= 2 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM r
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op6_source_mix": OP6_SQL}
+    return {"op6_source_mix": sql.OP6_SQL, "op12_source_divergence": sql.OP12_SQL, "op13_phrase_collocations": sql.OP13_SQL}
