@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmatch.llm import ann, divergence, jaccard, language_id, licenses, mixing, packing, phrases, pii, quality, sql, suffix_dedup, toxicity
+from corpusmatch.llm import ann, divergence, gam, jaccard, language_id, licenses, mixing, packing, phrases, pii, quality, sql, suffix_dedup, toxicity
 from corpusmatch.llm.common import crc_mod, table
 
 
@@ -72,6 +72,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).withColumn("notices", F.to_json("notices"))
 
 
+def op11_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = gam.fit(docs, table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) > 0))
+    held = (crc_mod("doc_id", 5) == 0).alias("held_out")
+    return gam.score(docs, model).select("doc_id", held, "score", "predicted")
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -99,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_pii_surrogates,
         op9_jaccard_join,
         op10_license_scan,
+        op11_quality_model,
         op12_source_divergence,
         op13_phrase_collocations,
         pipeline,
