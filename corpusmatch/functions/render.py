@@ -117,17 +117,62 @@ def competency_lists(items: Column) -> dict[str, Column]:
     }
 
 
-def representations(fields: dict[str, Column]) -> Column:
-    """array<struct<field, body>> of the fields that say something, contact details taken out."""
-    made = (F.when(F.coalesce(F.trim(v), F.lit("")) != "", F.struct(F.lit(k).alias("field"), redact(F.trim(v)).alias("body"))) for k, v in fields.items())
-    return F.array_compact(F.array(*made))
+FIELD_CHARS, FULL_CHARS = 1200, 4000  # fixed values
 
 
-def candidate_representations(roles: Column, stack: Column, years: Column, cv: Column) -> Column:
-    """The four fields of a candidate."""
-    return representations({
-        "occupation": fold_distinct(roles), "competencies": fold_distinct(stack),
-        "experience": F.when(years > 0, F.concat(plain_number(years), F.lit("+ years"))), "full_profile": F.substring(collapse(cv), 1, CV_CHARS),
+def section(label: str, value: Column) -> Column:
+    """`[LABEL]` over the value; null without one."""
+    return F.when(F.coalesce(F.trim(value), F.lit("")) != "", F.concat(F.lit(f"[{label}]\n"), F.trim(value)))
+
+
+def sections(*parts: Column, limit: int = FIELD_CHARS) -> Column:
+    """The sections that are there, a blank line between two, cut at the limit; empty without any."""
+    return F.substring(collapse(F.concat_ws("\n\n", *parts)), 1, limit)
+
+
+def competency_sections(items: Column, canonical: Column) -> list[Column]:
+    """Sections of array<struct<necessity, name>> by necessity, and of the taxonomy's names for them."""
+    lists = competency_lists(items)
+    return [
+        section("REQUIRED COMPETENCIES", lists["required"]), section("PREFERRED COMPETENCIES", lists["preferred"]),
+        section("COMPETENCIES", lists["other"]), section("CANONICAL COMPETENCIES", fold_distinct(canonical)),
+    ]
+
+
+def _fields(made: dict[str, Column]) -> Column:
+    """array<struct<field, body>> of the fields that say something."""
+    return F.array_compact(F.array(*(F.when(v != "", F.struct(F.lit(k).alias("field"), v.alias("body"))) for k, v in made.items())))
+
+
+def job_representations(
+    title: Column, level: Column, occupations: Column, competencies: Column, canonical: Column, years: Column, responsibilities: Column,
+    remote: Column, low: Column, high: Column, currency: Column, description: Column,
+) -> Column:
+    """The five fields of a posting; those with nothing to say are absent. 0 years and a salary of 0 count as absent.
+
+    competencies: array<struct<necessity, name>>. Contact details are taken out of the description.
+    """
+    bounds = F.concat_ws("-", F.when(low != 0, low.cast("long").cast("string")), F.when(high != 0, high.cast("long").cast("string")))
+    pay = F.when(bounds != "", F.concat_ws(" ", bounds, F.nullif(currency, F.lit(""))))
+    experience = section("EXPERIENCE", F.when(years != 0, F.concat(plain_number(years), F.lit("+ years required"))))
+    role, seniority = section("ROLE", title), section("SENIORITY", level)
+    place = section("WORK FORMAT", F.when(F.coalesce(remote, F.lit(False)), "remote").otherwise("on-site or hybrid"))
+    return _fields({
+        "occupation": sections(role, seniority, section("OCCUPATIONS", fold_distinct(occupations))),
+        "competencies": sections(*competency_sections(competencies, canonical)),
+        "experience": sections(experience),
+        "responsibilities": sections(section("RESPONSIBILITIES", F.array_join(responsibilities, "\n"))),
+        "full_profile": sections(role, seniority, experience, place, section("COMPENSATION", pay), section("DESCRIPTION", redact(collapse(description))), limit=FULL_CHARS),
+    })
+
+
+def candidate_representations(roles: Column, stack: Column, formats: Column, competencies: Column, canonical: Column, cv: Column) -> Column:
+    """The four fields of a candidate. The CV itself, without contact details, is the experience."""
+    looking, preferred, place = section("LOOKING FOR", fold_distinct(roles)), section("PREFERRED STACK", fold_distinct(stack)), section("WORK FORMAT", fold_distinct(formats))
+    text = section("CV", redact(collapse(cv)))
+    return _fields({
+        "occupation": sections(looking, place), "competencies": sections(preferred, *competency_sections(competencies, canonical)),
+        "experience": sections(text, limit=FULL_CHARS), "full_profile": sections(looking, preferred, place, text, limit=FULL_CHARS),
     })
 
 

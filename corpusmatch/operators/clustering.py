@@ -37,8 +37,8 @@ def leader_clusters(postings: DataFrame, key: str, order: str) -> DataFrame:
     """(key, cluster): each posting joins the best cluster of its company, or founds one named by its own key.
 
     postings: (key, order, company, title, description). Postings of a normalized company come in order (and by key) to
-    one task and are compared with the first postings of its clusters only, newest cluster first, so of equal scores
-    the newer wins. The task streams: it keeps these first postings, not the rest. Null texts count as empty.
+    one task and are compared with the first postings of its clusters only, the cluster seen last first, so of equal scores
+    that one wins; a posting that joins a cluster makes it the one seen last. The task streams: it keeps these first postings, not the rest. Null texts count as empty.
     """
     text = lambda c: F.coalesce(c, F.lit(""))
     named = postings.select(
@@ -54,14 +54,13 @@ def leader_clusters(postings: DataFrame, key: str, order: str) -> DataFrame:
             for company, id_, title, description in zip(part["company"], part["id"], part["title"], part["description"], strict=True):
                 if company != now:
                     now, leaders = company, []
-                best, home = 0.0, id_
-                for leader, other_title, other in reversed(leaders):
-                    score = pair_score(title, description, other_title, other)
+                best, home = 0.0, None
+                for at in range(len(leaders) - 1, -1, -1):
+                    score = pair_score(title, description, *leaders[at][1:])
                     if score > best:
-                        best, home = score, leader
-                if not best:
-                    leaders.append((id_, title, description))
-                out.append(home)
+                        best, home = score, at
+                leaders.append((id_, title, description) if home is None else leaders.pop(home))
+                out.append(leaders[-1][0])
             yield pd.DataFrame({"id": part["id"], "cluster": out})
 
     dealt = named.repartition("company").sortWithinPartitions("company", "seen", "id").mapInPandas(deal, f"id {kind}, cluster {kind}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _WORD = re.compile(r"\w+")
+_PARTS = re.compile(r"(\w+)")
 _FOUND = ["start_char", "end_char", "start", "words", "raw_text", "form"]
 _SCHEMA = "start_char int, end_char int, start int, words int, raw_text string, form string"
 
@@ -48,60 +50,105 @@ def tokenize(text: str | None) -> list[tuple[str, int, int]]:
     return [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text or "")]
 
 
-def longest_matches(text: str | None, known, longest: int) -> list[tuple[int, int, int, int, str, str]]:
-    """From left to right the longest known form wins and its words are used up. known: anything that knows `in`."""
-    tokens, out, at = tokenize(text), [], 0
-    while at < len(tokens):
-        for words in range(min(longest, len(tokens) - at), 0, -1):
-            form = " ".join(t[0] for t in tokens[at : at + words])
-            if form in known:
-                start, end = tokens[at][1], tokens[at + words - 1][2]
-                out.append((start, end, at, words, text[start:end], form))
-                break
-        else:
-            words = 1
-        at += words
-    return out
+class FormTrie:
+    """Forms as a tree of their words: one walk from a word of a text finds the longest form that begins there.
+
+    Only words that some form has are kept, each once, so a text's other words end a walk at the first look.
+    """
+
+    def __init__(self, forms, longest: int) -> None:
+        self.root: dict[str, list] = {}
+        for form in forms:
+            words = form.split(" ")
+            if len(words) <= longest:
+                children = self.root
+                for word in words:
+                    node = children.setdefault(word, [{}, None])
+                    children = node[0]
+                node[1] = form
+
+    def matches(self, text: str | None) -> tuple[list[int], list[int], list[int], list[int], list[str], list[str]]:
+        """Columns start_char, end_char, start, words, raw_text, form. From left to right the longest form wins and its words are used up."""
+        low = (text or "").lower()
+        if len(low) == len(text or ""):
+            parts = _PARTS.split(low)
+            words, ends = parts[1::2], list(itertools.accumulate(map(len, parts)))
+            begins, ends = ends[0::2], ends[1::2]
+        else:  # a letter that grows when it is lower-cased would shift all places after it
+            words, begins, ends = map(list, zip(*tokenize(text), strict=True)) if _WORD.search(text) else ([], [], [])
+        first, stops, forms = [], [], []
+        root, at, n = self.root, 0, len(words)
+        while at < n:
+            node = root.get(words[at])
+            if node is None:
+                at += 1
+                continue
+            children, best = node
+            stop, k = at + 1, at + 1
+            while children and k < n:
+                node = children.get(words[k])
+                if node is None:
+                    break
+                k += 1
+                children, form = node
+                if form is not None:
+                    best, stop = form, k
+            if best is not None:
+                first.append(at)
+                stops.append(stop)
+                forms.append(best)
+            at = stop
+        start, end = [begins[k] for k in first], [ends[k - 1] for k in stops]
+        return start, end, first, [b - a for a, b in zip(first, stops, strict=True)], [text[a:b] for a, b in zip(start, end, strict=True)], forms
 
 
 def _mapped(df: DataFrame, keys: list[str], text: str, each) -> DataFrame:
-    """keys and the matches that `each` finds in the text of every row, in one pass; memory is a batch's."""
+    """keys and the columns of matches that `each` finds in the text of every row, in one pass; memory is a part's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, out = [], []
-            for row, one in enumerate(batch.column(text).to_pylist()):
-                found = each(one)
-                rows += [row] * len(found)
-                out += found
-            owners = [batch.column(k).take(pa.array(rows, pa.int64())) for k in keys]
-            kinds = [pa.int32()] * 4 + [pa.string()] * 2
-            columns = [pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 6, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*owners, *columns], [*keys, *_FOUND])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                rows, out = [], ([], [], [], [], [], [])
+                for row, one in enumerate(batch.column(text).to_pylist()):
+                    found = each(one)
+                    rows += [row] * len(found[0])
+                    for column, values in zip(out, found, strict=True):
+                        column += values
+                owners = [batch.column(k).take(pa.array(rows, pa.int64())) for k in keys]
+                columns = [pa.array(c, k) for c, k in zip(out, [pa.int32()] * 4 + [pa.string()] * 2, strict=True)]
+                yield pa.RecordBatch.from_arrays([*owners, *columns], [*keys, *_FOUND])
 
     owners = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
     return df.select(*keys, text).mapInArrow(run, f"{owners}, {_SCHEMA}")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """df in at least as many parts as tasks can run at once; a scan of texts costs more than dealing out a small table."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 def scan_mentions(docs: DataFrame, index: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", longest: int = 8, most_forms: int = 1_000_000) -> DataFrame:
     """keys, start_char, end_char, start (word), words, raw_text, form: longest matches of index forms, without overlaps.
 
-    Up to `most_forms` forms are broadcast and every text is scanned in one pass. More forms than that stay where
+    Up to `most_forms` forms are broadcast as a tree of words and every text is walked in one pass. More forms than that stay where
     they are: all n-grams meet them by a join, and each text's hits are then told apart in order, with the same result.
     """
     keys_ = list(keys)
     forms = index.select("form").distinct()
     few = forms.limit(most_forms + 1).toPandas()["form"]
     if len(few) <= most_forms:
-        known = docs.sparkSession.sparkContext.broadcast(frozenset(few))
-        return _mapped(docs, keys_, text, lambda one: longest_matches(one, known.value, longest))
+        known = docs.sparkSession.sparkContext.broadcast(FormTrie(few, longest))
+        return _mapped(_spread(docs.select(*keys_, text)), keys_, text, lambda one: known.value.matches(one))
 
-    def grams(one: str | None) -> list[tuple[int, int, int, int, str, str]]:
+    def grams(one: str | None) -> tuple[list, ...]:
         t = tokenize(one)
-        return [
+        rows = [
             (t[k][1], t[k + n - 1][2], k, n, one[t[k][1] : t[k + n - 1][2]], " ".join(w[0] for w in t[k : k + n]))
             for k in range(len(t)) for n in range(1, min(longest, len(t) - k) + 1)
         ]
+        return tuple(map(list, zip(*rows, strict=True))) if rows else ([],) * 6
 
     hits = _mapped(docs, keys_, text, grams).join(forms, "form")
     # Of the hits at a word only the longest can count; those left are taken if they start where the last one taken ended, or later.

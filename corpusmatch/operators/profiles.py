@@ -56,16 +56,23 @@ CATEGORIES = {"technology": "technology", "tool": "tool", "professional skill":
 
 
 def verified_spans(docs: DataFrame, spans: DataFrame, most_chars: int = 12_000) -> DataFrame:
-    """spans (doc_id, label, start_char, end_char, quote, confidence) with `outcome`: kept, or why not.
+    """spans (doc_id, label, start_char, end_char, quote, confidence) with `outcome`: kept, or why not, and `truncated`.
 
-    A span must have whole places, lie within the first `most_chars` characters, and quote the text there.
+    A span must have whole places, lie within the first `most_chars` characters, and quote the text there; `truncated` says
+    that the document goes on after these. A span of an unknown document is out of bounds.
     """
-    cut = docs.select("doc_id", F.substring("text", 1, most_chars).alias("text"))
+    cut = docs.select("doc_id", F.substring("text", 1, most_chars).alias("text"), (F.length("text") > most_chars).alias("truncated"))
     bare = F.col("start_char").isNull() | F.col("end_char").isNull() | (F.coalesce("quote", F.lit("")) == "")
     bad = (F.col("start_char") < 0) | (F.col("end_char") <= F.col("start_char")) | (F.col("end_char") > F.length("text"))
     said = F.substring(F.col("text"), F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))
     outcome = F.when(bare, "bare").when(F.coalesce(bad, F.lit(True)), "out of bounds").when(said != F.col("quote"), "misquoted").otherwise("kept")
-    return spans.join(cut, "doc_id", "left").withColumn("outcome", outcome).drop("text")
+    return spans.join(cut, "doc_id", "left").withColumns({"outcome": outcome, "truncated": F.coalesce("truncated", F.lit(False))}).drop("text")
+
+
+def span_report(verified: DataFrame) -> DataFrame:
+    """(doc_id, kept, rejected, truncated, warning) of verified spans; the warning says that the text was cut before its spans were found."""
+    counts = verified.groupBy("doc_id").agg(F.count_if(F.col("outcome") == "kept").alias("kept"), F.count_if(F.col("outcome") != "kept").alias("rejected"), F.bool_or("truncated").alias("truncated"))
+    return counts.withColumn("warning", F.when(F.col("truncated"), "the text was cut before extraction"))
 
 
 def competencies(verified: DataFrame) -> DataFrame:

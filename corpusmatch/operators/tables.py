@@ -6,12 +6,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def latest_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order; `row_number` = 1 lets Spark cut groups before the shuffle."""
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    nth = free_name(df.columns, "_nth")
+    return df.withColumn(nth, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(nth) == 1).drop(nth)
 
 
 def top_per_key(df: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame:
@@ -19,13 +20,38 @@ def top_per_key(df: DataFrame, keys: list[str], k: int, *order: Column) -> DataF
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of new replace those of old with the same key; columns in `keep` stay as first set."""
-    o, n = old.alias("o"), new.alias("n")
-    both = o.join(n, reduce(lambda a, b: a & b, (F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys)), "full")
-    is_new = F.col(f"n.{keys[0]}").isNotNull()
-    pick = lambda c: F.coalesce(f"o.{c}", f"n.{c}") if c in keep or c in keys else F.when(is_new, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
-    return both.select(*(pick(c).alias(c) for c in old.columns))
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of new replace those of old with the same key, one row a key; columns in `keep` stay as first set.
+
+    Of several new rows of a key the last in `order` counts (columns of new; then the greatest by its other columns, so the
+    result never depends on partitions), and a kept column takes the first value that isn't null. A null key on either side
+    has no row to replace: the job fails and says so.
+    """
+    loud = lambda k: F.coalesce(k, F.raise_error(F.lit(f"upsert: null in key {k}")).cast(old.schema[k].dataType)).alias(k)
+    values = [c for c in old.columns if c not in keys]
+    age = lambda df, which: F.struct(F.lit(which).alias("which"), *(F.col(c) if which and c in df.columns else F.lit(None).cast(new.schema[c].dataType) for c in order), *(F.col(c) for c in values))
+    name = free_name(old.columns, "age")
+    both = None
+    for df, which in ((old, 0), (new, 1)):
+        one = df.select(*(loud(k) for k in keys), *values, age(df, which).cast(age_type(old, new, order, values)).alias(name))
+        both = one if both is None else both.unionByName(one)
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(name))).alias(c)
+    last = lambda c: F.max_by(c, name).alias(c)
+    return both.groupBy(*keys).agg(*(first(c) if c in keep else last(c) for c in values), F.lit(1).alias(name)).select(*old.columns)
+
+
+def age_type(old: DataFrame, new: DataFrame, order: tuple[str, ...], values: list[str]) -> T.StructType:
+    """Type of what `upsert` orders rows by."""
+    fields = [("which", T.IntegerType()), *((f"by{k}", new.schema[c].dataType) for k, c in enumerate(order)), *((f"v{k}", old.schema[c].dataType) for k, c in enumerate(values))]
+    return T.StructType([T.StructField(n, t) for n, t in fields])
+
+
+def free_name(columns: list[str], wish: str) -> str:
+    """`wish`, or the same with underscores after it if a column has that name, whatever its capitals."""
+    taken = {c.lower() for c in columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
 
 
 def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -14,26 +14,18 @@ from corpusmatch.operators import evaluation as ev
 from corpusmatch.operators import linking as ln
 from corpusmatch.operators import matching as mt
 from corpusmatch.operators import profiles as pf
+from corpusmatch.operators import relinking as rl
 from corpusmatch.operators import review as rw
 from corpusmatch.operators import revisions as rv
 from corpusmatch.operators import tables as tb
+from corpusmatch.operators.storage import written
+from corpusmatch.plans import registry
 from corpusmatch.sources import feeds as fd
 from corpusmatch.sources import pages as pg
 from corpusmatch.sources import postings as po
 from corpusmatch.streaming import jobs as st
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
+_QUERIES, _SQL, _query = registry.QUERIES, registry.SQL, registry.query
 
 
 def _stream_query(table: str, sql: str):
@@ -249,17 +241,31 @@ def posting_document(t):
     return part.select("p_partkey", doc.alias("document"))
 
 
-@_query("""SELECT p_partkey, field, body FROM (SELECT p_partkey, unnest(['occupation', 'competencies', 'experience', 'full_profile']) AS field,
-unnest([p_name, array_to_string(list_filter(string_split(p_type, ' '), lambda w: w <> ''), '; '), CASE WHEN p_size >= 10 THEN p_size || '+ years' END, p_name || chr(10) || p_type]) AS body FROM part) WHERE body <> ''""")
+_SECTION = "CASE WHEN trim({1}) <> '' THEN '[{0}]' || chr(10) || trim({1}) END"
+_PARTS = {
+    "role": _SECTION.format("ROLE", "p_name"), "level": _SECTION.format("SENIORITY", "level"), "jobs": _SECTION.format("OCCUPATIONS", "p_brand"),
+    "req": _SECTION.format("REQUIRED COMPETENCIES", "w[1]"), "pref": _SECTION.format("PREFERRED COMPETENCIES", "w[2]"), "rest": _SECTION.format("COMPETENCIES", "p_brand || '; ' || p_name"), "canon": _SECTION.format("CANONICAL COMPETENCIES", "p_type"),
+    "years": _SECTION.format("EXPERIENCE", "years || '+ years required'"), "duty": _SECTION.format("RESPONSIBILITIES", "duty"), "place": "'[WORK FORMAT]' || chr(10) || CASE WHEN p_partkey % 2 = 0 THEN 'remote' ELSE 'on-site or hybrid' END",
+    "pay": _SECTION.format("COMPENSATION", "pay"), "text": _SECTION.format("DESCRIPTION", "descr"),
+}
+
+
+@_query(f"""WITH p AS (SELECT *, string_split(p_name, ' ') AS w, CASE WHEN p_size % 3 = 0 THEN 'senior' END AS level, CASE WHEN p_size >= 10 THEN p_size END AS years, CASE WHEN p_size % 4 = 0 THEN repeat(p_name || chr(10), 59) || p_name END AS duty,
+ CASE WHEN p_size % 5 <> 0 THEN CAST(trunc(p_retailprice) AS BIGINT) || ' USD' END AS pay, trim(repeat(p_name || ' ' || p_type || ' ', 100)) AS descr FROM part),
+x AS (SELECT p_partkey, {', '.join(f'{v} AS {k}' for k, v in _PARTS.items())} FROM p)
+SELECT p_partkey, field, body FROM (SELECT p_partkey, unnest(['occupation', 'competencies', 'experience', 'responsibilities', 'full_profile']) AS field,
+ unnest([substr(concat_ws(chr(10) || chr(10), role, level, jobs), 1, 1200), substr(concat_ws(chr(10) || chr(10), req, pref, rest, canon), 1, 1200), years, substr(duty, 1, 1200),
+ substr(concat_ws(chr(10) || chr(10), role, level, years, place, pay, text), 1, 4000)]) AS body FROM x) WHERE body <> ''""")
 def field_representations(t):
-    fields = {
-        "occupation": F.col("p_name"),
-        "competencies": F.array_join(F.filter(F.split("p_type", " "), lambda w: w != ""), "; "),
-        "experience": F.when(F.col("p_size") >= 10, F.concat(F.col("p_size").cast("string"), F.lit("+ years"))),
-        "full_profile": F.concat_ws("\n", "p_name", "p_type"),
-    }
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("field"), v.alias("body")) for k, v in fields.items()))).alias("f")
-    return t("part").select("p_partkey", each).select("p_partkey", "f.field", "f.body").where("body <> ''")
+    p, w, size = t("part"), F.split("p_name", " "), F.col("p_size")
+    one = lambda need, name: F.struct(F.lit(need).cast("string").alias("necessity"), name.alias("name"))
+    items = F.array(one("required", w[0]), one("preferred", w[1]), one("preferred", F.lower(w[1])), one(None, F.col("p_brand")), one("optional", F.col("p_name")))
+    duty = F.when(size % 4 == 0, F.array_repeat("p_name", 60))
+    made = render.job_representations(
+        F.col("p_name"), F.when(size % 3 == 0, "senior"), F.array("p_brand", F.upper("p_brand"), F.lit(None)), items, F.array("p_type"), F.when(size >= 10, size.cast("double")).otherwise(0.0), duty,
+        F.col("p_partkey") % 2 == 0, F.when(size % 5 != 0, F.col("p_retailprice")).otherwise(0.0), F.lit(None).cast("double"), F.lit("USD"), F.repeat(F.concat("p_name", F.lit("  "), "p_type", F.lit("\t")), F.lit(100)),
+    )
+    return p.select("p_partkey", F.explode(made).alias("f")).select("p_partkey", "f.field", "f.body")
 
 
 @_query(r"""SELECT s_suppkey AS id, trim(regexp_replace(regexp_replace(lower(s_name), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS name FROM supplier
@@ -379,35 +385,111 @@ def _mentions(t) -> DataFrame:
     return ln.scan_mentions(t("documents"), index, longest=3).drop("raw_text")
 
 
-@_query()
+_WORDS_SQL = r"[\p{L}\p{N}_]+"
+
+
+def _labels_sql(longest: int) -> str:
+    """Labels as `_forms` makes them."""
+    return rf"""b AS (SELECT item_id, regexp_extract_all(lower(text), '{_WORDS_SQL}') AS w FROM benchmark),
+l AS (SELECT item_id AS concept_id, unnest(list_transform(range(1, greatest(len(w) - k + 1, 1) + 1), lambda s: array_to_string(w[s:s + k - 1], ' '))) AS form FROM b, range(1, {longest} + 1) AS r(k))"""
+
+
+#: Greedy longest matches of known forms in units (unit, raw): words with their places, the longest form at each, then those taken.
+_SCAN_SQL = rf"""w AS (SELECT unit, raw, regexp_extract_all(lower(raw), '{_WORDS_SQL}') AS words, regexp_split_to_array(raw, '{_WORDS_SQL}') AS gaps FROM units),
+k AS (SELECT unit, raw, unnest(words) AS word, unnest(gaps[1:len(words)]) AS gap, generate_subscripts(words, 1) AS pos FROM w WHERE len(words) > 0),
+o AS (SELECT *, sum(length(gap) + length(word)) OVER v AS ends, lead(word, 1) OVER v AS w2, lead(word, 2) OVER v AS w3 FROM k WINDOW v AS (PARTITION BY unit ORDER BY pos)),
+h AS (SELECT o.*, CAST(CASE WHEN c.form IS NOT NULL THEN 3 WHEN b2.form IS NOT NULL THEN 2 ELSE 1 END AS INTEGER) AS n, coalesce(c.form, b2.form, a.form) AS form
+ FROM o LEFT JOIN known a ON a.form = word LEFT JOIN known b2 ON b2.form = word || ' ' || w2 LEFT JOIN known c ON c.form = word || ' ' || w2 || ' ' || w3 WHERE coalesce(c.form, b2.form, a.form) IS NOT NULL),
+g AS (SELECT unit, list_reduce(list({{'pos': pos, 'n': n, 'kept': []::BIGINT[]}} ORDER BY pos), lambda s, x: CASE WHEN x.pos >= s.pos THEN {{'pos': x.pos + x.n, 'n': 0, 'kept': list_append(s.kept, x.pos)}} ELSE s END, {{'pos': 0, 'n': 0, 'kept': []::BIGINT[]}}).kept AS kept FROM h GROUP BY unit),
+found AS (SELECT h.unit, h.ends - length(h.word) AS start_char, e.ends AS end_char, h.pos - 1 AS start, h.n AS words, h.form, substr(h.raw, CAST(h.ends - length(h.word) + 1 AS BIGINT), CAST(e.ends - h.ends + length(h.word) AS BIGINT)) AS raw_text
+ FROM (SELECT unit, unnest(kept) AS pos FROM g) JOIN h USING (unit, pos) JOIN o e ON e.unit = h.unit AND e.pos = h.pos + h.n - 1)"""
+
+
+@_query(f"""WITH {_labels_sql(3)}, known AS (SELECT DISTINCT form FROM l), units AS (SELECT doc_id AS unit, text AS raw FROM documents WHERE text IS NOT NULL), {_SCAN_SQL}
+SELECT unit AS doc_id, CAST(start_char AS INTEGER) AS start_char, CAST(end_char AS INTEGER) AS end_char, CAST(start AS INTEGER) AS start, words, form FROM found""")
 def scan_mentions(t):
     return _mentions(t)
 
 
-def _linked(t) -> DataFrame:
-    """English documents have spans, their lines; the others are scanned."""
+def _spans(t) -> tuple[DataFrame, DataFrame]:
+    """Documents, and the lines of the English ones as their spans; the others have none."""
     docs = t("documents").select("doc_id", "text", "lang")
-    lines = docs.where("lang = 'en'").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "raw_text"), F.split("text", "\n").alias("all"))
-    start = F.aggregate(F.slice("all", 1, F.col("k")), F.lit(0), lambda s, x: s + F.length(x) + 1)
-    spans = lines.where("raw_text <> ''").select("doc_id", "raw_text", start.alias("start_char"), (start + F.length("raw_text")).alias("end_char"), F.lit(0.5).alias("confidence"))
-    return ln.link_rows(docs, spans, ln.alias_index(_forms(t, 2)), longest=2)
+    parts = docs.where("lang = 'en'").select("doc_id", F.split("text", "\n").alias("all"))
+    ends = F.aggregate("all", F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + F.length(x) + 1)))
+    lines = parts.select("doc_id", F.explode(F.arrays_zip(F.col("all").alias("raw_text"), F.slice(ends, 1, F.size("all")).alias("start_char"))).alias("s")).select("doc_id", "s.*")
+    return docs, lines.where("raw_text <> ''").select("doc_id", "raw_text", "start_char", (F.col("start_char") + F.length("raw_text")).alias("end_char"), F.lit(0.5).alias("confidence"))
 
 
-@_query()
+def _linked(t) -> DataFrame:
+    return ln.link_rows(*_spans(t), ln.alias_index(_forms(t, 2)), longest=2)
+
+
+def _linked_sql(labels: str = _labels_sql(2)) -> str:
+    return rf"""{labels}, f AS (SELECT * FROM l WHERE length(form) >= 3), uses AS (SELECT word, count(*) AS uses FROM (SELECT unnest(list_distinct(string_split(form, ' '))) AS word FROM f) GROUP BY 1),
+known AS (SELECT form, list_sort(list_distinct(list(concept_id))) AS ids FROM f GROUP BY form),
+alias AS (SELECT form, ids, CASE WHEN contains(form, ' ') THEN 1.0::DOUBLE ELSE 1.0::DOUBLE / (1.0::DOUBLE + uses / 20.0::DOUBLE) END AS specificity FROM known LEFT JOIN uses ON form = word),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM documents WHERE lang = 'en' AND text IS NOT NULL),
+spans AS (SELECT * FROM (SELECT *, sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY nth) - length(raw) - 1 AS shift, trim(regexp_replace(lower(raw), '\s+', ' ', 'g')) AS norm FROM lines) WHERE raw <> ''),
+units AS (SELECT {{'d': doc_id, 's': shift}} AS unit, raw FROM spans WHERE norm NOT IN (SELECT form FROM known)
+ UNION ALL SELECT {{'d': doc_id, 's': 0}}, text FROM documents WHERE lang IS DISTINCT FROM 'en' AND text IS NOT NULL), {_SCAN_SQL},
+every AS (SELECT unit.d AS doc_id, form, raw_text, unit.s + start_char AS start_char, unit.s + end_char AS end_char FROM found
+ UNION ALL SELECT doc_id, norm, raw, shift, shift + length(raw) FROM spans WHERE norm IN (SELECT form FROM known) OR {{'d': doc_id, 's': shift}} NOT IN (SELECT unit FROM found)),
+once AS (SELECT *, row_number() OVER (PARTITION BY doc_id, form ORDER BY start_char, end_char) AS nth FROM every),
+rows AS (SELECT once.doc_id, once.form, raw_text, CAST(start_char AS INTEGER) AS start_char, CAST(end_char AS INTEGER) AS end_char, coalesce(ids, []) AS ids, coalesce(specificity, 1.0::DOUBLE) AS link_score,
+ CASE WHEN coalesce(specificity, 1.0::DOUBLE) < 0.2::DOUBLE OR ids IS NULL THEN 'unmapped' WHEN len(ids) = 1 THEN 'linked' ELSE 'ambiguous' END AS status,
+ CASE WHEN spans.doc_id IS NULL THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM once LEFT JOIN alias ON alias.form = once.form
+ LEFT JOIN spans ON spans.doc_id = once.doc_id AND spans.shift = start_char AND spans.shift + length(spans.raw) = end_char WHERE once.nth = 1)"""
+
+
+_LINK_COLUMNS = """doc_id, form, raw_text, start_char, end_char, status, CASE WHEN status = 'linked' THEN ids[1] END AS concept_id,
+CASE WHEN status = 'ambiguous' THEN array_to_string(ids, ',') ELSE '' END AS alternatives, link_score, confidence"""
+
+
+@_query(f"WITH {_linked_sql()} SELECT {_LINK_COLUMNS} FROM rows")
 def linked_mentions(t):
     return _linked(t).withColumn("alternatives", F.concat_ws(",", "alternatives"))
 
 
-@_query()
+@_query(f"WITH {_linked_sql()} SELECT doc_id, count(*) FILTER (status = 'linked') AS linked, count(*) FILTER (status = 'ambiguous') AS ambiguous, count(*) FILTER (status = 'unmapped') AS unmapped FROM rows GROUP BY 1")
 def mention_status_counts(t):
     return ln.status_counts(_linked(t))
 
 
-@_query()
+@_query(f"""WITH {_linked_sql()} SELECT form, count(*) AS occurrences, arg_min(raw_text, {{'d': doc_id, 's': start_char}}) AS sample, min(doc_id) AS first_seen, max(doc_id) AS last_seen FROM rows WHERE status = 'unmapped' GROUP BY 1""")
 def unmapped_terms(t):
     return ln.unmapped_counts(_linked(t))
 
 
+#: Words of twelve letters or more in exactly two documents become internal concepts.
+_PROMOTED_SQL = rf"""p AS (SELECT word FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '{_WORDS_SQL}'))) AS word FROM documents) WHERE length(word) >= 12 GROUP BY 1 HAVING count(*) = 2)"""
+_NEW_LABELS_SQL = _labels_sql(2).replace("l AS (", "l1 AS (") + f", {_PROMOTED_SQL}, l AS (SELECT concept_id, form FROM l1 UNION ALL SELECT -length(word), word FROM p)"
+
+
+def _relink(t) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs, spans = _spans(t)
+    words = written(rl.word_index(docs), "words")
+    promoted = words.where("length(token) >= 12").groupBy("token").agg(F.count("*").alias("n")).where("n = 2")
+    labels = _forms(t, 2)
+    old, new = ln.alias_index(labels), ln.alias_index(labels.unionByName(promoted.select((-F.length("token")).cast("long").alias("concept_id"), F.col("token").alias("label"))))
+    old, new = written(old, "old-forms"), written(new, "new-forms")
+    rows, touched = rl.relink(ln.link_rows(docs, spans, old, longest=2), docs, spans, words, old, new, longest=2)
+    return rows, touched, rl.changed_forms(old, new)
+
+
+@_query(f"WITH {_linked_sql(_NEW_LABELS_SQL)} SELECT {_LINK_COLUMNS} FROM rows")
+def relinked_mentions(t):
+    """The corpus linked with a taxonomy that words were promoted into; the SQL links all of it, the query what they touch."""
+    return _relink(t)[0].withColumn("alternatives", F.concat_ws(",", "alternatives"))
+
+
+@_query(rf"""WITH {_PROMOTED_SQL} SELECT (SELECT count(*) FROM p) AS changed, (SELECT count(DISTINCT doc_id) FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_WORDS_SQL}')) AS word FROM documents) WHERE word IN (SELECT word FROM p)) AS touched, (SELECT count(*) FROM documents) AS documents""")
+def relink_counts(t):
+    _, touched, changed = _relink(t)
+    one = lambda df, name: df.select(F.lit(name).alias("kind"))
+    both = one(changed, "changed").unionByName(one(touched, "touched")).unionByName(one(t("documents"), "documents"))
+    return both.agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("changed", "touched", "documents")))
+
+
 @_query("""WITH c AS (SELECT p_partkey AS concept_id, list_sort(list_distinct(string_split(p_name, ' '))) AS en, p_size % 2 = 0 AS has_de, p_type FROM part),
 n AS (SELECT l_partkey AS concept_id, list_sort(list_distinct(list(l_returnflag))) AS forms FROM (SELECT l_partkey, l_returnflag FROM lineitem UNION ALL SELECT -1, 'x') GROUP BY 1)
 SELECT c.concept_id, array_to_string(en, ',') AS en, CASE WHEN has_de THEN p_type ELSE array_to_string(forms, ',') END AS de FROM c LEFT JOIN n USING (concept_id)""")
@@ -498,12 +580,16 @@ def constraint_report(t):
     return tb.constraint_report(t("lineitem"), rules)
 
 
-@_query("""SELECT coalesce(n.event_id, o.event_id) AS event_id, coalesce(n.value, o.value) AS value, coalesce(o.event_type, n.event_type) AS event_type
-FROM (SELECT * FROM events WHERE event_id % 3 <> 0) o FULL JOIN (SELECT event_id, value * 2 AS value, 'changed' AS event_type FROM events WHERE event_id % 3 <> 1) n ON o.event_id = n.event_id""")
+@_query("""WITH n AS (SELECT event_id - event_id % 2 AS event_id, value * 2 AS value, 'changed' || event_id % 2 AS event_type, row_number() OVER (PARTITION BY event_id - event_id % 2 ORDER BY event_id DESC) AS last,
+ row_number() OVER (PARTITION BY event_id - event_id % 2 ORDER BY event_id) AS first FROM events WHERE event_id % 3 <> 1)
+SELECT coalesce(n.event_id, o.event_id) AS event_id, coalesce(n.value, o.value) AS value, coalesce(o.event_type, f.event_type) AS event_type
+FROM (SELECT * FROM events WHERE event_id % 3 <> 0) o FULL JOIN (SELECT * FROM n WHERE last = 1) n ON o.event_id = n.event_id LEFT JOIN (SELECT * FROM n WHERE first = 1) f ON f.event_id = n.event_id""")
 def upsert_matches(t):
+    """Each key comes up to twice; the later row counts, and the first type of an event stays."""
     e = t("events").select("event_id", "value", "event_type")
-    new = e.where("event_id % 3 <> 1").select("event_id", (F.col("value") * 2).alias("value"), F.lit("changed").alias("event_type"))
-    return tb.upsert(e.where("event_id % 3 <> 0"), new, ["event_id"], keep=("event_type",))
+    last = F.col("event_id") % 2
+    new = e.where("event_id % 3 <> 1").select((F.col("event_id") - last).alias("event_id"), (F.col("value") * 2).alias("value"), F.concat(F.lit("changed"), last.cast("string")).alias("event_type"), last.alias("at"))
+    return tb.upsert(e.where("event_id % 3 <> 0"), new, ["event_id"], keep=("event_type",), order=("at",))
 
 
 @_query("SELECT source, count(*) AS rows, count(DISTINCT lang) AS languages, sum(n_chars) AS chars, count(*) FILTER (n_chars < 100) AS short FROM documents GROUP BY 1")
@@ -771,12 +857,18 @@ def run_log(t):
     return counts.select(each).select("m.*")
 
 
-@_query("""SELECT c_custkey, field, body FROM (SELECT c_custkey, unnest(['occupation', 'competencies', 'experience', 'full_profile']) AS field,
-unnest([c_mktsegment, 'SQL; ' || c_mktsegment, CASE WHEN c_nationkey > 0 THEN c_nationkey || '+ years' END, c_name]) AS body FROM customer) WHERE body <> ''""")
+@_query("""WITH p AS (SELECT c_custkey, '[LOOKING FOR]' || chr(10) || c_mktsegment AS looking, '[PREFERRED STACK]' || chr(10) || 'SQL; ' || c_mktsegment AS stack, CASE WHEN c_nationkey % 2 = 0 THEN '[WORK FORMAT]' || chr(10) || 'remote; office' END AS place,
+ CASE WHEN c_nationkey % 3 = 0 THEN '[COMPETENCIES]' || chr(10) || c_mktsegment END AS rest, CASE WHEN c_acctbal > 0 THEN '[CV]' || chr(10) || 'Name: ' || c_name || chr(10) || chr(10) || 'mail [email] ' || trim(repeat(c_mktsegment || ' ', 600)) END AS cv FROM customer)
+SELECT c_custkey, field, body FROM (SELECT c_custkey, unnest(['occupation', 'competencies', 'experience', 'full_profile']) AS field, unnest([concat_ws(chr(10) || chr(10), looking, place), concat_ws(chr(10) || chr(10), stack, rest),
+ substr(cv, 1, 4000), substr(concat_ws(chr(10) || chr(10), looking, stack, place, cv), 1, 4000)]) AS body FROM p) WHERE body <> ''""")
 def candidate_representations(t):
-    one = F.array("c_mktsegment", F.lower("c_mktsegment"), F.lit(" "))
+    roles = F.array("c_mktsegment", F.lower("c_mktsegment"), F.lit(" "))
     stack = F.array(F.lit("SQL"), F.lit("sql "), F.col("c_mktsegment"))
-    each = F.explode(render.candidate_representations(one, stack, F.col("c_nationkey").cast("double"), F.col("c_name"))).alias("f")
+    formats = F.when(F.col("c_nationkey") % 2 == 0, F.array(F.lit("remote"), F.lit("office")))
+    items = F.when(F.col("c_nationkey") % 3 == 0, F.array(F.struct(F.lit("unspecified").alias("necessity"), F.col("c_mktsegment").alias("name"))))
+    none = F.expr("cast(array() as array<string>)")
+    cv = F.when(F.col("c_acctbal") > 0, F.concat(F.lit("Name:  "), "c_name", F.lit("\n\n\n\nmail someone@mail.example.com "), F.repeat(F.concat("c_mktsegment", F.lit(" ")), F.lit(600))))
+    each = F.explode(render.candidate_representations(roles, stack, formats, items, none, cv)).alias("f")
     return t("customer").select("c_custkey", each).select("c_custkey", "f.field", "f.body")
 
 
@@ -935,12 +1027,13 @@ def version_activation(t):
     return tb.activate(versions.withColumn("error", F.lit(None).cast("string")), "en", "src5", d.where("lang = 'en' and source = 'src5'").count())
 
 
-@_query("""SELECT user_id, event_id AS revision_no, 'neural' AS origin, false AS reviewed, event_type AS competencies FROM events
-UNION ALL SELECT user_id, max(event_id) + 1, 'user_override', true, any_value(c_mktsegment) FROM events JOIN customer ON c_custkey = user_id WHERE c_acctbal < 2000 GROUP BY 1""")
+@_query("""WITH l AS (SELECT user_id, max(event_id) AS last FROM events GROUP BY 1)
+SELECT user_id, event_id AS revision_no, 'neural' AS origin, false AS reviewed, event_type AS competencies, NULL::BIGINT AS parent_no FROM events
+UNION ALL SELECT user_id, last + row_number() OVER w, 'user_override', true, o_orderpriority, last + row_number() OVER w - 1 FROM l JOIN orders ON o_custkey = user_id WHERE o_orderstatus = 'F' WINDOW w AS (PARTITION BY user_id ORDER BY o_orderkey)""")
 def profile_overrides(t):
     profiles = t("events").select("user_id", F.col("event_id").alias("revision_no"), F.lit("neural").alias("origin"), F.lit(False).alias("reviewed"), F.array("event_type").alias("competencies"))
-    edits = t("customer").where("c_acctbal < 2000").select(F.col("c_custkey").alias("user_id"), F.array("c_mktsegment").alias("competencies"))
-    return rv.override_profile(profiles, edits).withColumn("competencies", F.array_join("competencies", ","))
+    edits = t("orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("user_id"), F.array("o_orderpriority").alias("competencies"), F.col("o_orderkey").alias("at"))
+    return rv.override_profile(profiles, edits, "at").withColumn("competencies", F.array_join("competencies", ","))
 
 
 @_query("""SELECT p_type AS term, count(*) AS occurrences FROM part GROUP BY 1 HAVING count(*) % 2 = 1 AND min(p_size) % 3 <> 0""")

@@ -6,24 +6,21 @@ replaces its own files.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState
 
-from corpusmatch.operators.revisions import revisions
+from corpusmatch.operators.storage import shared_folder
 
 MAX_ATTEMPTS = 10  # fixed value
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder in `spark.checkpoint.dir`. One of this machine serves only where all tasks run on it, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{(shared or tempfile.gettempdir()).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    return shared_folder(spark, f"stream-{name}")
 
 
 def _run(stream: DataFrame, folder: str, write: Callable[[DataFrame, int], None], mode: str) -> None:
@@ -35,36 +32,37 @@ def _run(stream: DataFrame, folder: str, write: Callable[[DataFrame, int], None]
 def stream_revisions(stream: DataFrame, owner: str, order: str, content: str) -> DataFrame:
     """`revisions` of a stream: (owner, order, content_hash, revision_no, is_new, reverted).
 
-    A batch is numbered by itself, then shifted by what its owners had before: texts known from earlier batches keep
-    their number. Late rows get numbers as they come and never renumber others. History is a table, one part a batch.
+    Each owner's texts are kept as state (hash -> number), so a batch reads nothing that earlier ones wrote; a task holds
+    one owner's rows of a batch. Texts known from earlier batches keep their number. Late rows get numbers as they come
+    and never renumber others. A null owner is an owner of its own.
     """
     spark, folder = stream.sparkSession, _folder(stream.sparkSession, "revisions")
-    columns = [owner, order, "content_hash", "revision_no", "is_new", "reverted"]
-
-    def write(batch: DataFrame, number: int) -> None:
-        own = revisions(batch.select(owner, order, content), owner, order, content).select(*columns)
-        if number:
-            past = spark.read.parquet(*(f"{folder}/rows/{n}" for n in range(number)))
-            had = past.groupBy(owner).agg(F.max("revision_no").alias("had"))
-            seen = past.groupBy(owner, "content_hash").agg(F.min("revision_no").alias("old_no"))
-            own = _shifted(own, seen, had, owner, order).select(*columns)
-        own.write.mode("overwrite").parquet(f"{folder}/rows/{number}")
-
-    _run(stream, folder, write, "append")
-    return spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/rows")
-
-
-def _shifted(own: DataFrame, seen: DataFrame, had: DataFrame, owner: str, order: str) -> DataFrame:
-    """Numbers of a later batch: known texts keep theirs, fresh ones follow the owner's last number by first sight."""
-    joined = own.join(seen, [owner, "content_hash"], "left").join(had, owner, "left")
-    by_owner = Window.partitionBy(owner).orderBy(order)
-    is_new = F.col("is_new") & F.col("old_no").isNull()
-    joined = joined.withColumn("is_new", is_new)
-    newest = F.coalesce("had", F.lit(0)) + F.sum(F.col("is_new").cast("long")).over(by_owner.rowsBetween(Window.unboundedPreceding, 0))
-    joined = joined.withColumn("newest", newest)
-    first = F.min("newest").over(Window.partitionBy(owner, "content_hash"))
-    joined = joined.withColumn("revision_no", F.coalesce("old_no", first).cast("long"))
-    return joined.withColumn("reverted", ~F.col("is_new") & (F.col("revision_no") < F.col("newest")))
+    kinds = {f.name: f.dataType for f in stream.schema.fields}
+    fields = [(owner, kinds[owner]), (order, kinds[order]), ("content_hash", T.StringType()), ("revision_no", T.LongType()), ("is_new", T.BooleanType()), ("reverted", T.BooleanType())]
+    schema = T.StructType([T.StructField(n, t) for n, t in fields])
+    state_type = T.StructType([T.StructField("hashes", T.ArrayType(T.StringType()))])
+    hashed = stream.select(F.col(owner).alias("owner_"), F.col(order).alias("order_"), F.sha2(F.col(content), 256).alias("hash_"))
+
+    def number(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # The place of a hash is its number; a null text is a text of its own.
+        hashes = list(state.get[0]) if state.exists else []
+        known = {h: k + 1 for k, h in enumerate(hashes)}
+        rows = pd.concat(list(parts)).sort_values("order_", kind="stable")
+        out = []
+        for text in rows["hash_"]:
+            text = None if pd.isna(text) else text
+            is_new = text not in known
+            if is_new:
+                hashes.append(text)
+                known[text] = len(hashes)
+            out.append((known[text], is_new, known[text] < len(hashes)))
+        state.update((hashes,))
+        numbers, new, reverted = zip(*out, strict=True)
+        yield pd.DataFrame({owner: rows["owner_"].to_numpy(), order: rows["order_"].to_numpy(), "content_hash": rows["hash_"].to_numpy(), "revision_no": numbers, "is_new": new, "reverted": reverted})
+
+    found = hashed.groupBy("owner_").applyInPandasWithState(number, schema, state_type, "append", "NoTimeout")
+    _run(found, folder, lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/rows/{n}"), "append")
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/rows")
 
 
 def decisions(data: Column) -> Column:
