@@ -81,6 +81,11 @@ def stream_matching(changes: DataFrame, folder: str, config: MatchConfig, scorer
         own = batch.where((F.col("kind") == kind) & F.col(key).isNotNull()).withColumn("nth", nth).where("nth = 1")
         return own.select(*(c.split()[0] for c in schema.split(", ")))
 
+    def again(name: str, number: int, df: DataFrame) -> DataFrame:
+        """df written under the trigger's number, so what is used several times is computed once."""
+        df.write.mode("overwrite").parquet(f"{folder}/step/{number}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/step/{number}/{name}")
+
     def step(batch: DataFrame, number: int) -> None:
         for log, kind, schema in ((users_log, "user", USER), (postings_log, "posting", POSTING)):
             rows = newest(batch, kind, log.key, schema)
@@ -97,9 +102,9 @@ def stream_matching(changes: DataFrame, folder: str, config: MatchConfig, scorer
         kept = old.join(whole, "user_id", "left_anti").select("user_id", "item_id", "similarity")
         fresh = retrieved(others, postings.join(new_items, "item_id", "left_semi"), config)
         # Of the others only users that a changed posting comes near to.
-        came = nearest(kept.unionByName(fresh), config.retrieval_limit)
+        came = again("came", number, nearest(kept.unionByName(again("fresh", number, fresh)), config.retrieval_limit))
         moved = came.join(new_items, "item_id", "left_semi").select("user_id").distinct()
-        found = retrieved(users.join(whole, "user_id", "left_semi"), postings, config).unionByName(came.join(moved, "user_id", "left_semi"))
+        found = again("whole", number, retrieved(users.join(whole, "user_id", "left_semi"), postings, config)).unionByName(came.join(moved, "user_id", "left_semi"))
         stored = old.where("relevance is not null").select("user_id", "item_id", "model", "query_hash", "doc_hash", "relevance")
         matches_log.write(number, whole.unionByName(moved).distinct(), decided(found, users, postings, stored, config, scorer))
         done.append(number)
