@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmatch.llm.common import Bitmap, materialize
-from corpusmatch.llm.tokens import LOWER, Words, byte_class, bytes_of, cut, groups_of, steps
+from corpusmatch.llm.tokens import LOWER, Words, added_up, byte_class, bytes_of, cut, groups_of, steps
 
 _WORD = ~byte_class(b" \t.,;:!?\n\x0b\x0c\r")
 _BREAK = byte_class(b".,;:!?\n\x0b\x0c\r")
@@ -53,8 +53,8 @@ def _words(part: pa.RecordBatch) -> tuple[Words, np.ndarray, np.ndarray, np.ndar
 
 def _hashes(lang: np.ndarray, word: np.ndarray, langs: list[str], distinct: pa.Array) -> np.ndarray:
     seeds = [xxhash.xxh64_intdigest(x) for x in langs]
-    own = distinct.to_pylist()
-    return np.fromiter((xxhash.xxh64_intdigest(own[w], seeds[x]) for x, w in zip(lang.tolist(), word.tolist(), strict=True)), np.uint64, len(lang))
+    own = distinct.take(pa.array(word)).to_pylist()
+    return np.fromiter((xxhash.xxh64_intdigest(w, seeds[x]) for x, w in zip(lang.tolist(), own, strict=True)), np.uint64, len(lang))
 
 
 def _text(distinct: pa.Array, word: np.ndarray) -> pa.Array:
@@ -64,14 +64,14 @@ def _text(distinct: pa.Array, word: np.ndarray) -> pa.Array:
 def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, word, hash, n): occurrences of every word of every language."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for part in steps(batches):
             _, code, lang, word, langs, distinct = _words(part)
             hashes = _hashes(lang, word, langs, distinct).view(np.int64)
-            columns = [pa.array([langs[x] for x in lang.tolist()], pa.string()), _text(distinct, word), pa.array(hashes), pa.array(np.bincount(code, minlength=len(lang)))]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "word", "hash", "n"])
+            columns = [pa.array(langs, pa.string()).take(pa.array(lang)), _text(distinct, word), pa.array(hashes), pa.array(np.bincount(code, minlength=len(lang)))]
+            yield pa.table(columns, ["lang", "word", "hash", "n"])
 
-    return docs.mapInArrow(count, "lang string, word string, hash long, n long").groupBy("lang", "word", "hash").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(lambda batches: added_up(count(batches)), "lang string, word string, hash long, n long").groupBy("lang", "word", "hash").agg(F.sum("n").alias("n"))
 
 
 def _bitmap(df: DataFrame) -> Bitmap:
@@ -97,12 +97,12 @@ def pair_counts(docs: DataFrame, often: Bitmap) -> DataFrame:
     """(hash, n): how often neighbours with this hash occur. Two pairs with one hash only let more through."""
     shared = docs.sparkSession.sparkContext.broadcast(often)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for part in steps(batches):
             found, n = np.unique(_pairs(*_words(part), shared.value)[2], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["hash", "n"])
+            yield pa.table([pa.array(found), pa.array(n.astype(np.int64))], ["hash", "n"])
 
-    return docs.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(lambda batches: added_up(count(batches)), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
 def windows(docs: DataFrame, often: Bitmap, pairs: Bitmap, longest: int) -> DataFrame:
@@ -110,7 +110,7 @@ def windows(docs: DataFrame, often: Bitmap, pairs: Bitmap, longest: int) -> Data
     shared = docs.sparkSession.sparkContext.broadcast((often, pairs))
     names = [f"w{k + 1}" for k in range(longest)]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for part in steps(batches):
             words, code, lang, word, langs, distinct = _words(part)
             may, at, hashes = _pairs(words, code, lang, word, langs, distinct, shared.value[0])
@@ -131,14 +131,14 @@ def windows(docs: DataFrame, often: Bitmap, pairs: Bitmap, longest: int) -> Data
             rows, n = rows[firsts], np.diff(np.r_[firsts, len(order)])
             rows = np.vstack([rows, np.column_stack([single, *[np.full(len(single), -1)] * (longest - 1)])])
             n = np.r_[n, one[single]].astype(np.int64)
-            own = [pa.array([langs[x] for x in lang[rows[:, 0]].tolist()], pa.string())]
+            own = [pa.array(langs, pa.string()).take(pa.array(lang[rows[:, 0]]))]
             for k in range(longest):
                 picked = _text(distinct, np.where(rows[:, k] < 0, 0, word[rows[:, k]])) if len(rows) else pa.array([], pa.string())
                 own.append(pa.compute.if_else(pa.array(rows[:, k] >= 0), picked, pa.scalar("")))
-            yield pa.RecordBatch.from_arrays([*own, pa.array(n)], ["lang", *names, "n"])
+            yield pa.table([*own, pa.array(n)], ["lang", *names, "n"])
 
     schema = f"lang string, {', '.join(f'{c} string' for c in names)}, n long"
-    return docs.mapInArrow(count, schema).groupBy("lang", *names).agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(lambda batches: added_up(count(batches)), schema).groupBy("lang", *names).agg(F.sum("n").alias("n"))
 
 
 def phrase_counts(docs: DataFrame, params: Params = Params()) -> tuple[DataFrame, DataFrame]:

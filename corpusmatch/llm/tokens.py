@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one step looks at; a longer text is a step of its own.
-STEP = 8 << 20
+STEP = 4 << 20
 #: A-Z to a-z, all other bytes as they are, so bytes of longer characters stay.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -49,19 +49,28 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def cut(data: np.ndarray, begins: np.ndarray, in_word: np.ndarray, is_break: np.ndarray | None = None) -> Words:
     """Longest runs of bytes of `in_word`; none crosses the end of a text."""
     inside = in_word[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[begins] = True
-    first = inside & (edge[:-1] | ~np.r_[False, inside[:-1]])
-    last = inside & (edge[1:] | ~np.r_[inside[1:], False])
-    starts = np.flatnonzero(first)
-    offsets = np.r_[0, np.cumsum(np.flatnonzero(last) - starts + 1)].astype(np.int64)
+    follows = np.zeros(len(data) + 1, bool)  # bytes that go on with the word of the byte before
+    follows[1:-1] = inside[1:] & inside[:-1]
+    follows[begins] = False
+    starts = np.flatnonzero(inside & ~follows[:-1])
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(np.flatnonzero(inside & ~follows[1:]) - starts + 1, out=offsets[1:])
     kept = np.ascontiguousarray(data[inside])
     words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
-    text = np.searchsorted(begins, starts, "right") - 1
-    piece = text if is_break is None else np.cumsum(is_break[data])[starts] + text
+    text = np.repeat(np.arange(len(begins) - 1), np.diff(np.searchsorted(starts, begins)))
+    piece = text if is_break is None else np.cumsum(is_break[data], dtype=np.int32)[starts] + text
     return Words(words, text, piece)
 
 
+def distinct(codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes under `most`, in order, and how often each is there; without sorting, if `most` isn't far over their number."""
+    if most <= 8 * len(codes) + (1 << 20):
+        n = np.bincount(codes, minlength=most)
+        found = np.flatnonzero(n)
+        return found, n[found]
+    return np.unique(codes, return_counts=True)
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """Parts of the batches with some STEP bytes of text each, so memory is bounded whatever a batch holds."""
     for batch in batches:
@@ -75,6 +84,27 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[p
             at = end
 
 
+def added_up(tables: Iterator[pa.Table], most: int = 600_000) -> Iterator[pa.RecordBatch]:
+    """Rows of all tables with equal values in all columns but the last, `n`, as one row with their sum; a task's rows together,
+    but for `most` of them at once. What several tasks have of a row is left to be added."""
+    waiting: list[pa.Table] = []
+    for table in tables:
+        waiting.append(table)
+        if sum(map(len, waiting)) > most:
+            waiting = [_summed(waiting)]
+            if len(waiting[0]) > most // 2:
+                yield from waiting.pop().to_batches(max_chunksize=50_000)
+    if waiting:
+        yield from _summed(waiting).to_batches(max_chunksize=50_000)
+
+
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    names = tables[0].column_names
+    if len(tables) == 1:
+        return tables[0]
+    return pa.concat_tables(tables).group_by(names[:-1]).aggregate([("n", "sum")]).rename_columns(names)
+
+
 def groups_of(*columns: pa.Array) -> tuple[np.ndarray, list[tuple]]:
     """The number of each row's group of equal values, and the values of each group."""
     number, values = np.zeros(len(columns[0]), np.int64), [()]
