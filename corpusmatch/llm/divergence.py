@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmatch.llm.common import Bitmap, materialize
-from corpusmatch.llm.tokens import LOWER, bytes_of, cut, groups_of, steps
+from corpusmatch.llm.tokens import LOWER, added_up, bytes_of, cut, distinct, groups_of, steps
 
 _TERM = np.ones(256, bool)
 _TERM[:65] = _TERM[91:97] = _TERM[123:128] = False
@@ -32,7 +32,7 @@ class Params:
     #: Documents of its language that a term needs.
     least_docs: int = 30
     #: Bytes of the prefixes of the first pass; each further pass takes twice as many.
-    first: int = 4
+    first: int = 6
     #: Terms listed of each group.
     top: int = 50
     #: p is in parts of so much, after `smoothing` is added to every count.
@@ -44,13 +44,13 @@ def _terms(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa
     """Of each text and each of its terms, in order of the terms' bytes: text, number of the term, occurrences; and the terms, sorted."""
     data, begins = bytes_of(part.column("text"))
     words = cut(LOWER[data], begins, _TERM)
-    ids, distinct = words.encoded()
-    order = pc.sort_indices(distinct).to_numpy(zero_copy_only=False)
+    ids, found = words.encoded()
+    order = pc.sort_indices(found).to_numpy(zero_copy_only=False)
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     n = max(1, len(order))
     pairs, times = np.unique(words.text * n + place[ids], return_counts=True)
-    return pairs // n, pairs % n, times.astype(np.int64), distinct.take(pa.array(order))
+    return pairs // n, pairs % n, times.astype(np.int64), found.take(pa.array(order))
 
 
 def _hashes(values: list[bytes], seeds: list[int]) -> np.ndarray:
@@ -67,6 +67,12 @@ def _runs(keys: pa.Array, more: np.ndarray | None = None) -> np.ndarray:
     return np.cumsum(new)
 
 
+def _marks(codes: np.ndarray, most: int) -> np.ndarray:
+    out = np.zeros(most, bool)
+    out[codes] = True
+    return out
+
+
 def _filled(docs: DataFrame) -> DataFrame:
     return docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")))
 
@@ -79,7 +85,7 @@ def prefix_counts(docs: DataFrame, before: int, size: int, kept: Bitmap | None)
     """
     shared = docs.sparkSession.sparkContext.broadcast(kept)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for part in steps(batches):
             lang, langs = groups_of(part.column("lang"))
             text, term, _, terms = _terms(part)
@@ -92,20 +98,22 @@ def prefix_counts(docs: DataFrame, before: int, size: int, kept: Bitmap | None)
                 parent = _runs(parents)[term]
                 first = np.flatnonzero(np.r_[True, np.diff(_runs(parents)) > 0])
                 n = int(parent.max(initial=0)) + 1
-                codes, code = np.unique(lang[text] * n + parent, return_inverse=True)
-                values = parents.take(pa.array(first[codes % n])).to_pylist()
-                fine &= shared.value.has(_hashes(values, [xxhash.xxh64_intdigest(langs[c][0]) for c in (codes // n).tolist()]))[code]
+                code = lang[text] * n + parent
+                codes, _ = distinct(code, len(langs) * n)
+                seeds = [xxhash.xxh64_intdigest(x) for (x,) in langs]
+                may = shared.value.has(_hashes(parents.take(pa.array(first[codes % n])).to_pylist(), [seeds[k] for k in (codes // n).tolist()]))
+                fine &= np.isin(code, codes[may]) if len(langs) * n > len(code) * 8 + (1 << 20) else _marks(codes[may], len(langs) * n)[code]
             keys, whole = pc.binary_slice(terms, 0, size), lengths <= size
             runs = _runs(keys, whole)
             first, n = np.flatnonzero(np.r_[True, np.diff(runs) > 0]), int(runs[-1]) + 1
             run = runs[term]
             once = np.r_[True, (run[1:] != run[:-1]) | (text[1:] != text[:-1])] & fine
-            codes, found = np.unique(lang[text[once]] * n + run[once], return_counts=True)
+            codes, found = distinct(lang[text[once]] * n + run[once], len(langs) * n)
             at = first[codes % n]
-            columns = [pa.array([langs[c][0] for c in (codes // n).tolist()], pa.string()), keys.take(pa.array(at)).cast(pa.binary()), pa.array(whole[at]), pa.array(found.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "prefix", "whole", "n"])
+            columns = [pa.array([x for (x,) in langs], pa.string()).take(pa.array(codes // n)), keys.take(pa.array(at)).cast(pa.binary()), pa.array(whole[at]), pa.array(found.astype(np.int64))]
+            yield pa.table(columns, ["lang", "prefix", "whole", "n"])
 
-    counted = docs.select("lang", "text").mapInArrow(count, "lang string, prefix binary, whole boolean, n long")
+    counted = docs.select("lang", "text").mapInArrow(lambda batches: added_up(count(batches)), "lang string, prefix binary, whole boolean, n long")
     return counted.groupBy("lang", "prefix", "whole").agg(F.sum("n").alias("n"))
 
 
@@ -142,22 +150,28 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(lang, source, term, n): occurrences of each common term in each group that has it."""
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(terms, terms.count(), "term"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for part in steps(batches):
             group, groups = groups_of(part.column("lang"), part.column("source"))
-            text, term, times, distinct = _terms(part)
-            if not len(distinct):
+            langs = sorted({x for x, _ in groups})
+            lang = np.array([langs.index(x) for x, _ in groups], np.int64)
+            text, term, times, terms_ = _terms(part)
+            n = len(terms_)
+            if not n:
                 continue
-            codes, code = np.unique(group[text] * len(distinct) + term, return_inverse=True)
-            own = distinct.take(pa.array(codes % len(distinct))).cast(pa.binary())
-            names = [groups[c] for c in (codes // len(distinct)).tolist()]
-            seeds = {x: xxhash.xxh64_intdigest(x) for x, _ in groups}
-            may = shared.value.has(_hashes(own.to_pylist(), [seeds[x] for x, _ in names]))
-            n = np.bincount(code, times, len(codes)).astype(np.int64)
-            columns = [pa.array([x for x, _ in names], pa.string()), pa.array([s for _, s in names], pa.string()), own.cast(pa.string()), pa.array(n)]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n"]).filter(pa.array(may))
-
-    counted = docs.mapInArrow(count, "lang string, source string, term string, n long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+            # Terms that aren't common in their language go before they are dealt to sources.
+            code = lang[group[text]] * n + term
+            codes, _ = distinct(code, len(langs) * n)
+            seeds = [xxhash.xxh64_intdigest(x) for x in langs]
+            may = shared.value.has(_hashes(terms_.take(pa.array(codes % n)).to_pylist(), [seeds[k] for k in (codes // n).tolist()]))
+            fine = np.isin(code, codes[may])
+            codes, place = np.unique(group[text[fine]] * n + term[fine], return_inverse=True)
+            found = pa.array(codes // n)
+            columns = [pa.array([g[k] for g in groups], pa.string()).take(found) for k in (0, 1)]
+            columns += [terms_.take(pa.array(codes % n)).cast(pa.binary()).cast(pa.string()), pa.array(np.bincount(place, times[fine], len(codes)).astype(np.int64))]
+            yield pa.table(columns, ["lang", "source", "term", "n"])
+
+    counted = docs.mapInArrow(lambda batches: added_up(count(batches)), "lang string, source string, term string, n long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
     return counted.join(terms, ["lang", "term"], "left_semi")
 
 
