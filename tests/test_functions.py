@@ -88,7 +88,7 @@ def test_link_rows(spark):
 
 
 def test_leader_clusters(spark):
-    """Against the loop: best score first, newest cluster first, first posting stays the leader."""
+    """Against the loop: best score first, of equal ones the cluster seen last, and joining a cluster sees it; the first posting stays the leader."""
     import random
     from difflib import SequenceMatcher
 
@@ -106,11 +106,14 @@ def test_leader_clusters(spark):
             one, two = ratio(title.lower().rstrip("!"), t), ratio(text or "", d)
             if c == names[company] and one >= 0.86 and two >= 0.5 and (one + two) / 2 > best:
                 best, home = (one + two) / 2, leader
-        if home == k and not best:
-            leaders.append((names[company], k, title.lower().rstrip("!"), text or ""))
+        own = [x for x in leaders if x[1] == home] or [(names[company], k, title.lower().rstrip("!"), text or "")]
+        leaders = [x for x in leaders if x[1] != home] + own
         want[k] = home
     df = spark.createDataFrame(rows, "id long, company string, title string, description string, seen long").repartition(5)
     assert {r.id: r.cluster for r in clustering.leader_clusters(df, "id", "seen").collect()} == want
+    tied = [(k, "x", t, "same text", k) for k, t in enumerate(["abcdefghij", "abcdefghxy", "abcdefghij", "abcdefghiy"])]
+    out = clustering.leader_clusters(spark.createDataFrame(tied, df.schema), "id", "seen").collect()
+    assert {r.id: r.cluster for r in out} == {0: 0, 1: 1, 2: 0, 3: 0}
 
 
 def test_relay_retries_and_redeliveries(spark, tmp_path):
