@@ -4,37 +4,136 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmatch.operators.storage import written
+
 
 def byte_batches(df: DataFrame, key: str, order: str, text: Column, budget: int, query: Column | None = None) -> DataFrame:
     """(key, order, size, batch): consecutive documents share a batch while query and documents fit the budget.
 
     A document over the budget is alone in its batch, and so is every one if the query leaves no room; a null text
-    has size 0. Rows stream through their task in order with one running sum, so a long key needs no memory.
+    has size 0. Rows with a null key are left out; of equal places the smaller document comes first.
+
+    A key, however hot, is cut by many tasks. Rows are dealt to ranges of (key, order). What a range does to the bytes used
+    when it begins is a function of few steps: it only matters at which row the first batch of its own begins, and from there
+    all is fixed. Each range gives that function; one task a key runs through the functions of its ranges, not through its
+    rows, and says what each range begins with; then every range is numbered by itself.
     """
     room = F.lit(budget) - F.coalesce(F.octet_length(query) if query is not None else F.lit(0), F.lit(0))
-    sized = df.select(key, order, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("size"), room.cast("long").alias("room"))
-    schema = T.StructType([sized.schema[key], sized.schema[order], T.StructField("size", T.LongType()), T.StructField("batch", T.LongType())])
+    sized = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key_"), F.col(order).alias("order_"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("size"), room.cast("long").alias("room"))
+    ranged = written(sized.repartitionByRange("key_", "order_").withColumn("range", F.spark_partition_id()), "ranges")
+    kind = ranged.schema["key_"].dataType.simpleString()
+    dealt = ranged.repartition("range", "key_").sortWithinPartitions("range", "key_", "order_", "size")
+
+    def functions(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for segment in _segments(parts):
+            steps_ = _steps(segment["size"].to_numpy(), segment["room"].to_numpy())
+            yield pd.DataFrame(steps_, columns=["over", "used", "new"]).assign(range=segment["range"].iloc[0], key_=segment["key_"].iloc[0])
+
+    steps_ = written(dealt.mapInPandas(functions, f"over long, used long, new long, range int, key_ {kind}"), "steps")
+
+    def begins(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, used, batch = object(), 0, -1
+        for segment in _segments(parts):
+            owner = segment["key_"].iloc[0]
+            if owner != now:
+                now, used, batch = owner, _FIRST, -1
+            yield pd.DataFrame({"range": segment["range"].iloc[:1], "key_": [owner], "used": [used], "batch": [batch]})
+            # The step with the greatest limit that `used` is over, or the last one, where no batch begins.
+            row = next((r for r in zip(segment["over"], segment["used"], segment["new"], strict=True) if used > r[0]))
+            used, batch = (used + row[1], batch) if row[2] == 0 else (row[1], batch + row[2])
+
+    ordered = steps_.repartition("key_").sortWithinPartitions("key_", "range", F.desc("over"))
+    firsts = ordered.mapInPandas(begins, f"range int, key_ {kind}, used long, batch long")
 
     def number(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, batch, used = object(), 0, 0
+        at, batch, used = object(), 0, 0
         for part in parts:
             out = []
-            for owner, size, free in zip(part[key], part["size"], part["room"], strict=True):
-                if owner != now:
-                    now, batch, used = owner, 0, size
-                elif free <= 0 or used + size > free:
+            for where, owner, size, free, first, begun in zip(part["range"], part["key_"], part["size"], part["room"], part["used"], part["batch"], strict=True):
+                if (where, owner) != at:
+                    at, batch, used = (where, owner), begun, first
+                if free <= 0 or used + size > free:
                     batch, used = batch + 1, size
                 else:
                     used += size
                 out.append(batch)
-            yield part[[key, order, "size"]].assign(batch=out)
+            yield part[["key_", "order_", "size"]].rename(columns={"key_": key, "order_": order}).assign(batch=out)
+
+    schema = T.StructType([T.StructField(key, ranged.schema["key_"].dataType), T.StructField(order, ranged.schema["order_"].dataType), T.StructField("size", T.LongType()), T.StructField("batch", T.LongType())])
+    both = ranged.join(firsts, ["range", "key_"]).repartition("range", "key_").sortWithinPartitions("range", "key_", "order_", "size")
+    return both.select("range", "key_", "order_", "size", "room", "used", "batch").mapInPandas(number, schema)
+
+
+#: Bytes used before the first row of a key: so many that it begins a batch.
+_FIRST = 1 << 60
+
+
+def _segments(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of one (range, key_) after another, from sorted parts that cut anywhere."""
+    held: list[pd.DataFrame] = []
+    for part in parts:
+        ends = (part["range"] != part["range"].shift()) | (part["key_"] != part["key_"].shift())
+        for _, rows in part.groupby(ends.cumsum(), sort=False):
+            if held and (held[0]["range"].iloc[0], held[0]["key_"].iloc[0]) != (rows["range"].iloc[0], rows["key_"].iloc[0]):
+                yield pd.concat(held)
+                held = []
+            held.append(rows)
+    if held:
+        yield pd.concat(held)
+
+
+def _steps(sizes: np.ndarray, rooms: np.ndarray) -> list[tuple[int, int, int]]:
+    """(over, used, new) by falling `over`: begun with more than `over` bytes used, a range ends with `used` bytes and `new` batches begun.
+
+    The last has new 0: the range fits into the batch before it, and adds `used` bytes. Steps with the same end are one.
+    """
+    total, n = np.cumsum(sizes), len(sizes)
+    # Row k begins a batch if more than this was used before the range; no row is asked that comes after one that does.
+    limit = np.minimum.accumulate(np.where(rooms > 0, rooms - total, -1))
+    starts = np.flatnonzero(np.r_[True, limit[1:] < limit[:-1]])
+    even = (rooms == rooms[0]).all() and rooms[0] > 0
+    ends: dict[int, tuple[int, int]] = {}
+
+    def end(k: int) -> tuple[int, int]:
+        """Bytes used at the end, and batches begun, if one begins at k."""
+        path = []
+        while k not in ends:
+            path.append(k)
+            if even:
+                nxt = int(np.searchsorted(total, total[k] - sizes[k] + rooms[0], "right"))
+                nxt = max(nxt, k + 1)
+            else:
+                used, nxt = int(sizes[k]), k + 1
+                while nxt < n and rooms[nxt] > 0 and used + sizes[nxt] <= rooms[nxt]:
+                    used, nxt = used + int(sizes[nxt]), nxt + 1
+            if nxt >= n:
+                ends[k] = (int(total[-1] - total[k] + sizes[k]), 1)
+                path.pop()
+                break
+            k = nxt
+        for one in reversed(path):
+            used, new = ends[k]
+            ends[one] = (used, new + 1)
+            k = one
+        return ends[path[0]] if path else ends[k]
 
-    return sized.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, order).mapInPandas(number, schema)
+    out: list[tuple[int, int, int]] = []
+    for k in starts.tolist():
+        used, new = end(k)
+        over = max(int(limit[k]), -1)
+        if out and out[-1][1:] == (used, new):
+            out[-1] = (over, used, new)
+        else:
+            out.append((over, used, new))
+        if limit[k] < 0:
+            return out
+    return [*out, (-1, int(total[-1]), 0)]
 
 
 def embed_texts(df: DataFrame, key: str, text: str, embedder: Callable[[list[str]], list[list[float]]], batch: int = 32) -> DataFrame:

@@ -606,6 +606,18 @@ def byte_batches(t):
     return bt.byte_batches(t("conversations"), "conv_id", "turn", F.col("text"), 412, F.lit("twelve bytes"))
 
 
+@_query("""WITH RECURSIVE d AS (SELECT coalesce(CASE WHEN doc_id % 3 = 0 THEN 'hot' END, source) AS owner, doc_id, coalesce(strlen(text), 0) AS size FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY doc_id) AS n FROM d WHERE owner IS NOT NULL),
+r AS (SELECT owner, doc_id, n, size, 0::BIGINT AS batch, size AS used FROM n WHERE n = 1
+ UNION ALL SELECT n.owner, n.doc_id, n.n, n.size, CASE WHEN r.used + n.size > 20000 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.used + n.size > 20000 THEN n.size ELSE r.used + n.size END
+ FROM r JOIN n ON n.owner = r.owner AND n.n = r.n + 1)
+SELECT owner, doc_id, size, batch FROM r""")
+def source_batches(t):
+    """Documents by source; one owner has a third of all."""
+    owner = F.coalesce(F.when(F.col("doc_id") % 3 == 0, "hot"), F.col("source"))
+    return bt.byte_batches(t("documents").withColumn("owner", owner), "owner", "doc_id", F.col("text"), 20_000)
+
+
 _FACTS = """f AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN -1 WHEN p_partkey % 3 = 0 THEN NULL ELSE p_size END AS years, CASE WHEN p_partkey % 2 = 0 THEN 'senior' END AS level,
  CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE trunc(p_retailprice) END AS low, CASE WHEN p_partkey % 4 = 0 THEN 1000.0 END AS high,
  'Senior ' || p_name || ', ' || p_size || ' years, up to 1000' AS text FROM part),

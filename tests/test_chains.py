@@ -214,3 +214,52 @@ def test_matching_on_triggers_is_the_whole_pass(spark, monkeypatch):
     assert said == {"rejected": 1, "pending": 19}
 
 
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_batches_of_a_hot_key(spark, seed):
+    """Equal to the loop over each key, with one key in many ranges, documents over the budget, empty ones and changing room."""
+    from corpusmatch.operators import batching
+
+    rng = random.Random(seed)
+    rows = []
+    for k in range(900):
+        owner = "hot" if k % 3 else rng.choice(["a", "b", None])
+        rows.append((owner, k, rng.choice(["", None, "é" * rng.randint(1, 30), "x" * rng.randint(1, 200)]), "q" * rng.choice([0, 0, 10, 130] if seed == 3 else [5])))
+    df = spark.createDataFrame(rows, "owner string, at int, text string, asked string")
+    want, now = {}, {}
+    for owner, at, text, asked in rows:
+        if owner is None:
+            continue
+        size, free = len((text or "").encode()), 120 - len(asked)
+        batch, used = now.get(owner, (-1, 1 << 60))
+        batch, used = (batch + 1, size) if free <= 0 or used + size > free else (batch, used + size)
+        now[owner] = (batch, used)
+        want[owner, at] = (size, batch)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = batching.byte_batches(df, "owner", "at", F.col("text"), 120, F.col("asked")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {(r.owner, r["at"]): (r.size, r.batch) for r in got} == want and len(got) == len(want)
+
+
+def test_steps_of_a_range():
+    """What a range does to the bytes used, for every number of them, against the loop."""
+    import numpy as np
+
+    from corpusmatch.operators import batching
+
+    rng = random.Random(0)
+    for _ in range(200):
+        n = rng.randint(1, 12)
+        sizes = np.array([rng.randint(0, 9) for _ in range(n)])
+        rooms = np.array([rng.choice([-2, 7, 12]) for _ in range(n)] if rng.random() < 0.5 else [12] * n)
+        for used in [*range(14), 1 << 60]:
+            u, new = used, 0
+            for size, room in zip(sizes.tolist(), rooms.tolist(), strict=True):
+                u, new = (size, new + 1) if room <= 0 or u + size > room else (u + size, new)
+            row = next(r for r in batching._steps(sizes, rooms) if used > r[0])
+            assert ((used + row[1], 0) if row[2] == 0 else row[1:]) == (u, new)
