@@ -30,6 +30,25 @@ def ancestors(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     raise RuntimeError("the ancestors did not settle")
 
 
+def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, component) of links (a, b): the smallest node that links lead to. Every round a node takes the smallest label around
+    it, and then the label of that label, so chains shrink by half at least; a hub's neighbours are never gathered."""
+    both = links.where("a <> b").select("a", "b").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = written(both, "links")
+    now, seen = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("component")), "labels"), None
+    for _ in range(most_rounds):
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("node", "component").cast("decimal(38,0)"))).first()
+        if state == seen:
+            return now
+        seen = state
+        near = both.join(now, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("least"))
+        now = now.join(near, F.col("node") == F.col("a")).select("node", F.least("component", "least").alias("component"))
+        now = written(now, "labels")
+        up = now.select(F.col("node").alias("middle"), F.col("component").alias("top"))
+        now = written(now.join(up, F.col("component") == F.col("middle")).select("node", F.least("component", "top").alias("component")), "labels")
+    raise RuntimeError("the components did not settle")
+
+
 @dataclass(frozen=True)
 class Table:
     """A table of a cascade and the column that tells its rows apart."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmatch.operators import graph as gr
+from corpusmatch.operators import neardup as nd
 from corpusmatch.operators import profiles as pf
 from corpusmatch.operators import revisions as rv
 from corpusmatch.operators.storage import shared_folder
@@ -95,3 +96,8 @@ def parsed_store(t):
     store.commit(pg.parsed_documents(both.where("id % 2 = 0"), "id", "text"), 2)
     blocks = store.blocks("id").groupBy("id").agg(F.count("*").alias("found"), F.max("end_char").alias("end"), F.bool_and(F.length("text") == F.col("end_char") - F.col("start_char")).alias("places_hold"))
     return store.texts("id").join(blocks, "id", "left").select("id", "version", F.length("parsed_text").alias("length"), "n_blocks", "found", "end", "places_hold", "truncated", "error")
+
+
+@query()
+def near_duplicate_clusters(t):
+    return nd.near_duplicate_clusters(t("documents"))

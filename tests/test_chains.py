@@ -263,3 +263,42 @@ def test_steps_of_a_range():
                 u, new = (size, new + 1) if room <= 0 or u + size > room else (u + size, new)
             row = next(r for r in batching._steps(sizes, rooms) if used > r[0])
             assert ((used + row[1], 0) if row[2] == 0 else row[1:]) == (u, new)
+
+
+def test_near_duplicates_by_minhash(spark):
+    """Recall of links within clusters against all pairs, nothing linked that isn't, and odd rows."""
+    from corpusmatch.operators import neardup
+
+    rng = random.Random(2)
+    word = lambda: f"w{rng.randrange(4000)}"
+    base = [[word() for _ in range(rng.randint(30, 120))] for _ in range(12)]
+    rows = []
+    for k in range(260):
+        words = list(base[k % 12])
+        for at in rng.sample(range(len(words)), rng.randint(0, 3)):
+            words[at] = word()
+        rows.append((k, " ".join(words)))
+    rows += [(300, None), (301, ""), (302, rows[5][1].upper()), (302, rows[5][1]), (None, rows[5][1]), (303, "one two"), (304, "One  two"), (305, " ".join(word() for _ in range(20_000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in neardup.near_duplicate_clusters(docs).collect()}
+    sets = {k: {" ".join(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for k, t in rows if k is not None and t and t.split()}
+    label = {k: k for k in got}
+    keys = sorted(sets)
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    together = [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if label[a] == label[b]]
+    found = sum(got[a].component_id == got[b].component_id for a, b in together)
+    assert found >= 0.9 * len(together) > 500
+    assert all(label[a] == label[b] for i, a in enumerate(keys) for b in keys[i + 1 :] if got[a].component_id == got[b].component_id)
+    assert got[302].component_id == got[5].component_id and got[304].component_id == 303 and (got[300].component_id, got[301].n_shingles) == (300, 0)
+    assert {k: r.n_shingles for k, r in got.items() if k in sets and k != 302} == {k: len(s) for k, s in sets.items() if k != 302}
+    assert neardup.near_duplicate_clusters(docs.where("false")).isEmpty()
+
+
+def test_components_of_a_chain(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(50)] + [(100, 101), (101, 100), (7, 7), (200, 150), (150, 300)], "a long, b long")
+    got = {r.node: r.component for r in graph.components(links).collect()}
+    assert got == {**dict.fromkeys(range(51), 0), 100: 100, 101: 100, 200: 150, 150: 150, 300: 150}
