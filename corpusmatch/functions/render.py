@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusmatch.functions.text import collapse, fold_distinct, html_escape, redact
+from corpusmatch.functions.text import collapse, fold_distinct, html_escape, once, redact
 
 JOB_CHARS, CV_CHARS = 4000, 8000
 
@@ -122,7 +122,7 @@ FIELD_CHARS, FULL_CHARS = 1200, 4000  # fixed values
 
 def section(label: str, value: Column) -> Column:
     """`[LABEL]` over the value; null without one."""
-    return F.when(F.coalesce(F.trim(value), F.lit("")) != "", F.concat(F.lit(f"[{label}]\n"), F.trim(value)))
+    return once(F.trim(value), lambda v: F.when(v != "", F.concat(F.lit(f"[{label}]\n"), v)))
 
 
 def sections(*parts: Column, limit: int = FIELD_CHARS) -> Column:
@@ -141,7 +141,8 @@ def competency_sections(items: Column, canonical: Column) -> list[Column]:
 
 def _fields(made: dict[str, Column]) -> Column:
     """array<struct<field, body>> of the fields that say something."""
-    return F.array_compact(F.array(*(F.when(v != "", F.struct(F.lit(k).alias("field"), v.alias("body"))) for k, v in made.items())))
+    each = F.array(*(F.struct(F.lit(k).alias("field"), v.alias("body")) for k, v in made.items()))
+    return F.filter(each, lambda f: f["body"] != "")
 
 
 def job_representations(

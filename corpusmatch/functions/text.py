@@ -110,22 +110,38 @@ _PHONE = r"(?U)(?:\+|\b00)\d[\d\s().‐-―-]{6,}\d"
 _GROUPED = r"(?U)\b\(?\d{2,4}\)?(?:[\s.‐-―-]\d{2,4}){2,3}\b"
 
 
+def once(value: Column, use) -> Column:
+    """use(value), where the value is worked out once however often `use` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def redact(text: Column, least_digits: int = 9) -> Column:
     """Credentials, then e-mail addresses, then phone numbers to placeholders. Grouped digits need enough of them.
 
-    Each grouped run is judged where it stands: the text is cut at the runs and put together again.
+    Each grouped run is judged where it stands: the text is cut at the runs and put together again. A pattern is only
+    tried on texts that have a mark which every match of it needs.
     """
-    out = F.regexp_replace(text, _BOT_TOKEN, "bot[redacted]")
-    out = F.regexp_replace(out, _BEARER, "$1 [redacted]")
-    out = F.regexp_replace(out, _QUERY_SECRET, "$1[redacted]")
-    out = F.regexp_replace(out, _EMAIL, "[email]")
-    out = F.regexp_replace(out, _PHONE, "[phone]")
+    has = lambda *marks: lambda t: reduce(lambda a, b: a | b, (F.contains(t, F.lit(m)) for m in marks))
+    digit = lambda t: F.rlike(t, F.lit(r"(?U)\d"))
+    steps = (
+        (has("bot"), lambda t: F.regexp_replace(t, _BOT_TOKEN, "bot[redacted]")),
+        (lambda t: F.contains(F.lower(t), F.lit("bearer")), lambda t: F.regexp_replace(t, _BEARER, "$1 [redacted]")),
+        (has("="), lambda t: F.regexp_replace(t, _QUERY_SECRET, "$1[redacted]")),
+        (has("@"), lambda t: F.regexp_replace(t, _EMAIL, "[email]")),
+        (has("+", "00"), lambda t: F.regexp_replace(t, _PHONE, "[phone]")),
+        (digit, lambda t: _grouped(t, least_digits)),
+    )
+    gated = lambda gate, step: lambda t: F.when(gate(t), step(t)).otherwise(t)
+    return reduce(lambda out, step: once(out, gated(*step)), steps, text)
+
+
+def _grouped(text: Column, least_digits: int) -> Column:
     runs = F.transform(
-        F.regexp_extract_all(out, F.lit(f"({_GROUPED})"), F.lit(1)),
+        F.regexp_extract_all(text, F.lit(f"({_GROUPED})"), F.lit(1)),
         lambda m: F.when(F.length(F.regexp_replace(m, r"(?U)\D", "")) >= least_digits, F.lit("[phone]")).otherwise(m),
     )
-    joined = F.array_join(F.zip_with(F.split(out, _GROUPED, -1), runs, lambda part, run: F.concat(part, F.coalesce(run, F.lit("")))), "")
-    return F.when(F.rlike(out, F.lit(r"(?U)\d")), joined).otherwise(out)
+    parts = F.zip_with(F.split(text, _GROUPED, -1), runs, lambda part, run: F.concat(part, F.coalesce(run, F.lit(""))))
+    return F.array_join(parts, "")
 
 
 def preview(text: Column, limit: int = 120) -> Column:
@@ -171,5 +187,5 @@ def json_flag(raw: Column, path: str) -> Column:
 def fold_distinct(values: Column, separator: str = "; ") -> Column:
     """Non-blank values, the first of each without regard to case, joined."""
     kept = F.filter(F.transform(values, lambda x: F.trim(x)), lambda v: v.isNotNull() & (v != ""))
-    lower = F.transform(kept, F.lower)
-    return F.array_join(F.filter(kept, lambda v, k: F.array_position(lower, F.lower(v)) == k + 1), separator)
+    first = lambda all_: lambda v, k: F.array_position(F.transform(all_, F.lower), F.lower(v)) == k + 1
+    return F.array_join(once(kept, lambda all_: F.filter(all_, first(all_))), separator)
