@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 
 import numpy as np
 import pandas as pd
@@ -32,15 +32,45 @@ class MatchConfig:
             raise ValueError("consider_threshold is over apply_threshold")
 
 
+def config_of(settings: dict[str, object], base: MatchConfig = MatchConfig()) -> MatchConfig:
+    """base with settings, which may be texts; an unknown name, a blank text, and what is no number or out of bounds are refused."""
+    made = {}
+    for name, value in settings.items():
+        kind = {f.name: type(f.default) for f in fields(MatchConfig)}.get(name)
+        if kind is None:
+            raise ValueError(f"unknown setting {name!r}")
+        if isinstance(value, bool) or value is None or isinstance(value, str) and not value.strip():
+            raise ValueError(f"{name} must be a number")
+        try:
+            number = float(value)
+        except (TypeError, ValueError):
+            raise ValueError(f"{name} must be a number") from None
+        if kind is int and number != int(number):
+            raise ValueError(f"{name} must be a whole number")
+        made[name] = kind(number)
+    return replace(base, **made)
+
+
+def refused_vectors(vectors: DataFrame, model: str, vector: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose size is that of most of their model's vectors, rows refused with `reason`); of equal numbers the smaller size counts."""
+    sizes = vectors.groupBy(model, F.size(vector).alias("size_")).agg(F.count("*").alias("n_"))
+    usual = sizes.groupBy(model).agg(F.max_by("size_", F.struct("n_", (-F.col("size_")).alias("less_"))).alias("size_"))
+    both = vectors.join(usual, model, "left")
+    right = F.coalesce(F.size(vector) == F.col("size_"), F.lit(False))
+    said = F.concat(F.lit("has "), F.coalesce(F.size(vector).cast("string"), F.lit("no")), F.lit(" dimensions, the model's have "), F.coalesce(F.col("size_").cast("string"), F.lit("none")))
+    return both.where(right).drop("size_"), both.where(~right).withColumn("reason", said).drop("size_")
+
+
 def cosine_topk(queries: DataFrame, items: DataFrame, k: int, queries_a_block: int = 512, item_blocks: int = 64) -> DataFrame:
     """user_id, item_id, similarity, rank: for (user_id, vector) and (item_id, vector), exact and whole.
 
     Queries are the stated set that meets all items, block by block: items are dealt into `item_blocks` parts, queries
     into parts of `queries_a_block`, and a task holds one of each. A matrix product a pair of blocks and the k best of
-    each query leave it. Vectors of another dimension than the query's don't meet it; a zero vector takes no part, as
-    the cosine isn't defined; ties go to the smaller item id.
+    each query leave it. Vectors of another dimension than the query's don't meet it; a zero vector, and one with a component
+    that is null or not finite, takes no part, as the cosine isn't defined; ties go to the smaller item id.
     """
-    ok = lambda df: df.where(F.col("vector").isNotNull() & F.exists("vector", lambda x: x != 0))
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    ok = lambda df: df.where(F.col("vector").isNotNull() & F.exists("vector", lambda x: x != 0) & finite)
     parts = F.lit(max(1, -(-queries.count() // queries_a_block)))
     raw = F.col("vector").cast("array<double>").alias("vector")
     q = ok(queries).select("user_id", raw, F.size("vector").alias("d"), F.pmod(F.xxhash64("user_id"), parts).alias("part"))

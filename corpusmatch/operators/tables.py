@@ -185,3 +185,95 @@ def posting_details(postings: DataFrame, matches: DataFrame, members: DataFrame,
     """postings with their match (null without one) and `members`, how many source records stand behind each."""
     counts = members.groupBy(key).agg(F.count("*").alias("members"))
     return postings.join(matches, key, "left").join(counts, key, "left").withColumn("members", F.coalesce("members", F.lit(0)).cast("long"))
+
+
+def edge_report(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """(kept, unknown_source, unknown_target, unknown_both): what `resolved_edges` does with the distinct (a, b)."""
+    known = lambda df, c: df.select(c).where(F.col(c).isNotNull()).distinct().withColumn(f"has_{c}", F.lit(True))
+    both = edges.select("a", "b").distinct().join(known(sources, "a"), "a", "left").join(known(targets, "b"), "b", "left")
+    a, b = F.col("has_a").isNotNull(), F.col("has_b").isNotNull()
+    return both.agg(F.count_if(a & b).alias("kept"), F.count_if(~a & b).alias("unknown_source"), F.count_if(a & ~b).alias("unknown_target"), F.count_if(~a & ~b).alias("unknown_both"))
+
+
+def run_history(log: DataFrame) -> DataFrame:
+    """(run, status, started_at, finished_at, steps, seen, errors, error), one row a run, of log (run, at, kind, step, seen, errors, error).
+
+    A run starts, takes steps and finishes, each a row that is only ever appended. It is running until it finishes, and
+    failed if it says with what error; a second finish of a run (a job run again) counts like the last one. A run whose
+    start was lost starts at its first row.
+    """
+    is_ = lambda k: F.col("kind") == k
+    steps = F.array_sort(F.collect_list(F.when(is_("step"), F.struct("at", "step"))))
+    out = log.groupBy("run").agg(
+        F.coalesce(F.min(F.when(is_("start"), F.col("at"))), F.min("at")).alias("started_at"), F.max(F.when(is_("finish"), F.col("at"))).alias("finished_at"),
+        F.transform(steps, lambda s: s["step"]).alias("steps"), F.coalesce(F.sum(F.when(is_("step"), F.col("seen"))), F.lit(0)).alias("seen"), F.coalesce(F.sum(F.when(is_("step"), F.col("errors"))), F.lit(0)).alias("errors"),
+        F.max_by(F.struct("error"), F.when(is_("finish"), F.col("at"))).alias("end"),
+    )
+    status = F.when(F.col("finished_at").isNull(), "running").when(F.col("end.error").isNotNull(), "failed").otherwise("succeeded")
+    return out.select("run", status.alias("status"), "started_at", "finished_at", "steps", "seen", "errors", F.col("end.error").alias("error"))
+
+
+def page(df: DataFrame, limit: int, offset: int, *order: Column) -> tuple[DataFrame, DataFrame]:
+    """(a page of df in order, (total) of all rows); the limit is held within 1 and 200."""
+    return df.orderBy(*order).offset(max(offset, 0)).limit(min(max(limit, 1), 200)), df.agg(F.count("*").alias("total"))
+
+
+def next_category(categories: DataFrame, runs: DataFrame) -> DataFrame:
+    """(source, category, last): of each source's (source, category, position) the one that never ran, first by position, or else ran longest ago.
+
+    runs: (source, category, at).
+    """
+    last = runs.groupBy("source", "category").agg(F.max("at").alias("last"))
+    both = categories.join(last, ["source", "category"], "left")
+    return latest_per_key(both, ["source"], F.asc_nulls_first("last"), F.asc("position"), F.asc("category")).select("source", "category", "last")
+
+
+def import_release(versions: DataFrame, namespace: str, version: str, language: str, expected: int, found: int | None, activate_: bool = False) -> tuple[DataFrame, str]:
+    """(versions after the import of a release's language, what it came to) of (namespace, version, languages, status, concepts, error).
+
+    Called before the write with `found` null, it notes the version as importing; after it, with what was counted in the
+    written rows, as ready, or active (then the active one is superseded), or failed with both numbers, which stays to be
+    seen. A language that a finished version has is `unchanged`, another one is `merged` into it; the table stays one row a version.
+    """
+    own = (F.col("namespace") == namespace) & (F.col("version") == version)
+    row = versions.where(own).first()
+    if row is not None and row.status in ("ready", "active"):
+        if language in row.languages:
+            return versions, "unchanged"
+        if found is None or found != expected:
+            return versions, "importing" if found is None else "failed"
+        return versions.withColumn("languages", F.when(own, F.array_sort(F.array_union("languages", F.array(F.lit(language))))).otherwise(F.col("languages"))), "merged"
+    status = "importing" if found is None else "failed" if found != expected else "active" if activate_ else "ready"
+    error = f"found {found} concepts, expected {expected}" if status == "failed" else None
+    made = versions.sparkSession.createDataFrame([(namespace, version, [language], status, found, error)], "namespace string, version string, languages array<string>, status string, concepts long, error string")
+    rest = versions.where(~own)
+    if status == "active":
+        before = (F.col("namespace") == namespace) & (F.col("status") == "active")
+        rest = rest.withColumn("status", F.when(before, "superseded").otherwise(F.col("status")))
+    return rest.unionByName(made.select(*versions.columns)), status
+
+
+#: Rules of stored rows, by table: a rule is broken where it is false.
+def mention_rules() -> dict[str, Column]:
+    """A linked mention has its concept, an ambiguous one several, and confidences lie within 0 and 1."""
+    return {
+        "linked has a concept": (F.col("status") != "linked") | F.col("concept_id").isNotNull(), "others have none": (F.col("status") == "linked") | F.col("concept_id").isNull(),
+        "confidence": F.col("confidence").between(0, 1), "places": (F.col("start_char") >= 0) & (F.col("end_char") > F.col("start_char")),
+    }
+
+
+def revision_rules() -> dict[str, Column]:
+    """Exactly one owner, of the kind that the row names."""
+    job, user = F.col("source_record_id").isNotNull(), F.col("user_id").isNotNull()
+    return {"exactly one owner": job != user, "kind matches owner": F.when(F.col("entity_kind") == "job", job).when(F.col("entity_kind") == "candidate", user).otherwise(False)}
+
+
+def judgement_rules() -> dict[str, Column]:
+    """Labels from 0 to 3, and a time exactly where there is a label."""
+    return {"label range": F.col("label").between(0, 3), "label iff annotated": F.col("label").isNotNull() == F.col("annotated_at").isNotNull()}
+
+
+def profile_rules() -> dict[str, Column]:
+    """A profile by a model names it, others don't."""
+    neural = F.col("origin") == "neural_extraction"
+    return {"origin names its model": ~neural | F.col("extractor_model_id").isNotNull(), "others name none": neural | F.col("extractor_model_id").isNull()}

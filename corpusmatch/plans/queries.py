@@ -19,7 +19,7 @@ from corpusmatch.operators import review as rw
 from corpusmatch.operators import revisions as rv
 from corpusmatch.operators import tables as tb
 from corpusmatch.operators.storage import written
-from corpusmatch.plans import graphs, registry, retrieval  # noqa: F401  the first and the last register their own queries
+from corpusmatch.plans import graphs, registry, retrieval, upkeep  # noqa: F401  all but the registry add their own queries
 from corpusmatch.sources import feeds as fd
 from corpusmatch.sources import pages as pg
 from corpusmatch.sources import postings as po

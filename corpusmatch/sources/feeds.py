@@ -32,22 +32,29 @@ def _csv(spark: SparkSession, folder: str, name: str, language: str) -> DataFram
 
 
 def taxonomy_concepts(spark: SparkSession, folder: str, language: str = "en") -> DataFrame:
-    """(concept_id, type, label, forms): one row a URI, labels of repeated ones joined; rows without URI or label drop."""
+    """(concept_id, type, label, forms, description): one row a URI; rows without URI or label drop.
+
+    Of records that share a URI, in the order of the files and of their rows, the first gives type and label, forms are
+    joined in order, each once, and the first description that is there counts.
+    """
     rows = None
-    for name, kind in CONCEPT_FILES.items():
+    for place, (name, kind) in enumerate(CONCEPT_FILES.items()):
         df = _csv(spark, folder, name, language)
         text = lambda c, df=df: F.coalesce(F.col(c), F.lit("")) if c in df.columns else F.lit("")
         typed = F.when(text("skillType") == "knowledge", "knowledge").otherwise(kind) if kind == "skill" else F.lit(kind)
         packed = F.split(F.concat_ws("\n", "preferredLabel", text("altLabels"), text("hiddenLabels")), "\n")
         forms = F.array_distinct(F.filter(F.transform(packed, lambda x: F.trim(x)), lambda x: x != ""))
-        one = df.where("trim(conceptUri) <> '' and trim(preferredLabel) <> ''").select(
-            F.trim("conceptUri").alias("concept_id"), typed.alias("type"), F.trim("preferredLabel").alias("label"), forms.alias("forms")
+        # Cells with line ends keep a file in one task, so this number follows its rows.
+        order = F.struct(F.lit(place).alias("file"), F.monotonically_increasing_id().alias("row"))
+        one = df.select("*", order.alias("order")).where("trim(conceptUri) <> '' and trim(preferredLabel) <> ''").select(
+            F.trim("conceptUri").alias("concept_id"), "order", typed.alias("type"), F.trim("preferredLabel").alias("label"), forms.alias("forms"), F.nullif(F.trim(text("description")), F.lit("")).alias("description")
         )
         rows = one if rows is None else rows.unionByName(one)
-    first = rows.groupBy("concept_id").agg(
-        F.min(F.struct("type", "label")).alias("f"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("forms")))).alias("forms")
+    all_forms = F.transform(F.array_sort(F.collect_list(F.struct("order", "forms"))), lambda x: x["forms"])
+    return rows.groupBy("concept_id").agg(
+        F.min_by("type", "order").alias("type"), F.min_by("label", "order").alias("label"), F.array_distinct(F.flatten(all_forms)).alias("forms"),
+        F.min_by("description", F.when(F.col("description").isNotNull(), F.col("order"))).alias("description"),
     )
-    return first.select("concept_id", "f.type", "f.label", "forms")
 
 
 def taxonomy_relations(spark: SparkSession, folder: str, language: str = "en") -> DataFrame:
@@ -69,3 +76,12 @@ def release_report(concepts: DataFrame, relations: DataFrame) -> DataFrame:
 def checksums(spark: SparkSession, folder: str) -> DataFrame:
     """(path, sha256) of a release's files: equal for a release seen before."""
     return spark.read.format("binaryFile").load(folder).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def release_files(spark: SparkSession, folder: str) -> tuple[list[str], dict[str, list[str]]]:
+    """(languages that a folder holds, the required files that each of them misses), from its file names; nothing is read or written."""
+    paths = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path").toPandas()["path"]
+    names = {p.rsplit("/", 1)[-1] for p in paths}
+    languages = sorted(n.removeprefix("skills_").removesuffix(".csv") for n in names if n.startswith("skills_"))
+    required = (*CONCEPT_FILES, *BROADER_FILES, SKILL_FILE)
+    return languages, {x: [f"{n}_{x}.csv" for n in required if f"{n}_{x}.csv" not in names] for x in languages}

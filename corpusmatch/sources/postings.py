@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmatch.functions.text import cities, experience_years, salary, seniority
+from corpusmatch.operators.storage import written
 from corpusmatch.sources.pages import elements, inner_html, text_of
 
 POSTING = "source string, external_id string, url string, title string, company string, description string, remote boolean, places array<string>, salary struct<min:double,max:double,currency:string>, seniority string, years double, employment_type string"
@@ -133,3 +136,38 @@ def capped(listings: DataFrame, known: DataFrame, keys: list[str], cap: int, *or
     nth = F.row_number().over(Window.partitionBy(keys[0]).orderBy(*order))
     first = listings.withColumn("nth", nth).where(F.col("nth") <= cap).drop("nth")
     return unknown(first, known, keys)
+
+
+def isolated(df: DataFrame, keys: list[str], column: str, parse: Callable[[str | None], dict], schema: str) -> DataFrame:
+    """keys, the columns of schema and `error`: what parse makes of each row's text, or what it failed with; a bad row stops no other."""
+    kinds = T.StructType([*(df.schema[k] for k in keys), *T.StructType.fromDDL(schema).fields, T.StructField("error", T.StringType())])
+    names = [f.name for f in T.StructType.fromDDL(schema).fields]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for text in part[column]:
+                try:
+                    made = parse(text)
+                    out.append((*(made.get(n) for n in names), None))
+                except Exception as failed:  # whatever a source's parser raises concerns this row alone
+                    out.append((*[None] * len(names), f"{type(failed).__name__}: {failed}"[:500]))
+            made = pd.DataFrame(out, columns=[*names, "error"], dtype=object)
+            yield pd.concat([part[keys].reset_index(drop=True), made], axis=1)
+
+    return df.select(*keys, column).mapInPandas(run, kinds)
+
+
+def ingest(listings: DataFrame, known: DataFrame, keys: list[str], cap: int, column: str, parse: Callable[[str | None], dict], schema: str, *order: Column) -> tuple[DataFrame, DataFrame]:
+    """(parsed rows of `isolated`, (source, seen, new, errors) of the run): capped, known ones skipped, bad ones kept apart.
+
+    seen counts the listings within the cap, known or not; new those parsed; errors those that couldn't be. The rows are
+    written once, so both results come from one parse.
+    """
+    nth = F.row_number().over(Window.partitionBy(keys[0]).orderBy(*order))
+    first = listings.withColumn("nth_", nth).where(F.col("nth_") <= cap).drop("nth_")
+    rows = written(isolated(unknown(first, known, keys), keys, column, parse, schema), "ingested")
+    done = rows.groupBy(keys[0]).agg(F.count_if(F.col("error").isNull()).alias("new"), F.count_if(F.col("error").isNotNull()).alias("errors"))
+    seen = first.groupBy(keys[0]).agg(F.count("*").alias("seen"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows, seen.join(done, keys[0], "left").select(F.col(keys[0]).alias("source"), "seen", zero("new"), zero("errors"))

@@ -202,7 +202,7 @@ def test_taxonomy_release(spark, tmp_path):
     concepts = feeds.taxonomy_concepts(spark, str(tmp_path))
     got = {r.concept_id: (r.type, r.label, r.forms) for r in concepts.collect()}
     assert got == {
-        "u1": ("knowledge", "SQL", ["SQL", "query", "sql language", "structured"]),
+        "u1": ("knowledge", "SQL", ["SQL", "structured", "query", "sql language"]),
         "u2": ("skill", "cook", ["cook"]),
         "o1": ("occupation", "baker", ["baker"]),
         "g1": ("occupation_group", "clerks", ["clerks"]),
@@ -213,6 +213,14 @@ def test_taxonomy_release(spark, tmp_path):
     }
     assert feeds.release_report(concepts, edges).first().asDict() == {"concepts": 4, "surface_forms": 7, "relations": 4}
     assert feeds.checksums(spark, str(tmp_path)).count() == len(files)
+    (tmp_path / "skills_uk.csv").write_text("conceptUri,preferredLabel,description\nu1,b,\nu1,a,said\nu1,c,later\n")
+    languages, missing = feeds.release_files(spark, str(tmp_path))
+    assert languages == ["en", "uk"] and not missing["en"] and len(missing["uk"]) == len(files) - 1 and "occupations_uk.csv" in missing["uk"]
+    for name in files:
+        if name != "skills":
+            (tmp_path / f"{name}_uk.csv").write_text(files[name].split("\n")[0] + "\n")
+    one = feeds.taxonomy_concepts(spark, str(tmp_path), "uk").first()
+    assert (one.label, one.forms, one.description) == ("b", ["b", "a", "c"], "said")
 
 
 def test_stream_of_revisions_in_batches(spark, tmp_path):
