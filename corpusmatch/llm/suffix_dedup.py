@@ -215,6 +215,13 @@ def repeated_windows(parts: list[bytes], length: int) -> list[np.ndarray]:
     return [np.flatnonzero(hit[e - len(p) - 1 : e - 1]) for e, p in zip(ends.tolist(), parts, strict=True)]
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 300) -> Iterator[pa.RecordBatch]:
+    """Parts of so many rows, so few are Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _ranges(places: np.ndarray) -> list[tuple[int, int]]:
     if not places.size:
         return []
@@ -270,7 +277,7 @@ def _texts_of(stretches_: DataFrame, docs: DataFrame, params: Params) -> DataFra
     wanted = stretches_.groupBy("class").agg(F.collect_list(F.struct("first", "last", "anchor", "whole")).alias("s"))
 
     def slice_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             out = []
             for name, text, found in zip(*(batch.column(c).to_pylist() for c in ("class", "text", "s")), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
@@ -300,7 +307,7 @@ def _sorted_windows(parts: DataFrame, params: Params) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size, anchor = [], 0, None
-        for batch in batches:
+        for batch in _parts(batches, 2000):
             for name, first, key, _, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != anchor and size >= most:
                     yield solve(block)
@@ -376,7 +383,7 @@ def remove_repeats(docs: DataFrame, params: Params = Params(), with_text: bool =
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds_ = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * with_text
         names = [f.split()[0] for f in schema.split(", ")]
-        for batch in batches:
+        for batch in _parts(batches):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
             own = batch.column("ranges").to_pylist() if "ranges" in batch.schema.names else [None] * len(texts)
             out = [row(*x) for x in zip(batch.column("doc_id").to_pylist(), texts, own, strict=True)]
