@@ -40,10 +40,12 @@ class Params:
     smoothing: int = 5
 
 
-def _terms(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """Of each text and each of its terms, in order of the terms' bytes: text, number of the term, occurrences; and the terms, sorted."""
+def _terms(part: pa.RecordBatch, over: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Of each text and each of its terms of more than `over` bytes, in order of the terms' bytes: text, number of the term, occurrences; and the terms, sorted."""
     data, begins = bytes_of(part.column("text"))
     words = cut(LOWER[data], begins, _TERM)
+    if over:
+        words = words.where(words.lengths() > over)
     ids, found = words.encoded()
     order = pc.sort_indices(found).to_numpy(zero_copy_only=False)
     place = np.empty(len(order), np.int64)
@@ -88,11 +90,11 @@ def prefix_counts(docs: DataFrame, before: int, size: int, kept: Bitmap | None)
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for part in steps(batches):
             lang, langs = groups_of(part.column("lang"))
-            text, term, _, terms = _terms(part)
+            text, term, _, terms = _terms(part, before)
             if not len(terms):
                 continue
             lengths = pc.binary_length(terms).to_numpy(zero_copy_only=False)
-            fine = (lengths > before)[term]
+            fine = np.ones(len(term), bool)
             if shared.value is not None:
                 parents = pc.binary_slice(terms, 0, before)
                 parent = _runs(parents)[term]
@@ -164,7 +166,7 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
             codes, _ = distinct(code, len(langs) * n)
             seeds = [xxhash.xxh64_intdigest(x) for x in langs]
             may = shared.value.has(_hashes(terms_.take(pa.array(codes % n)).to_pylist(), [seeds[k] for k in (codes // n).tolist()]))
-            fine = np.isin(code, codes[may])
+            fine = np.isin(code, codes[may]) if len(langs) * n > len(code) * 8 + (1 << 20) else _marks(codes[may], len(langs) * n)[code]
             codes, place = np.unique(group[text[fine]] * n + term[fine], return_inverse=True)
             found = pa.array(codes // n)
             columns = [pa.array([g[k] for g in groups], pa.string()).take(found) for k in (0, 1)]

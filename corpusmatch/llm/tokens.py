@@ -30,6 +30,15 @@ class Words:
     text: np.ndarray
     piece: np.ndarray
 
+    def lengths(self) -> np.ndarray:
+        """Bytes of each word."""
+        ends = np.frombuffer(self.words.buffers()[1], np.int64)[self.words.offset : self.words.offset + len(self.words) + 1]
+        return np.diff(ends)
+
+    def where(self, keep: np.ndarray) -> Words:
+        """The words that are marked."""
+        return Words(self.words.filter(pa.array(keep)), self.text[keep], self.piece[keep])
+
     def encoded(self) -> tuple[np.ndarray, pa.LargeBinaryArray]:
         """The number of each word in the list of distinct words, and that list."""
         found = self.words.dictionary_encode()
@@ -84,7 +93,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[p
             at = end
 
 
-def added_up(tables: Iterator[pa.Table], most: int = 600_000) -> Iterator[pa.RecordBatch]:
+def added_up(tables: Iterator[pa.Table], most: int = 300_000) -> Iterator[pa.RecordBatch]:
     """Rows of all tables with equal values in all columns but the last, `n`, as one row with their sum; a task's rows together,
     but for `most` of them at once. What several tasks have of a row is left to be added."""
     waiting: list[pa.Table] = []
