@@ -4,10 +4,11 @@ The window of a word is the word and the words that lead on from it, at most fiv
 of k words occurs as often as windows begin with it, so one count of windows holds all shorter phrases, and Spark's
 ROLLUP over the window's columns sums it for each prefix; no n-gram of another length is ever made.
 
-A frequent phrase holds frequent words and frequent neighbours only. So windows end before the first word, and between
-the first two neighbours, that aren't frequent in their language. Which ones are, two counts before find out: of words
-and of hashes of neighbours. Both go out as bitmaps of a bounded size that may let others through; the final counts of
-frequent phrases are exact whatever passes, as an infrequent phrase only ever loses.
+A frequent phrase holds frequent words, neighbours and triples only. So windows end where one of these isn't frequent in
+its language. Which ones may be, three counts before find out: of words, and of hashes of neighbours and of triples. They
+go out as bitmaps of a bounded size that may let others through; the final counts of frequent phrases are exact
+whatever passes, as an infrequent phrase only ever loses. Of triples a task gives away only those that occur in it as
+often as its share of all words asks for: one that stays under that share everywhere can't be frequent.
 """
 
 from __future__ import annotations
@@ -105,24 +106,73 @@ def pair_counts(docs: DataFrame, often: Bitmap) -> DataFrame:
     return docs.mapInArrow(lambda batches: added_up(count(batches)), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def windows(docs: DataFrame, often: Bitmap, pairs: Bitmap, longest: int) -> DataFrame:
-    """(lang, w1, w2, ..., n): how often each window occurs; a column past the window's end holds ''."""
+def _triples(words: Words, code: np.ndarray, pairs: Bitmap, lang: np.ndarray, word: np.ndarray, langs: list[str], distinct: pa.Array, often: Bitmap) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which (language, word) may be frequent; at which words a pair that may be begins (as marks); where a triple of two such pairs begins, and its hash."""
+    may, at, hashes = _pairs(words, code, lang, word, langs, distinct, often)
+    leads = np.zeros(len(code) + 2, bool)
+    fine = pairs.has(hashes)
+    leads[at[fine]] = True
+    whole = np.zeros(len(code) + 2, np.uint64)
+    whole[at[fine]] = hashes[fine].view(np.uint64)
+    both = np.flatnonzero(leads[:-1] & leads[1:])
+    with np.errstate(over="ignore"):
+        mixed = (whole[both] * _MIX) ^ (whole[both + 1] >> np.uint64(7))
+        mixed = (mixed ^ (mixed >> np.uint64(33))) * _MIX
+    return may, leads[:-2], both, (mixed ^ (mixed >> np.uint64(29))).view(np.int64)
+
+
+def triples(docs: DataFrame, often: Bitmap, pairs: Bitmap, least: int, total: int) -> Bitmap:
+    """Of the hashes of triples that may occur `least` times; total: all words.
+
+    What a task has read when it gives away is a chunk. If all chunks had a triple less often than their share of the
+    words times `least`, it would occur less than `least` times. So one that a chunk has no more than its slack (the greatest
+    number under that) is left out there, counted as if it had the slack. With many small chunks the slack is 0.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((often, pairs))
+
+    def chunk(found: list[tuple[np.ndarray, np.ndarray]], words: int) -> pa.RecordBatch:
+        slack = max(0, -(-least * words // max(1, total)) - 1)
+        keys, place = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+        n = np.bincount(place, np.concatenate([n for _, n in found]), len(keys)).astype(np.int64)
+        kept = n > slack
+        return pa.RecordBatch.from_arrays([pa.array([None, *keys[kept].tolist()], pa.int64()), pa.array(np.r_[slack, n[kept] - slack])], ["hash", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        words = 0
+        for part in steps(batches):
+            own, code, lang, word, langs, distinct = _words(part)
+            words += len(code)
+            found.append(np.unique(_triples(own, code, shared.value[1], lang, word, langs, distinct, shared.value[0])[3], return_counts=True))
+            if sum(len(k) for k, _ in found) > 2_000_000:
+                yield chunk(found, words)
+                found, words = [], 0
+        if found:
+            yield chunk(found, words)
+
+    summed = materialize(docs.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "triples")
+    slack = summed.where("hash is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return _bitmap(summed.where(F.col("hash").isNotNull() & (F.col("n") + slack >= least)))
+
+
+def windows(docs: DataFrame, often: Bitmap, pairs: Bitmap, threes: Bitmap, longest: int) -> DataFrame:
+    """(lang, w1, w2, ..., n): how often each window occurs; a column past the window's end holds ''."""
+    shared = docs.sparkSession.sparkContext.broadcast((often, pairs, threes))
     names = [f"w{k + 1}" for k in range(longest)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for part in steps(batches):
             words, code, lang, word, langs, distinct = _words(part)
-            may, at, hashes = _pairs(words, code, lang, word, langs, distinct, shared.value[0])
-            leads = np.zeros(len(code) + longest, bool)
-            leads[at[shared.value[1].has(hashes)]] = True
+            may, leads, at, hashes = _triples(words, code, shared.value[1], lang, word, langs, distinct, shared.value[0])
+            goes_on = np.zeros(len(code) + longest, bool)
+            goes_on[at[shared.value[2].has(hashes)]] = True
             # A window of one word is counted by its word; of the others each distinct one gets a number.
-            one = np.bincount(code[~leads[: len(code)]], minlength=len(lang))
+            one = np.bincount(code[~leads], minlength=len(lang))
             single = np.flatnonzero((one > 0) & may)
             start = np.flatnonzero(leads)
             columns, on = [code[start]], np.ones(len(start), bool)
             for k in range(1, longest):
-                on = on & leads[start + k - 1]
+                on = on & (leads[start] if k == 1 else goes_on[start + k - 2])
                 columns.append(np.where(on, code[np.minimum(start + k, len(code) - 1)], -1))
             order = np.lexsort(columns[::-1])
             rows = np.stack(columns, 1)[order]
@@ -149,8 +199,9 @@ def phrase_counts(docs: DataFrame, params: Params = Params()) -> tuple[DataFrame
     enough = F.col("n") >= params.least
     often = _bitmap(counted.where(enough))
     pairs = _bitmap(materialize(pair_counts(own, often).where(enough), "pairs"))
+    threes = triples(own, often, pairs, params.least, counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     names = [f"w{k + 1}" for k in range(params.longest)]
-    summed = windows(own, often, pairs, params.longest).rollup("lang", *names).agg(F.sum("n").alias("f")).where(F.col("f") >= params.least)
+    summed = windows(own, often, pairs, threes, params.longest).rollup("lang", *names).agg(F.sum("n").alias("f")).where(F.col("f") >= params.least)
     # ROLLUP leaves null in the columns it has summed over, so the last that is there ends the prefix; '' there is padding.
     filled = F.array_compact(F.array(*names))
     found = summed.where("lang is not null and w1 is not null").select("lang", filled.alias("words"), "f").where("element_at(words, -1) <> ''")
