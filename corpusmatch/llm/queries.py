@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmatch.llm import ann, divergence, gam, jaccard, language_id, licenses, mixing, packing, phrases, pii, quality, sql, suffix_dedup, toxicity
+from corpusmatch.llm import ann, common, divergence, gam, jaccard, language_id, licenses, mixing, packing, phrases, pii, quality, sql, suffix_dedup, toxicity
 from corpusmatch.llm.common import crc_mod, table
 
 

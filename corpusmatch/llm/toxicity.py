@@ -49,7 +49,7 @@ def subwords(words: list[str], params: Params) -> tuple[np.ndarray, np.ndarray]:
     Words are lower-cased, and marks around them fall away, so `Idiot!` is `idiot`.
     """
     bare = [w.lower().strip("\"'`.,;:!?()[]{}<>|#*$%&-_~«»“”„…") for w in words]
-    text = "\0".join(f"<{w}>" for w in bare)
+    text = "".join(f"<{w}>\0" for w in bare)  # the last word is hashed like the others, so none depends on its neighbours
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lengths = np.array([len(w) + 2 for w in bare], np.int64)
     owner = np.repeat(np.arange(len(bare)), lengths + 1)[: len(points)]
