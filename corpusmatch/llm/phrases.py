@@ -7,8 +7,7 @@ ROLLUP over the window's columns sums it for each prefix; no n-gram of another l
 A frequent phrase holds frequent words, neighbours and triples only. So windows end where one of these isn't frequent in
 its language. Which ones may be, three counts before find out: of words, and of hashes of neighbours and of triples. They
 go out as bitmaps of a bounded size that may let others through; the final counts of frequent phrases are exact
-whatever passes, as an infrequent phrase only ever loses. Of triples a task gives away only those that occur in it as
-often as its share of all words asks for: one that stays under that share everywhere can't be frequent.
+whatever passes, as an infrequent phrase only ever loses.
 """
 
 from __future__ import annotations
@@ -121,38 +120,17 @@ def _triples(words: Words, code: np.ndarray, pairs: Bitmap, lang: np.ndarray, wo
     return may, leads[:-2], both, (mixed ^ (mixed >> np.uint64(29))).view(np.int64)
 
 
-def triples(docs: DataFrame, often: Bitmap, pairs: Bitmap, least: int, total: int) -> Bitmap:
-    """Of the hashes of triples that may occur `least` times; total: all words.
-
-    What a task has read when it gives away is a chunk. If all chunks had a triple less often than their share of the
-    words times `least`, it would occur less than `least` times. So one that a chunk has no more than its slack (the greatest
-    number under that) is left out there, counted as if it had the slack. With many small chunks the slack is 0.
-    """
+def triple_counts(docs: DataFrame, often: Bitmap, pairs: Bitmap) -> DataFrame:
+    """(hash, n): how often triples with this hash occur, of those whose words and neighbours may be frequent."""
     shared = docs.sparkSession.sparkContext.broadcast((often, pairs))
 
-    def chunk(found: list[tuple[np.ndarray, np.ndarray]], words: int) -> pa.RecordBatch:
-        slack = max(0, -(-least * words // max(1, total)) - 1)
-        keys, place = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-        n = np.bincount(place, np.concatenate([n for _, n in found]), len(keys)).astype(np.int64)
-        kept = n > slack
-        return pa.RecordBatch.from_arrays([pa.array([None, *keys[kept].tolist()], pa.int64()), pa.array(np.r_[slack, n[kept] - slack])], ["hash", "n"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        words = 0
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for part in steps(batches):
             own, code, lang, word, langs, distinct = _words(part)
-            words += len(code)
-            found.append(np.unique(_triples(own, code, shared.value[1], lang, word, langs, distinct, shared.value[0])[3], return_counts=True))
-            if sum(len(k) for k, _ in found) > 2_000_000:
-                yield chunk(found, words)
-                found, words = [], 0
-        if found:
-            yield chunk(found, words)
+            found, n = np.unique(_triples(own, code, shared.value[1], lang, word, langs, distinct, shared.value[0])[3], return_counts=True)
+            yield pa.table([pa.array(found), pa.array(n.astype(np.int64))], ["hash", "n"])
 
-    summed = materialize(docs.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "triples")
-    slack = summed.where("hash is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return _bitmap(summed.where(F.col("hash").isNotNull() & (F.col("n") + slack >= least)))
+    return docs.mapInArrow(lambda batches: added_up(count(batches)), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
 def windows(docs: DataFrame, often: Bitmap, pairs: Bitmap, threes: Bitmap, longest: int) -> DataFrame:
@@ -199,7 +177,7 @@ def phrase_counts(docs: DataFrame, params: Params = Params()) -> tuple[DataFrame
     enough = F.col("n") >= params.least
     often = _bitmap(counted.where(enough))
     pairs = _bitmap(materialize(pair_counts(own, often).where(enough), "pairs"))
-    threes = triples(own, often, pairs, params.least, counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    threes = _bitmap(materialize(triple_counts(own, often, pairs).where(enough), "triples"))
     names = [f"w{k + 1}" for k in range(params.longest)]
     summed = windows(own, often, pairs, threes, params.longest).rollup("lang", *names).agg(F.sum("n").alias("f")).where(F.col("f") >= params.least)
     # ROLLUP leaves null in the columns it has summed over, so the last that is there ends the prefix; '' there is padding.
