@@ -13,7 +13,9 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import date
 from functools import lru_cache
+from ipaddress import AddressValueError, IPv6Address
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,32 +37,66 @@ GIVEN = {
     ("m", "cyrillic"): ("Андрій", "Борис", "Іван", "Максим", "Олег", "Петро"),
     ("n", "cyrillic"): ("Саша", "Женя", "Валя"),
 }
+#: Frequent given names, by which a full name is found without a title.
+KNOWN_GIVEN = {
+    "f": (
+        "Alice Amelia Andrea Angela Anna Anne Barbara Brigitte Camille Carmen Carol Caroline Catherine Charlotte Claire Claudia Deborah Diana Dorothy "
+        "Elena Elizabeth Emily Emma Eva Fatima Hannah Heike Helen Inés Isabel Jane Jennifer Jessica Joan Julia Karen Katharina Laura Linda Lisa Lucía "
+        "Margaret Maria María Marie Martha Mary Michelle Monika Nancy Natalie Nicole Olivia Patricia Petra Rachel Rebecca Ruth Sabine Sandra Sarah "
+        "Sophie Stephanie Susan Ursula Олена Ірина Марія Наталія Оксана Ольга Світлана Тетяна Юлія"
+    ).split(),
+    "m": (
+        "Adam Alejandro Andrew Antonio Benjamin Bob Brian Carlos Charles Christian Christopher Daniel David Diego Dieter Edward Eric Felix Fernando "
+        "François Frank George Hans Heinrich Henry Jack Jacques James Javier Jean Jens Jeremy John Jonas Jonathan Jorge José Joseph Juan Jürgen Karl "
+        "Kevin Klaus Lukas Luis Manuel Martin Matthew Michael Miguel Mohammed Nicolas Oliver Patrick Paul Pedro Peter Philippe Pierre Rainer Richard "
+        "Robert Samuel Stefan Steven Thomas Timothy Tobias Uwe William Wolfgang Андрій Богдан Іван Микола Олександр Сергій Тарас Юрій"
+    ).split(),
+}
+_GENDER = {name: gender for gender, names in KNOWN_GIVEN.items() for name in names}
 _TITLE = "|".join(t for group in TITLES.values() for t in group)
 #: How keys of well-known services begin.
-TOKEN_STARTS = r"AKIA|ASIA|AIza|gh[opsru]_|xox[abprs]-|sk-|eyJ"
+TOKEN_STARTS = r"AKIA|ASIA|AIza|gh[opsru]_|xox[abprs]-|sk-|[prs]k_(?:live|test)_|eyJ"
 _CUES = "tel|phone|call|fax|mobile|telefon|tél|teléfono|тел"
-_NAME = r"[A-ZÀ-ÞА-ЯІЇЄҐ][a-zß-ÿа-яіїєґ'’-]+"
+_UPPER, _LOWER = "A-ZÀ-ÞА-ЯІЇЄҐ", "a-zß-ÿа-яіїєґ"
+_NAME = rf"(?:[A-Z]['’])?[{_UPPER}][{_LOWER}'’]*[{_LOWER}](?:-[{_UPPER}]?[{_LOWER}]+)*"
+_WORD = r"[A-ZÀ-Þ][a-zß-ÿ'’-]+"
+#: What streets are called, and what stands before a number or a date that tells who someone is.
+_STREETS = r"Street|St|Road|Rd|Avenue|Ave|Lane|Drive|Boulevard|Blvd|Court|Square|Terrace"
+_PAPERS = r"passport|passeport|reisepass|pasaporte|personalausweis|identity card|id card|driving licen[cs]e|social insurance"
+_BIRTH = r"born|date of birth|birth ?date|birthday|dob|geboren|geb\.|né|née|nacid[oa]|fecha de nacimiento"
 #: In the order in which they are looked for; a later one can't take what an earlier one has.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"[A-Za-zÀ-ÖØ-öø-ÿ0-9._%+-]+@[A-Za-zÀ-ÖØ-öø-ÿ0-9-]+(?:\.[A-Za-zÀ-ÖØ-öø-ÿ0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|bearer)\b[\"']?\s*[=:]?\s*[\"']?)(?P<value>[A-Za-z0-9+/_.-]{16,})",
-    "token": rf"(?<![\w-])(?:AKIA|ASIA)[A-Z0-9]{{16}}(?!\w)|(?<![\w-])(?:AIza|gh[opsru]_|xox[abprs]-|sk-)[\w-]{{20,}}|(?<![\w-])eyJ[\w-]{{10,}}\.[\w-]{{10,}}\.[\w-]*",
+    "token": rf"(?<![\w-])(?:AKIA|ASIA)[A-Z0-9]{{16}}(?!\w)|(?<![\w-])(?:AIza|gh[opsru]_|xox[abprs]-|sk-)[\w-]{{20,}}|(?<![\w-])[prs]k_(?:live|test)_\w{{16,}}|(?<![\w-])eyJ[\w-]{{10,}}\.[\w-]{{10,}}\.[\w-]*",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "ip6": r"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
+    "paper": rf"(?i:\b(?:{_PAPERS})\b(?:[ \t]+(?:no|nr|number|is))*\.?[:#]?[ \t]*)(?P<value>[A-Z]{{0,3}}\d{{6,9}}[A-Z]?)(?!\w)",
+    "birth": rf"(?i:(?<!\w)(?:{_BIRTH})(?!\w)(?:[ \t]+(?:on|am|le|el|is))?:?[ \t]*)(?P<value>\d{{1,4}}(?P<sep>[./-])\d{{1,2}}(?P=sep)\d{{1,4}})(?!\w|[./-]\d)",
+    "address": rf"(?<![\w.,-])\d{{1,5}}[a-zA-Z]?,? (?:{_WORD} ){{1,3}}(?:{_STREETS})\b|(?<!\w){_WORD}(?:straße|strasse|gasse|allee) \d{{1,4}}[a-z]?(?!\w)"
+    rf"|(?<![\w.,-])\d{{1,4}},? (?:rue|avenue|boulevard) (?:de la |de l['’]|du |des |de )?{_WORD}|(?<!\w)(?:Calle|Avenida) (?:de la |del |de )?{_WORD},? \d{{1,4}}(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-])|(?<![\w+])\+\d{8,15}(?!\w)|(?<![\w.,+-])0\d{9,10}(?![\w-]|[.,]\d)",
-    "local": rf"(?i:\b(?:{_CUES})\b\.?:?[ \t]*)(?P<value>\d(?:[ -]?\d){{5,11}})(?![\w-])",
+    "local": rf"(?i:\b(?:{_CUES})\b\.?(?:[ \t]+(?:is|no|nr|number|est|ist|es)\b)*\.?:?[ \t]*)(?P<value>\d(?:[ -]?\d){{5,11}})(?![\w-])",
     "hex": r"(?<![0-9A-Za-z])[0-9a-f]{32,}(?![0-9A-Za-z])",
     "name": rf"\b(?:{_TITLE})\.? (?P<value>{_NAME}(?: {_NAME})?)",
 }
 _COMPILED = {k: re.compile(v) for k, v in PATTERNS.items()}
-_HINT = re.compile(rf"[0-9@]|\b(?:{_TITLE})\.? |[Tt]oken|TOKEN|[Ss]ecret|[Pp]assw|[Aa]pi|[Bb]earer|eyJ")
+_HINT = re.compile(rf"[0-9@]|\b(?:{_TITLE})\.? |[Tt]oken|TOKEN|[Ss]ecret|[Pp]assw|[Aa]pi|[Bb]earer|eyJ|k_")
 #: Numbers in the form of phones that aren't any: dates, and thousands in groups of three.
 _DATES = re.compile(r"(?:19|20)\d\d[ .-](?:0?[1-9]|1[0-2])[ .-]|(?:0?[1-9]|[12]\d|3[01])[ .-](?:0?[1-9]|1[0-2])[ .-](?:19|20)\d\d(?!\d)")
 _THOUSANDS = re.compile(r"[1-9]\d{0,2}(?: \d{3}){3,}|[1-9]\d{0,2}(?:\.\d{3}){2,}")
-_LETTERS = ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщьюяіїєґ")
+#: What else looks like a phone or a card: two decimal degrees, and numbers of books.
+_DEGREES = re.compile(r"(?<![\d.])-?\d{1,3}\.\d{3,},?[ \t]+-?\d{1,3}\.\d{3,}(?![\d.])")
+_BOOKS = re.compile(r"97[89][ -]?(?:\d[ -]?){9}\d")
+#: A given name that may be followed by a surname.
+_PAIR = re.compile(rf"(?<![\w'’-])(?P<given>{_NAME})(?= (?P<last>{_NAME}))")
+_PLACES = frozenset(_STREETS.split("|")) | {"University", "Hospital", "Airport", "Station", "College", "School", "Park", "Bridge", "Prize", "Institute"}
+_LETTERS = ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщьюяіїєґ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ")
 _DRAWS = 12
+_DAYS = (date(1900, 1, 1).toordinal(), date(2030, 1, 1).toordinal())
 
 
 @dataclass(frozen=True)
@@ -77,9 +113,32 @@ def canonical(kind: str, text: str) -> str:
     """What spellings of the same entity have in common: letters in lower case, numbers without their separators."""
     if kind in ("card", "phone", "ssn", "iban"):
         return ("+" if text.lstrip().startswith("+") else "") + re.sub(r"[^0-9A-Za-z]", "", text).upper()
+    if kind == "ip6":
+        return str(IPv6Address(text))
+    if kind == "birth":
+        return _day(text)[0].isoformat()
     return text.lower() if kind == "email" else text
 
 
+def _day(text: str) -> tuple[date, str] | None:
+    """A date and the order of its parts: year first, or else day first unless only a month can come first."""
+    parts = [int(p) for p in re.split("[./-]", text)]
+    order = "ymd" if len(re.split("[./-]", text)[0]) == 4 else "mdy" if parts[1] > 12 else "dmy"
+    by = dict(zip(order, parts, strict=True))
+    try:
+        found = date(by["y"], by["m"], by["d"])
+    except ValueError:
+        return None
+    return (found, order) if _DAYS[0] <= found.toordinal() < _DAYS[1] else None
+
+
+def _ip6(text: str) -> bool:
+    try:
+        return int(IPv6Address(text)) > 1
+    except AddressValueError:
+        return False
+
+
 def _luhn(digits: str) -> bool:
     total = sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(digits)))
     return total % 10 == 0
@@ -88,9 +147,14 @@ def _luhn(digits: str) -> bool:
 def mentions(text: str) -> list[Mention]:
     """Entities of a whole text from left to right, without overlaps.
 
-    A name is found by its title; where it stands again in the text without one, it is found, too.
+    A name is found by its title or a known given name; where it stands again in the text without one, it is found,
+    too. Dates, papers' numbers and local phones need a word before them that says what they are. Thousands,
+    coordinates, dates and numbers of books aren't taken for phones or cards.
     """
-    if not text or not _HINT.search(text):
+    if not text:
+        return []
+    pairs = [m for m in _PAIR.finditer(text) if m["given"] in _GENDER and m["last"] not in _PLACES and m["last"] != m["given"]]
+    if not pairs and not _HINT.search(text):
         return []
     taken: list[tuple[int, Mention]] = []  # in order, so that only neighbours can overlap
     names: dict[str, str] = {}
@@ -100,20 +164,33 @@ def mentions(text: str) -> list[Mention]:
         if (at == 0 or taken[at - 1][1].end <= start) and (at == len(taken) or end <= taken[at][0]):
             taken.insert(at, (start, Mention(kind, start, end, text[start:end], canonical(kind, text[start:end]), gender)))
 
+    degrees = [m.span() for m in _DEGREES.finditer(text)]
     for kind, pattern in _COMPILED.items():
         for m in pattern.finditer(text):
             group = "value" if "value" in pattern.groupindex else 0
             start, end, value, gender = *m.span(group), m[group], ""
-            if kind == "phone" and (sum(c.isdigit() for c in value) < 9 or _DATES.match(value) or _THOUSANDS.fullmatch(value)):
+            if kind == "phone":
+                before = re.search(r"(?<![\w.])(?:\d{1,3}[ .])+\Z", text[max(0, start - 12) : start])
+                number = (before[0] if before else "") + value
+                if sum(c.isdigit() for c in value) < 9 or _DATES.match(value) or _THOUSANDS.fullmatch(value) or _THOUSANDS.fullmatch(number):
+                    continue
+            if kind in ("phone", "card") and any(a < end and start < b for a, b in degrees):
+                continue
+            if kind == "card" and _BOOKS.fullmatch(value) or kind == "ip6" and not _ip6(value) or kind == "birth" and _day(value) is None:
                 continue
             if kind == "secret" and not re.search(r"\d", value):
                 continue
             if kind == "name":
                 title = m[0].split(" ")[0].rstrip(".")
                 gender = next(g for g, group_ in TITLES.items() if title in group_)
+                gender = _GENDER.get(value.split(" ")[0], "n") if gender == "n" and " " in value else gender
                 if " " in value:
                     names.setdefault(value, gender)
             take("phone" if kind == "local" else kind, start, end, gender)
+    for m in pairs:
+        name = f"{m['given']} {m['last']}"
+        names.setdefault(name, _GENDER[m["given"]])
+        take("name", m.start(), m.start() + len(name), _GENDER[m["given"]])
     for name in names:
         for m in re.finditer(rf"(?<!\w){re.escape(name)}(?!\w)", text):
             take("name", *m.span(), "n")
@@ -171,6 +248,25 @@ def surrogate(kind: str, canon: str, key: bytes, draw: int, gender: str = "") ->
         local, domain = canon.split("@", 1)
         labels, top = domain.rsplit(".", 1)
         return f"{_recode(local, key, tweak)}@{_recode(labels, key, tweak + '|domain')}.{top}"
+    if kind == "ip6":  # the first group stays, and groups of zeros do, so the address keeps its form
+        groups = [int(g, 16) for g in IPv6Address(canon).exploded.split(":")]
+        drawn = [k for k, g in enumerate(groups) if g and k] or [0]
+        value = 0
+        for k in drawn:
+            value = value * 0xFFFF + groups[k] - 1
+        value = _permute(value, 0xFFFF ** len(drawn), key, f"{tweak}|{groups[0]}")
+        for k in reversed(drawn):
+            value, rest = divmod(value, 0xFFFF)
+            groups[k] = rest + 1
+        return str(IPv6Address(":".join(f"{g:x}" for g in groups)))
+    if kind == "birth":
+        day = date.fromisoformat(canon).toordinal() - _DAYS[0]
+        return date.fromordinal(_DAYS[0] + _permute(day, _DAYS[1] - _DAYS[0], key, tweak)).isoformat()
+    if kind == "address":  # what a street is called stays
+        keep = rf"\b(?:{_STREETS})\Z|straße|strasse|gasse|allee|\b(?:rue|avenue|boulevard|Calle|Avenida|de la|de l|du|des|del|de)\b"
+        parts = re.split(f"({keep})", canon)
+        drawn = _recode("\0".join(parts[::2]), key, f"{tweak}|{'|'.join(parts[1::2])}").split("\0")
+        return "".join(w for k, d in enumerate(drawn) for w in (d, *parts[2 * k + 1 : 2 * k + 2]))
     if kind == "ip":
         value = 0
         for part in canon.split("."):
@@ -210,6 +306,13 @@ def render(kind: str, original: str, found: str) -> str:
     if kind in ("card", "phone", "ssn", "iban"):
         rest = iter(found.lstrip("+"))
         return "".join(next(rest) if c.isascii() and c.isalnum() else c for c in original)
+    if kind == "ip6":
+        whole = IPv6Address(found).exploded if len(original) == 39 else found
+        return whole.upper() if original != original.lower() else whole
+    if kind == "birth":
+        (order, sep), day = (_day(original)[1], re.search("[./-]", original)[0]), date.fromisoformat(found)
+        widths = [len(p) for p in re.split("[./-]", original)]
+        return sep.join(str({"y": day.year, "m": day.month, "d": day.day}[c]).zfill(w) for c, w in zip(order, widths, strict=True))
     if kind == "email":
         return "".join(n.upper() if o.isupper() else n for o, n in zip(original, found, strict=True))
     return found
@@ -228,14 +331,36 @@ def _draw(entities: DataFrame, key: bytes) -> DataFrame:
     return entities.select(*names).mapInArrow(run, "kind string, canon string, gender string, draw int, found string")
 
 
+def _crowded(entities: DataFrame) -> DataFrame:
+    """Entities of which the corpus has over a twentieth of all strings of their shape, such as days of birth.
+
+    There are fewer than 3000 shapes: 102 starts of phones by 20 lengths, 40 forms of papers and one of each other kind.
+    """
+    kept = F.when(F.col("kind") == "phone", F.regexp_extract("canon", r"^(\+(?:1|7|\d\d)|0|)", 1)).otherwise("")
+    rest = F.expr("substr(canon, length(kept) + 1)")
+    shaped = entities.where(F.col("kind").isin("phone", "paper", "ssn", "ip", "birth")).withColumn("kept", kept)
+    shape = F.when(F.col("kind").isin("ip", "birth"), "").otherwise(F.regexp_replace(F.regexp_replace(rest, "[0-9]", "0"), "[A-Z]", "A"))
+    shaped = shaped.withColumn("shape", F.concat("kept", F.lit("|"), shape))
+    size = F.when(F.col("kind") == "ip", F.lit(2.0**32)).when(F.col("kind") == "birth", F.lit(float(_DAYS[1] - _DAYS[0])))
+    size = size.otherwise(F.pow(F.lit(10.0), F.length(F.regexp_replace(rest, "[^0-9]", ""))) * F.pow(F.lit(26.0), F.length(F.regexp_replace(rest, "[^A-Z]", ""))))
+    shapes = shaped.groupBy("kind", "shape").agg(F.count("*").alias("n"), F.max(size).alias("size")).where("20 * n > size")
+    return shaped.join(F.broadcast(shapes.select("kind", "shape")), ["kind", "shape"], "left_semi").select(*entities.columns)
+
+
 def mapping(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, canon, found) for (kind, canon, gender), distinct by kind and canon: no surrogate equals another, nor an entity of the corpus.
 
     Of those that collide, the one first by canon keeps its surrogate unless it is a real entity; the others draw
-    again, against all given out so far. Few are left after a round; if any are after the last, it fails.
+    again, against all given out so far. Few are left after a round; if any are after the last, it fails. Where a
+    shape's strings are nearly all taken by real entities, none of its own is left to draw: there the first draw
+    holds, distinct as it permutes the shape, though it may be another real entity's string.
     """
+    crowded = materialize(_crowded(entities), "crowded")
     names = entities.select("kind", F.col("canon").alias("found"), F.lit(1).alias("real"))
     done, open_ = None, entities.withColumn("draw", F.lit(0))
+    if not crowded.isEmpty():
+        done = materialize(_draw(crowded.withColumn("draw", F.lit(0)), key).select("kind", "canon", "found"), "surrogates")
+        open_ = open_.join(crowded, ["kind", "canon"], "left_anti")
     for draw in range(_DRAWS):
         drawn = materialize(_draw(open_, key), "draw")
         used = names if done is None else names.unionByName(done.select("kind", "found", F.lit(1).alias("real")))
@@ -249,7 +374,10 @@ def mapping(entities: DataFrame, key: bytes) -> DataFrame:
 
 
 def key_of(docs: DataFrame) -> str:
-    """`spark.corpusmatch.pii.key` of the session, or else a key that only those who have the original texts can make."""
+    """`spark.corpusmatch.pii.key` of the session, or else a key that only those who have the original texts can make.
+
+    The latter changes with any document, and all surrogates with it; set the former where runs must agree.
+    """
     found = docs.sparkSession.conf.get("spark.corpusmatch.pii.key", None)
     if found:
         return found
@@ -257,14 +385,16 @@ def key_of(docs: DataFrame) -> str:
     return hashlib.sha256(repr(tuple(docs.agg(*halves).first())).encode()).hexdigest()
 
 
-def replace_entities(docs: DataFrame, key: str) -> DataFrame:
+def replace_entities(docs: DataFrame, key: str, hot: int = 200_000) -> DataFrame:
     """The columns of docs with `text` replaced, and n_entities: how many mentions were.
 
     Entities are found in whole texts; a null text stays null with 0. Repeated rows get the same text; an empty table
     gives no rows. A column of docs named n_entities is replaced; others of any name pass. A name has one surrogate
     whatever its titles; its gender is the one that its titles agree on. Documents without a mention aren't shuffled;
     the others meet the surrogates of their distinct entities by a join on the entity, one row each, so a document
-    that names one a thousand times joins once. The key decides all surrogates; without it they can't be reversed.
+    that names one a thousand times joins once. Entities in `hot` documents or more are joined by a broadcast, if they
+    are at most 100 000, so no task gets all documents of one. The key decides all surrogates; without it they can't be
+    reversed.
     """
     secret = hashlib.blake2b(key.encode(), digest_size=32).digest()
     base = docs.drop("n_entities")
@@ -286,9 +416,17 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     each = have.select(F.col(f"`{at}`").alias("row"), F.explode(F.array_distinct(entity)).alias("e"))
     each = materialize(each.select("row", "e.kind", "e.canon", "e.gender"), "each")
     said = F.array_sort(F.array_remove(F.collect_set("gender"), "n"))
-    entities = each.groupBy("kind", "canon").agg(F.when(F.size(said) == 1, said[0]).otherwise("n").alias("gender"))
-    table = mapping(materialize(entities, "entities"), secret)
-    pairs = each.select("row", "kind", "canon").distinct().join(table, ["kind", "canon"])
+    entities = each.groupBy("kind", "canon").agg(F.when(F.size(said) == 1, said[0]).otherwise("n").alias("gender"), F.count("*").alias("n"))
+    entities = materialize(entities, "entities")
+    table = mapping(entities.drop("n"), secret)
+    each = each.select("row", "kind", "canon").distinct()
+    often = entities.where(F.col("n") >= hot).select("kind", "canon")
+    if 0 < often.count() <= 100_000:
+        by = materialize(table.join(F.broadcast(often), ["kind", "canon"], "left_semi"), "often")
+        known = each.join(F.broadcast(by), ["kind", "canon"])
+        pairs = known.unionByName(each.join(F.broadcast(often), ["kind", "canon"], "left_anti").join(table, ["kind", "canon"]))
+    else:
+        pairs = each.join(table, ["kind", "canon"])
     pairs = pairs.groupBy("row").agg(F.collect_list(F.struct("kind", "canon", "found")).alias(new)).withColumnRenamed("row", at)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -182,6 +182,59 @@ def test_surrogates_keep_persons_and_formats(spark):
     assert again[2] != out[2].text
 
 
+#: Texts, the entities in them, and nothing for those that only look like some.
+_LABELLED = [
+    ("Jane Doe wrote to Bob Smith.", ["Jane Doe", "Bob Smith"]),
+    ("Yesterday Thomas O'Brien met Mr. José Müller-Lüdenscheid", ["Thomas O'Brien", "José Müller-Lüdenscheid"]),
+    ("Олена Шевченко пише", ["Олена Шевченко"]),
+    ("John Smith, 12 Main Street, born 12.03.1980, passport AB1234567", ["John Smith", "12 Main Street", "12.03.1980", "AB1234567"]),
+    ("geboren am 1980-03-12, DOB: 03/25/1980", ["1980-03-12", "03/25/1980"]),
+    ("Hauptstraße 12a, 5 rue de la Paix, Calle Mayor 3", ["Hauptstraße 12a", "5 rue de la Paix", "Calle Mayor 3"]),
+    ("my phone is 612345678, tel: 555-7713", ["612345678", "555-7713"]),
+    ("jane@müller.de, rené.3@mail.example.com", ["jane@müller.de", "rené.3@mail.example.com"]),
+    ("from 2001:db8::1 to fe80::1ff:fe23:4567:890a", ["2001:db8::1", "fe80::1ff:fe23:4567:890a"]),
+    ("sk_live_abcdefghijklmnop1234", ["sk_live_abcdefghijklmnop1234"]),
+    ("1 000 000 000 people and 12 345 678 901 more", []),
+    ("at 52.5200 13.4050, or -33.8688, 151.2093", []),
+    ("ISBN 978-3-16-148410-0", []),
+    ("std::vector, a::b, ::1, 12:30:45, 2024-03-12 10:00", []),
+    ("Charlotte Station, Anna Anna, The Street, 31.02.1980, born 31.02.1980", []),
+]
+
+
+def test_entities_found_and_left(spark):
+    """Of the labelled texts no entity leaks, and nothing else is taken."""
+    for text, want in _LABELLED:
+        assert [m.text for m in pii.mentions(text)] == want, text
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(_LABELLED)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.replace_entities(docs, "k").collect()}
+    for k, (text, want) in enumerate(_LABELLED):
+        assert not [w for w in want if w in out[k]] and (out[k] == text) == (not want)
+        kinds = [[m.kind for m in pii.mentions(x) if m.kind != "name"] for x in (text, out[k])]  # a drawn given name needn't be a known one
+        assert kinds[0] == kinds[1]
+
+
+def test_surrogates_keep_forms(spark):
+    draw = lambda kind, text: pii.render(kind, text, pii.surrogate(kind, pii.canonical(kind, text), b"k" * 32, 0))
+    short, whole = draw("ip6", "2001:db8::1"), draw("ip6", "2001:0DB8:0000:0000:0000:0000:0000:0001")
+    assert pii.canonical("ip6", whole) == short and whole == whole.upper() and len(whole) == 39 and "::" in short
+    assert draw("birth", "12.03.1980").replace(".", "").isdigit() and pii.canonical("birth", draw("birth", "1980-03-12")) == pii.canonical("birth", draw("birth", "12.03.1980"))
+    assert draw("address", "12 Main Street").endswith(" Street") and draw("address", "Hauptstraße 12a")[5:11] == "straße"
+    assert draw("email", "ä@ö.de") != "ä@ö.de"
+    docs = spark.createDataFrame([(k, f"Ms Jane Roe called 030{k:08d}", "x") for k in range(60)], "doc_id long, text string, found string")
+    one, other = ({r.doc_id: (r.text, r.found) for r in pii.replace_entities(docs, "k", hot=h).collect()} for h in (50, 1000))
+    assert one == other and len({*one.values()}) == 60
+
+
+def test_crowded_surrogates(spark):
+    """All days of 40 years and a third of all local phones of six digits: no other strings are left, yet all differ."""
+    days = spark.range(14_610).selectExpr("'birth' as kind", "cast(date_add(date '1950-01-01', cast(id as int)) as string) as canon", "'' as gender")
+    phones = spark.range(100_000).selectExpr("'phone' as kind", "lpad(cast(100000 + id as string), 6, '0') as canon", "'' as gender")
+    rows = days.unionByName(phones).unionByName(spark.createDataFrame([("ip", "10.0.0.1", "")], "kind string, canon string, gender string"))
+    found = pii.mapping(rows, b"k" * 32)
+    assert found.count() == 114_611 == found.select("kind", "found").distinct().count() == found.select("kind", "canon").distinct().count()
+
+
 def test_surrogates_are_drawn_again_where_they_meet_entities(spark):
     taken = pii.surrogate("ip", "10.0.0.1", b"k" * 32, 0)
     rows = spark.createDataFrame([("ip", "10.0.0.1", "n"), ("ip", taken, "n")], "kind string, canon string, gender string")
