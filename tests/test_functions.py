@@ -1,5 +1,7 @@
 """Single functions on literal rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -386,3 +388,38 @@ def test_resets_and_owners_of_empty_tables(spark):
     assert {tuple(r) for r in got.collect()} == {("a", 1), ("b", 0)}
     users = spark.createDataFrame([(1, "u2"), (1, "u1"), (None, "u3")], "k long, user string")
     assert {tuple(r) for r in tb.resolved_owners(df, users, "k", "user").collect()} == {(1, "x", "u1"), (2, None, None)}
+
+
+def test_cheap_patterns_find_what_plain_ones_do(spark):
+    """Looking at marks and words first changes no text, in odd mixtures of blanks, line ends, digits and marks."""
+    rng = random.Random(5)
+    pieces = ["a@b.c", "@", "x.y+z@q-r.s.t", " ", "  ", "\t", "\n", "\n\n\n", "\r", "\x0b", " ", "\u0085", " ", "+", "00", "12", "٣٤", "3456", "(", ")", "-", "–", ".", "ж", "bearer abcdefghij0123456789", "?token=x", "0", "é"]
+    texts = ["".join(rng.choices(pieces, k=rng.randrange(1, 24))) for _ in range(3000)] + ["", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    steps = (
+        (r"bot\d{6,}:[A-Za-z0-9_-]{20,}", "bot[redacted]"), (r"(?iU)\b(bearer)\s+[A-Za-z0-9._~+/-]{16,}=*", "$1 [redacted]"), (r"(?iU)([?&](?:api[_-]?key|token|secret|access[_-]?token|password)=)[^&\s]+", "$1[redacted]"),
+        (r"(?U)[\w.+-]+@[\w-]+(?:\.[\w-]+)+", "[email]"), (r"(?U)(?:\+|\b00)\d[\d\s().‐-―-]{6,}\d", "[phone]"),
+    )
+    hidden = t
+    for pattern, mark in steps:
+        hidden = F.regexp_replace(hidden, pattern, mark)
+    grouped = r"(?U)\b\(?\d{2,4}\)?(?:[\s.‐-―-]\d{2,4}){2,3}\b"
+    runs = F.transform(F.regexp_extract_all(hidden, F.lit(f"({grouped})"), F.lit(1)), lambda m: F.when(F.length(F.regexp_replace(m, r"(?U)\D", "")) >= 9, "[phone]").otherwise(m))
+    hidden = F.array_join(F.zip_with(F.split(hidden, grouped, -1), runs, lambda part, run: F.concat(part, F.coalesce(run, F.lit("")))), "")
+    assert df.where(~tx.collapse(t).eqNullSafe(plain)).count() == 0
+    assert df.where(~tx.redact(t).eqNullSafe(hidden)).count() == 0
+    assert df.where(hidden != t).count() > 1000
+    label = lambda text: F.when(F.trim(text) != "", F.concat(F.lit("[CV]\n"), F.trim(text)))
+    for first in ("", "[A]\n\n\n\nx  y \n"):
+        own = F.substring(render.collapse(F.concat_ws("\n\n", F.nullif(F.lit(first), F.lit("")), label(tx.redact(tx.collapse(t))))), 1, 30)
+        assert df.where(~render.sections(F.nullif(F.lit(first), F.lit("")), limit=30, last=("CV", tx.redact(tx.collapse(t)))).eqNullSafe(own)).count() == 0
+
+
+def test_a_long_text_is_worked_out_once(spark):
+    """The CV, and a posting's description, are redacted once, though more than one field may hold them."""
+    none, text = F.expr("cast(array() as array<string>)"), F.col("t")
+    made = render.candidate_representations(none, none, none, F.expr("cast(array() as array<struct<necessity:string,name:string>>)"), none, text)
+    plan = spark.createDataFrame([("x",)], "t string").select(made.alias("fields"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("[email]") == 1
