@@ -302,3 +302,13 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(50)] + [(100, 101), (101, 100), (7, 7), (200, 150), (150, 300)], "a long, b long")
     got = {r.node: r.component for r in graph.components(links).collect()}
     assert got == {**dict.fromkeys(range(51), 0), 100: 100, 101: 100, 200: 150, 150: 150, 300: 150}
+
+
+def test_a_bucket_of_many_unlike_texts_empties_in_few_rounds(spark):
+    """Most of these sets share the smallest hash, and no two are linked; a round for each would be too many."""
+    from corpusmatch.operators import neardup
+
+    config = neardup.MinHashConfig(words=1, bands=1, rows=1)
+    docs = spark.createDataFrame([(k, f"a b c d own{k}") for k in range(20)] + [(100, "own7 d c b a"), (101, "a a b c d own9")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicate_clusters(docs, config, most_rounds=6).collect()}
+    assert got == {**{k: k for k in range(20)}, 100: 7, 101: 9}
