@@ -102,6 +102,20 @@ def test_ancestors_with_cycles(spark):
     assert graph.ancestors(spark.createDataFrame([], "child int, parent int")).isEmpty()
 
 
+def test_ancestors_meet_at_one_distance_only(spark, monkeypatch):
+    """Each pair of a tree is written once; joins of all pairs with all wrote every pair again in every round."""
+    kept, counts = graph.written, []
+
+    def counted(df, name):
+        out = kept(df, name)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "written", counted)
+    edges = spark.createDataFrame([(i, i // 3) for i in range(1, 700)] + [(i, i + 1) for i in range(1000, 1021)], "child int, parent int")
+    assert graph.ancestors(edges).count() == sum(counts)
+
+
 def test_cascade_takes_orphans_last(spark):
     make = spark.createDataFrame
     jobs, raws = make([(1,), (2,), (3,)], "job int"), make([(10,), (11,), (12,), (13,)], "raw int")
