@@ -163,25 +163,31 @@ def scan_mentions(docs: DataFrame, index: DataFrame, keys: tuple[str, ...] = ("d
     return ordered.select(*keys_, F.explode(kept).alias("m")).select(*keys_, "m.*")
 
 
-def link_spans(spans: DataFrame, index: DataFrame, longest: int = 8, most_forms: int = 1_000_000) -> DataFrame:
-    """Given spans to mentions: (doc_id, raw_text, form, start_char, end_char, concept_ids, specificity).
-
-    spans: (doc_id, raw_text, start_char, end_char). The whole phrase first; else the forms inside it, at their places
-    in the document; else the span itself without concepts.
-    """
+def _span_forms(spans: DataFrame, index: DataFrame, longest: int, most_forms: int) -> DataFrame:
+    """(doc_id, raw_text, form, start_char, end_char) of `link_spans`, without what the index says of a form."""
     own = spans.select("doc_id", "raw_text", "start_char", "end_char").distinct().withColumn("form", normalize_label(F.col("raw_text")))
-    known = index.select("form", "concept_ids", "specificity")
-    whole = own.join(known, "form")
+    known = index.select("form")
     missed = own.join(known, "form", "left_anti")
     shifted = missed.select("doc_id", F.col("start_char").alias("shift"), F.col("end_char").alias("until"), "raw_text")
-    inner = scan_mentions(shifted, index, ("doc_id", "shift", "until"), "raw_text", longest, most_forms)
+    inside = scan_mentions(shifted, index, ("doc_id", "shift", "until"), "raw_text", longest, most_forms)
     places = {"start_char": F.col("start_char") + F.col("shift"), "end_char": F.col("end_char") + F.col("shift")}
-    columns = ["doc_id", "raw_text", "form", "start_char", "end_char", "concept_ids", "specificity"]
-    inside = inner.join(known, "form")
+    columns = ["doc_id", "raw_text", "form", "start_char", "end_char"]
     seen = inside.select("doc_id", F.col("shift").alias("start_char"), F.col("until").alias("end_char")).distinct()
     rest = missed.join(seen, ["doc_id", "start_char", "end_char"], "left_anti")
-    empty = {"concept_ids": F.array().cast(index.schema["concept_ids"].dataType), "specificity": F.lit(1.0)}
-    return whole.select(columns).unionByName(inside.withColumns(places).select(columns)).unionByName(rest.withColumns(empty).select(columns))
+    whole = own.join(known, "form", "left_semi")
+    return whole.select(columns).unionByName(inside.withColumns(places).select(columns)).unionByName(rest.select(columns))
+
+
+def link_spans(spans: DataFrame, index: DataFrame, longest: int = 8, most_forms: int = 1_000_000) -> DataFrame:
+    """Given spans to mentions: (doc_id, raw_text, form, start_char, end_char, concept_ids, specificity).
+
+    spans: (doc_id, raw_text, start_char, end_char). The whole phrase first; else the forms inside it, at their places
+    in the document; else the span itself without concepts.
+    """
+    none = F.array().cast(index.schema["concept_ids"].dataType)
+    out = _span_forms(spans, index, longest, most_forms).join(index.select("form", "concept_ids", "specificity"), "form", "left")
+    told = {"concept_ids": F.coalesce("concept_ids", none), "specificity": F.coalesce("specificity", F.lit(1.0))}
+    return out.withColumns(told).select("doc_id", "raw_text", "form", "start_char", "end_char", "concept_ids", "specificity")
 
 
 def first_mentions(mentions: DataFrame) -> DataFrame:
@@ -198,16 +204,19 @@ def link_rows(docs: DataFrame, spans: DataFrame, index: DataFrame, longest: int
     alternatives. The confidence is that of the span at the same place, 1 for what was found otherwise.
     """
     scanned = scan_mentions(docs.join(spans.select("doc_id").distinct(), "doc_id", "left_anti"), index, longest=longest)
-    scanned = scanned.join(index.select("form", "concept_ids", "specificity"), "form")
-    given = link_spans(spans, index, longest)
+    given = _span_forms(spans, index, longest, 1_000_000)
     found = first_mentions(given.unionByName(scanned.select(*given.columns)))
-    status = link_status(F.size("concept_ids"), F.col("specificity"))
     sure = spans.groupBy("doc_id", "start_char", "end_char").agg(F.max("confidence").alias("confidence"))
-    return found.join(sure, ["doc_id", "start_char", "end_char"], "left").select(
-        "doc_id", "form", "raw_text", "start_char", "end_char", status.alias("status"),
-        F.when(status == "linked", F.col("concept_ids")[0]).alias("concept_id"),
-        F.when(status == "ambiguous", F.col("concept_ids")).alias("alternatives"),
-        F.col("specificity").alias("link_score"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"),
+    found = found.join(sure, ["doc_id", "start_char", "end_char"], "left")
+    # What the index says of a form, its list of concepts above all, would be moved with every mention: it comes last.
+    status = link_status(F.size("concept_ids"), F.col("specificity"))
+    known = index.select(
+        "form", status.alias("status"), F.when(status == "linked", F.col("concept_ids")[0]).alias("concept_id"),
+        F.when(status == "ambiguous", F.col("concept_ids")).alias("alternatives"), F.col("specificity").alias("link_score"),
+    )
+    return found.join(known, "form", "left").select(
+        "doc_id", "form", "raw_text", "start_char", "end_char", F.coalesce("status", F.lit("unmapped")).alias("status"), "concept_id", "alternatives",
+        F.coalesce("link_score", F.lit(1.0)).alias("link_score"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"),
     )
 
 

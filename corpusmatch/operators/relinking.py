@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmatch.operators.linking import link_rows, tokenize
+from corpusmatch.operators.storage import written
 
 
 def word_index(docs: DataFrame) -> DataFrame:
@@ -48,7 +49,9 @@ def touched_documents(words: DataFrame, changed: DataFrame) -> DataFrame:
     with a word that no document has touches none.
     """
     parts = changed.select("form", F.explode(F.array_distinct(F.split("form", " "))).alias("token"))
-    uses = words.join(parts.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("uses"))
+    # All that follows needs the words of changed forms only, a small share of the corpus: they are looked up once.
+    words = written(words.join(parts.select("token").distinct(), "token", "left_semi"), "changed-words")
+    uses = words.groupBy("token").agg(F.count("*").alias("uses"))
     known = parts.join(uses, "token", "left")
     first = known.groupBy("form").agg(F.min_by("token", F.struct("uses", "token")).alias("token"), F.count("*").alias("n"), F.count("uses").alias("found"))
     first = first.where("found = n").select("form", "token", "n")
@@ -64,6 +67,6 @@ def relink(rows: DataFrame, docs: DataFrame, spans: DataFrame, words: DataFrame,
     rows: what `link_rows` gave for all docs and spans with the old index; words: the `word_index` of docs. Spans are read
     from storage and not extracted again. Rows of documents that no changed form can touch are kept as they are.
     """
-    touched = touched_documents(words, changed_forms(old, new))
+    touched = written(touched_documents(words, changed_forms(old, new)), "touched")
     again = link_rows(docs.join(touched, "doc_id", "left_semi"), spans.join(touched, "doc_id", "left_semi"), new, longest)
     return rows.join(touched, "doc_id", "left_anti").unionByName(again), touched

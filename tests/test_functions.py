@@ -89,6 +89,19 @@ def test_link_rows(spark):
     assert {tuple(r) for r in linking.unmapped_counts(rows).collect()} == {("nothing", 1, "nothing", 1, 1), ("common", 1, "common", 2, 2)}
 
 
+def test_mentions_move_without_their_concepts(spark):
+    """Lists of concepts come to mentions after the last window; they went through it with every mention."""
+    index = linking.alias_index(spark.createDataFrame([(1, "a word"), (2, "word")], "concept_id long, label string"))
+    docs = spark.createDataFrame([(1, "a word")], "doc_id long, text string")
+    spans = spark.createDataFrame([], "doc_id long, raw_text string, start_char int, end_char int, confidence double")
+    plan = linking.link_rows(docs, spans, index)._jdf.queryExecution().optimizedPlan()
+    ranked = plan.toString().split("Window [row_number()", 1)[1]
+    lines = ranked.split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :"))
+    below = [line for k, line in enumerate(lines[1:]) if all(depth(x) > depth(lines[1]) - 3 for x in lines[1 : k + 2])]
+    assert not any("concept_ids" in line for line in below)
+
+
 def test_leader_clusters(spark):
     """Against the loop: best score first, of equal ones the cluster seen last, and joining a cluster sees it; the first posting stays the leader."""
     import random
