@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Ways to a decision, first one first: (name, status).
@@ -41,34 +41,47 @@ def requirement_statuses(pairs: DataFrame, requirements: DataFrame, evidence: Da
     The first method that finds evidence decides: evidence that denies the same concept conflicts; a confirmed or linked
     one of the same concept satisfies; one of a narrower or broader concept, or of a similar text, is partial, the nearest
     and surest first. Without evidence the status is unknown, never conflicting. A negated requirement is satisfied by a
-    denial and conflicts with possession; what is only near it says nothing.
+    denial and conflicts with possession; what is only near it says nothing. requirement_id tells a posting's requirements apart.
+
+    What is asked and what is known of a user are dealt out by user once and meet in windows; these and the groups after them
+    are within users, so the rows that ancestors add never leave their task.
     """
-    asked = pairs.select("user_id", "posting_id").distinct().join(requirements, "posting_id")
-    asked = asked.withColumn("negated", F.coalesce("negated", F.lit(False)))
     keys = ["user_id", "posting_id", "requirement_id"]
-    own = evidence.where("concept_id is not null").select("evidence_id", "user_id", F.col("concept_id").alias("found"), F.coalesce("has", F.lit(True)).alias("has"), F.coalesce("confirmed", F.lit(False)).alias("confirmed"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
-
-    def hits(df: DataFrame, method, distance) -> DataFrame:
-        return df.select(*keys, "evidence_id", "confidence", method.alias("method"), distance.cast("long").alias("distance"))
-
-    same = asked.join(own.withColumnRenamed("found", "concept_id"), ["user_id", "concept_id"])
+    above = hierarchy.groupBy(F.col("node").alias("concept_id")).agg(F.collect_list(F.struct("ancestor", F.col("distance").cast("long").alias("distance"))).alias("above"))
+    # Pairs are told apart where they meet the requirements of their posting.
+    both = pairs.select("user_id", "posting_id").repartition("posting_id").dropDuplicates(["user_id", "posting_id"])
+    needs = requirements.withColumn("negated", F.coalesce("negated", F.lit(False))).join(above, "concept_id", "left")
+    asked = both.join(needs, "posting_id").select(*keys, "concept_id", "necessity", "negated", F.when(~F.col("negated"), F.col("above")).alias("above"))
+    own = evidence.where("concept_id is not null and user_id is not null").join(above, "concept_id", "left").select(
+        "user_id", "concept_id", F.when(F.coalesce("has", F.lit(True)), F.col("above")).alias("above"), "evidence_id", F.coalesce("has", F.lit(True)).alias("has"),
+        F.coalesce("confirmed", F.lit(False)).alias("confirmed"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+    )
+    # Both sides stand at their own concept and climb to its ancestors, of which a concept has few; descendants are never listed.
+    places = F.concat(F.array(F.struct(F.col("concept_id").alias("ancestor"), F.lit(0).cast("long").alias("distance"))), F.coalesce("above", F.array().cast(above.schema["above"].dataType)))
+    rows = asked.unionByName(own, allowMissingColumns=True).repartition("user_id")
+    rows = rows.select(*(c for c in rows.columns if c != "above"), F.posexplode(places).alias("nth", "to"))
+    rows = rows.select("*", F.col("to.ancestor").alias("at"), F.col("to.distance").alias("steps")).drop("to")
+
+    number = {name: k for k, (name, _) in enumerate(METHODS)}
+    ranked = lambda order, distance: F.struct(order.alias("order"), distance.cast("long").alias("distance"), (-F.col("confidence")).alias("unsure"), F.col("evidence_id"))
+    fact, same = F.col("has").isNotNull(), F.col("nth") == 0
+    sure = F.when(F.col("confirmed"), number["confirmed"]).otherwise(number["concept"])
+    plain = ranked(F.when(~same, number["narrower"]).when(F.col("has"), sure).otherwise(number["denied"]), F.col("steps"))
     # Of a negated requirement a denial is what was asked for.
-    right = F.col("has") != F.col("negated")
-    found = hits(same, F.when(~right, "denied").when(F.col("confirmed"), "confirmed").otherwise("concept"), F.lit(0))
-    # Both sides climb to ancestors, of which a concept has few; descendants are never listed.
-    plain, held = asked.where(~F.col("negated")), own.where("has")
-    climbed = held.join(hierarchy.select(F.col("node").alias("found"), F.col("ancestor").alias("concept_id"), "distance"), "found")
-    found = found.unionByName(hits(plain.join(climbed, ["user_id", "concept_id"]), F.lit("narrower"), F.col("distance")))
-    above = plain.join(hierarchy.select(F.col("node").alias("concept_id"), F.col("ancestor").alias("found"), "distance"), "concept_id")
-    found = found.unionByName(hits(above.join(held, ["user_id", "found"]), F.lit("broader"), F.col("distance")))
+    turned = ranked(F.when(F.col("has"), number["denied"]).otherwise(sure), F.lit(0))
+    met = Window.partitionBy("user_id", "at")
+    best = lambda which, value: F.min(F.when(fact & which, value)).over(met)
+    rows = rows.select("*", best(F.lit(True), plain).alias("plain"), best(same, turned).alias("turned"), best(same & F.col("has"), ranked(F.lit(number["broader"]), F.lit(0))).alias("held"))
+    held = F.when(F.col("held").isNotNull(), F.struct("held.order", F.col("steps").alias("distance"), "held.unsure", "held.evidence_id"))
+    found = F.when(~same, held).when(F.col("negated"), F.col("turned")).otherwise(F.col("plain"))
+    best = rows.where(~fact).select(*keys, "concept_id", "necessity", "negated", found.alias("best")).groupBy(*keys, "concept_id", "necessity", "negated").agg(F.min("best").alias("best"))
     if similar is not None:
-        near = similar.where(F.col("similarity") >= policy.least_similarity).select("user_id", "requirement_id", "evidence_id", F.col("similarity").alias("confidence"))
-        found = found.unionByName(hits(plain.join(near, ["user_id", "requirement_id"]), F.lit("similar"), F.lit(0)))
-
-    order = F.coalesce(*(F.when(F.col("method") == name, F.lit(k)) for k, (name, _) in enumerate(METHODS)))
-    best = found.groupBy(*keys).agg(F.min(F.struct(order.alias("order"), "distance", (-F.col("confidence")).alias("unsure"), "evidence_id", "method")).alias("best"))
-    status = F.coalesce(*(F.when(F.col("best.method") == name, F.lit(value)) for name, value in METHODS), F.lit("unknown"))
-    return asked.join(best, keys, "left").select(*keys, "necessity", status.alias("status"), F.col("best.method").alias("method"), F.col("best.evidence_id").alias("evidence_id"))
+        near = similar.where(F.col("similarity") >= policy.least_similarity).withColumn("confidence", F.col("similarity"))
+        near = near.groupBy("user_id", "requirement_id").agg(F.min(ranked(F.lit(number["similar"]), F.lit(0))).alias("like"))
+        best = best.join(near, ["user_id", "requirement_id"], "left").withColumn("best", F.least("best", F.when(~F.col("negated"), F.col("like"))))
+    method = F.coalesce(*(F.when(F.col("best.order") == k, F.lit(name)) for name, k in number.items()))
+    status = F.coalesce(*(F.when(F.col("best.order") == number[name], F.lit(value)) for name, value in METHODS), F.lit("unknown"))
+    return best.select(*keys, "necessity", status.alias("status"), method.alias("method"), F.col("best.evidence_id").alias("evidence_id"))
 
 
 def coverage(statuses: DataFrame, policy: Policy = Policy()) -> DataFrame:

@@ -83,6 +83,18 @@ def test_requirement_statuses(spark):
         requirements.Policy(unknown=0.0)
 
 
+def test_requirements_are_dealt_out_by_user_once(spark):
+    """What is asked and what is known go out by user; rows of ancestors were shuffled by user and concept, and once more by requirement."""
+    pairs = spark.createDataFrame([(1, 2)], "user_id long, posting_id long")
+    needs = spark.createDataFrame([(2, 3, 4, "required", False)], "posting_id long, requirement_id long, concept_id long, necessity string, negated boolean")
+    evidence = spark.createDataFrame([(7, 1, 5, True, True, 0.5)], "evidence_id long, user_id long, concept_id long, has boolean, confirmed boolean, confidence double")
+    out = requirements.requirement_statuses(pairs, needs, evidence, spark.createDataFrame([(4, 5, 1)], "node long, ancestor long, distance long"))
+    assert [tuple(r) for r in out.collect()] == [(1, 2, 3, "required", "partial", "broader", 7)]
+    plan = requirements.coverage(out)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.split("\n") if "Exchange hashpartitioning(user_id" in line]
+    assert dealt and all(re.search(r"hashpartitioning\(user_id#\d+L, \d+\)", line) for line in dealt)
+
+
 def test_ancestors_with_cycles(spark):
     rng = random.Random(3)
     edges = {(rng.randrange(40), rng.randrange(40)) for _ in range(50)} | {(100 + k, 101 + k) for k in range(30)}
