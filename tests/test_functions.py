@@ -304,6 +304,16 @@ def test_script_profile_counts_letters_only(spark):
     assert got == [8, 3, 2, 2, 1, 1]
 
 
+def test_counts_of_a_class_replace_runs(spark):
+    """A run of other characters is one replacement; each character was one."""
+    plan = spark.createDataFrame([("a",)], "text string").select(tx.count_of(F.col("text"), "a"))._jdf.queryExecution().analyzed().toString()
+    assert "[^a]+" in plan
+    text = "".join(map(chr, [*range(32, 0x590), 0x1F600])) * 3
+    got = value(spark, F.struct(*tx.script_profile(F.col("text")).values()), text=text)
+    letters = [c for c in text if c.isalpha()]
+    assert got[0] == len(letters) and got[1] == sum("\u0400" <= c <= "\u04ff" for c in letters)
+
+
 def test_filter_reasons_name_values(spark):
     one = lambda x: F.array(*map(F.lit, x)) if x else F.expr("cast(array() as array<string>)")
     job = {"company": F.lit("React"), "text": F.lit("PHP and Java"), "years": F.lit(5.0), "salary_max": F.lit(1000.0), "currency": F.lit("USD"), "remote": F.lit(False), "places": one(["Ukraine", "Kyiv"])}
