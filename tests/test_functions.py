@@ -2,8 +2,10 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmatch.functions import render
 from corpusmatch.functions import text as tx
@@ -446,3 +448,24 @@ def test_a_long_text_is_worked_out_once(spark):
     made = render.candidate_representations(none, none, none, F.expr("cast(array() as array<struct<necessity:string,name:string>>)"), none, text)
     plan = spark.createDataFrame([("x",)], "t string").select(made.alias("fields"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("[email]") == 1
+
+
+class _Taken:
+    """Stands for a table: runs what is mapped over it on one batch of its own, and says how many rows came out at a time."""
+
+    def __init__(self, batch):
+        self.batch = batch
+        self.schema = {n: T.StructField(n, T.LongType() if n == "id" else T.StringType()) for n in batch.schema.names}
+
+    def select(self, *names):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return [part.num_rows for part in run(iter([self.batch]))]
+
+
+def test_texts_become_objects_in_small_parts():
+    """A batch of 10 000 texts was one list of Python objects, with all that was made of it."""
+    rows = _Taken(pa.RecordBatch.from_pydict({"id": list(range(1000)), "text": ["<p>one</p>"] * 1000}))
+    for made in (pages.html_text(rows, "id", "text"), pages.html_blocks(rows, "id", "text"), pages.plain_text_blocks(rows, "id", "text")):
+        assert sum(made) == 1000 and max(made) <= 200
