@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -153,11 +154,12 @@ def embed_texts(df: DataFrame, key: str, text: str, embedder: Callable[[list[str
             return [None] * len(texts), f"{len(vectors)} vectors for {len(texts)} texts"
         return list(vectors), None
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            texts = ["" if v is None else v for v in part[text]]
-            for at in range(0, len(texts), batch):
-                vectors, error = one(texts[at : at + batch])
-                yield pd.DataFrame({key: part[key].iloc[at : at + batch].to_numpy(), "vector": vectors, "error": error})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch):
+                part = whole.slice(at, batch)
+                vectors, error = one(["" if v is None else v for v in part.column(text).to_pylist()])
+                columns = [part.column(key), pa.array(vectors, pa.list_(pa.float64())), pa.array([error] * part.num_rows, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, [key, "vector", "error"])
 
-    return df.select(key, text).mapInPandas(run, schema)
+    return df.select(key, text).mapInArrow(run, schema)

@@ -469,3 +469,5 @@ def test_texts_become_objects_in_small_parts():
     rows = _Taken(pa.RecordBatch.from_pydict({"id": list(range(1000)), "text": ["<p>one</p>"] * 1000}))
     for made in (pages.html_text(rows, "id", "text"), pages.html_blocks(rows, "id", "text"), pages.plain_text_blocks(rows, "id", "text")):
         assert sum(made) == 1000 and max(made) <= 200
+    made = bt.embed_texts(rows, "id", "text", lambda texts: [[1.0]] * len(texts))
+    assert sum(made) == 1000 and max(made) <= 32
