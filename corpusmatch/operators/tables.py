@@ -98,7 +98,7 @@ def repoint(pairs: DataFrame, owner: str, old: int | str, new: int | str, key: s
 
 def owned(df: DataFrame, requests: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(requests that name a row of df, requests refused), for deletes that only owners may make."""
-    rows = df.select(*keys).distinct()
+    rows = df.select(*keys)  # repeated rows change neither join, so no task keeps all keys to tell them apart
     return requests.join(rows, keys, "left_semi"), requests.join(rows, keys, "left_anti")
 
 

@@ -471,3 +471,11 @@ def test_texts_become_objects_in_small_parts():
         assert sum(made) == 1000 and max(made) <= 200
     made = bt.embed_texts(rows, "id", "text", lambda texts: [[1.0]] * len(texts))
     assert sum(made) == 1000 and max(made) <= 32
+
+
+def test_owners_of_repeated_rows(spark):
+    """Repeated rows change nothing, and no aggregate holds all keys for it."""
+    rows = spark.createDataFrame([(1, 1), (1, 1), (2, 2), (None, 3)], "user_id long, event_id long")
+    yes, no = tb.owned(rows, spark.createDataFrame([(1, 1), (1, 1), (2, 1), (None, 3)], "user_id long, event_id long"), ["user_id", "event_id"])
+    assert sorted(map(tuple, yes.collect())) == [(1, 1), (1, 1)] and {tuple(r) for r in no.collect()} == {(2, 1), (None, 3)}
+    assert not any("Aggregate" in df._jdf.queryExecution().optimizedPlan().toString() for df in (yes, no))
