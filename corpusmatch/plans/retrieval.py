@@ -27,8 +27,8 @@ lexical AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_
 
 
 def _lexical(t) -> DataFrame:
-    index = lx.lexical_index(t("documents"))
-    return lx.lexical_topk(t("benchmark").select(F.col("item_id").alias("query_id"), "text"), index, 50)
+    asked = t("benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return lx.lexical_topk(asked, lx.lexical_index(t("documents"), asked=asked), 50)
 
 
 @query(f"WITH {_LEXICAL} SELECT query_id, doc_id, score, rank FROM lexical")

@@ -47,6 +47,22 @@ def test_lexical_topk_is_exact(spark, k, share):
     assert lexical.lexical_topk(spark.createDataFrame([], "query_id long, text string"), index, k).isEmpty()
 
 
+def test_lexical_index_of_what_is_asked(spark):
+    """Only terms asked are indexed, with the same result; blocks of few documents and queries lose none, nor does a null key or a score of 0."""
+    rng = random.Random(3)
+    docs = [(d, " ".join(rng.choice(["w1", "w2", "w3", "w4", "rare", "other"]) for _ in range(rng.randint(1, 9))) + " all") for d in [None, *range(300), 7]]
+    asked = spark.createDataFrame([(0, "w1 rare"), (1, "W2 w3"), (2, "all"), (3, None)], "query_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    index = lexical.lexical_index(df, asked=asked)
+    assert {r.term for r in index.stats.collect()} == {"w1", "w2", "w3", "rare", "all"}
+    got = [lexical.lexical_topk(asked, i, 1000, docs_a_block=d, queries_a_block=q).collect() for i, d, q in ((index, 16, 1), (lexical.lexical_index(df), 4096, 512))]
+    assert sorted(map(str, got[0])) == sorted(map(str, got[1]))
+    # Every document has `all`, so its idf is 0 or next to it.
+    assert {r.doc_id for r in got[0] if r.query_id == 2} == {None, *range(300)}
+    few = lexical.lexical_topk(asked, index, 5, docs_a_block=16, queries_a_block=1).collect()
+    assert sorted(map(str, few)) == sorted(str(r) for r in got[0] if r["rank"] <= 5)
+
+
 def test_fusion_of_absent_ranks(spark):
     one = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 10, 1), (2, 10, 4)], "user_id long, item_id long, rank int")
     two = spark.createDataFrame([(1, 11, 1), (1, 12, 2), (3, 5, 1)], "user_id long, item_id long, rank int")
