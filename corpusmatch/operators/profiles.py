@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusmatch.functions.render import plain_number
-from corpusmatch.functions.text import find_span
+from corpusmatch.functions.text import find_span, once
 
 _VALUE = "map<string,string>"
 
@@ -15,10 +15,10 @@ def _requirement(kind: str, necessity: str, operator: str | None, value: dict[st
     pairs = [x for k, v in value.items() for x in (F.lit(k), v.cast("string"))]
     none = F.lit(None).cast("struct<start:int,end:int,quote:string>")
     span = none if span is None else span.cast("struct<start:int,end:int,quote:string>")
-    return F.struct(
+    return once(span, lambda found: F.struct(
         F.lit(kind).alias("kind"), F.lit(necessity).alias("necessity"), F.lit(operator).cast("string").alias("operator"),
-        F.create_map(*pairs).cast(_VALUE).alias("value"), span.isNotNull().alias("explicit"), span.alias("evidence"),
-    )
+        F.create_map(*pairs).cast(_VALUE).alias("value"), found.isNotNull().alias("explicit"), found.alias("evidence"),
+    ))
 
 
 def _discarded(kind: str, reason: str, raw: Column) -> Column:

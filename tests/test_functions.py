@@ -104,6 +104,19 @@ def test_mentions_move_without_their_concepts(spark):
     assert not any("concept_ids" in line for line in below)
 
 
+def test_structural_profile_is_dealt_out(spark, tmp_path):
+    """Spans are looked for after rows are dealt out, and each place once, so the one task that reads a small file does no such work."""
+    from corpusmatch.plans import queries
+
+    row = [(k, "blue bolt", k % 50, 900.0 + k) for k in range(40)]
+    spark.createDataFrame(row, "p_partkey long, p_name string, p_size int, p_retailprice double").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    out = queries.queries()["structural_profile"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    below = [x.split("\n:  Union")[0] for x in plan.split("Repartition")[1:]]
+    assert len(below) == 2 and not any("locate" in x.split("Relation")[0] for x in below) and plan.count("locate") <= 8
+    assert {r.kind for r in out.collect()} == {"experience", "employment_type", "location", "compensation", "rejected"}
+
+
 def test_leader_clusters(spark):
     """Against the loop: best score first, of equal ones the cluster seen last, and joining a cluster sees it; the first posting stays the leader."""
     import random
