@@ -104,6 +104,25 @@ def test_mentions_move_without_their_concepts(spark):
     assert not any("concept_ids" in line for line in below)
 
 
+def test_leaders_of_copies(monkeypatch):
+    """What was compared before isn't compared again, with the same score; long texts aren't kept."""
+    from corpusmatch.operators import clustering
+
+    made = []
+
+    class Counted(clustering.SequenceMatcher):
+        def __init__(self, junk, a, b):
+            made.append((a, b))
+            super().__init__(junk, a, b)
+
+    pairs = [("never met before a", "never met before b"), ("x" * 300, "x" * 299 + "y")]
+    want = [clustering.similarity(*p, 0.5) for p in pairs]
+    monkeypatch.setattr(clustering, "SequenceMatcher", Counted)
+    scores = [[clustering.pair_score(*p, *p[::-1]) for p in pairs] for _ in range(3)]
+    assert scores[0] == scores[1] == scores[2] and made.count(pairs[0]) <= 1 and len(made) > 3
+    assert [clustering.pair_score(a, "same words", b, "same words") for a, b in pairs] == [(w + 1) / 2 for w in want]
+
+
 def test_structural_profile_is_dealt_out(spark, tmp_path):
     """Spans are looked for after rows are dealt out, and each place once, so the one task that reads a small file does no such work."""
     from corpusmatch.plans import queries
