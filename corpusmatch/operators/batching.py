@@ -32,22 +32,29 @@ def byte_batches(df: DataFrame, key: str, order: str, text: Column, budget: int,
     dealt = ranged.repartition("range", "key_").sortWithinPartitions("range", "key_", "order_", "size")
 
     def functions(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for segment in _segments(parts):
-            steps_ = _steps(segment["size"].to_numpy(), segment["room"].to_numpy())
-            yield pd.DataFrame(steps_, columns=["over", "used", "new"]).assign(range=segment["range"].iloc[0], key_=segment["key_"].iloc[0])
+        rows = []
+        for where, owner, sizes, rooms in _segments(parts, "size", "room"):
+            rows += [(*step, where, owner) for step in _steps(sizes, rooms)]
+            if len(rows) >= _ROWS:
+                yield pd.DataFrame(rows, columns=["over", "used", "new", "range", "key_"])
+                rows = []
+        yield pd.DataFrame(rows, columns=["over", "used", "new", "range", "key_"])
 
     steps_ = written(dealt.mapInPandas(functions, f"over long, used long, new long, range int, key_ {kind}"), "steps")
 
     def begins(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, used, batch = object(), 0, -1
-        for segment in _segments(parts):
-            owner = segment["key_"].iloc[0]
+        now, used, batch, rows = object(), 0, -1, []
+        for where, owner, over, ends, news in _segments(parts, "over", "used", "new"):
             if owner != now:
                 now, used, batch = owner, _FIRST, -1
-            yield pd.DataFrame({"range": segment["range"].iloc[:1], "key_": [owner], "used": [used], "batch": [batch]})
+            rows.append((where, owner, used, batch))
             # The step with the greatest limit that `used` is over, or the last one, where no batch begins.
-            row = next((r for r in zip(segment["over"], segment["used"], segment["new"], strict=True) if used > r[0]))
-            used, batch = (used + row[1], batch) if row[2] == 0 else (row[1], batch + row[2])
+            at = int(np.argmax(used > over))
+            used, batch = (used + int(ends[at]), batch) if news[at] == 0 else (int(ends[at]), batch + int(news[at]))
+            if len(rows) >= _ROWS:
+                yield pd.DataFrame(rows, columns=["range", "key_", "used", "batch"])
+                rows = []
+        yield pd.DataFrame(rows, columns=["range", "key_", "used", "batch"])
 
     ordered = steps_.repartition("key_").sortWithinPartitions("key_", "range", F.desc("over"))
     firsts = ordered.mapInPandas(begins, f"range int, key_ {kind}, used long, batch long")
@@ -75,18 +82,27 @@ def byte_batches(df: DataFrame, key: str, order: str, text: Column, budget: int,
 _FIRST = 1 << 60
 
 
-def _segments(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of one (range, key_) after another, from sorted parts that cut anywhere."""
-    held: list[pd.DataFrame] = []
+#: Rows that leave a task at once.
+_ROWS = 10_000
+
+
+def _segments(parts: Iterator[pd.DataFrame], *columns: str) -> Iterator[tuple]:
+    """range, key_ and the columns' values of one (range, key_) after another, from sorted parts that cut anywhere."""
+    now, held = None, []
     for part in parts:
-        ends = (part["range"] != part["range"].shift()) | (part["key_"] != part["key_"].shift())
-        for _, rows in part.groupby(ends.cumsum(), sort=False):
-            if held and (held[0]["range"].iloc[0], held[0]["key_"].iloc[0]) != (rows["range"].iloc[0], rows["key_"].iloc[0]):
-                yield pd.concat(held)
+        ranges, owners = part["range"].to_numpy(), part["key_"].to_numpy()
+        values = [part[c].to_numpy() for c in columns]
+        cuts = (np.flatnonzero((ranges[1:] != ranges[:-1]) | (owners[1:] != owners[:-1])) + 1).tolist()
+        for a, b in zip([0, *cuts], [*cuts, len(part)], strict=True):
+            if a == b:
+                continue
+            if held and (ranges[a], owners[a]) != now:
+                yield (*now, *map(np.concatenate, zip(*held, strict=True)))
                 held = []
-            held.append(rows)
+            now = (ranges[a], owners[a])
+            held.append([v[a:b] for v in values])
     if held:
-        yield pd.concat(held)
+        yield (*now, *map(np.concatenate, zip(*held, strict=True)))
 
 
 def _steps(sizes: np.ndarray, rooms: np.ndarray) -> list[tuple[int, int, int]]:

@@ -288,6 +288,23 @@ def test_batches_of_a_hot_key(spark, seed):
     assert {(r.owner, r["at"]): (r.size, r.batch) for r in got} == want and len(got) == len(want)
 
 
+def test_segments_of_short_keys():
+    """Keys of a few rows each cost no pandas object each: many are cut fast, in parts that end anywhere."""
+    import time
+
+    import pandas as pd
+
+    from corpusmatch.operators import batching
+
+    owners = [k // 3 for k in range(60_000)]
+    whole = pd.DataFrame({"range": [k // 30_001 for k in range(60_000)], "key_": owners, "size": range(60_000)})
+    begun = time.process_time()
+    got = list(batching._segments((whole[a : a + 997] for a in range(0, 60_000, 997)), "size"))
+    assert time.process_time() - begun < 4
+    want = whole.groupby(["range", "key_"], sort=False)["size"].agg(list)
+    assert [(r, k, v.tolist()) for r, k, v in got] == [(*i, v) for i, v in want.items()] and not list(batching._segments(iter([whole[:0]]), "size"))
+
+
 def test_steps_of_a_range():
     """What a range does to the bytes used, for every number of them, against the loop."""
     import numpy as np
