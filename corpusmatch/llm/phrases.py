@@ -2,12 +2,14 @@
 
 The window of a word is the word and the words that lead on from it, at most five, padded where its piece ends. A phrase
 of k words occurs as often as windows begin with it, so one count of windows holds all shorter phrases, and Spark's
-ROLLUP over the window's columns sums it for each prefix; no n-gram of another length is ever made.
+ROLLUP over the window's columns sums it for each prefix; no n-gram of another length is ever made. Windows of one word
+are left out, as words are counted anyhow.
 
 A frequent phrase holds frequent words, neighbours and triples only. So windows end where one of these isn't frequent in
 its language. Which ones may be, three counts before find out: of words, and of hashes of neighbours and of triples. They
-go out as bitmaps of a bounded size that may let others through; the final counts of frequent phrases are exact
-whatever passes, as an infrequent phrase only ever loses.
+go out as bitmaps of a bounded size that may let a few others through; the final counts of frequent phrases are exact
+whatever passes, as an infrequent phrase only ever loses. Each has several bits: with one, the share of infrequent pairs
+let through outnumbers the frequent ones, more so the larger the corpus.
 """
 
 from __future__ import annotations
@@ -75,22 +77,21 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def _bitmap(df: DataFrame) -> Bitmap:
-    """Of a column `hash`, with some 16 bits a row, 2^28 (32 MB) at most."""
-    return Bitmap.of(df, F.col("hash"), bits=int(min(28, max(20, np.ceil(np.log2(16 * df.count() + 1))))))
+    """Of a column `hash`, with some 32 bits a row, 2^28 (32 MB) at most, and four of them set."""
+    return Bitmap.of(df, F.col("hash"), bits=int(min(28, max(20, np.ceil(np.log2(32 * df.count() + 1))))), probes=4)
 
 
-def _pairs(words: Words, code: np.ndarray, lang: np.ndarray, word: np.ndarray, langs: list[str], distinct: pa.Array, often: Bitmap) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which (language, word) may be frequent; at which words a pair of such words begins; the hash of each pair."""
+def _pairs(words: Words, code: np.ndarray, lang: np.ndarray, word: np.ndarray, langs: list[str], distinct: pa.Array, often: Bitmap) -> tuple[np.ndarray, np.ndarray]:
+    """At which words a pair of words begins that may be frequent; the hash of each pair."""
     hashes = _hashes(lang, word, langs, distinct)
-    may = often.has(hashes.view(np.int64))
-    fine = may[code]
+    fine = often.has(hashes.view(np.int64))[code]
     both = np.zeros(len(code), bool)
     both[:-1] = fine[:-1] & fine[1:] & (words.piece[:-1] == words.piece[1:])
     at = np.flatnonzero(both)
     with np.errstate(over="ignore"):
         mixed = (hashes[code[at]] * _MIX) ^ hashes[code[at + 1]]
         mixed = (mixed ^ (mixed >> np.uint64(31))) * _MIX
-    return may, at, (mixed ^ (mixed >> np.uint64(29))).view(np.int64)
+    return at, (mixed ^ (mixed >> np.uint64(29))).view(np.int64)
 
 
 def pair_counts(docs: DataFrame, often: Bitmap) -> DataFrame:
@@ -99,15 +100,15 @@ def pair_counts(docs: DataFrame, often: Bitmap) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for part in steps(batches):
-            found, n = np.unique(_pairs(*_words(part), shared.value)[2], return_counts=True)
+            found, n = np.unique(_pairs(*_words(part), shared.value)[1], return_counts=True)
             yield pa.table([pa.array(found), pa.array(n.astype(np.int64))], ["hash", "n"])
 
     return docs.mapInArrow(lambda batches: added_up(count(batches)), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def _triples(words: Words, code: np.ndarray, pairs: Bitmap, lang: np.ndarray, word: np.ndarray, langs: list[str], distinct: pa.Array, often: Bitmap) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Which (language, word) may be frequent; at which words a pair that may be begins (as marks); where a triple of two such pairs begins, and its hash."""
-    may, at, hashes = _pairs(words, code, lang, word, langs, distinct, often)
+def _triples(words: Words, code: np.ndarray, pairs: Bitmap, lang: np.ndarray, word: np.ndarray, langs: list[str], distinct: pa.Array, often: Bitmap) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """At which words a pair that may be frequent begins (as marks); where a triple of two such pairs begins, and its hash."""
+    at, hashes = _pairs(words, code, lang, word, langs, distinct, often)
     leads = np.zeros(len(code) + 2, bool)
     fine = pairs.has(hashes)
     leads[at[fine]] = True
@@ -117,7 +118,7 @@ def _triples(words: Words, code: np.ndarray, pairs: Bitmap, lang: np.ndarray, wo
     with np.errstate(over="ignore"):
         mixed = (whole[both] * _MIX) ^ (whole[both + 1] >> np.uint64(7))
         mixed = (mixed ^ (mixed >> np.uint64(33))) * _MIX
-    return may, leads[:-2], both, (mixed ^ (mixed >> np.uint64(29))).view(np.int64)
+    return leads[:-2], both, (mixed ^ (mixed >> np.uint64(29))).view(np.int64)
 
 
 def triple_counts(docs: DataFrame, often: Bitmap, pairs: Bitmap) -> DataFrame:
@@ -127,26 +128,27 @@ def triple_counts(docs: DataFrame, often: Bitmap, pairs: Bitmap) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for part in steps(batches):
             own, code, lang, word, langs, distinct = _words(part)
-            found, n = np.unique(_triples(own, code, shared.value[1], lang, word, langs, distinct, shared.value[0])[3], return_counts=True)
+            found, n = np.unique(_triples(own, code, shared.value[1], lang, word, langs, distinct, shared.value[0])[2], return_counts=True)
             yield pa.table([pa.array(found), pa.array(n.astype(np.int64))], ["hash", "n"])
 
     return docs.mapInArrow(lambda batches: added_up(count(batches)), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
 def windows(docs: DataFrame, often: Bitmap, pairs: Bitmap, threes: Bitmap, longest: int) -> DataFrame:
-    """(lang, w1, w2, ..., n): how often each window occurs; a column past the window's end holds ''."""
+    """(lang, w1, w2, ..., n): how often each window of two words or more occurs; a column past the window's end holds ''.
+
+    Each task has a row for every frequent phrase that it meets, so there are no more tasks than cores, whatever the input:
+    else both would grow with it, and the rows with their product.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((often, pairs, threes))
     names = [f"w{k + 1}" for k in range(longest)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for part in steps(batches):
             words, code, lang, word, langs, distinct = _words(part)
-            may, leads, at, hashes = _triples(words, code, shared.value[1], lang, word, langs, distinct, shared.value[0])
+            leads, at, hashes = _triples(words, code, shared.value[1], lang, word, langs, distinct, shared.value[0])
             goes_on = np.zeros(len(code) + longest, bool)
             goes_on[at[shared.value[2].has(hashes)]] = True
-            # A window of one word is counted by its word; of the others each distinct one gets a number.
-            one = np.bincount(code[~leads], minlength=len(lang))
-            single = np.flatnonzero((one > 0) & may)
             start = np.flatnonzero(leads)
             columns, on = [code[start]], np.ones(len(start), bool)
             for k in range(1, longest):
@@ -156,9 +158,7 @@ def windows(docs: DataFrame, often: Bitmap, pairs: Bitmap, threes: Bitmap, longe
             rows = np.stack(columns, 1)[order]
             new = np.r_[True, (rows[1:] != rows[:-1]).any(1)] if len(rows) else np.zeros(0, bool)
             firsts = np.flatnonzero(new)
-            rows, n = rows[firsts], np.diff(np.r_[firsts, len(order)])
-            rows = np.vstack([rows, np.column_stack([single, *[np.full(len(single), -1)] * (longest - 1)])])
-            n = np.r_[n, one[single]].astype(np.int64)
+            rows, n = rows[firsts], np.diff(np.r_[firsts, len(order)]).astype(np.int64)
             own = [pa.array(langs, pa.string()).take(pa.array(lang[rows[:, 0]]))]
             for k in range(longest):
                 picked = _text(distinct, np.where(rows[:, k] < 0, 0, word[rows[:, k]])) if len(rows) else pa.array([], pa.string())
@@ -166,7 +166,8 @@ def windows(docs: DataFrame, often: Bitmap, pairs: Bitmap, threes: Bitmap, longe
             yield pa.table([*own, pa.array(n)], ["lang", *names, "n"])
 
     schema = f"lang string, {', '.join(f'{c} string' for c in names)}, n long"
-    return docs.mapInArrow(lambda batches: added_up(count(batches)), schema).groupBy("lang", *names).agg(F.sum("n").alias("n"))
+    few = docs.coalesce(docs.sparkSession.sparkContext.defaultParallelism)
+    return few.mapInArrow(lambda batches: added_up(count(batches), 600_000), schema).groupBy("lang", *names).agg(F.sum("n").alias("n"))
 
 
 def phrase_counts(docs: DataFrame, params: Params = Params()) -> tuple[DataFrame, DataFrame]:
@@ -182,8 +183,9 @@ def phrase_counts(docs: DataFrame, params: Params = Params()) -> tuple[DataFrame
     summed = windows(own, often, pairs, threes, params.longest).rollup("lang", *names).agg(F.sum("n").alias("f")).where(F.col("f") >= params.least)
     # ROLLUP leaves null in the columns it has summed over, so the last that is there ends the prefix; '' there is padding.
     filled = F.array_compact(F.array(*names))
-    found = summed.where("lang is not null and w1 is not null").select("lang", filled.alias("words"), "f").where("element_at(words, -1) <> ''")
-    return materialize(found, "phrases"), total
+    found = summed.where("lang is not null and w1 is not null").select("lang", filled.alias("words"), "f").where("size(words) > 1 and element_at(words, -1) <> ''")
+    single = counted.where(enough).select("lang", F.array("word").alias("words"), F.col("n").alias("f"))
+    return materialize(found.unionByName(single), "phrases"), total
 
 
 def _wide(column: str) -> Column:

@@ -78,6 +78,23 @@ def test_phrases(awkward, params, monkeypatch):
     assert phrases.collocations(awkward.where("false")).isEmpty() and phrases.collocations(awkward.where("lang = 'it'")).isEmpty()
 
 
+def test_windows_only_of_what_may_be_frequent(spark):
+    """Infrequent hashes hardly pass the bitmap of frequent ones, and words make no windows, but are counted."""
+    rng = np.random.default_rng(4)
+    own, others = (rng.integers(-(2**63), 2**63 - 1, n) for n in (60_000, 200_000))
+    often = phrases._bitmap(spark.createDataFrame(pa.table({"hash": own})))
+    assert often.has(own).all() and often.has(others).mean() < 0.001
+    words = " ".join(f"w{k}" for k in rng.integers(0, 100, 12_000))
+    docs = spark.createDataFrame([(f"{words}. " + "aa bb cc. " * 120, "en")], "text string, lang string")
+    counts = phrases.word_counts(docs).where("n >= 100")
+    often = phrases._bitmap(counts)
+    pairs = phrases._bitmap(phrases.pair_counts(docs, often).where("n >= 100"))
+    threes = phrases._bitmap(phrases.triple_counts(docs, often, pairs).where("n >= 100"))
+    found = phrases.windows(docs, often, pairs, threes, 5).collect()
+    assert {(r.w1, r.w2, r.w3, r.w4, r.n) for r in found} == {("aa", "bb", "cc", "", 120), ("bb", "cc", "", "", 120)}
+    assert {tuple(r.words) for r in phrases.phrase_counts(docs)[0].collect()} == {(r.word,) for r in counts.collect()} | {("aa", "bb"), ("bb", "cc"), ("aa", "bb", "cc")}
+
+
 def brute_audit(rows, params):
     groups, docs = {}, {}
     for r in rows:
