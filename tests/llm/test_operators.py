@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -77,6 +78,23 @@ def test_suffix_dedup(spark, odd, empty, most):
     assert suffix_dedup.remove_repeats(odd).count() == odd.count() and suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_memory(spark):
+    """Each stage has one Python step, and none holds many numbers for each byte of its texts."""
+    docs = spark.createDataFrame([(k, "abc" * 300) for k in range(3)], "doc_id long, text string")
+    out = suffix_dedup.remove_repeats(docs)
+    lines = [x for x in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "Project" not in x]
+    steps = ["MapInArrow" in x for x in lines]
+    assert sum(steps) == 3 and not any(a and b for a, b in zip(steps, steps[1:], strict=False))
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(97, 123, 4000).astype(np.uint8)) for _ in range(262)]
+    for f, most in ((suffix_dedup.stretches, 24), (suffix_dedup.repeated_windows, 60)):
+        tracemalloc.start()
+        f(texts, 400)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most << 20
+
+
 def test_suffix_array():
     rng = np.random.default_rng(2)
     for n in (1, 2, 50, 400):
