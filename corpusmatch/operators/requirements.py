@@ -51,7 +51,8 @@ def requirement_statuses(pairs: DataFrame, requirements: DataFrame, evidence: Da
     # Pairs are told apart where they meet the requirements of their posting.
     both = pairs.select("user_id", "posting_id").repartition("posting_id").dropDuplicates(["user_id", "posting_id"])
     needs = requirements.withColumn("negated", F.coalesce("negated", F.lit(False))).join(above, "concept_id", "left")
-    asked = both.join(needs, "posting_id").select(*keys, "concept_id", "necessity", "negated", F.when(~F.col("negated"), F.col("above")).alias("above"))
+    # Rows with lists of ancestors are far larger than Spark takes them for, so it must not send them to all tasks by way of the driver.
+    asked = both.join(needs.hint("merge"), "posting_id").select(*keys, "concept_id", "necessity", "negated", F.when(~F.col("negated"), F.col("above")).alias("above"))
     own = evidence.where("concept_id is not null and user_id is not null").join(above, "concept_id", "left").select(
         "user_id", "concept_id", F.when(F.coalesce("has", F.lit(True)), F.col("above")).alias("above"), "evidence_id", F.coalesce("has", F.lit(True)).alias("has"),
         F.coalesce("confirmed", F.lit(False)).alias("confirmed"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"),

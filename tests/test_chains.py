@@ -99,6 +99,17 @@ def test_requirement_statuses(spark):
         requirements.Policy(unknown=0.0)
 
 
+def test_requirements_are_not_broadcast(spark):
+    """Spark takes 400 requirements with lists of ancestors for a few kB, as their tables are small; a million passed the driver whole."""
+    needs = spark.range(400).selectExpr("id div 2 as posting_id", "id as requirement_id", "id % 7 as concept_id", "'required' as necessity", "id % 5 = 0 as negated")
+    pairs = spark.range(600).selectExpr("id % 3 as user_id", "id % 200 as posting_id")
+    evidence = spark.range(9).selectExpr("id as evidence_id", "id % 3 as user_id", "id % 7 as concept_id", "true as has", "false as confirmed", "0.5D as confidence")
+    out = requirements.requirement_statuses(pairs, needs, evidence, spark.range(1, 7).selectExpr("id as node", "0L as ancestor", "1L as distance"))
+    joins = [line for line in out._jdf.queryExecution().executedPlan().toString().split("\n") if "Join [posting_id" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins), joins
+    assert out.count() == out.select("user_id", "posting_id", "requirement_id").distinct().count() == 1200
+
+
 def test_requirements_are_dealt_out_by_user_once(spark):
     """What is asked and what is known go out by user; rows of ancestors were shuffled by user and concept, and once more by requirement."""
     pairs = spark.createDataFrame([(1, 2)], "user_id long, posting_id long")
