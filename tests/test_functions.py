@@ -439,6 +439,18 @@ def test_stored_texts_of_either_form(spark):
     assert got[3]["parsed_text"] is None and got[3]["language"] == "en" and got[4]["error"] == "no text found"
 
 
+def test_stored_texts_are_parsed_to_their_end(spark):
+    """All blocks after 200 000 characters were left out, and a text of one block over that had failed."""
+    line, n = "одна довга стрічка із досить багатьма літерами", 6000
+    rows = [(1, f"{line}\n\n" * n, None), (2, f"<p>{line}</p>" * n, None), (3, "x" * 200_001, "en"), (4, "short", "en")]
+    df = spark.createDataFrame(rows, "id long, text string, language string")
+    blocks = pages.stored_blocks(df, "id", "text")
+    got = {r["id"]: r for r in pages.parsed_revisions(df.drop("text"), blocks, "id").collect()}
+    assert got[1]["parsed_text"] == got[2]["parsed_text"] == "\n".join([line] * n) and got[1]["n_blocks"] == got[2]["n_blocks"] == n
+    assert got[1]["language"] == "uk" and got[3]["parsed_text"] == "x" * 200_001 and got[3]["status"] == got[4]["status"] == "parsed"
+    assert blocks.where("truncated").count() == 0
+
+
 def test_resets_and_owners_of_empty_tables(spark):
     df = spark.createDataFrame([(1, "x"), (2, None)], "k long, s string")
     got = tb.reset_counts({"a": (df, F.col("s") == "x"), "b": (df.limit(0), F.lit(True))})
