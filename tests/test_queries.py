@@ -40,5 +40,21 @@ def test_query(spark, duck, name):
         assert rows(got) == rows(want)
 
 
+def test_unmapped_terms_know_phrases_of_eight_words(spark, tmp_path):
+    """Forms of more than two words were unknown, so the last word of a longer phrase counted as a term without a concept."""
+    texts = ["one two three four five six seven green", "aaa bbb green", *(f"green x{k}" for k in range(30))]
+    docs = [(1, texts[0], "de"), (2, "Aaa, bbb green!", "de"), (3, "so green", "de"), (4, "aaa bbb green\nof nothing known\nGreen", "en"), (5, None, "de")]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = plans.queries()["unmapped_terms"](spark, str(tmp_path))
+    want = {("green", 2, "green", 3, 4), ("of nothing known", 1, "of nothing known", 4, 4)}
+    assert {(r.form, r.occurrences, r.sample, r.first_seen, r.last_seen) for r in got.collect()} == want
+    con = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    said = con.execute(f"select form, occurrences, sample, first_seen, last_seen from ({plans.oracle_sql()['unmapped_terms']})").fetchall()
+    assert set(said) == want and len(said) == 2
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
