@@ -56,5 +56,12 @@ def test_unmapped_terms_know_phrases_of_eight_words(spark, tmp_path):
     assert set(said) == want and len(said) == 2
 
 
+def test_requirement_statuses_broadcast_no_requirements(spark):
+    """Three requirements a part, each with its concept's ancestors, are not sent whole to the driver, however small their tables are taken for."""
+    plan = plans.queries()["requirement_statuses"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join [posting_id" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins), joins
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
