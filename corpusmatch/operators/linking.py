@@ -123,24 +123,27 @@ def _mapped(df: DataFrame, keys: list[str], text: str, each) -> DataFrame:
     return df.select(*keys, text).mapInArrow(run, f"{owners}, {_SCHEMA}")
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """df in at least as many parts as tasks can run at once; a scan of texts costs more than dealing out a small table."""
+def _spread(df: DataFrame, *by: str) -> DataFrame:
+    """df in at least as many parts as tasks can run at once, dealt by the columns, if any; a scan of texts costs more than dealing out a small table.
+
+    To count the parts of what comes out of a shuffle Spark runs that shuffle, so only tables as they are read belong here.
+    """
     tasks = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+    return df.repartition(tasks, *by) if df.rdd.getNumPartitions() < tasks else df
 
 
-def scan_mentions(docs: DataFrame, index: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", longest: int = 8, most_forms: int = 1_000_000) -> DataFrame:
+def scan_mentions(docs: DataFrame, index: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", longest: int = 8, most_forms: int = 1_000_000, spread: bool = True) -> DataFrame:
     """keys, start_char, end_char, start (word), words, raw_text, form: longest matches of index forms, without overlaps.
 
     Up to `most_forms` forms are broadcast as a tree of words and every text is walked in one pass. More forms than that stay where
-    they are: all n-grams meet them by a join, and each text's hits are then told apart in order, with the same result.
+    they are: all n-grams meet them by a join, and each text's hits are then told apart in order, with the same result. `spread` is for tables that no shuffle has dealt out.
     """
     keys_ = list(keys)
     forms = index.select("form").distinct()
     few = forms.limit(most_forms + 1).toPandas()["form"]
     if len(few) <= most_forms:
         known = docs.sparkSession.sparkContext.broadcast(FormTrie(few, longest))
-        return _mapped(_spread(docs.select(*keys_, text)), keys_, text, lambda one: known.value.matches(one))
+        return _mapped(_spread(docs.select(*keys_, text)) if spread else docs, keys_, text, lambda one: known.value.matches(one))
 
     def grams(one: str | None) -> tuple[list, ...]:
         t = tokenize(one)
@@ -165,15 +168,17 @@ def scan_mentions(docs: DataFrame, index: DataFrame, keys: tuple[str, ...] = ("d
 
 def _span_forms(spans: DataFrame, index: DataFrame, longest: int, most_forms: int) -> DataFrame:
     """(doc_id, raw_text, form, start_char, end_char) of `link_spans`, without what the index says of a form."""
-    own = spans.select("doc_id", "raw_text", "start_char", "end_char").distinct().withColumn("form", normalize_label(F.col("raw_text")))
+    # Dealt by place, as what is left without a form is told apart by that, too: long texts move once.
+    place = ["doc_id", "start_char", "end_char"]
+    own = spans.select("raw_text", *place).repartition(*place).distinct().withColumn("form", normalize_label(F.col("raw_text")))
     known = index.select("form")
     missed = own.join(known, "form", "left_anti")
     shifted = missed.select("doc_id", F.col("start_char").alias("shift"), F.col("end_char").alias("until"), "raw_text")
-    inside = scan_mentions(shifted, index, ("doc_id", "shift", "until"), "raw_text", longest, most_forms)
+    inside = scan_mentions(shifted, index, ("doc_id", "shift", "until"), "raw_text", longest, most_forms, spread=False)
     places = {"start_char": F.col("start_char") + F.col("shift"), "end_char": F.col("end_char") + F.col("shift")}
     columns = ["doc_id", "raw_text", "form", "start_char", "end_char"]
     seen = inside.select("doc_id", F.col("shift").alias("start_char"), F.col("until").alias("end_char")).distinct()
-    rest = missed.join(seen, ["doc_id", "start_char", "end_char"], "left_anti")
+    rest = missed.join(seen, place, "left_anti")
     whole = own.join(known, "form", "left_semi")
     return whole.select(columns).unionByName(inside.withColumns(places).select(columns)).unionByName(rest.select(columns))
 
@@ -203,7 +208,8 @@ def link_rows(docs: DataFrame, spans: DataFrame, index: DataFrame, longest: int
     others are scanned whole. One row a form, its first. Only linked ones have a concept, only ambiguous ones
     alternatives. The confidence is that of the span at the same place, 1 for what was found otherwise.
     """
-    scanned = scan_mentions(docs.join(spans.select("doc_id").distinct(), "doc_id", "left_anti"), index, longest=longest)
+    own = _spread(docs.select("doc_id", "text"), "doc_id").join(spans.select("doc_id").distinct(), "doc_id", "left_anti")
+    scanned = scan_mentions(own, index, longest=longest, spread=False)
     given = _span_forms(spans, index, longest, 1_000_000)
     found = first_mentions(given.unionByName(scanned.select(*given.columns)))
     sure = spans.groupBy("doc_id", "start_char", "end_char").agg(F.max("confidence").alias("confidence"))

@@ -1,6 +1,7 @@
 """Single functions on literal rows."""
 
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -91,6 +92,18 @@ def test_link_rows(spark):
     assert {tuple(r) for r in linking.unmapped_counts(rows).collect()} == {("nothing", 1, "nothing", 1, 1), ("common", 1, "common", 2, 2)}
 
 
+def test_texts_of_spans_are_dealt_by_place_once(spark):
+    """Spans were dealt by all their columns and those without a form by place again; a place may hold two texts, or one twice."""
+    index = linking.alias_index(spark.createDataFrame([(1, "known")], "concept_id long, label string"))
+    spans = [(1, "a known one", 0, 11, 0.5), (1, "a known one", 0, 11, 0.5), (1, "an odd one", 0, 11, 0.5), (2, "odd", 0, 3, 0.5), (None, "odd", 0, 3, 0.5), (None, "odd", 0, 3, 0.5)]
+    spans = spark.createDataFrame(spans, "doc_id long, raw_text string, start_char int, end_char int, confidence double")
+    docs = spark.createDataFrame([(1, "known"), (3, "known"), (None, "known")], "doc_id long, text string")
+    out = linking.link_rows(docs, spans, index)
+    assert {(r.doc_id, r.form, r.start_char, r.status) for r in out.collect()} == {(1, "known", 2, "linked"), (2, "odd", 0, "unmapped"), (3, "known", 0, "linked"), (None, "known", 0, "linked"), (None, "odd", 0, "unmapped")}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(doc_id" in plan and not re.search(r"hashpartitioning\(doc_id#\d+L?, raw_text", plan)
+
+
 def test_mentions_move_without_their_concepts(spark):
     """Lists of concepts come to mentions after the last window; they went through it with every mention."""
     index = linking.alias_index(spark.createDataFrame([(1, "a word"), (2, "word")], "concept_id long, label string"))
