@@ -211,7 +211,8 @@ def link_rows(docs: DataFrame, spans: DataFrame, index: DataFrame, longest: int
     own = _spread(docs.select("doc_id", "text"), "doc_id").join(spans.select("doc_id").distinct(), "doc_id", "left_anti")
     scanned = scan_mentions(own, index, longest=longest, spread=False)
     given = _span_forms(spans, index, longest, 1_000_000)
-    found = first_mentions(given.unionByName(scanned.select(*given.columns)))
+    # A raw text that is its form goes along as a null: most are, and all mentions are moved.
+    found = first_mentions(given.unionByName(scanned.select(*given.columns)).withColumn("raw_text", F.nullif("raw_text", "form")))
     sure = spans.groupBy("doc_id", "start_char", "end_char").agg(F.max("confidence").alias("confidence"))
     found = found.join(sure, ["doc_id", "start_char", "end_char"], "left")
     # What the index says of a form, its list of concepts above all, would be moved with every mention: it comes last.
@@ -221,7 +222,7 @@ def link_rows(docs: DataFrame, spans: DataFrame, index: DataFrame, longest: int
         F.when(status == "ambiguous", F.col("concept_ids")).alias("alternatives"), F.col("specificity").alias("link_score"),
     )
     return found.join(known, "form", "left").select(
-        "doc_id", "form", "raw_text", "start_char", "end_char", F.coalesce("status", F.lit("unmapped")).alias("status"), "concept_id", "alternatives",
+        "doc_id", "form", F.coalesce("raw_text", "form").alias("raw_text"), "start_char", "end_char", F.coalesce("status", F.lit("unmapped")).alias("status"), "concept_id", "alternatives",
         F.coalesce("link_score", F.lit(1.0)).alias("link_score"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"),
     )
 

@@ -104,6 +104,16 @@ def test_texts_of_spans_are_dealt_by_place_once(spark):
     assert "Exchange hashpartitioning(doc_id" in plan and not re.search(r"hashpartitioning\(doc_id#\d+L?, raw_text", plan)
 
 
+def test_raw_texts_that_are_forms_move_as_nulls(spark):
+    """Every mention took its text along twice, as it stands and as a form."""
+    index = linking.alias_index(spark.createDataFrame([(1, "known")], "concept_id long, label string"))
+    spans = spark.createDataFrame([(3, "Odd one", 0, 7, 0.5), (4, "odd", 0, 3, 0.5)], "doc_id long, raw_text string, start_char int, end_char int, confidence double")
+    out = linking.link_rows(spark.createDataFrame([(1, "known"), (2, "Known")], "doc_id long, text string"), spans, index)
+    assert {(r.doc_id, r.raw_text, r.form) for r in out.collect()} == {(1, "known", "known"), (2, "Known", "known"), (3, "Odd one", "odd one"), (4, "odd", "odd")}
+    below = out._jdf.queryExecution().optimizedPlan().toString().split("Window [row_number()", 1)[1]
+    assert re.search(r"nullif|if \(\(raw_text#\d+ = form#\d+\)\) null|CASE WHEN \(raw_text#\d+ = ", below)
+
+
 def test_mentions_move_without_their_concepts(spark):
     """Lists of concepts come to mentions after the last window; they went through it with every mention."""
     index = linking.alias_index(spark.createDataFrame([(1, "a word"), (2, "word")], "concept_id long, label string"))
